@@ -1,3 +1,10 @@
 """thermal_lake: DataFrame operators for archives of thermal fields, probe curves and meshes."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run inside tasks travel with their code, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

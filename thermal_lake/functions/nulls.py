@@ -19,8 +19,7 @@ def finite(c: Column | str) -> Column:
 
 def text(c: Column | str) -> Column:
     """NULL for empty text."""
-    c = col(c)
-    return F.when(c != "", c)
+    return F.nullif(col(c), F.lit(""))
 
 
 def extract(c: Column | str, pattern: str, group: int = 1) -> Column:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import numerics
 from ..functions.nulls import finite
-from .skew import ROWS_PER_RANGE, carried, drop_halo, halo_window, ranked, with_halo
+from ..session import cut
+from .skew import ROWS_PER_RANGE, carried, drop_halo, halo_window, is_hot, with_halo
 
 
 def clean_curve(df: DataFrame, keys: Sequence[str], t: str = "t_min", y: str = "t_c", seq: str | None = None) -> DataFrame:
@@ -30,16 +31,18 @@ def valid_series(clean: DataFrame, keys: Sequence[str], t: str = "t_min") -> Dat
     ).where((F.col("n") >= 2) & (F.col("t_last") > F.col("t_first")))
 
 
-def trim_window(df: DataFrame, keys: Sequence[str], t: str = "t_min", start: Column | None = None,
-                stop: Column | None = None) -> DataFrame:
-    """F16: rows between the two times; bounds fall back to the series' own when missing or inverted.
+def trim_window(df: DataFrame, keys: Sequence[str], t: str = "t_min", start: str | float | None = None,
+                stop: str | float | None = None) -> DataFrame:
+    """F16: rows between two times, each a number or a per-series column of ``df``.
 
-    Series with fewer than two samples left are listed by ``too_short``.
+    A missing bound is the series' own first or last time; an upper bound that does not exceed the
+    lower one becomes the last time. Series left with fewer than two samples are listed by
+    ``too_short``.
     """
-    bounds = df.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    t0 = F.coalesce(start if start is not None else F.lit(None).cast("double"), F.col("_lo"))
-    t1 = F.coalesce(stop if stop is not None else F.lit(None).cast("double"), F.col("_hi"))
-    bounds = bounds.select(*keys, t0.alias("_t0"), F.when(t1 > t0, t1).otherwise(F.col("_hi")).alias("_t1"))
+    given = lambda b: F.max(b) if isinstance(b, str) else F.lit(b).cast("double")
+    bounds = df.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"), given(start).alias("_a"), given(stop).alias("_b"))
+    low, high = F.coalesce("_a", "_lo"), F.coalesce("_b", "_hi")
+    bounds = bounds.select(*keys, low.alias("_t0"), F.when(high > low, high).otherwise(F.col("_hi")).alias("_t1"))
     return df.join(bounds, list(keys)).where(F.col(t).between(F.col("_t0"), F.col("_t1"))).drop("_t0", "_t1")
 
 
@@ -56,7 +59,8 @@ def zero_based(df: DataFrame, keys: Sequence[str], t: str = "t_min", name: str =
     return df.join(first, list(keys)).withColumn(name, F.col(t) - F.col("t_origin"))
 
 
-def pchip_slopes(knots: DataFrame, keys: Sequence[str], t: str = "t", y: str = "y", rows: int = ROWS_PER_RANGE) -> DataFrame:
+def pchip_slopes(knots: DataFrame, keys: Sequence[str], t: str = "t", y: str = "y", rows: int = ROWS_PER_RANGE,
+                 split: bool | None = None) -> DataFrame:
     """Knots with the shape-preserving cubic that starts at each of them, as a ``seg`` struct.
 
     Interior slopes are the weighted harmonic mean of the neighbouring secants (zero at a local
@@ -64,7 +68,7 @@ def pchip_slopes(knots: DataFrame, keys: Sequence[str], t: str = "t", y: str = "
     knot repeats the last piece, so a look-up beyond the ends continues the end cubics.
     """
     w = halo_window(keys)
-    k = with_halo(knots.select(*keys, F.col(t).alias("t"), F.col(y).alias("y")), keys, "t", 3, rows)
+    k = with_halo(knots.select(*keys, F.col(t).alias("t"), F.col(y).alias("y")), keys, "t", 3, rows, split)
     lead, lag = (lambda c: F.lead(c).over(w)), (lambda c: F.lag(c).over(w))
     k = k.withColumns({"h": lead("t") - F.col("t"), "dy": (lead("y") - F.col("y"))})
     k = k.withColumn("d", F.col("dy") / F.col("h"))
@@ -99,19 +103,21 @@ def hermite(seg: Column, t: Column) -> Column:
 
 
 def pchip(knots: DataFrame, targets: DataFrame, keys: Sequence[str], at: str = "t", t: str = "t", y: str = "y",
-          name: str = "y_interp", rows: int = ROWS_PER_RANGE) -> DataFrame:
+          name: str = "y_interp", rows: int = ROWS_PER_RANGE, split: bool | None = None) -> DataFrame:
     """Evaluate the monotone cubic through ``knots`` at the times of ``targets`` (same keys).
 
     Knots and targets are merged in time order and each target takes the last piece before it,
     so the join costs one sort by (key, time) and never pairs a target with all knots.
     """
     keys = list(keys)
-    seg = pchip_slopes(knots, keys, t, y, rows)
+    if split is None:
+        split = is_hot(knots, keys, rows) or is_hot(targets, keys, rows)
+    seg = pchip_slopes(knots, keys, t, y, rows, split)
     left = seg.select(*keys, F.col("t").alias("_t"), F.lit(0).alias("_kind"), "seg")
     right = targets.select(*keys, F.col(at).cast("double").alias("_t"), F.lit(1).alias("_kind"),
                            F.struct(*targets.columns).alias("_row"))
     merged = left.unionByName(right, allowMissingColumns=True)
-    merged = carried(merged, keys, "_t", ["_kind"], {"_seg": "seg"}, rows)
+    merged = carried(merged, keys, "_t", ["_kind"], {"_seg": "seg"}, rows, split)
     out = merged.where("_kind = 1").select("_row.*", hermite(F.col("_seg"), F.col("_t")).alias(name))
     return out
 
@@ -137,7 +143,8 @@ def synchronise(exp: DataFrame, sim: DataFrame, keys: Sequence[str], n: int = 10
     grid = common_grid(horizon, keys, "horizon", n)
     both = exp.withColumn("side", F.lit("e")).unionByName(sim.withColumn("side", F.lit("s")))
     wanted = grid.withColumn("side", F.explode(F.array(F.lit("e"), F.lit("s"))))
-    values = pchip(both, wanted, [*keys, "side"], rows=rows)
+    split = n > rows or is_hot(both, [*keys, "side"], rows)
+    values = pchip(both, wanted, [*keys, "side"], rows=rows, split=split)
     return values.groupBy(*keys, "i", "t").agg(
         F.max(F.when(F.col("side") == "e", F.col("y_interp"))).alias("y_exp"),
         F.max(F.when(F.col("side") == "s", F.col("y_interp"))).alias("y_sim"))
@@ -148,20 +155,23 @@ def factor_curve(sync: DataFrame, keys: Sequence[str], rows: int = ROWS_PER_RANG
 
     A sample is stable when the simulated increment reaches max(0.5, 1 % of its largest
     magnitude). Stable ratios, clipped to 0..1, are joined by the monotone cubic; earlier
-    samples take the first stable value.
+    samples take the first stable value. A key has exactly the samples of its common axis, so
+    per-key windows are bounded by that number; the increments are written once because they are
+    both the knots and the targets of the interpolation.
     """
     keys = list(keys)
-    base = sync.groupBy(*keys).agg(F.min_by("y_exp", "i").alias("base_exp"), F.min_by("y_sim", "i").alias("base_sim"))
-    inc = sync.join(base, keys).withColumns({
-        "inc_exp": F.col("y_exp") - F.col("base_exp"), "inc_sim": F.col("y_sim") - F.col("base_sim")})
-    top = sync.join(base, keys).groupBy(*keys).agg(
-        F.greatest(F.lit(0.5), 0.01 * F.max(F.abs(F.col("y_sim") - F.col("base_sim")))).alias("threshold"))
-    inc = inc.join(top, keys).withColumn("stable", F.col("inc_sim") >= F.col("threshold"))
+    w = Window.partitionBy(*keys)
+    inc = sync.withColumns({"base_exp": F.first("y_exp").over(w.orderBy("i")), "base_sim": F.first("y_sim").over(w.orderBy("i"))})
+    inc = inc.withColumns({"inc_exp": F.col("y_exp") - F.col("base_exp"), "inc_sim": F.col("y_sim") - F.col("base_sim")})
+    inc = inc.withColumn("threshold", F.greatest(F.lit(0.5), 0.01 * F.max(F.abs("inc_sim")).over(w)))
+    inc = inc.withColumn("stable", F.col("inc_sim") >= F.col("threshold"))
     ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("inc_exp") / F.col("inc_sim")))
-    stable = inc.where("stable").select(*keys, "t", ratio.alias("y"))
-    first = stable.groupBy(*keys).agg(F.min("t").alias("t_stable"), F.min_by("y", "t").alias("f_stable"),
-                                      F.count(F.lit(1)).alias("n_stable"))
-    out = pchip(stable, inc.join(first, keys), keys, name="f_raw", rows=rows)
+    inc = inc.withColumn("ratio", F.when(F.col("stable"), ratio))
+    first = F.min(F.when(F.col("stable"), F.struct("t", "ratio"))).over(w)
+    inc = inc.withColumns({"t_stable": first["t"], "f_stable": first["ratio"], "n_stable": F.count("ratio").over(w)})
+    inc = cut(inc.where("n_stable > 0"))
+    stable = inc.where("stable").select(*keys, "t", F.col("ratio").alias("y"))
+    out = pchip(stable, inc, keys, name="f_raw", rows=rows, split=False)
     level = F.when((F.col("t") <= F.col("t_stable")) | (F.col("n_stable") == 1), F.col("f_stable")).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f_raw"))))
     out = out.withColumns({"factor": level, "offset_c": F.col("base_exp") - F.col("base_sim")})
@@ -253,5 +263,5 @@ def zone_curve(samples: DataFrame, zone: int, key: str = "corr_id") -> DataFrame
 
 def zone_label(zone: Column, z_min: Column, z_max: Column) -> Column:
     """Label with the depth range."""
-    edge = lambda c: F.coalesce(F.format_string("%.1f", c), F.lit("inf"))
+    edge = lambda c: F.when(c.isNull(), "inf").otherwise(F.format_string("%.1f", c))
     return F.concat(F.lit("Zona "), zone.cast("string"), F.lit(" ["), edge(z_min), F.lit(", "), edge(z_max), F.lit("] mm"))

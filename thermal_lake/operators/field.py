@@ -225,15 +225,15 @@ def factor_table(zones: DataFrame, knots: DataFrame, instants: DataFrame, ssa: D
     """Factor of every (correction, zone) at every absolute minute in ``instants`` (corr_id, t_min).
 
     Inside the knots the monotone cubic, after them the recurrence model if given, else the last
-    knot; before them the correction is inactive. All inputs are per-correction tables: their
-    size does not depend on the number of field points.
+    knot; before them the correction is inactive. All inputs are per-correction tables: a zone's
+    curve has the samples of its common axis, whatever the number of field points.
     """
     ends = knots.groupBy("corr_id", "zone_id").agg(
         F.min("t").alias("t_a"), F.max("t").alias("t_b"), F.max_by("f", "t").alias("f_b"), F.count(F.lit(1)).alias("n_k"))
     at = instants.join(zones.select("corr_id", "zone_id", "t_origin"), "corr_id").join(ends, ["corr_id", "zone_id"]) \
         .withColumn("t_rel", F.col("t_min") - F.col("t_origin"))
     at = at.withColumn("t_eval", F.least("t_rel", "t_b"))
-    values = pchip(knots, at, ["corr_id", "zone_id"], at="t_eval", y="f", name="f_in")
+    values = pchip(knots, at, ["corr_id", "zone_id"], at="t_eval", y="f", name="f_in", split=False)
     if ssa is not None:
         late = at.where(F.col("t_rel") > F.col("t_b") + 1e-9).select("corr_id", "zone_id", "t_min", "t_rel")
         values = values.join(forecast(ssa, late), ["corr_id", "zone_id", "t_min"], "left")

@@ -1,10 +1,11 @@
 """Ordered operators that stay exact and parallel when one key holds a large share of all rows.
 
-A window partitioned by a key sorts that key's rows in one task. Here a key with more than
-``rows`` rows is first cut into value ranges of its numeric order column; windows then run per
-(key, range), and the few numbers that must cross a range border (row counts, sums, last seen
-values) travel as one small row per range. Keys below the limit keep a single range and pay no
-extra shuffle: the per-key table that is joined holds only the keys above the limit.
+A window partitioned by a key sorts that key's rows in one task. Every operator here first asks
+one cheap question - has any key more than ``rows`` rows? - by a count that is combined map-side.
+If not, it is the plain window. If so, the rows are written once to reliable storage, keys above
+the limit are cut into value ranges of their numeric order column, windows run per (key, range),
+and the few numbers that must cross a range border (row counts, sums, last seen values) travel
+as one small row per range. ``split`` answers the question beforehand where the size is known.
 """
 
 from __future__ import annotations
@@ -15,11 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 ROWS_PER_RANGE = 1_000_000
 
 _RANGE, _HEAVY = "_range", "_heavy"
 
 
+def is_hot(df: DataFrame, keys: Sequence[str], rows: int = ROWS_PER_RANGE) -> bool:
+    """Whether any key has more than ``rows`` rows."""
+    return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).isEmpty()
+
+
 def with_ranges(df: DataFrame, keys: Sequence[str], order: str, rows: int = ROWS_PER_RANGE) -> DataFrame:
     """Add ``_range`` (0 for ordinary keys) and ``_heavy`` to every row."""
     keys = list(keys)
@@ -54,10 +62,12 @@ def _after(keys: list[str]):
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (), name: str = "rn",
-           rows: int = ROWS_PER_RANGE) -> DataFrame:
+           rows: int = ROWS_PER_RANGE, split: bool | None = None) -> DataFrame:
     """Exact ``row_number`` per key, counted from 1."""
     keys = list(keys)
-    ranged = with_ranges(df, keys, order, rows)
+    if not (is_hot(df, keys, rows) if split is None else split):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties)).cast("long"))
+    ranged = with_ranges(cut(df), keys, order, rows)
     border = _border(ranged, keys, [F.count(F.lit(1)).alias("_c")], {"_skip": F.sum("_c").over(_before(keys))})
     inside = F.row_number().over(Window.partitionBy(*keys, _RANGE).orderBy(order, *ties))
     return (
@@ -69,14 +79,16 @@ def ranked(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] =
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str,
-                rows: int = ROWS_PER_RANGE) -> DataFrame:
+                rows: int = ROWS_PER_RANGE, split: bool | None = None) -> DataFrame:
     """Sum of ``value`` over the key's rows up to and including this one."""
     keys = list(keys)
-    ranged = with_ranges(df, keys, order, rows)
+    upto = lambda *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    if not (is_hot(df, keys, rows) if split is None else split):
+        return df.withColumn(name, F.sum(value).over(upto(*keys)))
+    ranged = with_ranges(cut(df), keys, order, rows)
     border = _border(ranged, keys, [F.sum(value).alias("_s")], {"_skip": F.sum("_s").over(_before(keys))})
-    w = Window.partitionBy(*keys, _RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        ranged.withColumn(name, F.sum(value).over(w))
+        ranged.withColumn(name, F.sum(value).over(upto(*keys, _RANGE)))
         .join(border, [*keys, _RANGE], "left")
         .withColumn(name, F.col(name) + F.coalesce("_skip", F.lit(0)))
         .drop("_skip", _RANGE, _HEAVY)
@@ -84,13 +96,23 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, name
 
 
 def carried(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], columns: Mapping[str, str],
-            rows: int = ROWS_PER_RANGE) -> DataFrame:
+            rows: int = ROWS_PER_RANGE, split: bool | None = None) -> DataFrame:
     """For each ``new: source`` the last non-NULL source at or before the row, else the first after it.
 
     This is the sorted look-up behind every as-of and segment join of the library.
     """
     keys = list(keys)
-    ranged = with_ranges(df, keys, order, rows)
+
+    def looked_up(frame: DataFrame, by: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(order, *ties)
+        back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        return frame.withColumns({f"_b_{new}": F.last(src, ignorenulls=True).over(back) for new, src in columns.items()} |
+                                 {f"_a_{new}": F.first(src, ignorenulls=True).over(ahead) for new, src in columns.items()})
+
+    if not (is_hot(df, keys, rows) if split is None else split):
+        out = looked_up(df, keys).withColumns({new: F.coalesce(f"_b_{new}", f"_a_{new}") for new in columns})
+        return out.drop(*[f"_{p}_{new}" for new in columns for p in "ba"])
+    ranged = with_ranges(cut(df), keys, order, rows)
     sort = F.struct(order, *ties)
     aggs, across = [], {}
     for new, src in columns.items():
@@ -99,13 +121,7 @@ def carried(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str],
         across[f"_p_{new}"] = F.last(f"_l_{new}", ignorenulls=True).over(_before(keys))
         across[f"_q_{new}"] = F.first(f"_f_{new}", ignorenulls=True).over(_after(keys))
     border = _border(ranged, keys, aggs, across)
-    w = Window.partitionBy(*keys, _RANGE).orderBy(order, *ties)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    inside = {}
-    for new, src in columns.items():
-        inside[f"_b_{new}"] = F.last(src, ignorenulls=True).over(back)
-        inside[f"_a_{new}"] = F.first(src, ignorenulls=True).over(ahead)
-    out = ranged.withColumns(inside).join(border, [*keys, _RANGE], "left")
+    out = looked_up(ranged, [*keys, _RANGE]).join(border, [*keys, _RANGE], "left")
     out = out.withColumns({
         new: F.coalesce(f"_b_{new}", f"_p_{new}", f"_a_{new}", f"_q_{new}") for new in columns
     })
@@ -113,13 +129,17 @@ def carried(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str],
     return out.drop(*extra, _RANGE, _HEAVY)
 
 
-def with_halo(df: DataFrame, keys: Sequence[str], order: str, halo: int, rows: int = ROWS_PER_RANGE) -> DataFrame:
-    """Cut each key into blocks of ``rows`` rows, with ``halo`` rows repeated on both sides.
+def with_halo(df: DataFrame, keys: Sequence[str], order: str, halo: int, rows: int = ROWS_PER_RANGE,
+              split: bool | None = None) -> DataFrame:
+    """Cut keys with many rows into blocks of ``rows`` rows, with ``halo`` rows repeated on both sides.
 
-    Windows over ``keys + ["_block"]`` ordered by ``_rn`` that look at most ``halo`` rows away
-    are then exact for the rows with ``_own``; drop the others with ``drop_halo``.
+    Windows over ``halo_window(keys)`` that look at most ``halo`` rows away are then exact for the
+    rows with ``_own``; ``drop_halo`` removes the others. Without a hot key there is one block.
     """
-    r = ranked(df, keys, order, name="_rn", rows=rows)
+    keys = list(keys)
+    if not (is_hot(df, keys, rows) if split is None else split):
+        return df.withColumns({"_rn": F.col(order), "_block": F.lit(0).cast("long"), "_own": F.lit(True)})
+    r = cut(ranked(df, keys, order, name="_rn", rows=rows, split=True))
     block = F.floor((F.col("_rn") - 1) / rows)
     pos = F.pmod(F.col("_rn") - 1, F.lit(rows))
     homes = F.array_compact(F.array(

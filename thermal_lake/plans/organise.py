@@ -62,9 +62,10 @@ def split_archive(inventory: DataFrame, index: DataFrame, done: DataFrame, level
     written; those are skipped.
     """
     case_tag, power_tag = M.tag_identity("dataset")
-    ident = M.path_identity(F.concat_ws("/", "modelo"))
+    count = F.regexp_extract("modelo", r"(\d+)ant", 1).try_cast("double")
     inv = K.without_reserved(inventory, "dataset").withColumns({
-        "tipo": M.antenna_type("modelo", ignore_case=False), "num_antenas": ident["num_antenas"], "antena": ident["antena"],
+        "tipo": M.antenna_type("modelo", ignore_case=False), "num_antenas": count,
+        "antena": F.concat(count.cast("int").cast("string"), F.lit("ant")),
         "caso": M.first_known(F.col("caso_meta"), case_tag), "potencia_w": M.first_known(F.col("potencia_meta"), power_tag)})
     usable, reason = M.usability(F.col("tipo"), F.col("num_antenas"), F.col("caso"), F.col("potencia_w"))
     has = F.col("has_snapshots") | F.col("has_full_field") | F.col("has_probes")
