@@ -45,10 +45,16 @@ def sub(text: str) -> str:
     return text.format(**{n: n for n in names(text)})
 
 
+# Both engines add the same tiny shift before rounding, so decimal ties fall on one side.
+def _shift(n: int) -> float:
+    return 1.3 * 10.0 ** -(n + 2)
+
+
 def rnd(c: Column | str, n: int = 6) -> Column:
-    return F.round(c, n)
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c + _shift(n), n)
 
 
 def R(expr: str, n: int = 6) -> str:
     """Rounded SQL expression without negative zero."""
-    return f"(round({expr}, {n}) + 0.0)"
+    return f"(round(({expr}) + {_shift(n)!r}, {n}) + 0.0)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -164,10 +165,11 @@ def trailing(field: DataFrame, keys: Sequence[str], k: int = TRAIL) -> DataFrame
 
 
 def future_minutes(t_end: Column, horizon: Column | float) -> Column:
-    """Whole minutes after the last instant up to the horizon (empty when there are none)."""
+    """Whole minutes after the last instant up to the horizon, as an array (empty when there are none)."""
     first = (F.floor(t_end + 1e-9) + 1).cast("int")
     last = F.floor((horizon if isinstance(horizon, Column) else F.lit(horizon)) + 1e-9).cast("int")
-    return F.when(last >= first, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+    whole = F.when(last >= first, F.sequence(first, F.greatest(first, last)))
+    return F.transform(whole, lambda m: m.cast("double"))
 
 
 def linear_trend(field: DataFrame, keys: Sequence[str], horizon: Column | float, k: int = TRAIL) -> DataFrame:
@@ -179,7 +181,7 @@ def linear_trend(field: DataFrame, keys: Sequence[str], horizon: Column | float,
     m = s.groupBy(*keys, *VOXEL).agg(
         F.max("t_end").alias("t_end"), F.max("a").alias("a"), F.max("slope").alias("slope"), F.sqrt(F.avg(res * res)).alias("rmse"),
         F.sum(F.col("tau") * F.col("tau")).alias("sxx"), F.count_if(F.col("t_c").isNull()).alias("gaps"), F.min("tau").alias("tau0"))
-    out = m.where("gaps = 0 AND sxx > 0").withColumn("t_min", F.explode(future_minutes(F.col("t_end"), horizon)).cast("double"))
+    out = m.where("gaps = 0 AND sxx > 0").withColumn("t_min", F.explode(future_minutes(F.col("t_end"), horizon)))
     dt = F.col("t_min") - F.col("t_end")
     return out.select(*keys, *VOXEL, "t_min", (F.col("a") + F.col("slope") * dt).alias("t_c"),
                       (F.col("rmse") * F.sqrt(1 + dt * dt / F.col("sxx"))).alias("sigma"))
@@ -207,7 +209,7 @@ def local_quadratic(field: DataFrame, keys: Sequence[str], horizon: Column | flo
     g = s.groupBy(*keys, *VOXEL).agg(
         F.max("t_end").alias("t_end"), F.max("a").alias("a"), F.max("b").alias("b"), F.max("c").alias("c"), F.max("span").alias("span"),
         F.sqrt(F.sum(F.col("w") * res * res) / F.sum("w")).alias("rmse"), F.count_if(F.col("t_c").isNull()).alias("gaps"))
-    out = g.where("gaps = 0").withColumn("t_min", F.explode(future_minutes(F.col("t_end"), horizon)).cast("double"))
+    out = g.where("gaps = 0").withColumn("t_min", F.explode(future_minutes(F.col("t_end"), horizon)))
     dt = F.col("t_min") - F.col("t_end")
     return out.select(*keys, *VOXEL, "t_min", (F.col("a") + F.col("b") * dt + F.col("c") * dt * dt).alias("t_c"),
                       (F.col("rmse") * (1 + F.abs(dt) / F.col("span"))).alias("sigma"))
@@ -263,7 +265,7 @@ def pca_direction(gram: DataFrame, last_times: DataFrame, keys: Sequence[str]) -
     keys = list(keys)
     key_types = ", ".join(f"{k} {gram.schema[k].dataType.simpleString()}" for k in keys)
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["i"].max()) + 1
         g = np.zeros((n, n))
         g[pdf["i"], pdf["j"]] = pdf["g"]
@@ -296,7 +298,7 @@ def pca_trend(field: DataFrame, keys: Sequence[str], horizon: Column | float) ->
     d = pca_direction(time_gram(s, keys), times, keys)
     dot = F.aggregate(F.zip_with("cs", "direction", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
     j = s.join(d, keys).withColumns({"rate": dot, "a": F.element_at("vs", -1), "t_end": F.element_at("ts", -1)})
-    j = j.withColumn("t_min", F.explode(future_minutes(F.col("t_end"), horizon)).cast("double"))
+    j = j.withColumn("t_min", F.explode(future_minutes(F.col("t_end"), horizon)))
     return j.select(*keys, *VOXEL, "t_min", (F.col("a") + (F.col("t_min") - F.col("t_end")) * F.col("rate")).alias("t_c"))
 
 

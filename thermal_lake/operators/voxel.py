@@ -13,6 +13,7 @@ from ..functions import numerics
 from ..session import cut
 from .grid import VOXEL
 
+SLAB = 8  # planes per group of the distance transform
 SIDE = 21  # bits per coordinate in a packed voxel id
 
 
@@ -142,39 +143,40 @@ def largest_component(labelled: DataFrame, keys: Sequence[str], min_area: int =
 def signed_distance(voxels: DataFrame, keys: Sequence[str], resolution: Column | float = 1.0, truncate: bool = False) -> DataFrame:
     """Euclidean distance to the nearest opposite voxel, negative inside.
 
-    The squared distance separates by axis: one pass per plane handles x and y, a second pass per
-    strip of columns handles z. A group is one plane or one strip of a grid, so a grid of any
-    number of distributions spreads over planes. ``truncate`` clips to two voxels.
+    The squared distance separates by axis: one pass handles x and y for slabs of a few planes, a
+    second one handles z for bundles of 16 x 16 columns. Both kinds of group are bounded by the
+    grid's axes and never hold a whole grid. ``truncate`` clips to two voxels.
     """
     keys = list(keys)
     key_types = ", ".join(f"{k} {voxels.schema[k].dataType.simpleString()}" for k in keys)
     far = 1e12
 
-    def plane(pdf: pd.DataFrame) -> pd.DataFrame:
-        nx, ny = int(pdf["ix"].max()) + 1, int(pdf["iy"].max()) + 1
-        occ = np.zeros((nx, ny), bool)
-        occ[pdf["ix"], pdf["iy"]] = pdf["occ"].to_numpy(bool)
+    def slab(pdf: pd.DataFrame) -> pd.DataFrame:
+        ix, iy = pdf["ix"].to_numpy(), pdf["iy"].to_numpy()
+        iz = pd.factorize(pdf["iz"])[0]
+        occ = np.zeros((iz.max() + 1, ix.max() + 1, iy.max() + 1), bool)
+        occ[iz, ix, iy] = pdf["occ"].to_numpy(bool)
         out = pdf[[*keys, *VOXEL]].copy()
         for name, mask in (("f_occ", occ), ("f_emp", ~occ)):
             f = np.where(mask, 0.0, far)
-            f = numerics.parabola_pass(f.T).T
-            f = numerics.parabola_pass(f)
-            out[name] = f[pdf["ix"], pdf["iy"]]
+            n, nx, ny = f.shape
+            f = numerics.parabola_pass(f.transpose(0, 2, 1).reshape(-1, nx)).reshape(n, ny, nx).transpose(0, 2, 1)
+            out[name] = numerics.parabola_pass(f.reshape(-1, ny)).reshape(n, nx, ny)[iz, ix, iy]
         return out
 
     def strip(pdf: pd.DataFrame) -> pd.DataFrame:
-        nz = int(pdf["iz"].max()) + 1
-        row = pd.factorize(pdf["iy"])[0]
+        iz = pdf["iz"].to_numpy()
+        row = pdf.groupby(["ix", "iy"], sort=False).ngroup().to_numpy()
         out = pdf[[*keys, *VOXEL]].copy()
         for name in ("f_occ", "f_emp"):
-            f = np.full((row.max() + 1, nz), far)
-            f[row, pdf["iz"]] = pdf[name]
-            out[name] = numerics.parabola_pass(f)[row, pdf["iz"]]
+            f = np.full((row.max() + 1, iz.max() + 1), far)
+            f[row, iz] = pdf[name]
+            out[name] = numerics.parabola_pass(f)[row, iz]
         return out
 
     shape = f"{key_types}, ix int, iy int, iz int, f_occ double, f_emp double"
-    first = voxels.select(*keys, *VOXEL, "occ").groupBy(*keys, "iz").applyInPandas(plane, shape)
-    second = first.groupBy(*keys, "ix", F.floor(F.col("iy") / 64)).applyInPandas(strip, shape)
+    first = voxels.select(*keys, *VOXEL, "occ").groupBy(*keys, F.floor(F.col("iz") / SLAB)).applyInPandas(slab, shape)
+    second = first.groupBy(*keys, F.floor(F.col("ix") / 16), F.floor(F.col("iy") / 16)).applyInPandas(strip, shape)
     res = resolution if isinstance(resolution, Column) else F.lit(float(resolution))
     d = (F.sqrt("f_occ") - F.sqrt("f_emp")) * res
     d = F.when((F.col("f_occ") < far / 2) & (F.col("f_emp") < far / 2), d)
