@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,7 +117,12 @@ def axis_angles(a1: Column, a2: Column, axis1: Column, axis2: Column) -> Vec:
 
 def rotation(angles: Vec) -> list[list[Column]]:
     """The 3x3 matrix of a turn about x, then y, then z."""
-    (cx, cy, cz), (sx, sy, sz) = [F.cos(a) for a in angles], [F.sin(a) for a in angles]
+    return rotation_of([F.cos(a) for a in angles], [F.sin(a) for a in angles])
+
+
+def rotation_of(cosines: Sequence[Column], sines: Sequence[Column]) -> list[list[Column]]:
+    """The same matrix from cosines and sines that are already columns."""
+    (cx, cy, cz), (sx, sy, sz) = cosines, sines
     return [
         [cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx],
         [sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx],

@@ -50,17 +50,23 @@ def pose_counts(poses: DataFrame, distributions: DataFrame, shapes: DataFrame, t
     must be evaluated; the two occupancy look-ups are equi-joins.
     """
     p = poses.join(shapes, "dist_id").join(frames, "target_id")
-    m = G.rotation(G.axis_angles(F.col("a1"), F.col("a2"), F.col("axis1"), F.col("axis2")))
+    angles = G.axis_angles(F.col("a1"), F.col("a2"), F.col("axis1"), F.col("axis2"))
+    p = p.withColumns({f"_t{i}": a for i, a in enumerate(angles)})
+    p = p.withColumns({f"_{n}{i}": f(F.col(f"_t{i}")) for i in range(3) for n, f in (("cos", F.cos), ("sin", F.sin))})
+    m = G.rotation_of([F.col(f"_cos{i}") for i in range(3)], [F.col(f"_sin{i}") for i in range(3)])
     shift = (F.col("px"), F.col("py"), F.col("pz"))
     p = p.withColumns({f"_m{i}{j}": m[i][j] for i in range(3) for j in range(3)})
     m = [[F.col(f"_m{i}{j}") for j in range(3)] for i in range(3)]
     box = [(F.col(f"{a}0"), F.col(f"{a}0") + F.col(f"d{a}") * (F.col(f"n{a}") - 1)) for a in "xyz"]
+    ends = {}
     for a, (lo, hi) in zip("xyz", rotated_box(box, m, shift)):
-        first = F.greatest(F.lit(0), F.ceil((lo - F.col(f"g{a}0")) / F.col("gstep") - 1e-9)).cast("int")
-        last = F.least(F.col(f"g{a}n") - 1, F.floor((hi - F.col(f"g{a}0")) / F.col("gstep") + 1e-9)).cast("int")
-        p = p.withColumn(f"_r{a}", F.when(last >= first, F.sequence(first, F.greatest(first, last))))
+        ends[f"_a{a}"] = F.greatest(F.lit(0), F.ceil((lo - F.col(f"g{a}0")) / F.col("gstep") - 1e-9)).cast("int")
+        ends[f"_b{a}"] = F.least(F.col(f"g{a}n") - 1, F.floor((hi - F.col(f"g{a}0")) / F.col("gstep") + 1e-9)).cast("int")
+    p = p.withColumns(ends).withColumns({
+        f"_r{a}": F.when(F.col(f"_b{a}") >= F.col(f"_a{a}"), F.sequence(f"_a{a}", F.greatest(f"_a{a}", f"_b{a}"))) for a in "xyz"})
+    # Outer explodes keep the planner from copying the whole box arithmetic into inferred filters.
     for a in "xyz":
-        p = p.withColumn(f"g{a}", F.explode(f"_r{a}"))
+        p = p.withColumn(f"g{a}", F.explode_outer(f"_r{a}")).where(F.col(f"g{a}").isNotNull())
     world = tuple(F.col(f"g{a}0") + F.col(f"g{a}") * F.col("gstep") for a in "xyz")
     local = G.to_local(world, m, shift)
     out = F.lit(False)

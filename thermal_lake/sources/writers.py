@@ -15,7 +15,7 @@ from ..schemas import PARTITIONS
 def wide_probe_table(series: DataFrame, probes: Sequence[str], keys: Sequence[str] = ("modelo", "dataset")) -> DataFrame:
     """Time x probe with four decimals and ``NaN`` for gaps; the probe list fixes the columns."""
     wide = series.groupBy(*keys, "t_min").pivot("probe", list(probes)).agg(F.first("t_c", ignorenulls=True))
-    four = lambda c: F.coalesce(F.format_string("%.4f", c), F.lit("NaN"))
+    four = lambda c: F.when(c.isNull(), "NaN").otherwise(F.format_string("%.4f", c))
     return wide.select(*keys, four(F.col("t_min")).alias("Tiempo(min)"), *[four(F.col(f"`{p}`")).alias(f"{p}(C)") for p in probes])
 
 
