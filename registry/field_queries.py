@@ -240,7 +240,7 @@ def corrected_sql(k: float = 1.0, cap: str = "120") -> str:
 def corrected(spark, d, **options):
     f = view(spark, d, S.FIELD)
     zones = view(spark, d, S.ZONES)
-    return CO.correct_field(f, view(spark, d, S.PAIRS), zones, view(spark, d, S.KNOTS), **options)
+    return CO.correct_field(f, view(spark, d, S.PAIRS), zones, view(spark, d, S.KNOTS), instants=view(spark, d, S.TIMES), **options)
 
 
 @query("C1_corrected_volume_curve", f"SELECT modelo, dataset, corr_id, t_idx, {R('count(*) FILTER (t_c >= 60) * 12.5E0')} AS v_base, {R('count(*) FILTER (t_corr >= 60) * 12.5E0')} AS v_corr, {R('max(t_corr)')} AS t_max_corr FROM {corrected_sql()} q GROUP BY 1, 2, 3, 4")
@@ -285,7 +285,7 @@ def mass_correction(spark, d):
     corr = pairs.select("corr_id").distinct().select("corr_id", F.col("corr_id").cast("string").alias("tipo"), F.lit(None).cast("string").alias("antena"), F.lit(1.0).alias("caso"),
                                                     F.lit(None).cast("double").alias("potencia_w"), F.lit("s1").alias("signature"))
     done = c.join(sid, DS).where("sid % 4 = 0").select(F.concat_ws("|", "partition_key", F.col("corr_id").cast("string")).alias("key"), F.lit("s1").alias("signature"))
-    out, _, _ = CO.mass_correction(cat, corr, done, f, view(spark, d, S.ZONES), view(spark, d, S.KNOTS))
+    out, _, _ = CO.mass_correction(cat, corr, done, f, view(spark, d, S.ZONES), view(spark, d, S.KNOTS), instants=view(spark, d, S.TIMES))
     return out.groupBy(*DS, "corr_id").agg(F.count("t_corr").alias("n"), rnd(F.max("t_corr")).alias("t_max_c"), rnd(F.min("t_corr")).alias("t_min_c"))
 
 

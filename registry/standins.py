@@ -65,9 +65,11 @@ SELECT CAST(n_nationkey AS BIGINT) AS corr_id, z.zone_id, k.t,
 FROM {nation} CROSS JOIN (VALUES (1), (2), (3), (4)) AS z(zone_id)
 CROSS JOIN (VALUES (0, 0.0E0), (1, 0.9E0), (2, 1.7E0), (3, 3.2E0), (4, 4.4E0)) AS k(i, t)
 """
-PAIRS = f"""
-SELECT DISTINCT modelo, dataset, CAST(s_nationkey AS BIGINT) AS corr_id FROM ({FIELD}) f JOIN {{supplier}} ON s_suppkey = sid
-"""
+_NAMES = """concat('modelo_', {K}, '_', CAST({k} % 4 + 1 AS STRING), 'ant') AS modelo,
+       concat('dset_c', CAST({k} % 9 AS STRING), '_p', CAST(5 * ({k} % 12 + 1) AS STRING), '_s', CAST({k} AS STRING)) AS dataset"""
+PAIRS = f"SELECT {_NAMES.replace('{K}', kind('s_suppkey')).replace('{k}', 's_suppkey')}, CAST(s_nationkey AS BIGINT) AS corr_id FROM {{supplier}}"
+# The dataset table's time vectors.
+TIMES = f"SELECT DISTINCT {_NAMES.replace('{K}', kind('l_suppkey')).replace('{k}', 'l_suppkey')}, CAST(year(l_shipdate) - 1995 AS DOUBLE) AS t_min FROM {{lineitem}}"
 
 # Catalogue of files, one per part, with paths in the archive's several styles.
 CATALOG = """

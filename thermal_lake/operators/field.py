@@ -12,7 +12,8 @@ from ..functions import numerics
 from ..functions.nulls import finite
 from ..schemas import SSA
 from .curves import pchip
-from .skew import ranked
+from ..session import cut
+from .skew import broadcast_if_small, ranked
 
 DATASET = ("modelo", "dataset")
 # Default thresholds (degrees C), domain (mm) and zone depths (mm).
@@ -21,6 +22,8 @@ RADIUS_MM, Z_LOW_MM, Z_HIGH_MM = 50.0, 0.0, 45.0
 ZONE_DEPTHS_SIM = (18.6, 25.2, 31.8, 38.4)
 ZONE_DEPTHS_EXP = (26.4, 19.8, 13.2, 6.6)
 KELVIN = 273.15
+# A plan row is a few bands (well under 1 kB), so this bounds the broadcast to tens of MB.
+PLAN_BROADCAST_ROWS = 50_000
 
 
 def in_cylinder(x: Column, y: Column, z: Column, radius: float = RADIUS_MM, z0: float = Z_LOW_MM, z1: float = Z_HIGH_MM) -> Column:
@@ -297,8 +300,10 @@ def correct(field: DataFrame, plan: DataFrame, on: Sequence[str], value: str = "
     """Base + offset + factor * (T - base) in the active band of each point, then the cap.
 
     ``plan`` has one row per key in ``on``, so the join keeps the number of points; the band is
-    chosen inside the row.
+    chosen inside the row. The plan is written once: it is then counted for the broadcast and
+    read by the join without running the interpolation again.
     """
+    plan = broadcast_if_small(cut(plan), PLAN_BROADCAST_ROWS)
     hit = F.try_element_at(F.filter("bands", lambda s: in_zone(F.col("z"), s["z_min"], s["z_max"], s["top"])), F.lit(1))
     j = field.join(plan, list(on)).withColumn("_s", hit)
     moved = F.col(base) + F.col("_s.off") + F.col("_s.f") * (F.col(value) - F.col(base))

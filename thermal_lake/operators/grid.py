@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .skew import carried
+from .skew import carried, spread
 
 VOXEL = ("ix", "iy", "iz")
 CORNERS = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
@@ -23,6 +23,8 @@ def linspace_grid(box: DataFrame, n: tuple[int, int, int] = (GRID_N,) * 3) -> Da
     """``n`` even points per axis between the extents of each row of ``box``."""
     g = box
     for a, count in zip("xyz", n):
+        if a == "y":
+            g = spread(g, *[c for c in box.columns if c[-3:] not in ("_lo", "_hi")], "ix")
         step = (F.col(f"{a}_hi") - F.col(f"{a}_lo")) / (count - 1)
         g = g.withColumn(f"i{a}", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn(
             a, F.col(f"{a}_lo") + F.col(f"i{a}") * step)
@@ -33,6 +35,8 @@ def step_grid(box: DataFrame, step: float, pad: float = 0.0) -> DataFrame:
     """Points low - pad, then every ``step`` up to high + pad."""
     g = box
     for a in "xyz":
+        if a == "y":
+            g = spread(g, *[c for c in box.columns if c[-3:] not in ("_lo", "_hi")], "ix")
         count = F.floor((F.col(f"{a}_hi") - F.col(f"{a}_lo") + 2 * pad) / step + 1e-9).cast("int")
         g = g.withColumn(f"i{a}", F.explode(F.sequence(F.lit(0), count))).withColumn(
             a, F.col(f"{a}_lo") - pad + F.col(f"i{a}") * step)

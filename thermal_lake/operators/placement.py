@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .grid import VOXEL
+from .skew import broadcast_if_small, spread
 
 # Fitness weights and scale, and the result for an empty distribution.
 W_LEAK, W_CENTRE, W_DEPTH, SCALE = 0.15, 0.02, 0.05, 1000.0
 EMPTY_FITNESS = 1e6
 EPS = 2.220446049250313e-16
+# A voxel row is four integers: at most about 40 MB.
+MASK_BROADCAST_ROWS = 1_000_000
 
 
 def accessible(points: DataFrame, keys: Sequence[str], z_access: Column, resolution: Column | float) -> DataFrame:
@@ -47,9 +50,10 @@ def pose_counts(poses: DataFrame, distributions: DataFrame, shapes: DataFrame, t
     * ``frames``: target_id, g{x,y,z}0 origin, gstep, g{x,y,z}n length of the target grid
 
     Each pose expands only into the grid points of its own rotated box, which are the points that
-    must be evaluated; the two occupancy look-ups are equi-joins.
+    must be evaluated. The two occupancy look-ups are equi-joins, broadcast while a mask table is
+    counted to be small, so a sweep over few masks counts its poses without moving a grid point.
     """
-    p = poses.join(shapes, "dist_id").join(frames, "target_id")
+    p = spread(poses.join(shapes, "dist_id").join(frames, "target_id"), "pose_id")
     angles = G.axis_angles(F.col("a1"), F.col("a2"), F.col("axis1"), F.col("axis2"))
     p = p.withColumns({f"_t{i}": a for i, a in enumerate(angles)})
     p = p.withColumns({f"_{n}{i}": f(F.col(f"_t{i}")) for i in range(3) for n, f in (("cos", F.cos), ("sin", F.sin))})
@@ -74,9 +78,10 @@ def pose_counts(poses: DataFrame, distributions: DataFrame, shapes: DataFrame, t
         u = (v - F.col(f"{a}0")) / F.col(f"d{a}")
         out = out | (u < 0) | (u > F.col(f"n{a}") - 1)
         p = p.withColumn(f"i{a}", F.floor(u + 0.5).cast("int"))
-    inside = p.where(~out).select("pose_id", "dist_id", "target_id", "gx", "gy", "gz", *VOXEL).join(
-        distributions.select("dist_id", *VOXEL), ["dist_id", *VOXEL])
-    marked = inside.join(targets.select("target_id", "gx", "gy", "gz", F.lit(1).alias("_t")), ["target_id", "gx", "gy", "gz"], "left")
+    own = broadcast_if_small(distributions.select("dist_id", *VOXEL), MASK_BROADCAST_ROWS)
+    goal = broadcast_if_small(targets.select("target_id", "gx", "gy", "gz", F.lit(1).alias("_t")), MASK_BROADCAST_ROWS)
+    inside = p.where(~out).select("pose_id", "dist_id", "target_id", "gx", "gy", "gz", *VOXEL).join(own, ["dist_id", *VOXEL])
+    marked = inside.join(goal, ["target_id", "gx", "gy", "gz"], "left")
     counts = marked.groupBy("pose_id").agg(F.count(F.lit(1)).alias("n_dist"), F.count("_t").alias("n_in"))
     return poses.join(counts, "pose_id", "left").fillna(0, ["n_dist", "n_in"])
 

@@ -154,3 +154,21 @@ def halo_window(keys: Sequence[str]):
 
 def drop_halo(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_own", "_block", "_rn")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast hint only after counting that ``df`` has at most ``max_rows`` rows.
+
+    Beyond that the table is joined by key like any other; the adaptive planner then splits hot keys.
+    """
+    counted = df.select(F.lit(1)).limit(max_rows + 1).count()
+    return F.broadcast(df) if counted <= max_rows else df
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Distribute a small table by key before its rows are expanded.
+
+    The number of partitions is explicit, so the adaptive planner does not merge them again on
+    account of the small input.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)

@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 from ..operators import field as FL
 from ..operators.catalog import match_corrections, not_current
+from ..operators.skew import broadcast_if_small
 from ..sources.writers import write_partitioned
 
+# A pair is two names and an id (about 100 bytes): at most some tens of MB.
+PAIR_BROADCAST_ROWS = 200_000
+
 
 def correct_field(field: DataFrame, pairs: DataFrame, zones: DataFrame, knots: DataFrame, instants: DataFrame | None = None,
                   ssa: DataFrame | None = None, intensity: float = 1.0, apply_offset: bool = True, cap_c: float | None = None) -> DataFrame:
     """C1 over many datasets: field rows of ``pairs`` (modelo, dataset, corr_id) with ``t_base`` and ``t_corr``.
 
     The field is shuffled once, by point, for its base value. Everything joined to it (pairs and
-    band plans) is a per-dataset or per-correction table; the planner broadcasts those by their
-    measured size and otherwise splits a dataset that dominates the join.
+    band plans) is a per-dataset or per-correction table, broadcast after its rows were counted;
+    larger ones are joined by key and the adaptive planner splits a dataset that dominates.
     """
     base = FL.first_temperature(field)
     inst = instants if instants is not None else field.select("modelo", "dataset", "t_min").distinct()
     need = pairs.join(inst, ["modelo", "dataset"]).select("corr_id", "t_min").distinct()
     plan = FL.zone_plan(zones, FL.factor_table(zones, knots, need, ssa), intensity, apply_offset, cap_c)
-    return FL.correct(base.join(pairs, ["modelo", "dataset"]), plan, ["corr_id", "t_min"])
+    near = broadcast_if_small(pairs, PAIR_BROADCAST_ROWS)
+    return FL.correct(base.join(near, ["modelo", "dataset"]), plan, ["corr_id", "t_min"])
 
 
 def correct_probes(series: DataFrame, pairs: DataFrame, zones: DataFrame, knots: DataFrame, **options) -> DataFrame:
