@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermal_lake.session import cut
+from thermal_lake.session import cut, scratch_path
 
-from . import quality_rules, secrets, sharding
+from . import bpe, quality_rules, secrets, sharding, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,21 @@ def query(sql: str | None = None):
     return register
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the files written."""
+    path = scratch_path(spark, "tokens")
+    parts = token_files.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    return token_files.read(spark, path, parts)
+
+
 @query()
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document: the fixed patterns and the randomness tests."""
@@ -39,6 +54,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text they decode to, as checksums."""
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 @query()
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and risk-controlled verdict of every document."""
