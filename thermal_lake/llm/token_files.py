@@ -38,7 +38,7 @@ from thermal_lake.session import scratch_path
 from .bpe import Memo, byte_letters
 from .common import slices
 
-HEAD = struct.Struct("<8sIIQ")  # magic, texts, ids, data bytes
+HEAD = "<8sIIQ"  # magic, texts, ids, data bytes
 MAGIC = b"tlids\x00\x01\n"
 NULL = -(1 << 63)
 BLOCK = 1 << 18  # ids of a block, if no text has more
@@ -168,7 +168,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, key: s
             lengths = np.array([len(x) for x in ids], "<u4")
             values = rank_of[np.concatenate(ids)]
             control, data = pack(values)
-            sink.write(HEAD.pack(MAGIC, len(ids), len(values), len(data)))
+            sink.write(struct.pack(HEAD, MAGIC, len(ids), len(values), len(data)))
             sink.write(np.array(keys, "<i8").tobytes() + lengths.tobytes() + control + data)
 
         for batch in batches:
@@ -206,8 +206,8 @@ def blocks(path: str, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarra
     """Keys, lengths and ids of every block of a part."""
     store, at = _open(path)
     with store.open_input_stream(at) as f:
-        while head := f.read(HEAD.size):
-            magic, texts, n, size = HEAD.unpack(head)
+        while head := f.read(struct.calcsize(HEAD)):
+            magic, texts, n, size = struct.unpack(HEAD, head)
             if magic != MAGIC:
                 raise ValueError(f"not a block of ids: {path}")
             keys, lengths = np.frombuffer(f.read(8 * texts), "<i8"), np.frombuffer(f.read(4 * texts), "<u4")
