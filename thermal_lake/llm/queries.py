@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thermal_lake.session import cut, scratch_path
 
-from . import bpe, quality_rules, secrets, sharding, token_files
+from . import bpe, jaccard_join, quality_rules, secrets, sharding, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, parts)
 
 
+@query()
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count, class of equal sets and component of linked documents of every document."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document: the fixed patterns and the randomness tests."""
