@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 BLANK = re.compile("[\x20\x09-\x0d]+")
 
 _SEP = np.zeros(256, bool)
