@@ -33,7 +33,7 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE
 PLAIN = re.compile(" ?[A-Za-z]+")
 #: White space in which cutting before every space would change the words.
 UNCUT = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
-CACHE = 400_000
+CACHE = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -44,16 +44,20 @@ def byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """A bounded memory of a function of one text."""
+    """A bounded memory of a function of one text. When it is full, what is used again is kept and the rest forgotten."""
 
     def __init__(self, make, most: int = CACHE):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 

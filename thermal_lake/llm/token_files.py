@@ -67,10 +67,9 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class TextEncoder:
-    """The tokenizers library with a memory of pieces; gives ids as little-endian unsigned 32-bit bytes."""
+    """The tokenizers library with a memory of pieces; gives ids as little-endian bytes, two each where the vocabulary allows."""
 
     LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
-    SPACES = re.compile("[ \n]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,25 +77,27 @@ class TextEncoder:
 
         self.all = Tokenizer.from_file(path)
         self.model = self.all.model
+        self.kind = "<u2" if self.all.get_vocab_size() <= 1 << 16 else "<u4"
         self.high = {b: c for b, c in enumerate(byte_letters()) if b > 127}
         self.letters = Memo(self._letters)
         self.pieces = Memo(self._piece)
+        self.marks = Memo(self._library)
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.all.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.all.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _letters(self, word: str) -> bytes:
         own = word if word.isascii() else word.encode().decode("latin1").translate(self.high)
-        return np.array([t.id for t in self.model.tokenize(own)], "<u4").tobytes()
+        return np.array([t.id for t in self.model.tokenize(own)], self.kind).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         m = self.LETTERS.fullmatch(piece)
         if not m:
             return self._library(piece)
-        return self.letters[m[1].lower()] + (self._library(m[2]) if m[2] else b"")
+        return self.letters[m[1].lower()] + (self.marks[m[2]] if m[2] else b"")
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.SPACES.split(text))) if text else b""
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
 @lru_cache(maxsize=2)
@@ -109,21 +110,16 @@ def encode(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        last = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        last = b"" if end_id is None else np.array([end_id], own.kind).tobytes()
         for batch in batches:
             for part in slices(batch, "t"):
                 ids = [own.encode(x) + last for x in part.column(1).to_pylist()]
-                short = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(short, pa.binary())], names=["k", "n", "ids"])
+                size = int(own.kind[-1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["k", "n", "ids"])
 
-    kind = id_kind(path)
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k long, n long, ids binary")
 
 
-def id_kind(path: str) -> str:
-    return "<u2" if encoder(path).all.get_vocab_size() <= 1 << 16 else "<u4"
-
-
 def ranks(coded: DataFrame, kind: str, size: int) -> np.ndarray:
     """Ids by falling frequency; the vocabulary bounds what reaches the driver."""
 
@@ -150,9 +146,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, key: s
     """Write the folder ``path``; its parts in order, each with the number of ids before it."""
     spark = docs.sparkSession
     table = scratch_path(spark, "ids")
-    encode(docs, tokenizer, end_id, key, text).write.parquet(table)
+    encode(docs, tokenizer, end_id, key, text).write.option("compression", "zstd").parquet(table)
     coded = spark.read.parquet(table)
-    kind, size = id_kind(tokenizer), encoder(tokenizer).all.get_vocab_size()
+    kind, size = encoder(tokenizer).kind, encoder(tokenizer).all.get_vocab_size()
     order = ranks(coded, kind, max(size, (end_id or 0) + 1))
     rank_of = np.empty(len(order), np.uint32)
     rank_of[order] = np.arange(len(order))
