@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thermal_lake.session import cut, scratch_path
 
-from . import bpe, decontamination, jaccard_join, quality_rules, secrets, sharding, token_files
+from . import bpe, decontamination, jaccard_join, language_id, quality_rules, secrets, sharding, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,15 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the two thirds of labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
+    model = language_id.train(docs.where(~F.col("held_out")))
+    out = language_id.label(docs, model, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 @query()
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document: the fixed patterns and the randomness tests."""
