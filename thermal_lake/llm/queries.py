@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thermal_lake.session import cut, scratch_path
 
-from . import bpe, decontamination, jaccard_join, language_id, quality_rules, secrets, sharding, token_files
+from . import bpe, decontamination, html_extraction, jaccard_join, language_id, quality_rules, secrets, sharding, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cutoffs = quality_rules.fit(measured, labels)
     out = quality_rules.judge(measured, cutoffs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_extraction.label(pages, html_extraction.train(pages), ["page_id", "url"])
