@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thermal_lake.session import cut, scratch_path
 
-from . import bpe, decontamination, html_extraction, jaccard_join, language_id, quality_rules, secrets, sharding, token_files
+from . import bpe, decontamination, html_extraction, jaccard_join, language_id, quality_classifier, quality_rules, secrets, sharding, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("all").alias("spans"))
 
 
+@query()
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from two co-trained views."""
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query(sharding.SQL)
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document and the slots of the directory that lead to it."""
