@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE = 1 << 18
 BLANK = re.compile("[\x20\x09-\x0d]+")
@@ -28,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows; a larger one is joined by shuffling. Give a narrow, written table."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def words_in(text: str | None) -> list[str]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of one text; the plain form of :func:`words_of`."""
     return [w for w in BLANK.split(text or "") if w]

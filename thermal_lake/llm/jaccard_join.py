@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from thermal_lake.session import cut, scratch_path
 
-from .common import mix, slices, span_hash, text_bytes, windows, words_of
+from .common import mix, slices, small, span_hash, text_bytes, windows, words_of
 
 SMALLEST, RATIO = 6, 1.5  # of the bands of set sizes
 BLOCK = 8192  # documents of a group that one task compares
@@ -321,8 +321,8 @@ def components(links: DataFrame) -> DataFrame:
         edges, before = new, after
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, k: int, most: int = 200_000) -> DataFrame:
-    """(id, c, shingles) of the wanted (id, c, c2); ``wanted`` is broadcast if it has at most ``most`` rows, else joined by shuffling."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """(id, c, shingles) of the wanted (id, c, c2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,8 +332,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, k: int
                 pick = pa.array(use, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pick), part.column(1).take(pick), pa.array([sets[i].tobytes() for i in use], pa.binary())], names=["id", "c", "shingles"])
 
-    small = F.broadcast(wanted) if wanted.count() <= most else wanted
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(small, "id").select("id", "c", "c2", "t")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(small(wanted), "id").select("id", "c", "c2", "t")
     return rows.mapInArrow(run, "id long, c long, shingles binary").groupBy("id", "c").agg(F.first("shingles").alias("shingles"))
 
 
@@ -353,3 +352,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, t
     out = rows.select("id", "n", "c", "c2").join(classes.select("c", "c2", F.col("id").alias("own")), ["c", "c2"], "left").join(root, "own", "left")
     has = F.col("id").isNotNull() & (F.col("n") > 0)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(has, F.col("own")).otherwise(F.col("id")).alias("class_id"), F.when(has, F.coalesce("root", "own")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: int = 80, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each component: its smallest key, and of equal keys the smallest row. Rows without a key stay."""
+    found = join(docs, key, text, k, threshold, block)
+    gone = cut(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct())
+    left = docs.join(small(gone), docs[key].eqNullSafe(F.col("_gone")), "left_anti")
+    many = cut(found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_many")).agg(F.count("*").alias("n")).where("n > 1").select("_many"))
+    if many.isEmpty():
+        return left
+    same = left.join(small(many), left[key] == F.col("_many"), "left_semi")
+    first = same.groupBy(key).agg(F.min(F.struct(*(c for c in docs.columns if c != key))).alias("_row")).select(key, "_row.*").select(*docs.columns)
+    return left.join(small(many), left[key].eqNullSafe(F.col("_many")), "left_anti").unionByName(first)

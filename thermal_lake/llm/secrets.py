@@ -24,6 +24,8 @@ from pyspark.sql import Window
 
 from thermal_lake.session import cut
 
+from .common import small
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 or more in all: a shorter run has no longer match inside
 HEX = r"[0-9a-f]{24,}"
@@ -142,11 +144,14 @@ def listed(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat(array({names})[x.k], ':', x.s, ':', x.e)), ',')")
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]", rate: float = RATE) -> DataFrame:
-    """``docs`` with every span replaced by ``mark`` (spans that overlap become one); other columns stay."""
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = None, mark: str = "[SECRET]", rate: float = RATE) -> DataFrame:
+    """``docs`` with every span replaced by ``mark`` (spans that overlap become one), and the length in ``size`` set anew; other columns stay."""
     names = docs.columns
-    found = find(docs, key, text, rate).where(F.size("all") > 0).select(F.col("id").alias("_id"), F.col("tid").alias("_tid"), F.col("all").alias("_all")).dropDuplicates(["_id", "_tid"])
-    joined = docs.join(found, docs[key].eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(docs[text], F.lit(""))) == F.col("_tid")), "left")
+    found = cut(find(docs, key, text, rate).where(F.size("all") > 0).select(F.col("id").alias("_id"), F.col("tid").alias("_tid"), F.col("all").alias("_all")).dropDuplicates(["_id", "_tid"]))
+    joined = docs.join(small(found), docs[key].eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(docs[text], F.lit(""))) == F.col("_tid")), "left")
     build = f"""aggregate(_all, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> if(x.e <= a.at, a, named_struct('at', x.e,
         'out', if(x.s < a.at, a.out, concat(a.out, array(substring({text}, a.at + 1, x.s - a.at), '{mark}'))))), a -> concat(array_join(a.out, ''), substring({text}, a.at + 1)))"""
-    return joined.withColumn(text, F.expr(f"if(_all is null, {text}, {build})")).select(*names)
+    out = joined.withColumn(text, F.expr(f"if(_all is null, {text}, {build})"))
+    if size:
+        out = out.withColumn(size, F.expr(f"if(_all is null, {size}, length({text}))"))
+    return out.select(*names)
