@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermal_lake.llm import quality_rules
+from thermal_lake.llm import bpe, decontamination, jaccard_join, quality_rules, secrets
 from thermal_lake.llm.common import table
+from thermal_lake.llm.queries import vocabulary
 from thermal_lake.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,7 +21,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(measured, cutoffs).where(F.col("kept")).select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, Jaccard similarity of 0.8 or more, linked transitively."""
+    return jaccard_join.one_of_each(docs, k=5, threshold=80)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to its error budget, go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets become ``[SECRET]``; n_chars follows."""
+    return secrets.redact(docs, size="n_chars")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, their number, and checksums of ids and decoded text."""
+    return bpe.encode(docs, vocabulary("byte_bpe_50k.json"), ids=True)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("secret scans", secret_scans),
+    ("bpe", encoded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
