@@ -9,8 +9,8 @@ A part is a sequence of blocks: the header of HEAD, then for each text its key (
 then control bytes, then data bytes. A part is written under a temporary name and renamed when it is whole, and its rows and
 name depend on the input alone, so a task that runs twice or dies does no harm. Paths may be of any store pyarrow knows.
 
-Texts are encoded with the tokenizers library. Each piece between spaces is encoded once and remembered; pieces of plain
-letters go straight to the library's BPE model, all others through its whole chain.
+Texts are encoded with the tokenizers library. Each word is given to it once and remembered, as most words of a text have
+been seen before.
 
 Cases: a null or empty text has the end id only. Null keys come first; rows of one key are ordered by their ids. Long texts
 are never cut: a block has one text at least. An empty table gives an empty folder and result. Only key and text are read.
@@ -23,6 +23,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -67,9 +68,14 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class TextEncoder:
-    """The tokenizers library with a memory of pieces; gives ids as little-endian bytes, two each where the vocabulary allows."""
+    """The tokenizers library with a memory of words; gives ids as little-endian bytes, two each where the vocabulary allows.
 
-    LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+    The library's chain for WORDS needs no state across words. In Latin-1 texts without special tokens, they are cut here,
+    and each new word is given to the library's BPE model. All other texts go through the whole chain, piece by piece.
+    """
+
+    #: The word pattern of the tokenizer, for lower-case Latin-1.
+    WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa00-9²³¹¼½¾a-zªµºß-öø-ÿ]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,26 +84,33 @@ class TextEncoder:
         self.all = Tokenizer.from_file(path)
         self.model = self.all.model
         self.kind = "<u2" if self.all.get_vocab_size() <= 1 << 16 else "<u4"
-        self.high = {b: c for b, c in enumerate(byte_letters()) if b > 127}
-        self.letters = Memo(self._letters)
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.special = [t.content for t in self.all.get_added_tokens_decoder().values()]
+        self.words = Memo(self._word, 500_000)
         self.pieces = Memo(self._piece)
-        self.marks = Memo(self._library)
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.all.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        own = word if word.isascii() else word.encode().decode("latin1").translate(self.high)
-        return np.array([t.id for t in self.model.tokenize(own)], self.kind).tobytes()
+    def _word(self, word: str) -> bytes:
+        own = word if word.isalpha() and word.isascii() else word.encode().decode("latin1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(own)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        m = self.LETTERS.fullmatch(piece)
-        if not m:
-            return self._library(piece)
-        return self.letters[m[1].lower()] + (self.marks[m[2]] if m[2] else b"")
+        return array(self.code, self.all.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        if not text:
+            return b""
+        if _latin(text) and not any(t in text for t in self.special):
+            return b"".join(map(self.words.__getitem__, self.WORDS.findall(text.lower())))
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)
