@@ -84,21 +84,26 @@ def sanitize(c: Column | str, rule: str | NameRule) -> Column:
     return s
 
 
+# The units that a short tag keeps, in its order.
+SHORT_UNITS = ("ant", "w", "min")
+
+
 def short_correction_tag(c: Column | str) -> Column:
     """``4ant_30w_15min_z4_r2`` from the numbers in a name, else the first 32 characters."""
     raw = sanitize(c, NameRule(r"[^\w]+", lower=True))
-    piece = lambda pattern, form: F.format_string(form, extract(raw, pattern))
-    part = lambda pattern, form: F.when(extract(raw, pattern).isNotNull(), piece(pattern, form))
-    joined = F.concat_ws(
-        "_",
-        part(r"(\d+)_?ant", "%sant"),
-        part(r"(\d+)_?w", "%sw"),
-        part(r"(\d+)_?min", "%smin"),
-        part(r"zonas?(\d+)", "z%s"),
-        part(r"_(\d+)$", "r%s"),
-    )
-    plain = F.substring(F.regexp_replace(raw, "^corr_", ""), 1, 32)
-    tag = F.regexp_replace(F.coalesce(text(joined), plain), "_+$", "")
+    words = F.split(raw, "_")
+
+    def before(unit: str) -> Column:
+        """First digits with the unit behind them, in one word or at the start of the next word."""
+        counts = F.transform(words, lambda w, i: F.coalesce(extract(w, rf"(\d+){unit}"), F.when(F.get(words, i + 1).startswith(unit), extract(w, r"(\d+)$"))))
+        return F.get(F.filter(counts, lambda v: v.isNotNull()), 0)
+
+    zones = F.get(F.filter(F.transform(words, lambda w: extract(w, r"zonas?(\d+)")), lambda v: v.isNotNull()), 0)
+    revision = F.when(F.size(words) > 1, extract(F.element_at(words, -1), r"^(\d+)$"))
+    named = [(before(u), "", u) for u in SHORT_UNITS] + [(zones, "z", ""), (revision, "r", "")]
+    joined = F.concat_ws("_", *[F.concat(F.lit(pre), v, F.lit(post)) for v, pre, post in named])
+    plain = F.substring(F.when(raw.startswith("corr_"), F.substring(raw, 6, 1 << 20)).otherwise(raw), 1, 32)
+    tag = F.rtrim(F.coalesce(text(joined), plain), F.lit("_"))
     return F.coalesce(text(tag), F.lit("correccion"))
 
 
