@@ -14,36 +14,64 @@ from .core import R, query, rnd, sub, view
 CAT = sub(S.CATALOG)
 
 
-def ex(s: str, pattern: str, g: int = 1) -> str:
-    return f"nullif(regexp_extract({s}, '{pattern}', {g}, 'i'), '')"
-
-
 def num(e: str) -> str:
     return f"try_cast(replace(lower({e}), 'p', '.') AS DOUBLE)"
 
 
-_ORD = ["primer", "segundo", "tercer", "cuarto", "quinto", "sexto", "septimo", "octavo", "noveno", "decimo"]
-_TAG = r"correccion_(.+?)_(\d+(?:p\d+)?)min_prueba_(\d+)_zonas_(\d+)"
+_NUM = "[0-9]+(?:[p.][0-9]+)?"
+
+
+def words_sql(source: str, between: str = "/", within: str = "_") -> str:
+    """One row for each word w of the text s of every row: its segment k, place j, order i, whether it ends there, and the next word of the segment."""
+    return f"""SELECT *, lead(w) OVER (PARTITION BY rid, k ORDER BY j) AS nxt, k * 1000 + j AS i FROM (
+  SELECT rid, k, seg, generate_subscripts(ws, 1) AS j, unnest(ws) AS w FROM (
+   SELECT rid, k, seg, regexp_split_to_array(lower(seg), '{within}') AS ws FROM (
+    SELECT rid, generate_subscripts(segs, 1) AS k, unnest(segs) AS seg FROM (SELECT rid, string_split(s, '{between}') AS segs FROM {source}))))"""
+
+
+def earliest(value: str, where: str) -> str:
+    return f"arg_min({value}, i) FILTER (WHERE {where})"
+
+
+def has(text: str, pattern: str) -> str:
+    return f"regexp_full_match({text}, '{pattern}')"
+
+
+def digits(text: str) -> str:
+    """The first number in a word that was recognised."""
+    return f"regexp_extract({text}, '{_NUM}')"
 
 
 def identity_sql(source: str, path: str = "ruta") -> str:
-    """SELECT source.*, parsed identity columns (prefix i_)."""
-    words = " ".join(f"WHEN regexp_matches(s, '(^|/){w}\\s+antenas?', 'i') THEN {k}.0" for k, w in enumerate(("una", "dos", "tres", "cuatro"), 1))
-    ords = " ".join(f"WHEN regexp_matches(s, '{w}\\s+experimento', 'i') THEN {k}.0" for k, w in enumerate(_ORD, 1))
-    n_ant = num(ex("s", r"(?:^|/|_)(\d+)\s*_?ant(?:enas)?(?:/|_|$)"))
-    pot1, pot2 = num(ex("s", r"(?:Potencia_)?(\d+(?:[p.]\d+)?)\s*W")), num(ex("s", r"(?:^|/|_)(?:p|potencia_)(\d+(?:[p.]\d+)?)(?:/|_|$)"))
-    t1, t2 = num(ex("s", r"(?:^|/)Tiempo_(\d+(?:[p.]\d+)?)min(?:/|$)")), num(ex("s", r"(?:^|_)(\d+(?:[p.]\d+)?)min(?:/|_|$)"))
-    return f"""
+    """SELECT source.*, parsed identity columns (prefix i_): words as rows, the earliest match of each kind by arg_min."""
+    names = {"una": 1, "dos": 2, "tres": 3, "cuatro": 4}
+    places = {w: k for k, w in enumerate("primer segundo tercer cuarto quinto sexto septimo octavo noveno decimo".split(), 1)}
+    spoken = lambda table, noun, head: "list_min([" + ", ".join(f"CASE WHEN regexp_matches(low, '{head}{w}\\s+{noun}') THEN {k}.0 END" for w, k in table.items()) + "])"
+    key = lambda name, rest: f"arg_min(substr(seg, {len(name) + 2}), i) FILTER (WHERE j = 1 AND starts_with(lower(seg), '{name}_') AND {has(f'lower(substr(seg, {len(name) + 2}))', rest)})"
+    return f"""(WITH src AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, replace({path}, chr(92), '/') AS s FROM ({source}) src0),
+word AS ({words_sql('src')}),
+part AS (SELECT rid,
+  coalesce({earliest(digits('w'), f"{has('w', '[0-9]+ *(ant|antenas)')} OR {has('w', '[0-9]+ *')} AND nxt IN ('ant', 'antenas')")}) AS ant,
+  {earliest(f"CASE WHEN w = 'caso' THEN nxt ELSE substr(w, 2) END", f"{has('w', 'c[0-9]+')} OR w = 'caso' AND {has('nxt', '[0-9]+')}")} AS caso,
+  {earliest(f"rtrim(rtrim(regexp_extract(w, '{_NUM} *w'), 'w'))", f"regexp_matches(w, '{_NUM} *w')")} AS watt,
+  {earliest(f"CASE WHEN w = 'potencia' THEN nxt ELSE substr(w, 2) END", f"{has('w', 'p' + _NUM)} OR w = 'potencia' AND {has('nxt', _NUM)}")} AS pot,
+  {earliest(digits('w'), f"(k = 1 OR j > 1) AND ({has('w', _NUM + ' *min')} OR {has('w', _NUM + ' *')} AND nxt = 'min')")} AS mins,
+  {key('fecha', '.+')} AS fecha, {key('tiempo', _NUM + 'min')} AS tiempo, {key('prueba', '[0-9]+')} AS prueba, {key('zonas', '[0-9]+')} AS zonas
+  FROM word GROUP BY rid),
+tag AS (SELECT rid, low, strpos(low, 'correccion_') AS a, strpos(low, 'min_prueba_') AS b, strpos(low, '_zonas_') AS c FROM (SELECT rid, lower(s) AS low FROM src) WHERE strpos(low, 'correccion_') > 0),
+cuts AS (SELECT src.rid, string_split(substr(src.s, a + 11, b - a - 11), '_') AS head, substr(src.s, b + 11, c - b - 11) AS test, regexp_extract(substr(src.s, c + 7), '^[0-9]+') AS zones
+  FROM tag JOIN src USING (rid) WHERE b > a AND c > b),
+combined AS (SELECT rid, array_to_string(head[:-2], '_') AS fecha, head[-1] AS mins, test, zones FROM cuts
+  WHERE len(head) > 1 AND {has('head[-1]', '[0-9]+(p[0-9]+)?')} AND {has('test', '[0-9]+')} AND zones <> '')
 SELECT *, CAST(CAST(round(i_num_antenas) AS INT) AS VARCHAR) || 'ant' AS i_antena, 'Zonas_' || CAST(CAST(round(i_num_zonas) AS INT) AS VARCHAR) AS i_zona_experimental,
   (i_tipo IS NOT NULL AND i_num_antenas IS NOT NULL AND i_caso IS NOT NULL AND i_potencia_w IS NOT NULL) AS i_sim,
   (i_fecha IS NOT NULL AND i_tiempo IS NOT NULL AND i_prueba IS NOT NULL AND i_num_zonas IS NOT NULL) AS i_acq
-FROM (SELECT *,
-  CASE WHEN contains(lower(s), 'doble_slot') THEN 'Doble_slot' WHEN contains(lower(s), 'monopolo') THEN 'Monopolo' WHEN contains(lower(s), 'un_slot') THEN 'Un_slot' END AS i_tipo,
-  coalesce({n_ant}, CASE {words} END) AS i_num_antenas, {num(ex("s", r"(?:^|/|_)(?:Caso_|c)(\d+)(?:/|_|$)"))} AS i_caso, coalesce({pot1}, {pot2}) AS i_potencia_w,
-  coalesce({ex("s", r"(?:^|/)Fecha_([^/]+)(?:/|$)")}, {ex("s", _TAG, 1)}) AS i_fecha, coalesce({t1}, {t2}, {num(ex("s", _TAG, 2))}) AS i_tiempo,
-  coalesce({num(ex("s", r"(?:^|/)Prueba_(\d+)(?:/|$)"))}, CASE {ords} END, {num(ex("s", _TAG, 3))}) AS i_prueba,
-  coalesce({num(ex("s", r"(?:^|/)Zonas_(\d+)(?:/|$)"))}, {num(ex("s", _TAG, 4))}) AS i_num_zonas
-  FROM (SELECT *, replace({path}, chr(92), '/') AS s FROM ({source}) src0) src1) src2"""
+FROM (SELECT src2.* EXCLUDE (low),
+  CASE WHEN contains(low, 'doble_slot') THEN 'Doble_slot' WHEN contains(low, 'monopolo') THEN 'Monopolo' WHEN contains(low, 'un_slot') THEN 'Un_slot' END AS i_tipo,
+  coalesce({num('ant')}, {spoken(names, 'antenas?', '(^|/)')}) AS i_num_antenas, {num('caso_')} AS i_caso, coalesce({num('watt')}, {num('pot')}) AS i_potencia_w,
+  coalesce(part.fecha, combined.fecha) AS i_fecha, coalesce({num("replace(lower(part.tiempo), 'min', '')")}, {num('part.mins')}, {num('combined.mins')}) AS i_tiempo,
+  coalesce({num('part.prueba')}, {spoken(places, 'experimento', '')}, {num('test')}) AS i_prueba, coalesce({num('part.zonas')}, {num('zones')}) AS i_num_zonas
+  FROM (SELECT *, lower(s) AS low FROM src) src2 LEFT JOIN (SELECT * EXCLUDE (caso), caso AS caso_ FROM part) part USING (rid) LEFT JOIN combined USING (rid)) parsed)"""
 
 
 IDENT = identity_sql(f"SELECT seq, ruta FROM ({CAT}) c")
@@ -61,10 +89,17 @@ TAGS = """SELECT o_orderkey, concat(CASE o_orderkey % 4 WHEN 0 THEN 'dset_c' WHE
  CASE o_orderkey % 3 WHEN 0 THEN 'W' WHEN 1 THEN '' ELSE '_v2' END) AS tag FROM {orders}"""
 
 
-@query("P2_tag_identity", f"""SELECT o_orderkey, tag, CASE WHEN c IS NOT NULL AND p IS NOT NULL THEN c END AS caso, CASE WHEN c IS NOT NULL AND p IS NOT NULL THEN p END AS potencia_w
-FROM (SELECT *, CAST(nullif(regexp_extract(lower(tag), '(?:^|[_-])(?:c|caso)_?(\\d+)(?:$|[_-])', 1), '') AS DOUBLE) AS c,
- CAST(coalesce(nullif(regexp_extract(lower(tag), '(?:^|[_-])(?:p|potencia)_?(\\d+)w?(?:$|[_-])', 1), ''), nullif(regexp_extract(lower(tag), '(\\d+)\\s*w', 1), '')) AS DOUBLE) AS p
- FROM ({sub(TAGS)}) t) u""")
+def tag_sql(source: str, column: str) -> str:
+    """SELECT source.*, tc, tp: case and power of a tag, read word by word."""
+    return f"""(WITH src AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, {column} AS s FROM ({source}) src0), word AS ({words_sql('src', '//', '[_-]')}),
+found AS (SELECT rid, {earliest("coalesce(CASE WHEN w IN ('c', 'caso') THEN nxt END, regexp_extract(w, '[0-9]+'))", f"{has('w', '(c|caso)[0-9]+')} OR w IN ('c', 'caso') AND {has('nxt', '[0-9]+')}")} AS fc,
+ {earliest("regexp_extract(CASE WHEN w IN ('p', 'potencia') THEN nxt ELSE w END, '[0-9]+')", f"{has('w', '(p|potencia)[0-9]+w?')} OR w IN ('p', 'potencia') AND {has('nxt', '[0-9]+w?')}")} AS fp,
+ {earliest("rtrim(rtrim(regexp_extract(w, '[0-9]+ *w'), 'w'))", "regexp_matches(w, '[0-9]+ *w')")} AS fw FROM word GROUP BY rid)
+SELECT src.*, CAST(fc AS DOUBLE) AS tc, CAST(coalesce(fp, fw) AS DOUBLE) AS tp FROM src LEFT JOIN found USING (rid))"""
+
+
+@query("P2_tag_identity", f"""SELECT o_orderkey, tag, CASE WHEN tc IS NOT NULL AND tp IS NOT NULL THEN tc END AS caso, CASE WHEN tc IS NOT NULL AND tp IS NOT NULL THEN tp END AS potencia_w
+FROM {tag_sql(sub(TAGS), 'tag')} t""")
 def tag_identity(spark, d):
     case, power = M.tag_identity("tag")
     return view(spark, d, TAGS).withColumns({"caso": case, "potencia_w": power})
@@ -77,8 +112,7 @@ PREC = f"""SELECT seq, ruta, dataset, CASE WHEN seq % 3 = 0 THEN caso + 1 END AS
 @query("P3_metadata_precedence", f"""SELECT seq, coalesce(nullif(tipo_meta, ''), i_tipo) AS tipo,
  coalesce(caso_meta, CASE WHEN tc IS NOT NULL AND tp IS NOT NULL THEN tc END, i_caso) AS caso,
  coalesce(pot_meta, CASE WHEN tc IS NOT NULL AND tp IS NOT NULL THEN tp END, i_potencia_w) AS potencia_w
-FROM (SELECT *, CAST(nullif(regexp_extract(lower(dataset), '(?:^|[_-])c(\\d+)(?:$|[_-])', 1), '') AS DOUBLE) AS tc,
- CAST(nullif(regexp_extract(lower(dataset), '(?:^|[_-])p(\\d+)(?:$|[_-])', 1), '') AS DOUBLE) AS tp FROM ({identity_sql(sub(PREC))}) t) u""")
+FROM {tag_sql(f"SELECT * EXCLUDE (rid, s) FROM {identity_sql(sub(PREC))} t", 'dataset')} u""")
 def metadata_precedence(spark, d):
     case_tag, power_tag = M.tag_identity("dataset")
     c = M.with_identity(view(spark, d, PREC), "ruta", {"tipo": "tipo_meta"})
@@ -130,10 +164,17 @@ SHORT = """SELECT p_partkey, concat(CASE p_partkey % 3 WHEN 0 THEN 'corr_' ELSE
  CASE WHEN p_size % 7 = 0 THEN 'zonas4' ELSE '' END, CASE WHEN p_size % 11 = 0 THEN '_2' ELSE '' END) AS raw FROM {part}"""
 
 
-@query("P6_short_correction_tag", f"""SELECT p_partkey, raw, coalesce(nullif(regexp_replace(coalesce(nullif(concat_ws('_', a || 'ant', w || 'w', m || 'min', 'z' || z, 'r' || r), ''),
- substring(regexp_replace(n, '^corr_', ''), 1, 32)), '_+$', ''), ''), 'correccion') AS tag
-FROM (SELECT *, nullif(regexp_extract(n, '(\\d+)_?ant', 1), '') AS a, nullif(regexp_extract(n, '(\\d+)_?w', 1), '') AS w, nullif(regexp_extract(n, '(\\d+)_?min', 1), '') AS m,
- nullif(regexp_extract(n, 'zonas?(\\d+)', 1), '') AS z, nullif(regexp_extract(n, '_(\\d+)$', 1), '') AS r FROM (SELECT *, {_word()} AS n FROM ({sub(SHORT)}) t) u) v""")
+def _count(unit: str) -> str:
+    """First digits before ``unit``: in one word, or at the end of a word whose next one begins with it."""
+    own, split = f"regexp_matches(w, '[0-9]{unit}')", f"regexp_matches(w, '[0-9]$') AND starts_with(nxt, '{unit}')"
+    return earliest(f"CASE WHEN {own} THEN rtrim(regexp_extract(w, '[0-9]+{unit}'), '{unit}') ELSE regexp_extract(w, '[0-9]+$') END", f"{own} OR {split}")
+
+
+@query("P6_short_correction_tag", f"""WITH src AS (SELECT *, p_partkey AS rid, n AS s FROM (SELECT *, {_word()} AS n FROM ({sub(SHORT)}) t)), word AS ({words_sql('src', '//')}),
+found AS (SELECT rid, {_count('ant')} AS a, {_count('w')} AS watt, {_count('min')} AS m, {earliest("regexp_extract(regexp_extract(w, 'zonas?[0-9]+'), '[0-9]+')", "regexp_matches(w, 'zonas?[0-9]')")} AS z,
+ arg_max(w, i) AS last, count(*) AS many FROM word GROUP BY rid)
+SELECT p_partkey, raw, coalesce(nullif(rtrim(coalesce(nullif(concat_ws('_', a || 'ant', watt || 'w', m || 'min', 'z' || z, 'r' || CASE WHEN many > 1 AND regexp_full_match(last, '[0-9]+') THEN last END), ''),
+ substr(CASE WHEN starts_with(n, 'corr_') THEN substr(n, 6) ELSE n END, 1, 32)), '_'), ''), 'correccion') AS tag FROM src JOIN found USING (rid)""")
 def short_tag(spark, d):
     return view(spark, d, SHORT).withColumn("tag", X.short_correction_tag("raw"))
 
@@ -162,7 +203,13 @@ def canonical_paths(spark, d):
         M.correction_path(i, F.lit("Correccion_termica_zonal.mat")).alias("correccion"))
 
 
-_BM = "regexp_replace(regexp_replace(regexp_replace(modelo, '__src_[^_]+(?:_r\\d+)?$', '', 'i'), '_pendientes$', '', 'i'), '_r\\d+$', '', 'i')"
+def _without_last(words: str, last: str) -> str:
+    return f"CASE WHEN len({words}) > 1 AND {has(f'lower({words}[-1])', last)} THEN {words}[:-2] ELSE {words} END"
+
+
+_SRC = "list_last(regexp_split_to_array(modelo, '(?i)__src_'))"
+_CUT = f"string_split(CASE WHEN contains(lower(modelo), '__src_') AND {has(f'lower({_SRC})', '[^_]+(_r[0-9]+)?')} THEN left(modelo, length(modelo) - length({_SRC}) - 6) ELSE modelo END, '_')"
+_BM = f"array_to_string({_without_last('(' + _without_last(_CUT, 'pendientes') + ')', 'r[0-9]+')}, '_')"
 _BD = f"'dset_c' || CAST(CAST(caso AS INT) AS VARCHAR) || '_p' || {gs('potencia_w')}"
 SEM = f"lower(concat_ws('|', {_BM}, {_BD}, tipo, antena, 'c' || {gs('caso')}, 'p' || {gs('potencia_w')}))"
 
