@@ -33,7 +33,7 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE
 PLAIN = re.compile(" ?[A-Za-z]+")
 #: White space in which cutting before every space would change the words.
 UNCUT = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
-CACHE = 250_000
+CACHE = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -130,7 +130,7 @@ class Encoder:
         key = (a, b)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             known = self.fits[key] = self._apart(a, b, len(self.pairs))
         return known
@@ -197,6 +197,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 if ids:
                     cols.append(pa.array([[int(i) for i in x.split(",")] if x else [] for x in coded], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        own.words.old, own.tails.old = {}, {}  # the process lives on for other tasks
 
     names = ["k", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
     shape = f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")

@@ -129,6 +129,7 @@ def encode(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id",
                 ids = [own.encode(x) + last for x in part.column(1).to_pylist()]
                 size = int(own.kind[-1])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["k", "n", "ids"])
+        own.words.old, own.pieces.old = {}, {}  # the process lives on for other tasks
 
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k long, n long, ids binary")
 
