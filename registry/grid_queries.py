@@ -70,16 +70,21 @@ def resampled(spark, d):
     return GR.resample(view(spark, d, S.GRID), KEY, NX).where("t_c IS NOT NULL").select("dataset", "ix", "iy", "iz", "t_idx", rnd("t_c").alias("t_c"))
 
 
-_TRAIL = f"""(SELECT *, t_min - t_end AS tau FROM (SELECT *, row_number() OVER (PARTITION BY dataset, ix, iy, iz ORDER BY t_min DESC) AS r, max(t_min) OVER (PARTITION BY dataset, ix, iy, iz) AS t_end, first_value(t_c) OVER (PARTITION BY dataset, ix, iy, iz ORDER BY t_min DESC) AS a FROM ({GRID}) g) q WHERE r <= {{k}})"""
+# Every row with its dataset's last instant, its rank from there, and the voxel's value at it.
+_TRAIL = f"""(SELECT *, t_min - t_end AS tau, max(CASE WHEN t_min = t_end THEN t_c END) OVER (PARTITION BY dataset, ix, iy, iz) AS a FROM
+ (SELECT *, dense_rank() OVER (PARTITION BY dataset ORDER BY t_min DESC) AS r, max(t_min) OVER (PARTITION BY dataset) AS t_end FROM ({GRID}) g) q)"""
+# Windows of voxels: only complete ones carry values on.
+_WIN = f"""(SELECT *, CASE WHEN count(t_c) OVER w = least(12, max(instants) OVER w) THEN a END AS full_a FROM (SELECT t.*, instants FROM {_TRAIL} t JOIN (SELECT dataset, count(DISTINCT t_min) AS instants FROM ({GRID}) g GROUP BY 1) n USING (dataset) WHERE r <= 12) q
+ WINDOW w AS (PARTITION BY dataset, ix, iy, iz))"""
 
 
-@query("W12_trailing_window", f"SELECT dataset, ix, iy, iz, t_idx, {R('tau')} AS tau, {R('a')} AS a FROM {_TRAIL.format(k=5)} t")
+@query("W12_trailing_window", f"SELECT dataset, ix, iy, iz, t_idx, {R('tau')} AS tau, {R('a')} AS a FROM {_TRAIL} t WHERE r <= 5")
 def trailing(spark, d):
     return GR.trailing(view(spark, d, S.GRID), KEY, 5).select("dataset", "ix", "iy", "iz", "t_idx", rnd("tau").alias("tau"), rnd("a").alias("a"))
 
 
-_LIN = f"""(SELECT dataset, ix, iy, iz, t_end, a, b, sxx, sqrt(avg((t_c - a - b * tau) * (t_c - a - b * tau))) AS rmse FROM (SELECT *, sum((t_c - a) * tau) OVER (PARTITION BY dataset, ix, iy, iz) / sum(tau * tau) OVER (PARTITION BY dataset, ix, iy, iz) AS b, sum(tau * tau) OVER (PARTITION BY dataset, ix, iy, iz) AS sxx FROM {_TRAIL.format(k=12)} t) q GROUP BY ALL HAVING sxx > 0)"""
-_LINX = f"(SELECT dataset, ix, iy, iz, CAST(m AS DOUBLE) AS t_min, a + b * (m - t_end) AS t_c, rmse * sqrt(1 + (m - t_end) * (m - t_end) / sxx) AS sigma FROM {_LIN} l, range(1, 10) r(m) WHERE m > t_end)"
+_LIN = f"""(SELECT dataset, ix, iy, iz, t_end, max(full_a) AS a, max(b) AS b, max(sxx) AS sxx, sqrt(avg(pow(t_c - full_a - b * tau, 2))) AS rmse FROM (SELECT *, sum((t_c - full_a) * tau) OVER w / nullif(sum(tau * tau) OVER w, 0) AS b, sum(tau * tau) OVER w AS sxx FROM {_WIN} t WINDOW w AS (PARTITION BY dataset, ix, iy, iz)) q GROUP BY 1, 2, 3, 4, 5)"""
+_LINX = f"(SELECT dataset, ix, iy, iz, CAST(m AS DOUBLE) AS t_min, a + b * (m - t_end) AS t_c, CASE WHEN b IS NOT NULL THEN rmse * sqrt(1 + (m - t_end) * (m - t_end) / sxx) END AS sigma FROM {_LIN} l, range(1, 10) r(m) WHERE m > t_end)"
 
 
 @query("A14_linear_trend", f"SELECT dataset, ix, iy, iz, t_min, {R('t_c')} AS t_c, {R('sigma')} AS sigma FROM {_LINX} t")
@@ -88,7 +93,7 @@ def linear_trend(spark, d):
 
 
 _PW = "OVER (PARTITION BY dataset, ix, iy, iz)"
-_Q0 = f"(SELECT *, pow(1 - pow(abs(tau / span), 3), 3) AS w FROM (SELECT *, -min(tau) {_PW} AS span FROM {_TRAIL.format(k=12)} t) q)"
+_Q0 = f"(SELECT * EXCLUDE (a), full_a AS a, pow(1 - pow(abs(tau / span), 3), 3) AS w FROM (SELECT *, -min(tau) OVER (PARTITION BY dataset) AS span FROM {_WIN} t) q)"
 _Q1 = f"(SELECT *, {', '.join(f'sum(w * pow(tau, {p})) {_PW}' + (' + 1e-8' if p in (0, 4) else '') + f' AS s{p}' for p in range(5))}, {', '.join(f'sum(w * pow(tau, {p}) * t_c) {_PW} AS r{p}' for p in range(3))} FROM {_Q0} q0)"
 _Q2 = f"""(SELECT *, s0 * (m * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - m * s2) AS det FROM (SELECT *, s2 + 1e-8 AS m FROM {_Q1} q1) q2)"""
 _Q3 = f"(SELECT *, (s0 * (r1 * s4 - s3 * r2) - r0 * (s1 * s4 - s3 * s2) + s2 * (s1 * r2 - r1 * s2)) / det AS b, (s0 * (m * r2 - r1 * s3) - s1 * (s1 * r2 - r1 * s2) + r0 * (s1 * s3 - m * s2)) / det AS c FROM {_Q2} q3)"
@@ -105,7 +110,7 @@ def temporal_pca(spark, d):
     return GR.pca_trend(view(spark, d, S.GRID), KEY, 9.0).select("dataset", "ix", "iy", "iz", "t_min", rnd("t_c", 4).alias("t_c"))
 
 
-@query("A16_time_gram", f"""WITH c AS (SELECT dataset, ix, iy, iz, t_min, coalesce(t_c - avg(t_c) OVER (PARTITION BY dataset, ix, iy, iz), 0) AS v, row_number() OVER (PARTITION BY dataset, ix, iy, iz ORDER BY t_min) - 1 AS k FROM ({GRID}) g)
+@query("A16_time_gram", f"""WITH c AS (SELECT dataset, ix, iy, iz, t_min, coalesce(t_c - avg(t_c) OVER (PARTITION BY dataset, ix, iy, iz), 0) AS v, dense_rank() OVER (PARTITION BY dataset ORDER BY t_min) - 1 AS k FROM ({GRID}) g)
 SELECT a.dataset, CAST(a.k AS INT) AS i, CAST(b.k AS INT) AS j, {R('sum(a.v * b.v)', 4)} AS g FROM c a JOIN c b USING (dataset, ix, iy, iz) GROUP BY 1, 2, 3""")
 def time_gram(spark, d):
     s = GR.centred(GR.voxel_series(view(spark, d, S.GRID), KEY))

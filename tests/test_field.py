@@ -89,6 +89,36 @@ def test_pca_matches_full_svd(spark):
             assert got[(*p, e)] == pytest.approx(want[n], abs=1e-8)
 
 
+def test_extrapolation_with_missing_instants(spark):
+    """A voxel may lack instants: the dataset's instants count, gaps are zero after centring, and no value at the end gives NULL."""
+    rng = np.random.default_rng(5)
+    nt, voxels = 8, 10
+    a = rng.normal(size=(voxels, nt)).cumsum(axis=1) + 50
+    a[1, 3] = a[2, 0] = a[3, nt - 1] = np.nan
+    rows = [(1, n, 0, 0, float(t), float(a[n, t])) for n in range(voxels) for t in range(nt) if np.isfinite(a[n, t])]
+    f = spark.createDataFrame(rows, "dataset int, ix int, iy int, iz int, t_min double, t_c double")
+    c = np.nan_to_num(a - np.nanmean(a, axis=1, keepdims=True))
+    u, s, vt = np.linalg.svd(c, full_matrices=False)
+    r = min(len(s), max(int(np.argmax(np.cumsum(s**2) / (s**2).sum() >= 0.99)) + 1, 3))
+    rate = (u[:, :r] * s[:r]) @ (vt[:r].T[-1] - vt[:r].T[-2])
+    got = {(x.method, x.ix, x.t_min): (x.t_c, x.sigma) for x in GR.extrapolations(f, ["dataset"], 9.0).collect()}
+    alone = {(x.ix, x.t_min): x.t_c for x in GR.pca_trend(f, ["dataset"], 9.0).collect()}
+    assert len(got) == 3 * 2 * voxels
+    for n in range(voxels):
+        for e in (8.0, 9.0):
+            value, sigma = got["pca_temporal", n, e]
+            assert value == alone[n, e]
+            if n == 3:
+                assert value is None
+            else:
+                assert value == pytest.approx(a[n, -1] + (e - 7) * rate[n], abs=1e-8)
+            for method in ("gradiente_local", "lowess_cuadratico"):
+                assert (got[method, n, e][0] is None) == (n in (1, 2, 3)), (method, n)
+            assert (sigma is None) == (n in (1, 2, 3))
+    tail = {(x.ix, x.t_min): (x.a, x.tau) for x in GR.trailing(f, ["dataset"], 3).collect()}
+    assert tail[3, 6.0] == (None, -1.0) and tail[0, 5.0] == (a[0, -1], -2.0) and (3, 7.0) not in tail and len(tail) == 3 * voxels - 1
+
+
 def test_pchip_passes_through_knots_and_is_monotone(spark):
     t, y = [0.0, 1.0, 1.5, 4.0, 6.0], [37.0, 40.0, 40.0, 80.0, 81.0]
     knots = spark.createDataFrame([("a", a, b) for a, b in zip(t, y)], "k string, t double, y double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
 from .skew import carried, spread
 
 VOXEL = ("ix", "iy", "iz")
@@ -157,15 +158,20 @@ def sample_distance(points: DataFrame, corner: DataFrame, shape: DataFrame, keys
     return j.withColumn("distance", d).withColumn("inside", F.col("distance") < 0)
 
 
+def instants(field: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ts): the instants of each dataset in order; their number is the study's, whatever the number of voxels."""
+    return field.select(*keys, "t_min").distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("t_min")).alias("ts"))
+
+
 def trailing(field: DataFrame, keys: Sequence[str], k: int = TRAIL) -> DataFrame:
-    """The last ``k`` instants of each voxel, with the last time, its value and the time before it.
+    """Rows of the last ``k`` instants of their dataset, with its last instant, the voxel's value there and the time before it.
 
-    One window per voxel series; a series has as many rows as the study has instants.
+    A voxel without a value at the dataset's last instant has a NULL ``a``.
     """
-    w = Window.partitionBy(*keys, *VOXEL).orderBy(F.col("t_min").desc())
-    f = field.withColumn("_r", F.row_number().over(w)).withColumns({
-        "t_end": F.first("t_min").over(w), "a": F.first("t_c").over(w)})
-    return f.where(F.col("_r") <= k).drop("_r").withColumn("tau", F.col("t_min") - F.col("t_end"))
+    last = instants(field, keys).select(*keys, F.element_at("ts", -1).alias("t_end"), F.get("ts", F.greatest(F.size("ts") - k, F.lit(0))).alias("_from"))
+    f = field.join(last, list(keys))
+    at_end = F.max(F.when(F.col("t_min") == F.col("t_end"), F.col("t_c"))).over(Window.partitionBy(*keys, *VOXEL))
+    return f.withColumn("a", at_end).where("t_min >= _from").drop("_from").withColumn("tau", F.col("t_min") - F.col("t_end"))
 
 
 def future_minutes(t_end: Column, horizon: Column | float) -> Column:
@@ -176,60 +182,66 @@ def future_minutes(t_end: Column, horizon: Column | float) -> Column:
     return F.transform(whole, lambda m: m.cast("double"))
 
 
+def voxel_series(field: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per voxel: the instants ``ts`` of its dataset and its values ``vs`` at them, NULL where it has none."""
+    per = field.groupBy(*keys, *VOXEL).agg(F.collect_list(F.struct("t_min", "t_c")).alias("_p"))
+    value = lambda t: F.get(F.filter("_p", lambda p: p["t_min"] == t), 0)["t_c"]
+    return per.join(instants(field, keys), list(keys)).select(*keys, *VOXEL, "ts", F.transform("ts", value).alias("vs"))
+
+
+def with_trends(series: DataFrame, k: int = TRAIL) -> DataFrame:
+    """Both local trends of each series from its last ``k`` instants: line (slope, rmse, sxx) and weighted quadratic (b, c, span, rmse_q).
+
+    All of them are NULL if a value of the window is missing, as is the line of a single instant.
+    """
+    total = lambda e: f"aggregate(win, 0D, (s, x) -> s + {e})"
+    moment = lambda p, v="1D": total(f"x.w * pow(x.tau, {p}D) * {v}")
+    m, det = "(s2 + 1e-8)", "(s0 * ((s2 + 1e-8) * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - (s2 + 1e-8) * s2))"
+    steps = [
+        {"t_end": "element_at(ts, -1)", "a": "element_at(vs, -1)", "_n": f"least({k}, size(ts))"},
+        {"_ts": "slice(ts, size(ts) - _n + 1, _n)", "_vs": "slice(vs, size(vs) - _n + 1, _n)"},
+        {"_gap": "exists(_vs, v -> v is null)", "span": "greatest(2.220446049250313e-16D, t_end - _ts[0])"},
+        {"win": "if(_gap, null, zip_with(_ts, _vs, (t, v) -> named_struct('tau', t - t_end, 'v', v, 'w', pow(greatest(1 - pow(abs((t - t_end) / span), 3D), 0D), 3D))))"},
+        {"sxx": total("x.tau * x.tau")},
+        {"slope": f"if(sxx > 0, {total('(x.v - a) * x.tau')} / sxx, null)"} | {f"s{p}": moment(p) + (" + 1e-8D" if p in (0, 4) else "") for p in range(5)} | {f"r{p}": moment(p, "x.v") for p in range(3)},
+        # the ridge also sits on the middle diagonal entry; s2 appears there and off the diagonal
+        {"b": f"(s0 * (r1 * s4 - s3 * r2) - r0 * (s1 * s4 - s3 * s2) + s2 * (s1 * r2 - r1 * s2)) / {det}", "c": f"(s0 * ({m} * r2 - r1 * s3) - s1 * (s1 * r2 - r1 * s2) + r0 * (s1 * s3 - {m} * s2)) / {det}"},
+        {"rmse": f"sqrt({total('pow(x.v - a - slope * x.tau, 2D)')} / _n)", "rmse_q": f"sqrt({total('x.w * pow(x.v - a - b * x.tau - c * x.tau * x.tau, 2D)')} / {total('x.w')})"},
+    ]
+    out = series
+    for step in steps:
+        out = out.withColumns({n: F.expr(e) for n, e in step.items()})
+    return out.drop("_n", "_ts", "_vs", "_gap", "win", *[f"s{p}" for p in range(5)], *[f"r{p}" for p in range(3)])
+
+
+def _line(dt: Column) -> tuple[Column, Column]:
+    return F.col("a") + F.col("slope") * dt, F.col("rmse") * F.sqrt(1 + dt * dt / F.col("sxx"))
+
+
+def _quadratic(dt: Column) -> tuple[Column, Column]:
+    return F.col("a") + F.col("b") * dt + F.col("c") * dt * dt, F.col("rmse_q") * (1 + F.abs(dt) / F.col("span"))
+
+
+def _ahead(trends: DataFrame, keys: Sequence[str], horizon: Column | float, ways: Callable[[Column], tuple[Column, Column]]) -> DataFrame:
+    out = trends.withColumn("t_min", F.explode(future_minutes(F.col("t_end"), horizon)))
+    value, sigma = ways(F.col("t_min") - F.col("t_end"))
+    return out.select(*keys, *VOXEL, "t_min", value.alias("t_c"), sigma.alias("sigma"))
+
+
 def linear_trend(field: DataFrame, keys: Sequence[str], horizon: Column | float, k: int = TRAIL) -> DataFrame:
-    """Line through the last value with least-squares slope; spread grows with the time ahead."""
-    per = Window.partitionBy(*keys, *VOXEL)
-    s = trailing(field, keys, k).withColumn("dv", F.col("t_c") - F.col("a"))
-    s = s.withColumn("slope", F.sum(F.col("dv") * F.col("tau")).over(per) / F.sum(F.col("tau") * F.col("tau")).over(per))
-    res = F.col("dv") - F.col("slope") * F.col("tau")
-    m = s.groupBy(*keys, *VOXEL).agg(
-        F.max("t_end").alias("t_end"), F.max("a").alias("a"), F.max("slope").alias("slope"), F.sqrt(F.avg(res * res)).alias("rmse"),
-        F.sum(F.col("tau") * F.col("tau")).alias("sxx"), F.count_if(F.col("t_c").isNull()).alias("gaps"), F.min("tau").alias("tau0"))
-    out = m.where("gaps = 0 AND sxx > 0").withColumn("t_min", F.explode(future_minutes(F.col("t_end"), horizon)))
-    dt = F.col("t_min") - F.col("t_end")
-    return out.select(*keys, *VOXEL, "t_min", (F.col("a") + F.col("slope") * dt).alias("t_c"),
-                      (F.col("rmse") * F.sqrt(1 + dt * dt / F.col("sxx"))).alias("sigma"))
+    """Line through the dataset's last instant with least-squares slope; spread grows with the time ahead."""
+    return _ahead(with_trends(voxel_series(field, keys), k), keys, horizon, _line)
 
 
 def local_quadratic(field: DataFrame, keys: Sequence[str], horizon: Column | float, k: int = TRAIL) -> DataFrame:
     """Tricube-weighted quadratic of the trailing window, its intercept replaced by the last value."""
-    s = trailing(field, keys, k)
-    per = Window.partitionBy(*keys, *VOXEL)
-    s = s.withColumn("span", F.greatest(F.lit(2.220446049250313e-16), -F.min("tau").over(per)))
-    w = F.pow(F.greatest(1 - F.pow(F.abs(F.col("tau") / F.col("span")), F.lit(3.0)), F.lit(0.0)), F.lit(3.0))
-    s = s.withColumn("w", w)
-    moment = lambda p, v=None: F.sum(F.col("w") * F.pow(F.col("tau"), F.lit(float(p))) * (F.col("t_c") if v else F.lit(1.0)))
-    s = s.withColumns({f"s{p}": moment(p).over(per) + (1e-8 if p in (0, 4) else 0.0) for p in range(5)} |
-                      {f"r{p}": moment(p, True).over(per) for p in range(3)})
-    # The ridge also sits on the middle diagonal entry; s2 appears there and off the diagonal.
-    s0, s1, s2, s3, s4 = (F.col(f"s{p}") for p in range(5))
-    r0, r1, r2 = (F.col(f"r{p}") for p in range(3))
-    m = s2 + 1e-8
-    det = s0 * (m * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - m * s2)
-    b = (s0 * (r1 * s4 - s3 * r2) - r0 * (s1 * s4 - s3 * s2) + s2 * (s1 * r2 - r1 * s2)) / det
-    c = (s0 * (m * r2 - r1 * s3) - s1 * (s1 * r2 - r1 * s2) + r0 * (s1 * s3 - m * s2)) / det
-    s = s.withColumns({"b": b, "c": c})
-    res = F.col("t_c") - (F.col("a") + F.col("b") * F.col("tau") + F.col("c") * F.col("tau") * F.col("tau"))
-    g = s.groupBy(*keys, *VOXEL).agg(
-        F.max("t_end").alias("t_end"), F.max("a").alias("a"), F.max("b").alias("b"), F.max("c").alias("c"), F.max("span").alias("span"),
-        F.sqrt(F.sum(F.col("w") * res * res) / F.sum("w")).alias("rmse"), F.count_if(F.col("t_c").isNull()).alias("gaps"))
-    out = g.where("gaps = 0").withColumn("t_min", F.explode(future_minutes(F.col("t_end"), horizon)))
-    dt = F.col("t_min") - F.col("t_end")
-    return out.select(*keys, *VOXEL, "t_min", (F.col("a") + F.col("b") * dt + F.col("c") * dt * dt).alias("t_c"),
-                      (F.col("rmse") * (1 + F.abs(dt) / F.col("span"))).alias("sigma"))
-
-
-def voxel_series(field: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per voxel with its values in time order (as many as the study has instants)."""
-    pair = F.sort_array(F.collect_list(F.struct("t_min", "t_c")))
-    return field.groupBy(*keys, *VOXEL).agg(pair.alias("_p")).select(
-        *keys, *VOXEL, F.transform("_p", lambda p: p["t_min"]).alias("ts"), F.transform("_p", lambda p: p["t_c"]).alias("vs"))
+    return _ahead(with_trends(voxel_series(field, keys), k), keys, horizon, _quadratic)
 
 
 def centred(series: DataFrame) -> DataFrame:
     """Voxel values minus their mean over time, gaps as zero."""
     known = F.filter("vs", lambda v: v.isNotNull())
-    mean = F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known)
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known))
     return series.withColumn("mean", mean).withColumn("cs", F.transform("vs", lambda v: F.coalesce(v - F.col("mean"), F.lit(0.0))))
 
 
@@ -245,16 +257,12 @@ def time_gram(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for key, part in pdf.groupby(keys, sort=False):
-                by_len: dict[int, list] = {}
-                for row in part["cs"]:
-                    by_len.setdefault(len(row), []).append(row)
-                for n, rows in by_len.items():
-                    x = np.asarray(rows, float)
-                    i, j = np.indices((n, n))
-                    out = pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "g": (x.T @ x).ravel()})
-                    for name, value in zip(keys, key if isinstance(key, tuple) else (key,)):
-                        out[name] = value
-                    yield out[[*keys, "i", "j", "g"]]
+                x = np.asarray(part["cs"].tolist(), float)  # all series of a dataset have its instants
+                i, j = np.indices((x.shape[1], x.shape[1]))
+                out = pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "g": (x.T @ x).ravel()})
+                for name, value in zip(keys, key if isinstance(key, tuple) else (key,)):
+                    out[name] = value
+                yield out[[*keys, "i", "j", "g"]]
 
     parts = series.select(*keys, "cs").mapInPandas(partial, f"{key_types}, i int, j int, g double")
     return parts.groupBy(*keys, "i", "j").agg(F.sum("g").alias("g"))
@@ -289,32 +297,37 @@ def pca_direction(gram: DataFrame, last_times: DataFrame, keys: Sequence[str]) -
     return gram.join(last_times, keys).groupBy(*keys).applyInPandas(solve, f"{key_types}, rank int, energy double, direction array<double>")
 
 
-def pca_trend(field: DataFrame, keys: Sequence[str], horizon: Column | float) -> DataFrame:
-    """Temporal PCA extrapolation.
+def _with_rate(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``series`` (centred) with its slope along the leading modes of its dataset.
 
     Extending every mode by its last difference and shifting the result to the last value equals
-    T_end + dt * (centred series . direction), so the voxel table is read once more and joined to
-    one small vector per dataset.
+    T_end + dt * (centred series . direction), so a voxel needs one small vector of its dataset.
     """
     keys = list(keys)
-    s = centred(voxel_series(field, keys))
-    times = s.groupBy(*keys).agg(F.max(F.element_at("ts", -1) - F.try_element_at("ts", F.lit(-2))).alias("step"))
-    d = pca_direction(time_gram(s, keys), times, keys)
+    times = series.groupBy(*keys).agg(F.max(F.element_at("ts", -1) - F.try_element_at("ts", F.lit(-2))).alias("step"))
+    d = pca_direction(time_gram(series, keys), times, keys)
     dot = F.aggregate(F.zip_with("cs", "direction", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    j = s.join(d, keys).withColumns({"rate": dot, "a": F.element_at("vs", -1), "t_end": F.element_at("ts", -1)})
+    return series.join(d, keys).withColumn("rate", dot)
+
+
+def pca_trend(field: DataFrame, keys: Sequence[str], horizon: Column | float) -> DataFrame:
+    """Temporal PCA extrapolation; NULL for a voxel without a value at the dataset's last instant."""
+    s = cut(centred(voxel_series(field, keys)))
+    j = _with_rate(s, keys).withColumns({"a": F.element_at("vs", -1), "t_end": F.element_at("ts", -1)})
     j = j.withColumn("t_min", F.explode(future_minutes(F.col("t_end"), horizon)))
     return j.select(*keys, *VOXEL, "t_min", (F.col("a") + (F.col("t_min") - F.col("t_end")) * F.col("rate")).alias("t_c"))
 
 
 def extrapolations(field: DataFrame, keys: Sequence[str], horizon: Column | float) -> DataFrame:
-    """A14-A16 together: rows (keys, voxel, t_min, method, t_c, sigma)."""
+    """A14-A16 together: rows (keys, voxel, t_min, method, t_c, sigma). The field is shuffled once, into series that all methods read."""
     keys = list(keys)
-    on = [*keys, *VOXEL, "t_min"]
-    grad, low = linear_trend(field, keys, horizon), local_quadratic(field, keys, horizon)
-    spread = grad.select(*on, F.col("sigma").alias("_g")).join(low.select(*on, F.col("sigma").alias("_l")), on, "full")
-    pca = pca_trend(field, keys, horizon).join(spread, on, "left").select(*on, "t_c", ((F.col("_g") + F.col("_l")) / 2).alias("sigma"))
-    named = lambda df, m: df.select(*on, F.lit(m).alias("method"), "t_c", "sigma")
-    return named(grad, "gradiente_local").unionByName(named(low, "lowess_cuadratico")).unionByName(named(pca, "pca_temporal"))
+    s = cut(centred(voxel_series(field, keys)))
+    j = with_trends(_with_rate(s, keys)).withColumn("t_min", F.explode(future_minutes(F.col("t_end"), horizon)))
+    dt = F.col("t_min") - F.col("t_end")
+    (line, s_line), (bend, s_bend) = _line(dt), _quadratic(dt)
+    ways = [("gradiente_local", line, s_line), ("lowess_cuadratico", bend, s_bend), ("pca_temporal", F.col("a") + dt * F.col("rate"), (s_line + s_bend) / 2)]
+    rows = F.array(*[F.struct(F.lit(n).alias("method"), v.alias("t_c"), e.alias("sigma")) for n, v, e in ways])
+    return j.select(*keys, *VOXEL, "t_min", F.inline(rows))
 
 
 # Names under which the three methods are asked for.
