@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, slices, span_hash, sums_of, text_bytes, windows, words_of
+from thermal_lake.session import cut
+
+from .common import byte_values, slices, small, span_hash, sums_of, text_bytes, windows, words_of
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_short")
 SHAPE = ", ".join(f"{c} long" for c in COUNTS)
@@ -181,6 +183,7 @@ def fit(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: st
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """``measured`` with base_failed and kept."""
     per = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES))
+    per = small(cut(per))
     hit = F.lit(False)
     for rule, (value, _) in RULES.items():
         hit = hit | F.coalesce(F.expr(value) > F.col(f"_cut_{rule}"), F.lit(False))
