@@ -73,7 +73,7 @@ _COR = sub(S.CORRECTIONS)
 
 
 @query("J1_correction_compatibility", f"""SELECT r.corr_id, count(*) AS n, CAST(sum(c.seq) AS BIGINT) AS seqs, min(c.ruta) AS primera FROM ({CAT}) c JOIN ({_COR}) r
- ON (r.tipo IS NULL OR lower(c.tipo) = lower(r.tipo)) AND (r.antena IS NULL OR lower(c.antena) = lower(r.antena)) AND (r.caso IS NULL OR abs(c.caso - r.caso) < 1e-9)
+ ON (r.tipo IS NULL OR contains(lower(c.modelo), lower(r.tipo))) AND (r.antena IS NULL OR lower(c.antena) = lower(r.antena)) AND (r.caso IS NULL OR abs(c.caso - r.caso) < 1e-9)
  AND (r.potencia_w IS NULL OR abs(c.potencia_w - r.potencia_w) < 1e-9) WHERE NOT {_Q} GROUP BY 1""")
 def correction_compatibility(spark, d):
     m = K.match_corrections(view(spark, d, S.CATALOG), view(spark, d, S.CORRECTIONS))
@@ -82,11 +82,12 @@ def correction_compatibility(spark, d):
 
 @query("J12_index_upsert", f"""WITH c AS (SELECT *, seq % 2 AS side, CASE WHEN seq % 6 = 0 THEN upper(partition_key) ELSE partition_key END AS pk FROM ({CAT}) q WHERE ruta IN (SELECT ruta FROM ({CAT}) q2 WHERE seq % 17 <> 0)),
  r AS (SELECT *, regexp_replace(regexp_extract(replace(ruta, chr(92), '/'), '[^/]*$', 0), '\\.[^.]*$', '') AS base FROM c),
- w AS (SELECT *, row_number() OVER (PARTITION BY lower(pk) ORDER BY (lower(base) = regexp_replace(lower(pk), '_+', '_', 'g')) DESC, side DESC, seq DESC) AS rn FROM r)
-SELECT seq, ruta, fuente, lower(pk) AS clave FROM w WHERE rn = 1""")
+ w AS (SELECT *, row_number() OVER (PARTITION BY lower(pk) ORDER BY (lower(base) = regexp_replace(lower(pk), '_+', '_', 'g')) DESC, side DESC, seq DESC) AS rn FROM r),
+ a AS (SELECT lower(pk) AS k, fuente, min(side * 1000000000 + seq) AS o FROM c GROUP BY 1, 2), l AS (SELECT k, string_agg(fuente, '|' ORDER BY o) AS fuentes FROM a GROUP BY 1)
+SELECT seq, ruta, fuente, lower(pk) AS clave, fuentes AS fuentes_equivalentes FROM w JOIN l ON l.k = lower(pk) WHERE rn = 1""")
 def index_upsert(spark, d):
     c = view(spark, d, S.CATALOG).withColumn("partition_key", F.when(F.col("seq") % 6 == 0, F.upper("partition_key")).otherwise(F.col("partition_key")))
-    return K.upsert_index(c.where("seq % 2 = 0"), c.where("seq % 2 = 1"), c.where("seq % 17 <> 0").select("ruta")).select("seq", "ruta", "fuente", F.lower("partition_key").alias("clave"))
+    return K.upsert_index(c.where("seq % 2 = 0"), c.where("seq % 2 = 1"), c.where("seq % 17 <> 0").select("ruta")).select("seq", "ruta", "fuente", F.lower("partition_key").alias("clave"), "fuentes_equivalentes")
 
 
 @query("J13_first_wins_merge", f"""WITH c AS ({CAT}), a AS (SELECT modelo, dataset, min(seq) AS seq FROM c WHERE seq % 3 = 0 GROUP BY 1, 2), b AS (SELECT modelo, dataset, min(seq) AS seq FROM c WHERE seq % 3 <> 0 GROUP BY 1, 2)
@@ -326,7 +327,7 @@ SELECT ruta, clave_semantica, canonica, CASE WHEN ruta = canonica THEN 'canonico
 def duplicate_organisation(spark, d):
     e = view(spark, d, DOCS)
     digest = O.content_digest(e.select("ruta", "text"), "ruta")
-    return O.organise(e.drop("text").join(digest, "ruta")).select("ruta", "clave_semantica", "canonica", "category", "reason")
+    return O.organise(e.drop("text").join(digest, "ruta"), e.select("ruta", "text"), ["text"]).select("ruta", "clave_semantica", "canonica", "category", "reason")
 
 
 @query("C12_exact_content_check", f"""WITH e AS ({sub(DOCS)}), c AS (SELECT *, first_value(ruta) OVER (PARTITION BY clave_semantica ORDER BY seq) AS canonica, first_value(text) OVER (PARTITION BY clave_semantica ORDER BY seq) AS t FROM e)

@@ -131,12 +131,12 @@ def partitioned_writer(spark, d):
     return back.groupBy("tipo", "antena", "caso", "potencia_w").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
-@query("S12_index_writer", f"SELECT seq, ruta, fuente FROM (SELECT *, row_number() OVER (PARTITION BY lower(partition_key) ORDER BY (lower(regexp_replace(regexp_extract(replace(ruta, chr(92), '/'), '[^/]*$', 0), '\\.[^.]*$', '')) = regexp_replace(lower(partition_key), '_+', '_', 'g')) DESC, seq DESC) AS rn FROM ({CAT}) c) t WHERE rn = 1")
+@query("S12_index_writer", f"SELECT seq, ruta, fuente, fuentes AS fuentes_equivalentes FROM (SELECT k, string_agg(fuente, '|' ORDER BY o) AS fuentes FROM (SELECT lower(partition_key) AS k, fuente, min(seq) AS o FROM ({CAT}) c GROUP BY 1, 2) a GROUP BY 1) l JOIN (SELECT *, row_number() OVER (PARTITION BY lower(partition_key) ORDER BY (lower(regexp_replace(regexp_extract(replace(ruta, chr(92), '/'), '[^/]*$', 0), '\\.[^.]*$', '')) = regexp_replace(lower(partition_key), '_+', '_', 'g')) DESC, seq DESC) AS rn FROM ({CAT}) c) t ON k = lower(partition_key) WHERE rn = 1")
 def index_writer(spark, d):
     c = view(spark, d, S.CATALOG)
     root = scratch_path(spark, "s12")
     WR.write_index(K.upsert_index(c.limit(0), c), root)
-    csv = spark.read.option("header", True).csv(f"{root}/csv").select(F.col("seq").cast("long").alias("seq"), "ruta", "fuente")
+    csv = spark.read.option("header", True).csv(f"{root}/csv").select(F.col("seq").cast("long").alias("seq"), "ruta", "fuente", "fuentes_equivalentes")
     return csv.join(spark.read.parquet(f"{root}/parquet").select("seq"), "seq", "left_semi")
 
 

@@ -18,10 +18,11 @@ def correct_field(field: DataFrame, pairs: DataFrame, zones: DataFrame, knots: D
                   ssa: DataFrame | None = None, intensity: float = 1.0, apply_offset: bool = True, cap_c: float | None = None) -> DataFrame:
     """C1 over many datasets: field rows of ``pairs`` (modelo, dataset, corr_id) with ``t_base`` and ``t_corr``.
 
-    The field is shuffled once, by point, for its base value. Everything joined to it (pairs and
+    Datasets without a pair are left out first; the rest is shuffled once, by point, for its base value. Everything joined to it (pairs and
     band plans) is a per-dataset or per-correction table, broadcast after its rows were counted;
     larger ones are joined by key and the adaptive planner splits a dataset that dominates.
     """
+    field = field.join(pairs.select("modelo", "dataset").distinct(), ["modelo", "dataset"], "left_semi")
     base = FL.first_temperature(field)
     inst = instants if instants is not None else field.select("modelo", "dataset", "t_min").distinct()
     need = pairs.join(inst, ["modelo", "dataset"]).select("corr_id", "t_min").distinct()

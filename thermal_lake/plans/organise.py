@@ -39,19 +39,23 @@ def equal_rows(rows: DataFrame, pairs: DataFrame, key: str, columns: Sequence[st
     return per.groupBy("copy").agg((F.max(F.abs("_w")) == 0).alias("equal"))
 
 
-def organise(entries: DataFrame) -> DataFrame:
+def organise(entries: DataFrame, content: DataFrame | None = None, columns: Sequence[str] = ()) -> DataFrame:
     """Category of every copy: ``canonico``, ``equivalente`` or ``conflicto``, with the reason.
 
     ``entries`` holds ruta, clave_semantica, puntaje, mtime, seq and digest. The canonical copy is
     one aggregate row per key, so a key shared by very many copies is split by the join, not
-    gathered. Nothing is deleted.
+    gathered. With ``content`` (ruta and ``columns``), copies whose digests agree are compared exactly as well.
+    Nothing is deleted.
     """
     best = K.canonical_rows(entries.select("clave_semantica", "ruta", "puntaje", "mtime", "seq", "digest"), "clave_semantica", "puntaje", "mtime", "seq") \
         .select("clave_semantica", F.col("ruta").alias("canonica"), F.col("digest").alias("_d"))
-    j = entries.join(best, "clave_semantica")
-    category = F.when(F.col("ruta") == F.col("canonica"), "canonico").when(F.col("digest").eqNullSafe(F.col("_d")), "equivalente").otherwise("conflicto")
+    j = entries.join(best, "clave_semantica").withColumn("_same", F.col("digest").eqNullSafe(F.col("_d")))
+    if content is not None:
+        pairs = j.where("_same AND ruta != canonica").select(F.col("ruta").alias("copy"), F.col("canonica").alias("canonical"))
+        j = j.join(equal_rows(content, pairs, "ruta", columns), F.col("ruta") == F.col("copy"), "left").withColumn("_same", F.col("_same") & F.coalesce("equal", F.lit(False))).drop("copy", "equal")
+    category = F.when(F.col("ruta") == F.col("canonica"), "canonico").when(F.col("_same"), "equivalente").otherwise("conflicto")
     reason = F.when(F.col("category") == "canonico", "mejor puntaje").when(F.col("category") == "equivalente", "contenido igual").otherwise("contenido distinto")
-    return j.withColumn("category", category).withColumn("reason", reason).drop("_d")
+    return j.withColumn("category", category).withColumn("reason", reason).drop("_d", "_same")
 
 
 def split_archive(inventory: DataFrame, index: DataFrame, done: DataFrame, level: str = "full", keep_incomplete: bool = False) -> dict[str, DataFrame]:
