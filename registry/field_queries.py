@@ -280,9 +280,9 @@ def mass_correction(spark, d):
     pairs = view(spark, d, S.PAIRS)
     c = pairs.withColumns({"partition_key": F.concat_ws("__", *DS), "ruta": F.concat_ws("/", *DS)})
     sid = f.select(*DS, "sid").distinct()
-    # One correction per nation and one catalogue key per dataset: the dataset's nation is its "tipo".
-    cat = c.select("ruta", *DS, "partition_key", F.col("corr_id").cast("string").alias("tipo"), F.lit("1ant").alias("antena"), F.lit(1.0).alias("caso"), F.lit(10.0).alias("potencia_w"))
-    corr = pairs.select("corr_id").distinct().select("corr_id", F.col("corr_id").cast("string").alias("tipo"), F.lit(None).cast("string").alias("antena"), F.lit(1.0).alias("caso"),
+    # One correction per nation and one catalogue key per dataset: the dataset's nation is its "antena".
+    cat = c.select("ruta", *DS, "partition_key", F.lit("Monopolo").alias("tipo"), F.col("corr_id").cast("string").alias("antena"), F.lit(1.0).alias("caso"), F.lit(10.0).alias("potencia_w"))
+    corr = pairs.select("corr_id").distinct().select("corr_id", F.lit(None).cast("string").alias("tipo"), F.col("corr_id").cast("string").alias("antena"), F.lit(1.0).alias("caso"),
                                                     F.lit(None).cast("double").alias("potencia_w"), F.lit("s1").alias("signature"))
     done = c.join(sid, DS).where("sid % 4 = 0").select(F.concat_ws("|", "partition_key", F.col("corr_id").cast("string")).alias("key"), F.lit("s1").alias("signature"))
     out, _, _ = CO.mass_correction(cat, corr, done, f, view(spark, d, S.ZONES), view(spark, d, S.KNOTS), instants=view(spark, d, S.TIMES))

@@ -89,7 +89,7 @@ def component_score(spark, d):
 @query("C29_colour_clustering")
 def colour_clustering(spark, d):
     z = CL.zscore_features(CL.with_colour_features(pixels(spark, d)))
-    return PX.clusters(z, 3, restarts=2, rounds=6).groupBy("image_id").agg(F.count_distinct("cluster").alias("k"), F.count(F.lit(1)).alias("n"))
+    return PX.clusters(z, 3)
 
 
 FACES = "SELECT o_custkey AS grp, o_orderkey AS pos, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS face, 1.0E0 + o_orderkey % 4 AS thickness FROM {orders}"
@@ -114,11 +114,11 @@ def slice_depth(spark, d):
     return PX.slice_depth(s.drop("thickness"), t, ["grp"]).select("grp", "pos", rnd("z_mm").alias("z_mm"))
 
 
-@query("C28_slice_cloud", f"""WITH p AS (SELECT image_id % 50 AS grp, image_id, row, col FROM ({PIX}) q WHERE r > 0.75), k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY col, row) AS rn, greatest(1, floor(count(*) OVER (PARTITION BY image_id) / 5)) AS step FROM p), c AS (SELECT grp, col * 0.5 AS x, row * 0.5 AS y, 3.0 * floor(image_id / 50) AS z FROM k WHERE (rn - 1) % step = 0)
+@query("C28_slice_cloud", f"""WITH p AS (SELECT image_id % 50 AS grp, image_id, row, col FROM ({PIX}) q WHERE r > 0.75), c AS (SELECT grp, col * 0.5 AS x, row * 0.5 AS y, 3.0 * floor(image_id / 50) AS z FROM p)
 SELECT grp, count(*) AS n_points, count(DISTINCT z) AS n_slices, {R('sum(x)')} AS sx, {R('sum(y)')} AS sy, CASE WHEN count(*) < 10 THEN 'pocos_puntos' WHEN count(DISTINCT z) < 2 THEN 'un_solo_corte' ELSE 'ok' END AS status FROM c GROUP BY 1""")
 def slice_cloud(spark, d):
     p = pixels(spark, d).where("r > 0.75").withColumn("grp", F.col("image_id") % 50).select("grp", "image_id", "row", "col")
     slices = table(spark, d, "embeddings").select((F.col("vec_id") % 50).alias("grp"), F.col("vec_id").alias("image_id"), (3.0 * F.floor(F.col("vec_id") / 50)).alias("z_mm"))
-    cloud = PX.slice_cloud(p, slices, 0.5, "grp", 5)
+    cloud = PX.slice_cloud(p, slices, 0.5, "grp")
     sums = cloud.groupBy("grp").agg(rnd(F.sum("x")).alias("sx"), rnd(F.sum("y")).alias("sy"))
     return PX.cloud_check(cloud, "grp").join(sums, "grp")

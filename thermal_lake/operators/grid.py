@@ -351,21 +351,29 @@ def segment_label(t: Column, last_source: Column) -> Column:
     return F.when(t > last_source + 1e-9, F.lit("extrapolado")).otherwise(F.lit("fuente"))
 
 
-def central_index(n: Column, cap: int = AXIS_CAP) -> Column:
-    """Zero-based middle of at most ``cap`` evenly taken positions of an axis of length ``n``."""
-    taken = F.least(n, F.lit(cap))
+def central_index(n: Column, cap: int | None = None) -> Column:
+    """Zero-based middle of an axis of length ``n``, or of at most ``cap`` evenly taken positions of it."""
+    taken = n if cap is None else F.least(n, F.lit(cap))
     k = F.greatest(F.lit(1), F.floor(taken / 2 + 0.5))
-    exact = F.when(n > cap, F.floor(1 + (n - 1) * (k - 1) / (cap - 1) + 0.5)).otherwise(k)
+    exact = k if cap is None else F.when(n > cap, F.floor(1 + (n - 1) * (k - 1) / (cap - 1) + 0.5)).otherwise(k)
     return (exact - 1).cast("int")
 
 
-def plane_slices(field: DataFrame, shape: DataFrame, keys: Sequence[str], t_idx: int) -> DataFrame:
-    """The three central planes at one instant; both filters reach the scan or the join row."""
+def plane_slices(field: DataFrame, shape: DataFrame, keys: Sequence[str], t_idx: int, cap: int | None = None) -> DataFrame:
+    """The three central planes at one instant; both filters reach the scan or the join row.
+
+    A viewer that shows few lines per axis asks for ``cap`` of them (AXIS_CAP); by default all are kept.
+    """
     j = field.where(F.col("t_idx") == t_idx).join(shape.select(*keys, *[f"n{a}" for a in "xyz"]), list(keys))
-    kept = lambda i, n: (F.col(n) <= AXIS_CAP) | (F.col(i) == F.floor(
-        1 + F.round(F.col(i) * (AXIS_CAP - 1) / (F.col(n) - 1)) * (F.col(n) - 1) / (AXIS_CAP - 1) + 0.5) - 1)
+
+    def kept(i: str, n: str) -> Column:
+        if cap is None:
+            return F.lit(True)
+        near = 1 + F.round(F.col(i) * (cap - 1) / (F.col(n) - 1)) * (F.col(n) - 1) / (cap - 1)
+        return (F.col(n) <= cap) | (F.col(i) == F.floor(near + 0.5) - 1)
+
     plane = lambda name, a, n, p, q: F.when(
-        (F.col(a) == central_index(F.col(n))) & kept(*p) & kept(*q), F.lit(name))
+        (F.col(a) == central_index(F.col(n), cap)) & kept(*p) & kept(*q), F.lit(name))
     x, y, z = ("ix", "nx"), ("iy", "ny"), ("iz", "nz")
     names = F.array_compact(F.array(plane("xy", "iz", "nz", x, y), plane("xz", "iy", "ny", x, z), plane("yz", "ix", "nx", y, z)))
     return j.withColumn("plane", F.explode(names)).select(*keys, "plane", *VOXEL, "t_c")

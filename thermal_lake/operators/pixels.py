@@ -16,9 +16,11 @@ from .skew import drop_halo, halo_window, running_sum, with_halo
 IMAGE = "image_id"
 
 
-def clusters(px: DataFrame, k: int, restarts: int = 5, rounds: int = 20, seed: int = 1, tol: float = 1e-6) -> DataFrame:
+def clusters(px: DataFrame, k: int, restarts: int = 5, rounds: int = 400, seed: int = 1, tol: float = 1e-6) -> DataFrame:
     """K-means of the z-scored features of every image, the cheapest of ``restarts`` starts.
 
+    Every start runs until no centre moves by more than ``tol``; ``rounds`` only bounds a run that never settles.
+
     All images and starts advance together. One round sends only the k x 7 sums per (image,
     start) of each task through the shuffle; pixels meet the small centre table by image. Start
     centres are the k pixels with the smallest seeded hash, so a run can be repeated.
@@ -114,13 +116,13 @@ def slice_depth(segmented: DataFrame, thickness: DataFrame, keys: Sequence[str],
     return j.withColumn("z_mm", F.when(F.col(face) == 2, F.col("_end")).otherwise(start)).drop("_end")
 
 
-def slice_cloud(px: DataFrame, slices: DataFrame, mm_per_pixel: float, group: str, target: int = 12_000) -> DataFrame:
-    """3-D points of masked pixels with the depth of their slice; stride-sampled per slice.
+def slice_cloud(px: DataFrame, slices: DataFrame, mm_per_pixel: float, group: str, target: int | None = None) -> DataFrame:
+    """3-D points of masked pixels with the depth of their slice; all of them, or about ``target`` per slice.
 
     ``px`` holds (group, image_id, row, col) of mask pixels, ``slices`` (group, image_id, z_mm).
     """
     order = px.withColumn("_at", F.col("col").cast("long") * 2**24 + F.col("row"))
-    kept = stride_sample(order, [group, IMAGE], "_at", target)
+    kept = px if target is None else stride_sample(order, [group, IMAGE], "_at", target)
     return kept.join(slices, [group, IMAGE]).select(
         group, IMAGE, (F.col("col") * mm_per_pixel).alias("x"), (F.col("row") * mm_per_pixel).alias("y"), F.col("z_mm").alias("z"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,9 +64,13 @@ def second_candidates(best: DataFrame, limits: DataFrame, seed: int = 2, n: int
 
 
 def search(searches: DataFrame, access: DataFrame, limits: DataFrame, distributions: DataFrame, shapes: DataFrame,
-           coarse: tuple[DataFrame, DataFrame, DataFrame, float], fine: tuple[DataFrame, DataFrame, DataFrame, float]) -> DataFrame:
+           coarse: tuple[DataFrame, DataFrame, DataFrame, float], fine: tuple[DataFrame, DataFrame, DataFrame, float],
+           candidates: tuple[int, int] = (SEEDS_1, SEEDS_2), rounds: tuple[int, int] = (1, 1)) -> DataFrame:
     """Best pose per (target, distribution) on the fine grid.
 
+    ``candidates`` are drawn per search in a round of each phase, ``rounds`` how often a phase draws around what it knows: the
+    first phase anew over all accessible points, the second around the best pose so far, which always stays in.
+
     ``coarse`` and ``fine`` are (target voxels, frames, target summary, resolution). Each phase
     scores one candidate table as one job; only winners (one row per search) go on.
     """
@@ -80,6 +85,10 @@ def search(searches: DataFrame, access: DataFrame, limits: DataFrame, distributi
         return df.groupBy(*group).agg(F.min_by(F.struct(*rest), F.struct("fitness", "pose_id")).alias("_r")).select(*group, "_r.*")
 
     pose = ["target_id", "dist_id", "axis1", "axis2", "px", "py", "pz", "a1", "a2", "pose_id"]
-    one = cut(winner(score(first_candidates(searches, access), coarse)).select(*pose))
-    two = cut(second_candidates(one, limits))
-    return winner(score(two, fine))
+    drawn = [first_candidates(searches, access, 2 * r + 1, candidates[0]) for r in range(rounds[0])]
+    best = cut(winner(score(reduce(DataFrame.unionByName, drawn), coarse)).select(*pose))
+    for r in range(rounds[1]):
+        found = winner(score(cut(second_candidates(best, limits, 2 * r + 2, candidates[1])), fine))
+        if r < rounds[1] - 1:
+            best = cut(found.select(*pose))
+    return found
