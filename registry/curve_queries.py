@@ -189,7 +189,15 @@ def ssa_forecast(spark, d):
     return FL.forecast(FL.ssa_models(knots), at).withColumn("f_out", rnd("f_out", 4))
 
 
-@query("C4_calibrate")
+_ZONED = f"""zn AS (SELECT corr_id, least(max(probe_idx) FILTER (side = 0), max(probe_idx) FILTER (side = 1), 4) AS n FROM ({CURVE}) c GROUP BY 1),
+ zo AS (SELECT corr_id, z AS zone_id, greatest(1, z) AS probe_idx, CASE z WHEN 1 THEN 18.6 WHEN 2 THEN 25.2 WHEN 3 THEN 31.8 WHEN 4 THEN 38.4 END AS depth FROM zn, range(5) r(z) WHERE z = 0 OR n >= 2 AND z <= n),
+ ze AS (SELECT *, (lag(depth) OVER w + depth) / 2 AS z_min, (depth + lead(depth) OVER w) / 2 AS z_max, zone_id = 0 OR lead(depth) OVER w IS NULL AS top FROM zo WINDOW w AS (PARTITION BY corr_id, zone_id > 0 ORDER BY zone_id)),
+ zf AS (SELECT corr_id, probe_idx, max(base_exp - base_sim) AS offset_c, max(y_exp) AS y_max, count(*) AS n, sqrt(avg(pow(base_exp + factor * inc_sim - y_exp, 2))) AS rmse FROM fac GROUP BY 1, 2),
+ zt AS (SELECT corr_id, probe_idx, min(t_min) AS t_origin FROM ({CURVE}) c WHERE side = 0 GROUP BY 1, 2)"""
+
+
+@query("C4_calibrate", f"""{_factor()}, {_ZONED} SELECT corr_id, CAST(zone_id AS INT) AS zone_id, CAST(z_min AS DOUBLE) AS z_min, CAST(z_max AS DOUBLE) AS z_max, top, t_origin, {R('offset_c', 4)} AS offset_c, {R('max(y_max) OVER (PARTITION BY corr_id)', 4)} AS exp_max, CAST(least(6, n - 1) AS INT) AS degree, {R('rmse', 4)} AS rmse_factor
+ FROM ze JOIN zf USING (corr_id, probe_idx) JOIN zt USING (corr_id, probe_idx)""")
 def calibrate(spark, d):
     c = view(spark, d, S.CURVE)
     parts = CAL.calibrate(c.where("side = 0"), c.where("side = 1"), N)
