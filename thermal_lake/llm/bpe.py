@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import MEMORIES, slices
 
 #: White space and the word pattern of the byte-level pre-tokenizer.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -180,6 +180,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+MEMORIES.append(encoder.cache_clear)
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 of every row and, if asked for, the ids themselves."""
     kind = dict(docs.dtypes)[key]

@@ -6,8 +6,11 @@ needs a few dozen MB whatever its partition holds. One text is never cut: a slic
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +28,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: What operators remember in a worker process from task to task; each entry forgets it.
+MEMORIES: list[Callable[[], None]] = []
+
+
+def tidy() -> None:
+    """Called where a task begins: let go of what other operators have left in this worker process, which outlives its stages."""
+    for forget in MEMORIES:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, byte_values, powers, slices, text_bytes
+from .common import BLANK, LOWER, byte_values, powers, slices, text_bytes, tidy
 
 RATE = 0.05
 SHORTEST = 20
@@ -168,6 +168,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str =
         held = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            tidy()
             for batch in batches:
                 for part in slices(batch, "t"):
                     hits = [(i, k, e) for i, found in enumerate(held.value.search(part.column(1))) for k, e in found.items()]
@@ -186,6 +187,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: st
         place = docs.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch], held=held, place=place) -> Iterator[pa.RecordBatch]:
+            tidy()
             for batch in batches:
                 for part in slices(batch, batch.schema.names[place]):
                     keep = [not found for found in held.value.search(part.column(place))]

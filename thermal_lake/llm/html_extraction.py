@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 SAMPLE = 2000  # pages, about, that the model is trained on
 MARK = 8.0  # cost of going against a mark
@@ -313,6 +313,7 @@ def train(pages: DataFrame, key: str = "page_id", page: str = "html", sample: in
     width = len(FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 blocks = blocks_of(text or "")
@@ -334,6 +335,7 @@ def label(pages: DataFrame, weights: np.ndarray, keep: list[str], page: str = "h
     """``keep`` columns, text and n_chars of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for part in slices(batch, "_html"):
                 texts = [extract(x, weights) for x in part.column(len(names)).to_pylist()]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from thermal_lake.session import cut, scratch_path
 
-from .common import mix, slices, small, span_hash, text_bytes, windows, words_of
+from .common import mix, slices, small, span_hash, text_bytes, tidy, windows, words_of
 
 SMALLEST, RATIO = 6, 1.5  # of the bands of set sizes
 BLOCK = 8192  # documents of a group that one task compares
@@ -102,6 +102,7 @@ def describe(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """(id, n, c, c2, sketch) of every row: set size, fingerprints and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for part in slices(batch, "t"):
                 sets = shingles(part.column(1), k)
@@ -148,6 +149,7 @@ def pieces(docs: DataFrame, text: str, k: int, threshold: int) -> DataFrame:
     """(key, c): a row for each indexed slice of each set; a slice of the input names equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "t"):
@@ -171,6 +173,7 @@ def groups(keyed: DataFrame) -> DataFrame:
     """(leader, c), distinct: every document of a slice that several share, and the smallest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         at = lead = None  # the run that the last batch ended in
         for batch in batches:
             key, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -252,6 +255,7 @@ def sketched(members: DataFrame, threshold: int, block: int) -> DataFrame:
     """(leader, pair, part, id, c): parts of a group whose sketches are near enough to link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         cols: list[list[int]] = [[] for _ in names]
         for g in by_group(batches, 2):
             if g.num_rows < 2:
@@ -278,6 +282,7 @@ def linked(parts: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(a, b): true links that join the rows of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for g in by_group(batches, 3):
             if g.num_rows < 2:
                 continue
@@ -325,6 +330,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, k: int
     """(id, c, shingles) of the wanted (id, c, c2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for part in slices(batch, "t"):
                 sets = shingles(part.column(3), k)

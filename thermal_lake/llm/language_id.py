@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SLICE, mix, slices, sums_of, text_bytes, words_of
+from .common import LOWER, SLICE, mix, slices, sums_of, text_bytes, tidy, words_of
 
 BUCKETS = 1 << 17
 PENALTY = 10.0  # natural-log units that a switch of language costs
@@ -100,6 +100,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> "Model":
     """The model of all rows with a text and a language. What reaches the driver is one number for each language and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "t"):
@@ -224,6 +225,7 @@ def label(docs: DataFrame, model: Model, keep: list[str], text: str = "text", pe
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         own = held.value
         for batch in batches:
             for part in slices(batch, "_text", 4 * SLICE):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from thermal_lake.session import scratch_path
 
-from .common import slices, sums_of, text_bytes, words_of
+from .common import slices, sums_of, text_bytes, tidy, words_of
 from .quality_rules import counts
 
 SURE = 0.95  # probability from which a view's own label goes to the other view
@@ -74,6 +74,7 @@ def features(docs: DataFrame, labels: DataFrame, key: str, label: str) -> DataFr
     """(id, y, fold, views): the label if any, and both views as one row of 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for part in slices(batch, "t"):
                 size = pc.fill_null(part.column(4), 0).to_numpy(zero_copy_only=False)
@@ -101,6 +102,7 @@ def _sums(table: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size:
     """Sum of the fixed-size vectors that ``part`` makes of batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         total = np.zeros(size)
         for batch in batches:
             for piece in slices(batch, "views"):
@@ -175,6 +177,7 @@ def calibrate(table: DataFrame, text: np.ndarray, meta: np.ndarray) -> tuple[np.
 
 def score(table: DataFrame, text: np.ndarray, meta: np.ndarray, a: np.ndarray, b: np.ndarray, prior: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for part in slices(batch, "views"):
                 x, m = _views(part.column(1))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from thermal_lake.session import cut
 
-from .common import byte_values, slices, small, span_hash, sums_of, text_bytes, windows, words_of
+from .common import byte_values, slices, small, span_hash, sums_of, text_bytes, tidy, windows, words_of
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_short")
 SHAPE = ", ".join(f"{c} long" for c in COUNTS)
@@ -123,6 +123,7 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns of every row and COUNTS of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for part in slices(batch, "_text"):
                 got = counts(part.column(part.schema.get_field_index("_text")))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from thermal_lake.session import scratch_path
 
 from .bpe import Memo, byte_letters
-from .common import slices
+from .common import MEMORIES, slices
 
 HEAD = "<8sIIQ"  # magic, texts, ids, data bytes
 MAGIC = b"tlids\x00\x01\n"
@@ -118,6 +118,9 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
+MEMORIES.append(encoder.cache_clear)
+
+
 def encode(docs: DataFrame, path: str, end_id: int | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(k, n, ids): the ids of every text with ``end_id`` behind them, as 16-bit numbers where the vocabulary allows."""
 
