@@ -173,9 +173,9 @@ def corrected_cap(spark, d):
     return e.select("corr_id", FL.corrected_cap(F.when(F.col("corr_id") % 2 == 0, 70.0), F.col("exp_max")).alias("cap"))
 
 
-@query("A21_adaptive_radius", f"SELECT sid, {R('greatest(2.0, 2.2 * cbrt((max(x) - min(x) + 2.220446049250313e-16) * (max(y) - min(y) + 2.220446049250313e-16) * (max(z) - min(z) + 2.220446049250313e-16) / count(*)))')} AS radius FROM ({FIELD}) f WHERE t_idx = 2 GROUP BY 1")
+@query("A21_adaptive_radius", f"SELECT sid, t_idx, {R('greatest(2.0, 2.2 * cbrt((max(x) - min(x) + 2.220446049250313e-16) * (max(y) - min(y) + 2.220446049250313e-16) * (max(z) - min(z) + 2.220446049250313e-16) / count(*)))')} AS radius FROM ({FIELD}) f GROUP BY 1, 2")
 def adaptive_radius(spark, d):
-    return FL.adaptive_radius(view(spark, d, S.FIELD).where("t_idx = 2"), ["sid"]).withColumn("radius", rnd("radius"))
+    return FL.adaptive_radius(view(spark, d, S.FIELD), ["sid", "t_idx"]).withColumn("radius", rnd("radius"))
 
 
 @query("W1_sustained_cutoff", f"""WITH i AS (SELECT *, coalesce(t_max_c > 128, false) AS f FROM ({INST}) q), s AS (SELECT *, min(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY t_min ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ok FROM i) SELECT sid, min(CASE WHEN ok = 1 THEN t_min END) AS cutoff FROM s GROUP BY 1""")

@@ -166,7 +166,7 @@ def plane_slices(spark, d):
     return GR.plane_slices(view(spark, d, S.GRID), shape(spark, d), KEY, 2)
 
 
-QT = f"SELECT dataset, qid, x, y, z, 0.31E0 + qid % 7 AS t FROM ({QPTS}) q WHERE qid % 5 < 4"
+QT = f"SELECT dataset, qid, x, y, z, 0.31E0 + qid % 7 AS t FROM ({QPTS}) q"
 _LO = "least(CAST(floor(t) AS INT), 5)"
 
 

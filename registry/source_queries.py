@@ -54,10 +54,10 @@ def fallback_scan(spark, d):
     return RD.resolve_partitions(c.select(F.concat(F.lit("perdido/"), "ruta").alias("ruta"), "seq"), c)
 
 
-@query("S3_light_inventory", f"""SELECT ruta, modelo, dataset, bytes, seq % 2 = 0 AS has_full_field, true AS has_probes, seq % 4 > 0 AS has_t_min FROM ({CAT}) c WHERE seq % 8 = 1 AND seq % 16 = 9 AND seq % 3 > 0
-UNION ALL SELECT ruta, 'ERROR', NULL, bytes, NULL, NULL, NULL FROM ({CAT}) c WHERE seq % 16 = 9 AND seq % 3 = 0""")
+@query("S3_light_inventory", f"""SELECT ruta, modelo, dataset, bytes, seq % 2 = 0 AS has_full_field, true AS has_probes, seq % 4 > 0 AS has_t_min FROM ({CAT}) c WHERE seq % 3 > 0
+UNION ALL SELECT ruta, 'ERROR', NULL, bytes, NULL, NULL, NULL FROM ({CAT}) c WHERE seq % 3 = 0""")
 def light_inventory(spark, d):
-    c = view(spark, d, S.CATALOG).where("seq % 16 = 9")
+    c = view(spark, d, S.CATALOG)
     ok = c.where("seq % 3 > 0").withColumn("t_min", F.when(F.col("seq") % 4 > 0, 1.0))
     inv = RD.light_inventory(c.select("ruta", "bytes"), {"full_field": ok.where("seq % 2 = 0"), "probes": ok})
     return inv.select("ruta", "modelo", "dataset", "bytes", "has_full_field", "has_probes", "has_t_min")
@@ -126,7 +126,7 @@ def partitioned_writer(spark, d):
     c = view(spark, d, S.CATALOG).select("seq", "ruta", "bytes", "tipo", "antena", F.col("caso").cast("int").alias("caso"), "potencia_w")
     root = scratch_path(spark, "s11")
     WR.write_partitioned(c, root)
-    WR.write_partitioned(c.where("tipo = 'Monopolo' AND antena = '2ant'").withColumn("bytes", F.col("bytes") + 1), root, salt="seq", files_per_key=2)
+    WR.write_partitioned(c.where("tipo = 'Monopolo' AND antena = '2ant'").withColumn("bytes", F.col("bytes") + 1), root)
     back = spark.read.schema("seq long, ruta string, bytes long, tipo string, antena string, caso int, potencia_w double").parquet(root)
     return back.groupBy("tipo", "antena", "caso", "potencia_w").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 

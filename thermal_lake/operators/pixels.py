@@ -14,6 +14,7 @@ from .field import stride_sample
 from .skew import drop_halo, halo_window, running_sum, with_halo
 
 IMAGE = "image_id"
+TOGETHER = 3  # rounds of k-means between two looks at whether the centres still move
 
 
 def clusters(px: DataFrame, k: int, restarts: int = 5, rounds: int = 400, seed: int = 1, tol: float = 1e-6) -> DataFrame:
@@ -38,13 +39,18 @@ def clusters(px: DataFrame, k: int, restarts: int = 5, rounds: int = 400, seed:
         best = F.array_min(F.transform("centres", lambda m: F.struct(dist(m["f"], F.col("f")).alias("d"), m["c"].alias("c"))))
         return base.join(cs, IMAGE).select(IMAGE, "start", "row", "col", "f", best.alias("b"))
 
-    for _ in range(rounds):
-        mean = F.array(*[F.avg(F.col("f")[i]) for i in range(len(FEATURES))])
-        moved = assigned(centres).groupBy(IMAGE, "start", F.col("b.c").alias("c")).agg(mean.alias("f"))
-        # A centre that lost all its pixels stays where it was.
-        kept = centres.select(IMAGE, "start", F.explode("centres").alias("m")).select(IMAGE, "start", "m.c", F.col("m.f").alias("_o"))
-        new = kept.join(moved, [IMAGE, "start", "c"], "left").withColumn("shift", F.coalesce(dist(F.col("f"), F.col("_o")), F.lit(0.0)))
-        new = cut(new.select(IMAGE, "start", "c", F.coalesce("f", "_o").alias("f"), "shift"))
+    mean = F.array(*[F.avg(F.col("f")[i]) for i in range(len(FEATURES))])
+    done = 0
+    while done < rounds:
+        for _ in range(min(TOGETHER, rounds - done)):
+            moved = assigned(centres).groupBy(IMAGE, "start", F.col("b.c").alias("c")).agg(mean.alias("f"))
+            # A centre that lost all its pixels stays where it was.
+            kept = centres.select(IMAGE, "start", F.explode("centres").alias("m")).select(IMAGE, "start", "m.c", F.col("m.f").alias("_o"))
+            new = kept.join(moved, [IMAGE, "start", "c"], "left").withColumn("shift", F.coalesce(dist(F.col("f"), F.col("_o")), F.lit(0.0)))
+            new = new.select(IMAGE, "start", "c", F.coalesce("f", "_o").alias("f"), "shift")
+            centres = pack(new)
+            done += 1
+        new = cut(new)
         centres = pack(new)
         if new.where(F.col("shift") > tol).isEmpty():
             break

@@ -71,4 +71,4 @@ def mass_correction(catalog: DataFrame, corrections: DataFrame, done: DataFrame,
 def export_corrected(corrected: DataFrame, identity: DataFrame, path: str, partitions: tuple[str, ...]) -> None:
     """Corrected rows with their identity columns, written by identity and acquisition."""
     out = corrected.join(identity, ["modelo", "dataset"]).withColumn("t_corr", F.col("t_corr").cast("float"))
-    write_partitioned(out, path, partitions, salt="point_id", files_per_key=8)
+    write_partitioned(out, path, partitions)

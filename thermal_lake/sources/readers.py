@@ -20,14 +20,20 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return enforce(spark.read.schema(schema).parquet(path))
 
 
-def read_datasets(spark: SparkSession, roots: Sequence[str], schema: str = schemas.FIELD) -> DataFrame:
+def read_datasets(spark: SparkSession, roots: Sequence[str], schema: str = schemas.FIELD, partitions: str = "") -> DataFrame:
     """Thermal rows of several files or partition folders; the first root that has a dataset wins.
 
+    ``partitions`` (DDL) names the folder columns of roots written by ``write_partitioned``: they become columns, and filters on
+    them choose folders before a file is opened. Without it, all files below a root are read.
+
     Quarantined paths are refused by the path each row came from. With one root nothing is
     compared; with more, one small (dataset, root) table decides and rows are semi-joined to it.
     """
     def one(seq: int, root: str) -> DataFrame:
-        rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(root)
+        if partitions:
+            rows = spark.read.schema(f"{schema}, {partitions}").parquet(root)
+        else:
+            rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(root)
         return rows.where(~M.quarantined(F.col("_metadata.file_path"))).withColumn("_root", F.lit(seq))
 
     parts = [one(i, r) for i, r in enumerate(roots)]

@@ -33,14 +33,13 @@ def probe_header(probes: DataFrame, keys: Sequence[str] = ("modelo", "dataset"))
                                                   at("coord_real"), F.lit(" mm (In_Domain="), F.col("in_domain").cast("int").cast("string"), F.lit(")")).alias("linea"))
 
 
-def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str] = PARTITIONS, salt: str | None = None, files_per_key: int = 1) -> None:
+def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str] = PARTITIONS) -> None:
     """One folder per identity; only folders present in ``df`` are replaced.
 
-    Rows are clustered by the partition columns so that a folder gets few files. ``salt`` (a row
-    id) with ``files_per_key`` spreads an identity with very many rows over several tasks.
+    Rows are clustered by the partition columns so that a folder gets few files. The rebalance hint lets the adaptive planner split
+    an identity by the bytes it turns out to have, so a very large one is written by many tasks.
     """
-    spread = [F.pmod(F.xxhash64(salt), F.lit(files_per_key))] if salt else []
-    df.repartition(*[F.col(p) for p in partitions], *spread).write.mode("overwrite").option(
+    df.hint("rebalance", *partitions).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
