@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import cut
 from .grid import VOXEL
 from .skew import broadcast_if_small, spread
 
@@ -66,11 +67,14 @@ def pose_counts(poses: DataFrame, distributions: DataFrame, shapes: DataFrame, t
     for a, (lo, hi) in zip("xyz", rotated_box(box, m, shift)):
         ends[f"_a{a}"] = F.greatest(F.lit(0), F.ceil((lo - F.col(f"g{a}0")) / F.col("gstep") - 1e-9)).cast("int")
         ends[f"_b{a}"] = F.least(F.col(f"g{a}n") - 1, F.floor((hi - F.col(f"g{a}0")) / F.col("gstep") + 1e-9)).cast("int")
-    p = p.withColumns(ends).withColumns({
-        f"_r{a}": F.when(F.col(f"_b{a}") >= F.col(f"_a{a}"), F.sequence(f"_a{a}", F.greatest(f"_a{a}", f"_b{a}"))) for a in "xyz"})
-    # Outer explodes keep the planner from copying the whole box arithmetic into inferred filters.
-    for a in "xyz":
-        p = p.withColumn(f"g{a}", F.explode_outer(f"_r{a}")).where(F.col(f"g{a}").isNotNull())
+    p = p.withColumns(ends).withColumns({f"_c{a}": F.greatest(F.lit(0), F.col(f"_b{a}") - F.col(f"_a{a}") + 1) for a in "xyz"})
+    # Only what a grid point needs rides through the expansion: first the lines of the box, then the points of each line.
+    p = p.where("_cx > 0 AND _cy > 0 AND _cz > 0").select(
+        "pose_id", "dist_id", "target_id", "px", "py", "pz", *[f"_m{i}{j}" for i in range(3) for j in range(3)], "gstep",
+        *[f"{n}{a}" for a in "xyz" for n in ("d", "n", "_a", "_b")], *[f"{a}0" for a in "xyz"], *[f"g{a}0" for a in "xyz"], "_cy",
+        F.explode(F.expr("sequence(0L, cast(_cy AS bigint) * _cz - 1)")).alias("_line"))
+    p = p.withColumns({"gy": (F.col("_ay") + F.col("_line") % F.col("_cy")).cast("int"), "gz": (F.col("_az") + F.expr("_line div _cy")).cast("int")}).drop("_line", "_cy")
+    p = p.withColumn("gx", F.explode(F.sequence("_ax", "_bx")))
     world = tuple(F.col(f"g{a}0") + F.col(f"g{a}") * F.col("gstep") for a in "xyz")
     local = G.to_local(world, m, shift)
     out = F.lit(False)
@@ -78,8 +82,8 @@ def pose_counts(poses: DataFrame, distributions: DataFrame, shapes: DataFrame, t
         u = (v - F.col(f"{a}0")) / F.col(f"d{a}")
         out = out | (u < 0) | (u > F.col(f"n{a}") - 1)
         p = p.withColumn(f"i{a}", F.floor(u + 0.5).cast("int"))
-    own = broadcast_if_small(distributions.select("dist_id", *VOXEL), MASK_BROADCAST_ROWS)
-    goal = broadcast_if_small(targets.select("target_id", "gx", "gy", "gz", F.lit(1).alias("_t")), MASK_BROADCAST_ROWS)
+    own = broadcast_if_small(cut(distributions.select("dist_id", *VOXEL)), MASK_BROADCAST_ROWS)
+    goal = broadcast_if_small(cut(targets.select("target_id", "gx", "gy", "gz", F.lit(1).alias("_t"))), MASK_BROADCAST_ROWS)
     inside = p.where(~out).select("pose_id", "dist_id", "target_id", "gx", "gy", "gz", *VOXEL).join(own, ["dist_id", *VOXEL])
     marked = inside.join(goal, ["target_id", "gx", "gy", "gz"], "left")
     counts = marked.groupBy("pose_id").agg(F.count(F.lit(1)).alias("n_dist"), F.count("_t").alias("n_in"))
