@@ -33,7 +33,7 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE
 PLAIN = re.compile(" ?[A-Za-z]+")
 #: White space in which cutting before every space would change the words.
 UNCUT = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
-CACHE = 150_000
+CACHE = 100_000
 
 
 def byte_letters() -> list[str]:
@@ -130,7 +130,7 @@ class Encoder:
         key = (a, b)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 300_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             known = self.fits[key] = self._apart(a, b, len(self.pairs))
         return known

@@ -42,7 +42,18 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+BATCH_ROWS = 512
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python some MB at a time; its default of 10 000 rows is meant for narrow rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
