@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermal_lake.llm import bpe, decontamination, jaccard_join, quality_rules, secrets
-from thermal_lake.llm.common import table
+from thermal_lake.llm.common import bounded, table
 from thermal_lake.llm.queries import vocabulary
 from thermal_lake.session import scratch_path
 
@@ -16,6 +16,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the certified rules reject go."""
+    bounded(spark)
     measured = quality_rules.measure(docs, COLUMNS)
     cutoffs = quality_rules.fit(quality_rules.measure(docs, ["doc_id", "lang"]), table(spark, sf_dir, "labels"))
     return quality_rules.judge(measured, cutoffs).where(F.col("kept")).select(*COLUMNS)
@@ -23,21 +24,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, Jaccard similarity of 0.8 or more, linked transitively."""
+    bounded(spark)
     return jaccard_join.one_of_each(docs, k=5, threshold=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, up to its error budget, go."""
+    bounded(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets become ``[SECRET]``; n_chars follows."""
+    bounded(spark)
     return secrets.redact(docs, size="n_chars")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, their number, and checksums of ids and decoded text."""
+    bounded(spark)
     return bpe.encode(docs, vocabulary("byte_bpe_50k.json"), ids=True)
 
 
