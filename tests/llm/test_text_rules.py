@@ -66,6 +66,27 @@ def test_rules_catch_and_keep(spark):
     assert none.count() == 0 and all(r.kept for r in Q.judge(m, none).collect())
 
 
+def test_small_strata_are_certified(spark):
+    """86 good rows certify a stratum of four at no loss (0.95^86 < 0.05/4 < 0.95^85); 85 do not, and a rule that costs good rows stays lenient."""
+    rng = random.Random(9)
+    texts, langs, marks = [], {}, []
+    for lang, n_good, n_bad in (("aa", 86, 10), ("bb", 85, 10), ("cc", 90, 10), ("dd", 120, 10)):
+        for j in range(n_good + n_bad):
+            w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 8))) for _ in range(30)] + ["a", "an", "the"]
+            if j >= n_good:
+                w = [x + "###" for x in w]
+            elif lang == "cc" and j < 30:  # a third of the good rows have symbols as the bad ones have, but fewer
+                w = [x + "#" for x in w]
+            langs[len(texts)] = lang
+            marks.append((len(texts), int(j < n_good)))
+            texts.append(" ".join(w))
+    m = Q.measure(documents(spark, texts, langs), ["doc_id", "lang"])
+    cutoffs = Q.fit(m, spark.createDataFrame(marks, "doc_id long, quality int"))
+    kept = {r.doc_id: r.kept for r in Q.judge(m, cutoffs).collect()}
+    assert {r.stratum for r in cutoffs.collect()} == {"aa", "cc", "dd"}
+    assert all(kept[i] == bool(q) for i, q in marks if langs[i] != "bb") and all(kept[i] for i in langs if langs[i] == "bb")
+
+
 def test_rules_awkward(spark):
     docs = awkward(spark)
     m = Q.measure(docs, ["doc_id", "lang"])

@@ -1,15 +1,16 @@
 """Quality rules with risk-controlled cutoffs.
 
 ``measure`` counts what the rules look at. ``fit`` learns a cutoff for each rule and stratum from labelled
-holdouts: along a fixed grid, from lenient to strict, it tests with the exact binomial tail whether the rule
-rejects at most ``limit / rules`` of the good rows, and stops at the first cutoff that it cannot certify
-(fixed-sequence testing, so a grid of any length costs no power). The error is shared equally among strata
-and rules (Bonferroni). So with probability ``1 - error``, all rules together reject at most ``limit`` of the good
-rows of every stratum. Among the certified cutoffs the one with the best ratio of bad rows caught to good rows
-lost is taken; a rule that catches nothing stays off.
+holdouts. The grids of all rules are walked together, from lenient to strict, in one fixed sequence of combined rule sets
+(level i holds every rule at the same share of its grid). For each level the exact binomial tail tests whether the set
+rejects at most ``limit`` of the good rows, up to the first level that cannot be certified (fixed-sequence testing, so
+the length of the sequence costs no power). Only strata share the error (Bonferroni). What a certified level does not reject, no
+choice of its cutoffs or more lenient ones rejects either, so each rule may take any of these: with probability
+``1 - error``, all rules together reject at most ``limit`` of the good rows of every stratum. Taken is the cutoff with
+the best gain (bad rows caught less ``cost`` for each good row lost); a rule that catches nothing stays off.
 
 Cases: a null or empty text has zero words and fails the base rules. A null stratum is the stratum ``""``. Strata
-without enough labels get no cutoff, so only the base rules act there. Null labels are ignored; a row labelled
+without enough labels (with four strata, fewer than 86 good rows) get no cutoff, so only the base rules act there. Null labels are ignored; a row labelled
 more than once counts once, with its lowest label. Repeated rows each get a row of their own. Empty tables give
 empty results. Extra columns are not read.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -149,15 +151,37 @@ def certified(k: int, n: int, limit: float, error: float) -> bool:
     return top + math.log(sum(math.exp(x - top) for x in log)) <= math.log(error)
 
 
-def _choose(rows: pd.DataFrame, limit: float, error: float, cost: float) -> float | None:
-    best, cutoff = 0.0, None
-    for r in rows.sort_values("step").itertuples():
+LEVELS = max(len(grid) for _, grid in RULES.values())
+TOGETHER = ""  # name of the combined rule sets among the rules
+
+
+def step_of(rule: str, level: int) -> int:
+    """The step of a rule's grid that a level of the combined sequence holds."""
+    return level * len(RULES[rule][1]) // LEVELS
+
+
+def _choose(rows: pd.DataFrame, limit: float, error: float, cost: float) -> list[tuple[str, float]]:
+    """(rule, cutoff) of one stratum, within the strictest level that the sequence certifies."""
+    level = -1
+    for r in rows[rows["rule"] == TOGETHER].sort_values("step").itertuples():
         if not certified(r.good_lost, r.n_good, limit, error):
             break
-        gain = r.bad_caught - cost * r.good_lost
-        if gain > best:
-            best, cutoff = gain, r.cutoff
-    return cutoff
+        level = r.step
+    out = []
+    for rule in RULES:
+        best, cutoff = 0.0, None
+        for r in rows[rows["rule"] == rule].sort_values("step").itertuples():
+            gain = r.bad_caught - cost * r.good_lost
+            if level >= 0 and r.step <= step_of(rule, level) and gain > best:
+                best, cutoff = gain, r.cutoff
+        if cutoff is not None:
+            out.append((rule, cutoff))
+    return out
+
+
+def _out(rule: str, step: int) -> Column:
+    value, grid = RULES[rule]
+    return F.coalesce(F.expr(value) > F.lit(grid[step]), F.lit(False))
 
 
 def fit(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", label: str = "quality", limit: float = LIMIT, error: float = ERROR, cost: float = COST) -> DataFrame:
@@ -165,20 +189,20 @@ def fit(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: st
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(label).alias("_label"))
     one = measured.where(~base_failed()).groupBy(F.col(key).alias("_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum")).agg(*(F.max(c).alias(c) for c in COUNTS))
     rows = one.join(marks, "_id")
-    steps = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), F.coalesce(F.expr(value) > F.lit(c), F.lit(False)).alias("out")) for rule, (value, grid) in RULES.items() for i, c in enumerate(grid))))
+    tests = [(rule, i, float(c), _out(rule, i)) for rule, (_, grid) in RULES.items() for i, c in enumerate(grid)]
+    tests += [(TOGETHER, i, 0.0, reduce(Column.__or__, (_out(rule, step_of(rule, i)) for rule in RULES))) for i in range(LEVELS)]
+    steps = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), out.alias("out")) for rule, i, c, out in tests)))
     table = rows.select("stratum", (F.col("_label") > 0).alias("good"), steps.alias("s")).select("stratum", "good", "s.*")
     n = table.groupBy("stratum", "rule", "step", "cutoff").agg(
         F.sum(F.col("good").cast("long")).alias("n_good"), F.sum((F.col("good") & F.col("out")).cast("long")).alias("good_lost"),
         F.sum((~F.col("good") & F.col("out")).cast("long")).alias("bad_caught"))
     strata = n.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    rules = len(RULES)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        cutoff = _choose(pdf, limit / rules, error / (rules * int(pdf["strata"].iloc[0])), cost)
-        rows = [] if cutoff is None else [(str(pdf["stratum"].iloc[0]), str(pdf["rule"].iloc[0]), cutoff)]
+        rows = [(str(pdf["stratum"].iloc[0]), *x) for x in _choose(pdf, limit, error / int(pdf["strata"].iloc[0]), cost)]
         return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff"]).astype({"stratum": object, "rule": object, "cutoff": float})
 
-    return n.crossJoin(F.broadcast(strata)).groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff double")
+    return n.crossJoin(F.broadcast(strata)).groupBy("stratum").applyInPandas(choose, "stratum string, rule string, cutoff double")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
