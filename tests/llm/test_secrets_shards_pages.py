@@ -45,6 +45,28 @@ def test_battery_tells_codes_from_words(spark):
     assert not any(rows[len(codes) + i] for i in range(len(words)))
 
 
+def test_battery_decides_on_every_run(spark):
+    """Codes without a digit are tested like others, and so are the parts of a run outside base spans."""
+    rng = random.Random(11)
+
+    def code(alphabet, n, digit=True):
+        while True:
+            c = "".join(rng.choice(alphabet) for _ in range(n))
+            if digit or not re.search("[0-9]", c):
+                return c
+
+    kinds = [(string.ascii_letters, 40), (string.ascii_letters, 64), (string.ascii_uppercase, 40), (string.ascii_lowercase, 40), (string.ascii_letters + string.digits + "+/", 20), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24)]
+    codes = [code(a, n, False) for a, n in kinds for _ in range(40)]
+    words = ["MyVeryLongIdentifierForTheTestCaseThatIsVeryLong", "internationalization", "rechtsschutzversicherungsgesellschaften", "ANTIDISESTABLISHMENTARIANISM", "getUserAccountInformationFromServer", "state-of-the-art-solutions", "--------------------------"]
+    tails = [code(string.ascii_lowercase, 30) for _ in range(40)]
+    docs = documents(spark, [f"see {c} here" for c in codes] + [f"see {w} here" for w in words] + [f"see AKIA{code(string.ascii_uppercase, 16)}{t} here" for t in tails])
+    rows = {r.id: [(x.s, x.e) for x in r["all"] if x.k == 3] for r in S.find(docs).collect()}
+    for i in range(len(kinds)):
+        assert sum(rows[40 * i + j] == [(4, 4 + kinds[i][1])] for j in range(40)) >= 36, kinds[i]
+    assert not any(rows[len(codes) + i] for i in range(len(words)))
+    assert sum(rows[len(codes) + len(words) + i] == [(24, 54)] for i in range(40)) >= 36
+
+
 def test_p_values_are_uniform_for_random_runs(spark):
     rng = random.Random(7)
     runs = spark.createDataFrame([(0, "".join(rng.choice("0123456789abcdef") for _ in range(64))) for _ in range(800)], "s int, m string")

@@ -1,12 +1,13 @@
 """Secrets: three fixed patterns and a battery of randomness tests, in DataFrame functions only.
 
-Base spans come from the patterns ASSIGN, ACCESS and HEX. The battery looks at every other run of 20 or more
-characters that tokens are written with. The smallest alphabet that holds all its characters is its encoding. Three tests
-ask whether its characters are uniform and independent: chi-squared over the alphabet, runs above and below the middle of
-the alphabet, and lag-one serial correlation. Fisher's method joins their p-values. A run is taken for natural text where that
-is rejected with the false-discovery rate held at ``rate`` within its length band (Benjamini-Hochberg over all
-runs of the corpus, on a logarithmic grid of p-values, so that its state is one small table). Runs of a length at which ordinary
-text would not be rejected are no secrets either: the encoding must have shown enough distinct kinds of characters.
+Base spans come from the patterns ASSIGN, ACCESS and HEX. The battery looks at every run of 20 or more characters that tokens
+are written with, whatever characters it holds; of a run that touches base spans, at the whole run and at its parts outside
+them. The smallest alphabet that holds all its characters is its encoding. Three tests ask whether its characters are uniform
+and independent: chi-squared over the alphabet, runs above and below the middle of the alphabet, and lag-one serial
+correlation. Letters alone are written in order of their frequency in text, and a fourth test looks at their mean place: words
+lie far below the middle. Letters of one case count as such from 24 characters (long words of 20 pass for random). Fisher's method joins the p-values. A run is taken for natural text where that is
+rejected with the false-discovery rate held at ``rate`` within its length band (Benjamini-Hochberg over all
+runs of the corpus, on a logarithmic grid of p-values, so that its state is one small table).
 What stays is added as kind ``random``.
 
 Positions are code points, found by splitting a text at a pattern: pieces and matches alternate, so running sums of
@@ -33,18 +34,20 @@ RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 
 RATE = 0.01
+COMMON = "etaoinsrhldcumfpgwybvkxjqz"
 #: encoding -> (pattern of the whole run, alphabet in order, shortest length); tried from the top
 ENCODINGS = {
+    "decimal": (r"^[0-9]+$", "0123456789", 20),
     "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 24),
+    "letters": (r"^([a-z]+|[A-Z]+)$", COMMON, 24),
     "base32": (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24),
     "base36": (r"^([a-z0-9]+|[A-Z0-9]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", 24),
+    "cased": (r"^[A-Za-z]+$", COMMON + COMMON.upper(), 20),
     "base64": (r"^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20),
 }
-FOLDED = ("hex", "base36")
-#: Runs without two kinds of characters, or three where both cases occur, are words, not codes.
-KINDS_NEEDED = "m rlike '[0-9]' and (m rlike '[a-z]' or m rlike '[A-Z]')"
-
-
+FOLDED = ("hex", "letters", "base36")
+RANKED = ("letters", "cased")
+SHORTEST = min(least for *_, least in ENCODINGS.values())
 
 #: Matches are walked in blocks, so that a text with very many of them costs little more than their number.
 BLOCK = 256
@@ -67,14 +70,19 @@ def _quoted(pattern: str) -> str:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, tid (md5 of the text), the base spans (k, s, e) in order, and the runs (s, e, m) that touch none of them."""
+    """id, tid (md5 of the text), the base spans (k, s, e) in order, and the runs (s, e, m): whole, but for those within base spans, and parts outside base spans."""
     src = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     raw = src.select("id", F.md5("t").alias("tid"), spans("t", ASSIGN).alias("assign"), spans("t", ACCESS).alias("access"), spans("t", HEX).alias("hex"), spans("t", RUN).alias("runs"))
     good = raw.withColumn("assign", F.filter("assign", lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6))
     each = [f"transform({k}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))" for i, k in enumerate(KINDS[:3])]
     base = F.expr("array_sort(concat(" + ", ".join(f"coalesce({x}, array())" for x in each) + "))")
     counted = good.withColumns({f"n_{k}": F.coalesce(F.size(F.when(F.col(k).isNotNull(), F.col(k)).otherwise(F.array())), F.lit(0)).cast("long") for k in KINDS[:3]}).withColumn("base", base)
-    return counted.withColumn("runs", F.expr("filter(runs, r -> not exists(base, b -> b.s < r.e and r.s < b.e))")).drop(*KINDS[:3])
+    gap = "named_struct('s', {s}, 'e', {e}, 'm', substring(r.m, {s} - r.s + 1, {e} - {s}))"
+    walk = f"""aggregate(near, named_struct('at', r.s, 'out', filter(array(r), x -> false)), (a, b) -> named_struct('at', greatest(a.at, b.e),
+        'out', if(b.s > a.at, concat(a.out, array({gap.format(s='a.at', e='b.s')})), a.out)), a -> if(a.at < r.e, concat(a.out, array({gap.format(s='a.at', e='r.e')})), a.out))"""
+    parts = f"transform(array({walk}), gaps -> if(size(gaps) = 0, gaps, concat(array(r), filter(gaps, x -> x.e - x.s >= {SHORTEST}))))[0]"
+    split = f"flatten(transform(runs, r -> transform(array(filter(base, b -> b.s < r.e and r.s < b.e)), near -> if(size(near) = 0, array(r), {parts}))[0]))"
+    return counted.withColumn("runs", F.expr(split)).drop(*KINDS[:3])
 
 
 def _tail(z: str) -> str:
@@ -98,9 +106,9 @@ def battery(runs: DataFrame) -> DataFrame:
         {"cov": "aggregate(zip_with(slice(v, 1, int(n) - 1), slice(v, 2, int(n) - 1), (x, y) -> (x - avg) * (y - avg)), 0D, (s, x) -> s + x)", "var": "aggregate(v, 0D, (s, x) -> s + (x - avg) * (x - avg))",
          "chi": "(cbrt(greatest(squares * size / n - n, 0D) / (size - 1)) - (1 - 2 / (9 * (size - 1)))) / sqrt(2 / (9 * (size - 1)))", "mean": "2 * highs * (n - highs) / n + 1"},
         {"spread": "(mean - 1) * (mean - 2) / (n - 1)"},
-        {"p_chi": f"if(chi > 0, {_tail('chi')} / 2, 1 - {_tail('chi')} / 2)", "z_runs": "if(spread > 0, (turns - mean) / sqrt(spread), 40D)", "z_serial": "if(var > 0, cov / var * sqrt(n), 40D)"},
-        {"x": f"-(ln(greatest(p_chi, 1e-300)) + ln(greatest({_tail('z_runs')}, 1e-300)) + ln(greatest({_tail('z_serial')}, 1e-300)))"},
-        {"p": "exp(-x) * (1 + x + x * x / 2)"},
+        {"p_chi": f"if(chi > 0, {_tail('chi')} / 2, 1 - {_tail('chi')} / 2)", "z_runs": "if(spread > 0, (turns - mean) / sqrt(spread), 40D)", "z_serial": "if(var > 0, cov / var * sqrt(n), 40D)", "z_place": "(avg - (size + 1) / 2) / sqrt((size * size - 1) / 12 / n)"},
+        {"x": f"-(ln(greatest(p_chi, 1e-300)) + ln(greatest({_tail('z_runs')}, 1e-300)) + ln(greatest({_tail('z_serial')}, 1e-300)) + if(encoding in {RANKED}, ln(greatest({_tail('z_place')}, 1e-300)), 0D))"},
+        {"p": f"exp(-x) * (1 + x + x * x / 2 + if(encoding in {RANKED}, x * x * x / 6, 0D))"},
     ]
     out = runs
     for k, step in enumerate(steps):
@@ -124,10 +132,11 @@ def natural(tested: DataFrame, rate: float = RATE) -> DataFrame:
 def random_runs(scanned: DataFrame, rate: float = RATE) -> DataFrame:
     """(id, tid, added): spans that the battery takes for secrets; one row for each text that has some."""
     runs = scanned.where(F.size("runs") > 0).select("id", "tid", "runs").dropDuplicates(["id", "tid"]).select("id", "tid", F.inline("runs"))
-    tested = battery(runs.where(F.expr(KINDS_NEEDED))).withColumns({"band": F.floor(2 * F.log2("n")), "bin": F.least(F.floor(-4 * F.ln(F.greatest("p", F.lit(1e-300)))), F.lit(2800))})
+    tested = battery(runs).withColumns({"band": F.floor(2 * F.log2("n")), "bin": F.least(F.floor(-4 * F.ln(F.greatest("p", F.lit(1e-300)))), F.lit(2800))})
     tested = cut(tested.drop("m"))
     kept = tested.join(natural(tested, rate), ["encoding", "band"], "left").where(F.col("cut").isNull() | (F.col("bin") < F.col("cut")))
-    return kept.groupBy("id", "tid").agg(F.collect_list(F.struct("s", F.lit(3).alias("k"), "e")).alias("added"))
+    found = kept.groupBy("id", "tid").agg(F.collect_set(F.struct("s", F.lit(3).alias("k"), "e")).alias("added"))
+    return found.withColumn("added", F.expr("filter(added, x -> not exists(added, y -> y.s <= x.s and x.e <= y.e and y != x))"))  # a part goes with its run
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
