@@ -5,6 +5,8 @@ import re
 import string
 
 import numpy as np
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from thermal_lake.llm import html_extraction as H
 from thermal_lake.llm import secrets as S
@@ -109,6 +111,19 @@ def test_equal_keys_are_split(spark):
     assert sharding.assign(rows).count() == rows.count() and sharding.assign(empty(spark)).count() == 0
 
 
+def test_written_shards_meet_the_limit(spark, tmp_path):
+    """A hot key and a null key hold a third of the rows each."""
+    docs = documents(spark, ["z" * 40] * 120).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, 7).when(F.col("doc_id") % 3 == 1, None).otherwise(F.col("doc_id")))
+    path = str(tmp_path / "shards")
+    sharding.write(docs, path, limit=300, first=4, step=8)
+    got = [pq.ParquetFile(f).read() for f in (tmp_path / "shards").rglob("*.parquet")]
+    assert len(list((tmp_path / "shards").glob("shard=*"))) == len(got) >= 16
+    assert all(sum(len(x) for x in t.column("text").to_pylist()) <= 300 for t in got)
+    want = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in docs.collect())
+    assert sorted((k is None, k or 0, x) for t in got for k, x in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist())) == want
+    assert "shard" not in got[0].column_names and got[0].num_columns == len(docs.columns)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var t="<p>no</p>";</script></head><body class="content">
 <header><h1>Site</h1><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav></header><!-- <p>gone</p> --><div id="cookie-notice">We use cookies, all of them, for you.</div>
 <main><article><header><h1>Head &amp; line</h1></header><p>First  para&shy;graph<br>goes <b>on</b>&nbsp;here.<p>Second &lt;one&gt;.<div class="ad-box">Buy now, it is cheap.</div>

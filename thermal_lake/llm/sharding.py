@@ -8,7 +8,8 @@ still too large, so there are never more than ``2^step`` cells for each oversize
 Cases: a null key is the empty key; a null or empty text has no bytes. A row above the limit gets a shard of its
 own (``oversized``). Rows of one key have equal hashes: if together they pass the limit, they are split on the bits
 of a hash of their row number. Which of several equal rows goes where may differ between runs. An empty table
-gives an empty result. Only the key and the text are read.
+gives an empty result. ``assign`` reads only the key and the text; ``write`` numbers the rows once and writes each to the
+shard of its number, so that the rows of one key (or of none) go where the split put them.
 """
 
 from __future__ import annotations
@@ -55,28 +56,32 @@ def _split(rows: DataFrame, limit: int, first: int, step: int) -> tuple[DataFram
         low, top = top + 1, min(BITS, top + step)
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, first: int = 12, step: int = 8) -> DataFrame:
-    """key, shard (its bits), depth, shard_rows, shard_bytes, oversized, and the slots of the directory that lead to it."""
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, first: int = 12, step: int = 8, row: str | None = None) -> DataFrame:
+    """key, shard (its bits), depth, shard_rows, shard_bytes, oversized, and the slots of the directory that lead to it; and ``row``, a column of stable row numbers of ``docs``, if named."""
     b = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    rows = cut(docs.select(F.col(key).alias("k"), key_bits(F.col(key)).alias("h"), b.alias("b")).withColumn("r", F.monotonically_increasing_id())).withColumn("g", F.lit(0).cast("long"))
+    r = F.col(row) if row else F.monotonically_increasing_id()
+    rows = cut(docs.select(F.col(key).alias("k"), key_bits(F.col(key)).alias("h"), b.alias("b"), r.alias("r"))).withColumn("g", F.lit(0).cast("long"))
     found, equal = _split(rows, limit, first, step)
     bits = F.expr("if(leaf.d = 0, '', lpad(conv(cast(leaf.pre as string), 10, 2), leaf.d, '0'))")
-    out = found.where(F.col("leaf").isNotNull()).select("k", bits.alias("shard"), F.col("leaf.*"))
+    named = ["k", "r"] if row else ["k"]
+    out = found.where(F.col("leaf").isNotNull()).select(*named, bits.alias("shard"), F.col("leaf.*"))
     if equal:
         again = found.where(F.col("leaf").isNull()).select("k", F.col("h").alias("g"), F.expr(f"shiftrightunsigned(xxhash64(h, r), {64 - BITS})").alias("h"), "b", "r")
         more, _ = _split(again, limit, first, step)
         whole = F.concat(F.lpad(F.conv(F.col("g").cast("string"), 10, 2), BITS, "0"), bits)
-        out = out.unionByName(more.select("k", whole.alias("shard"), F.col("leaf.*")).withColumn("d", F.col("d") + BITS))
+        out = out.unionByName(more.select(*named, whole.alias("shard"), F.col("leaf.*")).withColumn("d", F.col("d") + BITS))
     depth = out.agg(F.max("d").alias("top"))
     span = F.expr("if(top > 60, null, shiftleft(1L, top - d))")
     return out.crossJoin(F.broadcast(depth)).select(
-        F.col("k").alias(key), "shard", F.col("d").alias("depth"), F.col("n").alias("shard_rows"), F.col("b").alias("shard_bytes"), (F.col("b") > limit).alias("oversized"),
+        F.col("k").alias(key), *([F.col("r").alias(row)] if row else []), "shard", F.col("d").alias("depth"), F.col("n").alias("shard_rows"), F.col("b").alias("shard_bytes"), (F.col("b") > limit).alias("oversized"),
         (F.col("pre") * span).alias("first_slot"), span.alias("slots"))
 
 
-def write(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
+def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT, first: int = 12, step: int = 8) -> None:
     """One folder for each shard below ``path``; a shard is one task's work, as its bytes are limited."""
-    docs.join(assigned.select(key, "shard").dropDuplicates([key]), key, "left").repartition("shard").write.partitionBy("shard").parquet(path)
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))  # written once, so that a row keeps its number
+    shards = assign(rows, key, text, limit, first, step, "_row").select("_row", "shard")
+    rows.join(shards, "_row").drop("_row").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 SQL = f"""
