@@ -62,6 +62,15 @@ def test_components_equal_all_pairs(spark):
         assert got == brute(dict(enumerate(texts)), k, threshold), (k, threshold, block)
 
 
+def test_short_texts_and_skipped_bands(spark):
+    """Sets of 4 to 6 shingles link at 0.8, and sets of 10 with sets of 17 to 19 at 0.5."""
+    short = [" ".join(f"{x}{i}" for i in range(n)) for x in "abcdef" for n in (8, 9, 10)]
+    far = [" ".join(f"{x}{i}" for i in range(n)) for x in "ghijkl" for n in (13, 20 + ord(x) % 3)]
+    for texts, k, threshold in ((short, 5, 80), (far, 4, 50)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(documents(spark, texts), k=k, threshold=threshold).collect()}
+        assert got == brute(dict(enumerate(texts)), k, threshold) and len({c for _, c in got.values()}) == 6
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.join(docs).collect()), key=str)

@@ -6,8 +6,8 @@ that is, when |A xor B| <= (100 - threshold) / (100 + threshold) * (|A| + |B|).
 1. ``describe`` hashes every text: set size, a fingerprint of the set, and a parity sketch, in which every shingle flips
    one bit. The Hamming distance of two sketches never exceeds |A xor B|. Equal sets become one class, once and for all.
 2. ``pieces`` deals the shingles of a document into p hash classes and XORs the hashes in each: slices of one very long
-   parity sketch. Sizes are banded, so that p can follow size. A document is indexed in its own band and, if something larger
-   by the threshold could lie there, in the next. At most d shingles differ between linked documents of a band, so
+   parity sketch. Sizes are banded, so that p can follow size. A document is indexed in its own band and in every higher one
+   where something larger by the threshold could lie. At most d shingles differ between linked documents of a band, so
    of p = d + 1 + 2s slices at least 2s + 1 agree; each document leaves out its s lightest slices (empty ones, or of one common
    shingle), and one agreeing slice is still indexed on both sides.
 3. ``groups`` sorts equal slices together and ties all their documents to the smallest: a row for each document,
@@ -38,7 +38,7 @@ from thermal_lake.session import cut, scratch_path
 
 from .common import mix, slices, small, span_hash, text_bytes, tidy, windows, words_of
 
-SMALLEST, RATIO = 6, 1.5  # of the bands of set sizes
+RATIO = 1.5  # of the bands of set sizes
 BLOCK = 8192  # documents of a group that one task compares
 SPREAD = 0.1  # share of slices that a document leaves out
 
@@ -62,9 +62,14 @@ def shingles(col: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def bands() -> np.ndarray:
+def smallest(threshold: int) -> int:
+    """The smallest n for which sets of n and n + 1 can link; smaller sets link with equal ones only."""
+    return -(-threshold // (100 - threshold)) if threshold < 100 else 1 << 40
+
+
+def bands(threshold: int) -> np.ndarray:
     """Smallest sizes of the bands; sizes under the first cannot link with a different set."""
-    out = [SMALLEST]
+    out = [smallest(threshold)]
     while out[-1] < 1 << 40:
         out.append(int(out[-1] * RATIO) + 1)
     return np.array(out, np.int64)
@@ -114,15 +119,15 @@ def describe(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 def slice_keys(sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Indexed slices of several sets: the number of the set and the key of the slice."""
-    starts, sizes = bands(), np.array([len(s) for s in sets])
+    starts, sizes = bands(threshold), np.array([len(s) for s in sets])
     all_docs, all_keys = [], []
-    for up in (0, 1):
+    for up in range(len(starts)):
         band = np.searchsorted(starts, sizes, "right") - 1 + up
-        use = sizes >= SMALLEST
+        use = sizes >= starts[0]
         if up:
-            use &= sizes * 100 >= starts[band] * threshold  # something linked may be as large as the next band's first
+            use &= sizes * 100 >= starts[np.minimum(band, len(starts) - 1)] * threshold  # something linked may be as large as that band's first
         if not use.any():
-            continue
+            break
         docs = np.flatnonzero(use)
         n, band = sizes[docs], band[docs]
         most = starts[band + 1] - 1
@@ -151,12 +156,13 @@ def pieces(docs: DataFrame, text: str, k: int, threshold: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         seen: set[int] = set()
+        least = smallest(threshold)
         for batch in batches:
             for part in slices(batch, "t"):
                 new, ids = [], []
                 for s in shingles(part.column(0), k):
                     c = _hashes(s)[0]
-                    if len(s) >= SMALLEST and c not in seen:
+                    if len(s) >= least and c not in seen:
                         seen.add(c)
                         new.append(s)
                         ids.append(c)
