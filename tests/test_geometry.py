@@ -101,6 +101,16 @@ def test_nearest_matches_brute_force(spark):
         assert [got[i][k] for k in (1, 2, 3)] == order.tolist()
 
 
+def test_nearest_finite_searches_on(spark):
+    """Key 1 has its only finite nodes beyond the k nearest; in key 2 the default k reaches the node with most finite instants."""
+    nodes = [(1, i, float(i), 0.0, 0.0, 3 if i >= 40 else 0) for i in range(50)] + [(2, i, float(i), 0.0, 0.0, 9 if i == 200 else 1) for i in range(300)]
+    N = spark.createDataFrame(nodes, "k long, pid long, x double, y double, z double, n_finite long")
+    Q = spark.createDataFrame([(1, 0, 0.2, 0.0, 0.0), (2, 0, 0.2, 0.0, 0.0)], "k long, qid long, x double, y double, z double")
+    got = lambda **a: {r.k: r.pid for r in ME.nearest_finite(Q, N, ["k"], "qid", "pid", **a).collect()}
+    assert got(k=20) == {1: 40, 2: 0} and got() == {1: 40, 2: 200}
+    assert ME.nearest_finite(Q, N.where("n_finite < 0"), ["k"], "qid", "pid").count() == 0
+
+
 def test_skewed_ordered_operators(spark):
     rng = np.random.default_rng(6)
     rows = [("hot", float(v), int(w)) for v, w in zip(rng.permutation(500), rng.integers(0, 9, 500))] + [("cold", float(i), 1) for i in range(5)]

@@ -111,6 +111,16 @@ def best_node(candidates: DataFrame, keys: Sequence[str], qid: str) -> DataFrame
     return candidates.where("n_finite > 0").groupBy(*keys, qid).agg(F.max_by(F.struct(*rest), rank).alias("_r")).select(*keys, qid, "_r.*")
 
 
+def nearest_finite(queries: DataFrame, nodes: DataFrame, keys: Sequence[str], qid: str, pid: str, k: int = 250) -> DataFrame:
+    """``best_node`` of the ``k`` nearest nodes (with their ``n_finite``); queries that have no finite node among these
+    get the best of the ``k`` nearest finite nodes."""
+    keys = list(keys)
+    finite = nodes.where("n_finite > 0")
+    search = lambda q, n: best_node(nearest(q, n, keys, qid, pid, k).join(finite.select(*keys, pid, "n_finite"), [*keys, pid]), keys, qid)
+    found = cut(search(queries, nodes))
+    return found.unionByName(search(queries.join(found.select(*keys, qid), [*keys, qid], "left_anti"), finite))
+
+
 def ray_crossings(points: DataFrame, facets: DataFrame, cells_per_axis: int = 15, flip_normals: bool = False) -> DataFrame:
     """Heights at which the vertical line through each distinct (x, y) meets the mesh.
 
