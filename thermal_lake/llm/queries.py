@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from thermal_lake.session import cut, scratch_path
 
-from . import bpe, decontamination, html_extraction, jaccard_join, language_id, quality_classifier, quality_rules, secrets, sharding, token_files
+from . import bpe, decontamination, html_extraction, jaccard_join, language_id, multi_index, prefix_trie, quality_classifier, quality_rules, secrets, sharding, token_files, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages")
     return html_extraction.label(pages, html_extraction.train(pages), ["page_id", "url"])
+
+
+@query(prefix_trie.SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, each begun with the first turns of the first conversation of its five."""
+    conv = F.col("conv")
+    turns = prefix_trie.positions(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.regrafted(turns, conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9, 8))
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every embedding whose id is divisible by 20, among all others."""
+    entries, book = multi_index.build(table(spark, sf_dir, "embeddings"))
+    return multi_index.search(entries, book, lambda i: i % 20 == 0)
