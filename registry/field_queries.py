@@ -119,10 +119,10 @@ OFF = "SELECT s_suppkey AS sid, CAST(s_suppkey % 2 AS INT) AS pid, s_suppkey % 4
 
 
 @query("J6_nearest_node_fallback", f"""SELECT sid, pid, point_id, {R('dist')} AS distance, n_finite FROM (SELECT *, row_number() OVER (PARTITION BY sid, pid ORDER BY n_finite DESC, dist, point_id) AS best FROM
- (SELECT p.sid, p.pid, n.point_id, n.n_finite, sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2 + (p.z - n.z) ** 2) AS dist, row_number() OVER (PARTITION BY p.sid, p.pid ORDER BY sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2 + (p.z - n.z) ** 2), n.point_id) AS rn FROM ({sub(OFF)}) p JOIN ({sub(NODES)}) n USING (sid)) t WHERE rn <= 20 AND n_finite > 0) u WHERE best = 1""")
+ (SELECT p.sid, p.pid, n.point_id, n.n_finite, sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2 + (p.z - n.z) ** 2) AS dist, row_number() OVER (PARTITION BY p.sid, p.pid ORDER BY sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2 + (p.z - n.z) ** 2), n.point_id) AS rn FROM ({sub(OFF)}) p JOIN ({sub(NODES)}) n USING (sid)) t WHERE rn <= 250 AND n_finite > 0) u WHERE best = 1""")
 def nearest_node(spark, d):
     nodes = view(spark, d, NODES)
-    best = ME.nearest_finite(view(spark, d, OFF), nodes, ["sid"], "pid", "point_id", 20)
+    best = ME.nearest_finite(view(spark, d, OFF), nodes, ["sid"], "pid", "point_id")
     return best.select("sid", "pid", "point_id", rnd("distance").alias("distance"), "n_finite")
 
 

@@ -70,6 +70,18 @@ def resampled(spark, d):
     return GR.resample(view(spark, d, S.GRID), KEY, NX).where("t_c IS NOT NULL").select("dataset", "ix", "iy", "iz", "t_idx", rnd("t_c").alias("t_c"))
 
 
+CLOUD = sub(S.CLOUD)
+_CTARGET = TARGET.replace(f"({GRID})", f"(SELECT * FROM ({CLOUD}) c0 WHERE t_c IS NOT NULL)")
+_NEAR = f"""(SELECT t.dataset, i.t_idx, t.ix, t.iy, t.iz, c.t_c, c.d, row_number() OVER (PARTITION BY t.dataset, i.t_idx, t.ix, t.iy, t.iz ORDER BY c.d, c.point_id) AS rn
+ FROM ({_CTARGET}) t JOIN (SELECT dataset, t_idx FROM cloud GROUP BY 1, 2 HAVING count(*) >= 4) i USING (dataset), LATERAL (SELECT t_c, point_id, sqrt((t.x - q.x) * (t.x - q.x) + (t.y - q.y) * (t.y - q.y) + (t.z - q.z) * (t.z - q.z)) AS d FROM cloud q WHERE q.dataset = t.dataset AND q.t_idx = i.t_idx) c)"""
+
+
+@query("C6_scattered_cloud", f"""WITH cloud AS MATERIALIZED (SELECT * FROM ({CLOUD}) c0 WHERE t_c IS NOT NULL)
+SELECT dataset, t_idx, ix, iy, iz, {R('coalesce(avg(t_c) FILTER (d <= 1e-9), sum(t_c / (d * d)) FILTER (d > 1e-9) / sum(1 / (d * d)) FILTER (d > 1e-9))')} AS t_c FROM {_NEAR} n WHERE rn <= 8 GROUP BY 1, 2, 3, 4, 5""")
+def scattered_cloud(spark, d):
+    return GR.resample_scattered(view(spark, d, S.CLOUD), KEY, "point_id", NX).select("dataset", "t_idx", "ix", "iy", "iz", rnd("t_c").alias("t_c"))
+
+
 # Every row with its dataset's last instant, its rank from there, and the voxel's value at it.
 _TRAIL = f"""(SELECT *, t_min - t_end AS tau, max(CASE WHEN t_min = t_end THEN t_c END) OVER (PARTITION BY dataset, ix, iy, iz) AS a FROM
  (SELECT *, dense_rank() OVER (PARTITION BY dataset ORDER BY t_min DESC) AS r, max(t_min) OVER (PARTITION BY dataset) AS t_end FROM ({GRID}) g) q)"""

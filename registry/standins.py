@@ -45,6 +45,14 @@ FROM (SELECT l_suppkey, l_extendedprice, CAST(floor((l_quantity - 1) / 17) AS IN
 GROUP BY l_suppkey, ix, iy, iz, t_idx
 """.replace("CAST(floor(l_tax * 100 + 0.5) / 3 AS INT) AS iz_, ", "")
 
+# Scattered cloud: every order line is a point of its supplier's cloud in the year it was shipped; no two instants share their points.
+CLOUD = """
+SELECT l_suppkey AS dataset, l_orderkey * 8 + l_linenumber AS point_id, CAST(year(l_shipdate) - 1995 AS INT) AS t_idx, CAST(year(l_shipdate) - 1995 AS DOUBLE) AS t_min,
+       min(l_quantity) * 2 - 50.3E0 + (l_orderkey % 13) * 0.1E0 AS x, min(l_discount) * 300 - 15.2E0 + (l_orderkey % 7) * 0.13E0 AS y,
+       min(l_tax) * 200 + 1.1E0 + (l_orderkey % 5) * 0.17E0 AS z, CASE WHEN l_orderkey % 41 = 0 THEN CAST(NULL AS DOUBLE) ELSE 37 + min(l_extendedprice) / 1000 END AS t_c
+FROM {lineitem} GROUP BY l_suppkey, l_orderkey, l_linenumber, year(l_shipdate)
+"""
+
 # Probe curves: run = four users, even events simulated, odd events measured.
 CURVE = """
 SELECT CAST(floor(user_id / 4) AS BIGINT) AS corr_id, CAST(user_id % 4 + 1 AS INT) AS probe_idx, event_id % 2 AS side, event_id AS seq,

@@ -134,6 +134,31 @@ def resample(field: DataFrame, keys: Sequence[str], n: tuple[int, int, int] = (G
         *keys, *VOXEL, "x", "y", "z", "t_idx", "t_min", "t_c")
 
 
+def resample_scattered(cloud: DataFrame, keys: Sequence[str], pid: str, n: tuple[int, int, int] = (GRID_N,) * 3, margin: float = 0.05,
+                       k: int = 8, power: float = 2.0, box: DataFrame | None = None) -> DataFrame:
+    """C6 for clouds whose points differ from instant to instant: inverse-distance mean of the ``k`` nearest values of the instant.
+
+    Every instant is gridded on ``n`` points per axis of the dataset's widened bounding box, over all instants; instants
+    with fewer than four values are dropped. A grid point that coincides with points of the cloud has their mean. ``pid`` numbers points and
+    breaks ties of distance. Points without a place or value take no part.
+    """
+    from .field import bounding_box
+    from .octree import nearest, placed
+    keys, (_, ny, nz) = list(keys), n
+    good = placed(cloud.where(F.col("t_c").isNotNull()))
+    box = cut(box if box is not None else bounding_box(good, keys, margin))
+    enough = cut(good.groupBy(*keys, "t_idx").agg(F.max("t_min").alias("t_min"), F.count(F.lit(1)).alias("_n")).where("_n >= 4").drop("_n"))
+    target = linspace_grid(box, n).withColumn("_q", (F.col("ix") * ny + F.col("iy")) * nz + F.col("iz"))
+    near = nearest(target.join(enough.select(*keys, "t_idx"), keys), good, [*keys, "t_idx"], "_q", pid, k, "t_c")
+    on, w = F.col("distance") <= 1e-9, F.pow("distance", F.lit(-power))
+    mean = F.coalesce(F.avg(F.when(on, F.col("t_c"))), F.sum(F.when(~on, w * F.col("t_c"))) / F.sum(F.when(~on, w)))
+    out = near.groupBy(*keys, "t_idx", "_q").agg(mean.alias("t_c")).join(enough, [*keys, "t_idx"]).join(box, keys)
+    place = {"ix": F.floor(F.col("_q") / (ny * nz)), "iy": F.floor(F.col("_q") / nz) % ny, "iz": F.col("_q") % nz}
+    out = out.withColumns({i: c.cast("int") for i, c in place.items()})
+    out = out.withColumns({a: F.col(f"{a}_lo") + F.col(f"i{a}") * ((F.col(f"{a}_hi") - F.col(f"{a}_lo")) / (count - 1)) for a, count in zip("xyz", n)})
+    return out.select(*keys, *VOXEL, "x", "y", "z", "t_idx", "t_min", "t_c")
+
+
 def sample_mask(points: DataFrame, voxels: DataFrame, shape: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
     """Nearest voxel of an occupancy mask; outside the grid is empty."""
     j = points.join(shape, list(keys))

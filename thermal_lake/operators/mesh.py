@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..session import cut
 from .field import bounding_box
 from .grid import VOXEL, step_grid
+from .octree import nearest
 from .skew import ranked
 
 MESH = "mesh_id"
@@ -60,43 +60,6 @@ def facet_frames(facets: DataFrame) -> DataFrame:
     return j.select(MESH, "facet_id", *[F.col(f"c.{a}").alias(f"c{a}") for a in "xyz"], *[o.alias(f"n{a}") for a, o in zip("xyz", out)])
 
 
-def nearest(queries: DataFrame, points: DataFrame, keys: Sequence[str], qid: str, pid: str, k: int = 1) -> DataFrame:
-    """The exact ``k`` nearest points of each query within its key: (keys, qid, pid, distance, rn).
-
-    Points are hashed into cubes of a size that holds about ``k`` of them; a query looks into its
-    own and the 26 neighbouring cubes. Its answer is final once the k-th distance is within one
-    cube edge (or every point was seen); the rest is repeated with a four times larger cube.
-    """
-    keys = list(keys)
-    span = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.greatest(*[F.max(a) - F.min(a) for a in "xyz"]).alias("_w"))
-    span = span.withColumn("_h", F.greatest(F.col("_w"), F.lit(1e-6)) / F.greatest(F.lit(1.0), F.cbrt(F.col("_n") / k)))
-    left = cut(queries.select(*keys, qid, "x", "y", "z").join(span, keys))
-    right = cut(points.select(*keys, F.col(pid), "x", "y", "z").join(span.select(*keys, "_h"), keys))
-    found, factor = None, 1.0
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"))
-                                 for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
-    while not left.isEmpty():
-        edge = F.col("_h") * factor
-        cube = lambda df: df.withColumns({f"_c{a}": F.floor(F.col(a) / edge) for a in "xyz"})
-        q = cube(left).withColumn("_o", around).select(
-            *keys, qid, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"), "_n", edge.alias("_e"),
-            *[(F.col(f"_c{a}") + F.col(f"_o.{o}")).alias(f"_c{a}") for a, o in zip("xyz", "abc")])
-        pairs = q.join(cube(right).drop("_h"), [*keys, "_cx", "_cy", "_cz"])
-        d = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2 + (F.col("z") - F.col("_z")) ** 2)
-        w = Window.partitionBy(*keys, qid).orderBy("distance", pid)
-        top = pairs.withColumn("distance", d).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-        per = top.groupBy(*keys, qid).agg(F.count(F.lit(1)).alias("_got"), F.max("distance").alias("_far"), F.max("_n").alias("_n"), F.max("_e").alias("_e"))
-        sure = per.where((F.col("_got") == F.least(F.lit(k), F.col("_n"))) & ((F.col("_far") <= F.col("_e")))).select(*keys, qid)
-        final = cut(top.join(sure, [*keys, qid], "left_semi").select(*keys, qid, pid, "distance", "rn"))
-        found = final if found is None else found.unionByName(final)
-        left = cut(left.join(final.select(*keys, qid).distinct(), [*keys, qid], "left_anti"))
-        factor *= 4
-    if found is None:
-        kinds = ", ".join(f"{c} {t.simpleString()}" for c, t in [(f.name, f.dataType) for f in queries.select(*keys, qid).schema] + [(pid, points.schema[pid].dataType)])
-        found = queries.sparkSession.createDataFrame([], f"{kinds}, distance double, rn int")
-    return found
-
-
 def nearest_facet(queries: DataFrame, facets: DataFrame, qid: str) -> DataFrame:
     """The facet with the nearest centroid, with its normal."""
     frames = facet_frames(facets)
@@ -113,7 +76,7 @@ def best_node(candidates: DataFrame, keys: Sequence[str], qid: str) -> DataFrame
 
 def nearest_finite(queries: DataFrame, nodes: DataFrame, keys: Sequence[str], qid: str, pid: str, k: int = 250) -> DataFrame:
     """``best_node`` of the ``k`` nearest nodes (with their ``n_finite``); queries that have no finite node among these
-    get the best of the ``k`` nearest finite nodes."""
+    get the best of the ``k`` nearest finite nodes. Queries without a place have none."""
     keys = list(keys)
     finite = nodes.where("n_finite > 0")
     search = lambda q, n: best_node(nearest(q, n, keys, qid, pid, k).join(finite.select(*keys, pid, "n_finite"), [*keys, pid]), keys, qid)
