@@ -36,6 +36,11 @@ def shape(spark, d):
     return GR.grid_shape(view(spark, d, S.GRID), KEY)
 
 
+def shape_at(spark, d):
+    """The dataset's grid, for each of its instants."""
+    return shape(spark, d).join(view(spark, d, S.GRID).select("dataset", "t_idx").distinct(), KEY)
+
+
 @query("J11_regular_grid", f"SELECT dataset, ix, iy, iz, {R('x')} AS x, {R('y')} AS y, {R('z')} AS z FROM ({TARGET}) t")
 def regular_grid(spark, d):
     g = GR.linspace_grid(FL.bounding_box(view(spark, d, S.GRID), KEY, 0.05), NX)
@@ -50,19 +55,19 @@ def step_grid(spark, d):
     return g.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("x"), 4).alias("sx"), rnd(F.max("z")).alias("z_max"))
 
 
-QPTS = "SELECT l_suppkey AS dataset, l_orderkey * 8 + l_linenumber AS qid, min(l_quantity) / 2 - 2.3E0 AS x, min(l_discount) * 100 - 1.1E0 AS y, min(l_tax) * 200 + 0.7E0 AS z FROM {lineitem} GROUP BY l_suppkey, l_orderkey * 8 + l_linenumber"
-MASKS = f"SELECT dataset, ix, iy, iz, t_c >= 100 AS occ FROM ({S.GRID}) g WHERE t_idx = 3"
+QPTS = "SELECT l_suppkey AS dataset, l_orderkey * 8 + l_linenumber AS qid, CAST(min(year(l_shipdate)) - 1995 AS INT) AS t_idx, min(l_quantity) / 2 - 2.3E0 AS x, min(l_discount) * 100 - 1.1E0 AS y, min(l_tax) * 200 + 0.7E0 AS z FROM {lineitem} GROUP BY l_suppkey, l_orderkey * 8 + l_linenumber"
+MASKS = f"SELECT dataset, ix, iy, iz, t_c >= 100 AS occ, t_idx FROM ({S.GRID}) g"
 
 
-@query("J10_nearest_mask_sampling", f"""SELECT p.qid, p.dataset, coalesce(p.ux BETWEEN 0 AND p.nx - 1 AND p.uy BETWEEN 0 AND p.ny - 1 AND p.uz BETWEEN 0 AND p.nz - 1 AND m.occ, false) AS inside FROM {located_sql(sub(QPTS))} p LEFT JOIN ({sub(MASKS)}) m ON m.dataset = p.dataset AND m.ix = floor(p.ux + 0.5) AND m.iy = floor(p.uy + 0.5) AND m.iz = floor(p.uz + 0.5)""")
+@query("J10_nearest_mask_sampling", f"""SELECT p.qid, p.dataset, coalesce(p.ux BETWEEN 0 AND p.nx - 1 AND p.uy BETWEEN 0 AND p.ny - 1 AND p.uz BETWEEN 0 AND p.nz - 1 AND m.occ, false) AS inside FROM {located_sql(sub(QPTS))} p LEFT JOIN ({sub(MASKS)}) m ON m.dataset = p.dataset AND m.t_idx = p.t_idx AND m.ix = floor(p.ux + 0.5) AND m.iy = floor(p.uy + 0.5) AND m.iz = floor(p.uz + 0.5)""")
 def nearest_mask(spark, d):
-    return GR.sample_mask(view(spark, d, QPTS), view(spark, d, MASKS), shape(spark, d), KEY).select("qid", "dataset", "inside")
+    return GR.sample_mask(view(spark, d, QPTS), view(spark, d, MASKS), shape_at(spark, d), [*KEY, "t_idx"]).select("qid", "dataset", "inside")
 
 
-@query("J10_linear_distance_sampling", f"""SELECT p.qid, p.dataset, {R('CASE WHEN p.ux BETWEEN 0 AND p.nx - 1 AND p.uy BETWEEN 0 AND p.ny - 1 AND p.uz BETWEEN 0 AND p.nz - 1 THEN coalesce(v, 1e6) ELSE 1e6 END')} AS distance FROM {located_sql(sub(QPTS))} p LEFT JOIN {trilinear_sql(sub(QPTS), 'p.qid, p.dataset', f"SELECT dataset, ix, iy, iz, t_idx, t_min, t_c - 100 AS t_c FROM ({GRID}) g0 WHERE t_idx = 3")} t ON t.qid = p.qid AND t.dataset = p.dataset""")
+@query("J10_linear_distance_sampling", f"""SELECT p.qid, p.dataset, {R('CASE WHEN p.ux BETWEEN 0 AND p.nx - 1 AND p.uy BETWEEN 0 AND p.ny - 1 AND p.uz BETWEEN 0 AND p.nz - 1 THEN coalesce(v, 1e6) ELSE 1e6 END')} AS distance FROM {located_sql(sub(QPTS))} p LEFT JOIN {trilinear_sql(sub(QPTS), 'p.qid, p.dataset', f"SELECT dataset, ix, iy, iz, t_idx, t_min, t_c - 100 AS t_c FROM ({GRID}) g0", "AND s.t_idx = p.t_idx")} t ON t.qid = p.qid AND t.dataset = p.dataset""")
 def linear_distance(spark, d):
-    sdf = view(spark, d, S.GRID).where("t_idx = 3").withColumn("sdf", F.col("t_c") - 100)
-    return GR.sample_distance(view(spark, d, QPTS), GR.cells(sdf, KEY, "sdf"), shape(spark, d), KEY).select("qid", "dataset", rnd("distance").alias("distance"))
+    sdf, keys = view(spark, d, S.GRID).withColumn("sdf", F.col("t_c") - 100), [*KEY, "t_idx"]
+    return GR.sample_distance(view(spark, d, QPTS), GR.halo_tiles(sdf, keys, "sdf"), shape_at(spark, d), keys).select("qid", "dataset", rnd("distance").alias("distance"))
 
 
 @query("C6_resampled_field", f"SELECT dataset, ix, iy, iz, t_idx, {R('v')} AS t_c FROM {trilinear_sql(TARGET, 'p.dataset, p.ix, p.iy, p.iz', f'SELECT * FROM (SELECT *, count(t_c) OVER (PARTITION BY dataset, t_idx) AS nn FROM ({GRID}) g0) g1 WHERE nn >= 4')} t")

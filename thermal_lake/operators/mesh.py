@@ -81,7 +81,8 @@ def nearest_finite(queries: DataFrame, nodes: DataFrame, keys: Sequence[str], qi
     finite = nodes.where("n_finite > 0")
     search = lambda q, n: best_node(nearest(q, n, keys, qid, pid, k).join(finite.select(*keys, pid, "n_finite"), [*keys, pid]), keys, qid)
     found = cut(search(queries, nodes))
-    return found.unionByName(search(queries.join(found.select(*keys, qid), [*keys, qid], "left_anti"), finite))
+    rest = cut(queries.join(found.select(*keys, qid), [*keys, qid], "left_anti"))
+    return found if rest.isEmpty() else found.unionByName(search(rest, finite))
 
 
 def ray_crossings(points: DataFrame, facets: DataFrame, cells_per_axis: int = 15, flip_normals: bool = False) -> DataFrame:

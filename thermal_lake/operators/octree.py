@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 
 from ..functions.nulls import finite
 from ..session import cut
+from .packs import entry, lists, packed, repeated, types_of
 from .skew import broadcast_if_small
 
 LEVELS, STEP = 20, 5
@@ -111,20 +112,6 @@ def tiled(points: DataFrame, keys: Sequence[str], copies: int | None = None, pid
     return reduce(DataFrame.unionByName, done)
 
 
-def _lists(rows: list[tuple[np.ndarray, ...]], types: Sequence[pa.DataType]) -> list[pa.Array]:
-    """One list column for each array of the given rows."""
-    out = []
-    for i, t in enumerate(types):
-        flat = np.concatenate([r[i] for r in rows]) if rows else np.zeros(0)
-        ends = np.cumsum([0, *[len(r[i]) for r in rows]])
-        out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, t)))
-    return out
-
-
-def _flat(col: pa.Array, r: int) -> np.ndarray:
-    return col[r].values.to_numpy(zero_copy_only=False)
-
-
 def _reach(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Least distance of every query to every box, and a distance within which k points must lie."""
     a, b = lo[None] - q[:, None], q[:, None] - hi[None]
@@ -173,48 +160,26 @@ def nearest(queries: DataFrame, points: DataFrame, keys: Sequence[str], qid: str
     cells = tiled(coded(own.join(frames, keys)), keys, k, "_pid")
     content = F.collect_list(F.struct("_pid", "x", "y", "z", *(["_value"] if value else []))).alias("points")
     tiles = cut(cells.groupBy(*keys, "_tile", "_part").agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{a}{e}") for a in "xyz" for e, f in (("_lo", F.min), ("_hi", F.max))], content))
-    entry = F.struct("_tile", "_part", "n", *[f"{a}_{e}" for e in ("lo", "hi") for a in "xyz"])
-    directory = tiles.groupBy(*keys).agg(F.collect_list(entry).alias("dir"))
+    box = F.struct("_tile", "_part", "n", *[f"{a}_{e}" for e in ("lo", "hi") for a in "xyz"])
+    directory = tiles.groupBy(*keys).agg(F.collect_list(box).alias("dir"))
 
     asked = coded(placed(queries.select(*keys, F.col(qid).cast("long").alias("_qid"), "x", "y", "z")).join(frames, keys))
-    sorted_ = asked.repartitionByRange(*keys, "_code").sortWithinPartitions(*keys, "_code", "_qid").select(*keys, "_qid", "x", "y", "z")
-    key_types = ", ".join(f"{c} {sorted_.schema[c].dataType.simpleString()}" for c in keys)
-    nk = len(keys)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
-        for b in batches:
-            changed = np.zeros(b.num_rows, bool)
-            for c in b.columns[:nk]:
-                codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                changed[1:] |= codes[1:] != codes[:-1]
-            starts = np.flatnonzero(changed)
-            cuts = sorted({0, *starts.tolist()})
-            cuts = [j for i, e in zip(cuts, [*cuts[1:], b.num_rows], strict=True) for j in range(i, e, block_rows)]
-            xs = [c.to_numpy(zero_copy_only=False) for c in b.columns[nk:]]
-            rows = [tuple(x[i:e] for x in xs) for i, e in zip(cuts, [*cuts[1:], b.num_rows], strict=True)]
-            first = pa.array(cuts)
-            yield pa.RecordBatch.from_arrays([*[c.take(first) for c in b.columns[:nk]], pa.array(number + np.arange(len(cuts))), *_lists(rows, [pa.int64(), *[pa.float64()] * 3])],
-                                             [*keys, "_block", "qids", "xs", "ys", "zs"])
-            number += len(cuts)
-
-    packed = cut(sorted_.mapInArrow(blocks, f"{key_types}, _block long, qids array<long>, xs array<double>, ys array<double>, zs array<double>"))
+    key_types, nk = types_of(asked, keys), len(keys)
+    blocks = packed(asked, keys, ["_code", "_qid"], ["_qid", "x", "y", "z"], block_rows)
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 block, qids, xs, ys, zs, dir_ = b.columns[nk:]
-                ids, q = _flat(qids, r), np.stack([_flat(c, r) for c in (xs, ys, zs)], 1)
+                ids, q = entry(qids, r), np.stack([entry(c, r) for c in (xs, ys, zs)], 1)
                 fields = [f.to_numpy(zero_copy_only=False) for f in dir_[r].values.flatten()]
                 found = list(visits(q, np.stack(fields[3:6], 1), np.stack(fields[6:9], 1), fields[2], k))
                 at = np.array([t for t, _, _ in found])
                 rows = [(some, ids[some], *q[some].T, bound) for _, some, bound in found]
-                yield pa.RecordBatch.from_arrays([*[c.take(pa.array([r] * len(found))) for c in b.columns[:nk]], block.take(pa.array([r] * len(found))), pa.array(fields[0][at]), pa.array(fields[1][at].astype(np.int32)),
-                                                  *_lists(rows, [pa.int32(), pa.int64(), *[pa.float64()] * 4])], [*keys, "_block", "_tile", "_part", "at", "qids", "xs", "ys", "zs", "bound"])
+                yield pa.RecordBatch.from_arrays([*[repeated(c, r, len(found)) for c in b.columns[:nk]], repeated(block, r, len(found)), pa.array(fields[0][at]), pa.array(fields[1][at].astype(np.int32)),
+                                                  *lists(rows, [pa.int32(), pa.int64(), *[pa.float64()] * 4])], [*keys, "_block", "_tile", "_part", "at", "qids", "xs", "ys", "zs", "bound"])
 
-    wanted = packed.join(directory, keys).select(*keys, "_block", "qids", "xs", "ys", "zs", "dir").mapInArrow(
+    wanted = blocks.join(directory, keys).select(*keys, "_block", "_qid", "x", "y", "z", "dir").mapInArrow(
         asks, f"{key_types}, _block long, _tile long, _part int, at array<int>, qids array<long>, xs array<double>, ys array<double>, zs array<double>, bound array<double>")
     found_types = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     found_schema = f"{key_types}, _block long, at array<int>, qids array<long>, pids array<long>, dists array<double>, vals array<double>"
@@ -225,15 +190,15 @@ def nearest(queries: DataFrame, points: DataFrame, keys: Sequence[str], qid: str
             for r in range(b.num_rows):
                 at, qids, xs, ys, zs, bound, points_ = b.columns[nk + 1 :]
                 fields = [f.to_numpy(zero_copy_only=False) for f in points_[r].values.flatten()]
-                d = np.sqrt(sum((_flat(c, r)[:, None] - p[None]) ** 2 for c, p in zip((xs, ys, zs), fields[1:4], strict=True)))
-                limit = _flat(bound, r)
+                d = np.sqrt(sum((entry(c, r)[:, None] - p[None]) ** 2 for c, p in zip((xs, ys, zs), fields[1:4], strict=True)))
+                limit = entry(bound, r)
                 if d.shape[1] > k:
                     limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
                 i, j = np.nonzero(d <= limit[:, None])
                 take, _ = _smallest(i, d[i, j], fields[0][j], k)
                 i, j = i[take], j[take]
-                rows.append((_flat(at, r)[i], _flat(qids, r)[i], fields[0][j], d[i, j], fields[4][j] if value else np.zeros(0)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: nk + 1], *_lists(rows, found_types)], [*keys, "_block", "at", "qids", "pids", "dists", "vals"])
+                rows.append((entry(at, r)[i], entry(qids, r)[i], fields[0][j], d[i, j], fields[4][j] if value else np.zeros(0)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: nk + 1], *lists(rows, found_types)], [*keys, "_block", "at", "qids", "pids", "dists", "vals"])
 
     hits = wanted.join(tiles.select(*keys, "_tile", "_part", "points"), [*keys, "_tile", "_part"]).select(
         *keys, "_block", "at", "qids", "xs", "ys", "zs", "bound", "points").mapInArrow(scored, found_schema)
