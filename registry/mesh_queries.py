@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from thermal_lake.functions import geometry as G
 from thermal_lake.operators import mesh as ME
 from thermal_lake.operators import voxel as VX
+from thermal_lake.plans import voxelise as VP
 
 from . import standins as S
 from .core import R, query, rnd, sub, table, view
@@ -156,10 +157,58 @@ def mesh_volume(spark, d):
     return ME.mesh_volume(leaning(spark, d)).withColumn("volume", rnd("volume"))
 
 
-@query("C20_voxelised_meshes", f"SELECT mesh_id, count(*) AS n, count(*) FILTER (inside) AS n_occ FROM {_grid_sql(1.0, 1.0)} g GROUP BY 1")
+# Outcome of every mesh file; signatures of every seventh are current, those of the next are of an older file.
+FILES = sub(S.MESH_FILES)
+DONE = f"SELECT ruta, concat('stl_preprocess_v2|malla_k', CAST(mesh_id AS STRING), '.stl|684|', printf('%.6f', mtime_days - CASE WHEN mesh_id % 7 = 1 THEN 1 ELSE 0 END), '|sdf|1.000000') AS signature FROM ({S.MESH_FILES}) f WHERE mesh_id % 7 < 2"
+_N_ANT, _POT = "mesh_id % 4 + 1", "CASE mesh_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 10 ELSE 12.5 END"
+
+
+def _states(wanted: str) -> str:
+    early = f"mesh_id % 5 >= 1 AND mesh_id % 5 <= CASE WHEN {_N_ANT} = 1 THEN 0 WHEN {_POT} = 10 THEN 1 WHEN {_POT} = 5 AND {_N_ANT} IN (2, 3) THEN 2 WHEN {_POT} = 5 THEN 3 ELSE 0 END"
+    return f"""(SELECT mesh_id, ruta, CASE WHEN mesh_id % 11 = 0 THEN 'omitida_metadata' WHEN NOT ({wanted}) THEN 'omitida_filtro' WHEN {early} THEN 'descartada_tiempo' WHEN mesh_id % 7 = 0 THEN 'existente' ELSE 'procesada' END AS outcome,
+ CASE WHEN mesh_id % 11 = 0 THEN 'metadata incompleta: tipo' END AS motivo FROM ({FILES}) f WHERE mesh_id % 13 > 0)"""
+
+
+def mesh_states(spark, d, wanted=None):
+    return VP.states(view(spark, d, S.MESH_FILES), view(spark, d, DONE.replace("printf", "format_string")), 1.0, "sdf", wanted)
+
+
+@query("C20_file_outcomes", f"SELECT mesh_id, ruta, outcome, motivo FROM {_states('true')} s")
+def mesh_outcomes(spark, d):
+    return mesh_states(spark, d).select("mesh_id", "ruta", "outcome", "motivo")
+
+
+@query("C20_outcome_counters", f"SELECT o.outcome, count(s.mesh_id) AS n FROM (VALUES ('omitida_metadata'), ('omitida_filtro'), ('descartada_tiempo'), ('existente'), ('procesada')) o(outcome) LEFT JOIN {_states('mesh_id % 4 = 1 AND mesh_id % 9 = 3')} s USING (outcome) GROUP BY 1")
+def mesh_counters(spark, d):
+    return VP.counters(mesh_states(spark, d, {"antena": "2ant", "caso": 3.0}))
+
+
+def _mesh_voxels(reach: str) -> str:
+    """Occupancy, signed and clipped distance of every voxel of the meshes that are processed."""
+    axis = lambda name, size: f"(SELECT mesh_id, CAST(i AS INT) AS i{name}, i - 1.0 AS {name} FROM box, range(0, 60) r(i) WHERE i <= floor({size} + 2 + 1e-9))"
+    grid = f"""g AS MATERIALIZED (SELECT box.mesh_id AS dist_id, ix, iy, iz, z > 0 AND z < c AND y >= 0 AND y <= b AND x - 0.2637 * z > 0 AND x - 0.2637 * z < a AS occ
+ FROM box JOIN {axis('x', 'a + 0.2637 * c')} gx USING (mesh_id) JOIN {axis('y', 'b')} gy USING (mesh_id) JOIN {axis('z', 'c')} gz USING (mesh_id))"""
+    return f"""WITH box AS (SELECT * FROM ({sub(S.BOX_SIZE)}) b JOIN {_states('true')} s USING (mesh_id) WHERE outcome = 'procesada'), {grid}, {_edt('fo', 'b.occ')}, {_edt('fe', 'NOT b.occ')}
+SELECT dist_id AS mesh_id, g.ix, g.iy, g.iz, occ, {reach} FROM g JOIN fo USING (dist_id, ix, iy, iz) JOIN fe USING (dist_id, ix, iy, iz)"""
+
+
+def _edt(name: str, flag: str) -> str:
+    return f"""{name}1 AS (SELECT a.dist_id, a.ix, a.iy, a.iz, min((a.ix - b.ix) ** 2) FILTER ({flag}) AS f FROM g a JOIN g b USING (dist_id, iy, iz) GROUP BY 1, 2, 3, 4),
+ {name}2 AS (SELECT a.dist_id, a.ix, a.iy, a.iz, min((a.iy - b.iy) ** 2 + b.f) AS f FROM {name}1 a JOIN {name}1 b USING (dist_id, ix, iz) GROUP BY 1, 2, 3, 4),
+ {name} AS (SELECT a.dist_id, a.ix, a.iy, a.iz, min((a.iz - b.iz) ** 2 + b.f) AS f FROM {name}2 a JOIN {name}2 b USING (dist_id, ix, iy) GROUP BY 1, 2, 3, 4)"""
+
+
+@query("C20_voxelised_meshes", _mesh_voxels(f"{R('sqrt(fo.f) - sqrt(fe.f)')} AS sdf, {R('greatest(-2.0, least(2.0, sqrt(fo.f) - sqrt(fe.f)))')} AS tsdf"))
 def voxelised(spark, d):
-    v = ME.voxelised(leaning(spark, d), 1.0)
-    return v.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("occ").alias("n_occ"))
+    v, _, _ = VP.voxelise(view(spark, d, S.MESH_FILES), leaning(spark, d), view(spark, d, DONE.replace("printf", "format_string")), 1.0)
+    return v.select("mesh_id", "ix", "iy", "iz", "occ", rnd("sdf").alias("sdf"), rnd("tsdf").alias("tsdf"))
+
+
+@query("C20_truncated_meshes", _mesh_voxels(f"{R('greatest(-2.0, least(2.0, sqrt(fo.f) - sqrt(fe.f)))')} AS tsdf").replace("WHERE outcome = 'procesada'", "WHERE outcome IN ('procesada', 'existente')"))
+def truncated_meshes(spark, d):
+    none = spark.createDataFrame([], "ruta string, signature string")
+    v, _, _ = VP.voxelise(view(spark, d, S.MESH_FILES), leaning(spark, d), none, 1.0, "tsdf")
+    return v.select("mesh_id", "ix", "iy", "iz", "occ", rnd("tsdf").alias("tsdf"))
 
 
 @query("J9_mask_overlap", f"""WITH a AS ({MASK}), b AS (SELECT dist_id, ix + 1 AS ix, iy, iz FROM a) SELECT coalesce(a.dist_id, b.dist_id) AS dist_id, count(a.ix) AS n_a, count(b.ix) AS n_b, count(*) FILTER (a.ix IS NOT NULL AND b.ix IS NOT NULL) AS n_both
@@ -188,13 +237,21 @@ def single_region(spark, d):
     return VX.region_counts(view(spark, d, S.MASK), ["dist_id"])
 
 
+def _corners() -> str:
+    """Corners of both facets of a face: 0, p, r of the face's four, counted from a corner of the voxel."""
+    text = ["000", "001", "011", "010"], ["100", "110", "111", "101"], ["000", "100", "101", "001"], ["010", "011", "111", "110"], ["000", "010", "110", "100"], ["001", "101", "111", "011"]
+    at = lambda k, a: f"CAST(m.i{'xyz'[a]} + CAST(substring(CASE q.face {' '.join(f'WHEN {i} THEN ' + repr(' '.join(c)) for i, c in enumerate(text))} END, 4 * ({k}) + {a + 1}, 1) AS INT) AS DOUBLE)"
+    return ", ".join(f"{at(k, a)} AS {'xyz'[a]}{n}" for n, k in ((1, "0"), (2, "t.p"), (3, "t.r")) for a in range(3))
+
+
 _DIRS = "(VALUES (0, -1, 0, 0), (1, 1, 0, 0), (2, 0, -1, 0), (3, 0, 1, 0), (4, 0, 0, -1), (5, 0, 0, 1)) q(face, a, b, c)"
 
 
-@query("C16_boundary_surface", f"""WITH m AS ({MASK}) SELECT m.dist_id, CAST(q.face AS INT) AS face, count(*) * 2 AS facets, CAST(sum(m.ix) AS BIGINT) AS s_ix FROM m, {_DIRS} WHERE NOT EXISTS (SELECT 1 FROM m n WHERE n.dist_id = m.dist_id AND n.ix = m.ix + a AND n.iy = m.iy + b AND n.iz = m.iz + c) GROUP BY 1, 2""")
+@query("C16_boundary_surface", f"""WITH m AS ({MASK}) SELECT m.dist_id, m.ix, m.iy, m.iz, CAST(q.face AS INT) AS face, CAST(t.half AS INT) AS half, {_corners()} FROM m, {_DIRS}, (VALUES (0, 1, 2), (1, 2, 3)) t(half, p, r)
+ WHERE NOT EXISTS (SELECT 1 FROM m n WHERE n.dist_id = m.dist_id AND n.ix = m.ix + a AND n.iy = m.iy + b AND n.iz = m.iz + c)""")
 def boundary_surface(spark, d):
     s = ME.voxel_surface(view(spark, d, S.MASK), ["dist_id"])
-    return s.groupBy("dist_id", "face").agg(F.count(F.lit(1)).alias("facets"), F.sum(F.when(F.col("half") == 0, F.col("ix"))).alias("s_ix"))
+    return s.select("dist_id", "ix", "iy", "iz", "face", "half", *[F.col(f"v{k}.{a}").alias(f"{a}{k}") for k in (1, 2, 3) for a in "xyz"])
 
 
 # Complete 10 x 11 x 9 grid per supplier.
@@ -210,12 +267,6 @@ def voxel_grid(spark, d):
     return g.join(occ, ["dist_id", "ix", "iy", "iz"], "left").withColumn("occ", F.coalesce("occ", F.lit(False)))
 
 
-def _edt(name: str, flag: str) -> str:
-    return f"""{name}1 AS (SELECT a.dist_id, a.ix, a.iy, a.iz, min((a.ix - b.ix) ** 2) FILTER ({flag}) AS f FROM g a JOIN g b USING (dist_id, iy, iz) GROUP BY 1, 2, 3, 4),
- {name}2 AS (SELECT a.dist_id, a.ix, a.iy, a.iz, min((a.iy - b.iy) ** 2 + b.f) AS f FROM {name}1 a JOIN {name}1 b USING (dist_id, ix, iz) GROUP BY 1, 2, 3, 4),
- {name} AS (SELECT a.dist_id, a.ix, a.iy, a.iz, min((a.iz - b.iz) ** 2 + b.f) AS f FROM {name}2 a JOIN {name}2 b USING (dist_id, ix, iy) GROUP BY 1, 2, 3, 4)"""
-
-
 _SDF = f"""WITH g AS MATERIALIZED (SELECT g0.*, o.ix IS NOT NULL AS occ FROM ({_G}) g0 LEFT JOIN ({sub(OCC)}) o ON o.dist_id = g0.dist_id AND o.ix = g0.ix AND o.iy = g0.iy AND o.iz = g0.iz), {_edt('fo', 'b.occ')}, {_edt('fe', 'NOT b.occ')}"""
 
 

@@ -144,6 +144,12 @@ SELECT mesh_id, CAST(facet_id AS BIGINT) AS facet_id,
        x3 * a + 0.25E0 * z3 * c AS x3, y3 * b AS y3, z3 * c AS z3
 FROM ({BOX_SIZE}) s CROSS JOIN {_CUBE}
 """
+# One mesh file per supplier; some lie in quarantine, some name no type.
+MESH_FILES = """
+SELECT s_suppkey AS mesh_id, concat('stl/', CASE WHEN s_suppkey % 13 = 0 THEN 'Repetidos/' ELSE '' END, CASE WHEN s_suppkey % 11 = 0 THEN 'otro' ELSE {K} END, '/', CAST(s_suppkey % 4 + 1 AS STRING),
+       'ant/Caso_', CAST(s_suppkey % 9 AS STRING), '/Potencia_', CASE s_suppkey % 3 WHEN 0 THEN '5' WHEN 1 THEN '10' ELSE '12p5' END, 'W/Tiempo_', CAST(s_suppkey % 5 AS STRING), 'min/malla_k', CAST(s_suppkey AS STRING), '.stl') AS ruta,
+       CAST(684 AS BIGINT) AS bytes, 739000 + s_suppkey / 8 AS mtime_days FROM {supplier}
+""".replace("{K}", kind("s_suppkey"))
 MESH_POINTS = """
 SELECT l_suppkey AS mesh_id, l_orderkey * 8 + l_linenumber AS qid, min(l_quantity) / 4 - 0.137E0 AS x, min(l_discount) * 100 - 1.213E0 AS y,
        min(l_tax) * 100 * 1.25E0 - 0.731E0 AS z

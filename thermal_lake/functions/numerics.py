@@ -112,14 +112,34 @@ def ssa_forecast(model: dict, t: np.ndarray) -> np.ndarray:
 
 
 def parabola_pass(values: np.ndarray) -> np.ndarray:
-    """Row-wise lower envelope: out[r, i] = min over j of (i - j)^2 + values[r, j]."""
-    n = values.shape[1]
-    i = np.arange(n)
-    cost = (i[:, None] - i[None, :]) ** 2
-    out = np.empty_like(values, dtype=float)
-    chunk = max(1, 4_000_000 // max(1, n * n))
-    for a in range(0, len(values), chunk):
-        out[a:a + chunk] = (values[a:a + chunk, None, :] + cost[None]).min(axis=2)
+    """Row-wise lower envelope: out[r, i] = min over j of (i - j)^2 + values[r, j].
+
+    The parabolas that are lowest somewhere are kept on a stack per row, with the place where each takes over from the one before; rows
+    are worked on together, so the cost grows with the length of a row.
+    """
+    rows, n = values.shape
+    f = values.astype(float, copy=False)
+    top, on = np.zeros(rows, np.int64), np.arange(rows)
+    apex, start = np.zeros((rows, n), np.int64), np.full((rows, n + 1), np.inf)
+    start[:, 0] = -np.inf
+    for j in range(1, n):
+        at, take = np.empty(rows), on
+        while len(take):
+            v = apex[take, top[take]]
+            at[take] = ((f[take, j] + j * j) - (f[take, v] + v * v)) / (2 * (j - v))
+            take = take[at[take] <= start[take, top[take]]]
+            top[take] -= 1
+        top += 1
+        apex[on, top], start[on, top] = j, at
+        start[on, top + 1] = np.inf
+    out, k = np.empty(values.shape), np.zeros(rows, np.int64)
+    for i in range(n):
+        move = on[start[on, k + 1] < i]
+        while len(move):
+            k[move] += 1
+            move = move[start[move, k[move] + 1] < i]
+        v = apex[on, k]
+        out[:, i] = (i - v) ** 2 + f[on, v]
     return out
 
 

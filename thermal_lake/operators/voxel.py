@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numerics
 from ..session import cut
 from .grid import VOXEL
+from .packs import repeated, types_of
 
 SLAB = 8  # planes per group of the distance transform
 SIDE = 21  # bits per coordinate in a packed voxel id
@@ -145,7 +147,8 @@ def signed_distance(voxels: DataFrame, keys: Sequence[str], resolution: Column |
 
     The squared distance separates by axis: one pass handles x and y for slabs of a few planes, a
     second one handles z for bundles of 16 x 16 columns. Both kinds of group are bounded by the
-    grid's axes and never hold a whole grid. ``truncate`` clips to two voxels.
+    grid's axes and never hold a whole grid. NULL where a grid has no opposite voxel. ``truncate`` clips to two voxels; if only
+    that is wanted, :func:`truncated_distance` reads no more than the neighbourhood.
     """
     keys = list(keys)
     key_types = ", ".join(f"{k} {voxels.schema[k].dataType.simpleString()}" for k in keys)
@@ -183,3 +186,45 @@ def signed_distance(voxels: DataFrame, keys: Sequence[str], resolution: Column |
     if truncate:
         d = F.greatest(-2 * res, F.least(2 * res, d))
     return second.withColumn("sdf", d).drop("f_occ", "f_emp")
+
+
+def truncated_distance(voxels: DataFrame, keys: Sequence[str], resolution: Column | float = 1.0, reach: int = 2, edge: int = 16) -> DataFrame:
+    """Signed distance clipped to ``reach`` voxels, as ``tsdf``, with ``occ``.
+
+    What lies farther away does not matter, so a tile of ``edge`` voxels per axis needs no more than ``reach`` voxels of its
+    neighbours; a voxel is sent to the tiles it is that close to, and no group spans an axis of the grid.
+    """
+    keys, place, side = list(keys), ("tx", "ty", "tz"), edge + 2 * reach
+    near = lambda c: F.array_compact(F.array(F.lit(0), F.when(F.col(c) % edge < reach, F.lit(-1)), F.when(F.col(c) % edge >= edge - reach, F.lit(1))))
+    s = voxels.select(*keys, *VOXEL, "occ")
+    for c, t in zip(VOXEL, place):
+        s = s.withColumn(t, F.explode(F.transform(near(c), lambda o: (F.floor(F.col(c) / edge) + o).cast("int"))))
+    x, y, z = (F.col(c) - F.col(t) * edge + reach for c, t in zip(VOXEL, place))
+    tiles = s.where("tx >= 0 AND ty >= 0 AND tz >= 0").groupBy(*keys, *place).agg(F.collect_list(F.struct(((x * side + y) * side + z).cast("int").alias("at"), "occ")).alias("voxels"))
+    steps = sorted((a * a + b * b + c * c, a, b, c) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) for c in range(-reach, reach + 1))
+    nk, own = len(keys), slice(reach, reach + edge)
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                at, occ = (f.to_numpy(zero_copy_only=False) for f in b.columns[nk + 3][r].values.flatten())
+                here = np.full((side,) * 3, -1, np.int8)
+                here.reshape(-1)[at] = occ
+                d = np.full((edge,) * 3, float(reach))
+                mine, open_ = here[own, own, own], np.full((edge,) * 3, True)
+                for square, i, j, k in steps:
+                    if 0 < square <= reach * reach:
+                        other = here[reach + i : reach + i + edge, reach + j : reach + j + edge, reach + k : reach + k + edge]
+                        hit = open_ & (other >= 0) & (other != mine)
+                        d[hit] = np.sqrt(square)
+                        open_ &= ~hit
+                index = np.argwhere(mine >= 0)
+                if len(index):
+                    corner = [b.columns[nk + i][r].as_py() * edge for i in range(3)]
+                    inside = mine[tuple(index.T)] == 1
+                    signed = d[tuple(index.T)] * np.where(inside, -1, 1)
+                    yield pa.RecordBatch.from_arrays([*[repeated(c, r, len(index)) for c in b.columns[:nk]], *[pa.array((index[:, i] + corner[i]).astype(np.int32)) for i in range(3)], pa.array(inside), pa.array(signed)],
+                                                     [*keys, *VOXEL, "occ", "tsdf"])
+
+    res = resolution if isinstance(resolution, Column) else F.lit(float(resolution))
+    return tiles.mapInArrow(distances, types_of(tiles, keys) + ", ix int, iy int, iz int, occ boolean, tsdf double").withColumn("tsdf", F.col("tsdf") * res)
