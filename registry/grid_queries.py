@@ -155,6 +155,32 @@ def volume_analysis(spark, d):
     return curve.select("dataset", "method", "t_min", rnd("sigma", 3).alias("sigma"), rnd("volume", 3).alias("volume"))
 
 
+def _full_analysis() -> str:
+    """Resampled field, line and quadratic beyond it, all of it corrected, as volumes."""
+    from .field_queries import _FAC
+    res = f"(SELECT dataset, ix, iy, iz, t_idx, t_min, v AS t_c FROM {trilinear_sql(TARGET, 'p.dataset, p.ix, p.iy, p.iz', f'SELECT * FROM (SELECT *, count(t_c) OVER (PARTITION BY dataset, t_idx) AS nn FROM ({GRID}) g0) g1 WHERE nn >= 4')} t)"
+    on = lambda text: text.replace(f"({GRID})", "res")
+    quad = f"(SELECT dataset, ix, iy, iz, CAST(m AS DOUBLE) AS t_min, a + b * (m - t_end) + c * (m - t_end) * (m - t_end) AS t_c, rmse * (1 + (m - t_end) / span) AS sigma FROM {on(_QUAD)} l, range(1, 10) r(m) WHERE m > t_end AND span > 0)"
+    return f"""WITH res AS MATERIALIZED (SELECT * FROM {res} r0), ext AS (SELECT dataset, 'fuente' AS method, ix, iy, iz, t_min, t_c, CAST(NULL AS DOUBLE) AS sigma FROM res
+ UNION ALL SELECT dataset, 'gradiente_local', ix, iy, iz, t_min, t_c, sigma FROM {on(_LINX)} l UNION ALL SELECT dataset, 'lowess_cuadratico', ix, iy, iz, t_min, t_c, sigma FROM {quad} q),
+ b AS (SELECT r.* FROM res r JOIN (SELECT dataset, min(t_min) AS t_min FROM res GROUP BY 1) f USING (dataset, t_min)), pl AS (SELECT dataset, ix, iy, iz, z, {_ZN} AS zn FROM ({TARGET}) t0),
+ vol AS (SELECT dataset, {' * '.join(f'({a}_hi - {a}_lo) / {m - 1}' for a, m in zip('xyz', NX))} AS voxel FROM (SELECT dataset, {_BOX} FROM ({GRID}) g GROUP BY 1) bx),
+ c AS (SELECT e.*, s.s_nationkey AS corr_id, zo.exp_max, CASE WHEN e.t_min >= 1 - 1e-9 THEN b.t_c + zo.offset_c + fa.f * (e.t_c - b.t_c) ELSE e.t_c END AS moved FROM ext e JOIN pl USING (dataset, ix, iy, iz) LEFT JOIN b USING (dataset, ix, iy, iz)
+ JOIN supplier s ON s.s_suppkey = e.dataset JOIN ({sub(S.ZONES)}) zo ON zo.corr_id = s.s_nationkey AND zo.zone_id = pl.zn JOIN {_FAC} fa ON fa.corr_id = s.s_nationkey AND fa.zone_id = pl.zn AND fa.t = least(e.t_min - 1, 4.4))
+SELECT c.dataset, CAST(corr_id AS BIGINT) AS corr_id, method, t_min, {R('avg(sigma)', 4)} AS sigma, {R('count(*) FILTER (t_c >= 80) * max(voxel)')} AS volume, {R('count(*) FILTER (moved IS NOT NULL AND least(moved, 120, exp_max) >= 80) * max(voxel)')} AS volume_corr FROM c JOIN vol USING (dataset) GROUP BY 1, 2, 3, 4"""
+
+
+def full_curves(spark, d):
+    pairs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dataset"), F.col("s_nationkey").cast("long").alias("corr_id"))
+    _, curve = V4.from_field(view(spark, d, S.GRID), KEY, 9.0, NX, 80.0, (pairs, view(spark, d, S.ZONES), view(spark, d, S.KNOTS)))
+    return curve.select("dataset", "corr_id", "method", "t_min", rnd("sigma", 4).alias("sigma"), rnd("volume").alias("volume"), rnd("volume_corr").alias("volume_corr"))
+
+
+@query("C7_full_analysis")
+def full_analysis(spark, d):
+    return full_curves(spark, d)
+
+
 @query("C8_method_choice", f"SELECT dataset, ix, iy, iz, t_min, {R('t_c')} AS t_shown FROM {_LINX} t")
 def method_choice(spark, d):
     x = GR.chosen_method(GR.extrapolations(view(spark, d, S.GRID), KEY, 9.0), "Gradiente local").withColumn("t_corr", F.lit(None).cast("double"))
@@ -164,6 +190,11 @@ def method_choice(spark, d):
 _ZN = "CASE WHEN z < 21.9 THEN 1 WHEN z < 28.5 THEN 2 WHEN z < 35.1 THEN 3 ELSE 4 END"
 
 
+@query("C7_full_analysis_trends", _full_analysis())
+def full_trends(spark, d):
+    return full_curves(spark, d).where("method != 'pca_temporal'")
+
+
 def _reapplied() -> str:
     from .field_queries import _FAC
     return f"""SELECT g.dataset, ix, iy, iz, g.t_min, {R("least(CASE WHEN g.t_min >= 1 - 1e-9 THEN b + zo.offset_c + fa.f * (t_c - b) ELSE t_c END, 120, zo.exp_max)")} AS t_corr FROM (SELECT *, first_value(t_c) OVER (PARTITION BY dataset, ix, iy, iz ORDER BY t_min) AS b, {_ZN} AS zn FROM ({GRID}) g0) g

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..session import cut
 from .packs import entry, packed, repeated, types_of
-from .skew import carried, spread
+from .skew import broadcast_if_small, carried, spread
 
 VOXEL = ("ix", "iy", "iz")
 CORNERS = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
@@ -22,6 +22,8 @@ CORNERS = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
 GRID_N, TRAIL, ENERGY, AXIS_CAP = 45, 12, 0.99, 95
 PLACE = ("tx", "ty", "tz")
 TILE, PACK = 16, 4096  # cells per axis of a tile, queries per pack
+# Rows of instants or shapes that may be broadcast, some 50 bytes each.
+INSTANT_ROWS = 200_000
 
 
 def linspace_grid(box: DataFrame, n: tuple[int, int, int] = (GRID_N,) * 3) -> DataFrame:
@@ -56,20 +58,40 @@ def voxel_volume(box: DataFrame, n: tuple[int, int, int]) -> DataFrame:
     return box.withColumn("voxel", v)
 
 
-def halo_tiles(source: DataFrame, keys: Sequence[str], value: str, edge: int = TILE) -> DataFrame:
-    """Dense tiles of ``edge`` cells per axis, with the voxels on their upper border: (keys, tx, ty, tz, at, v).
+def halo_tiles(source: DataFrame, keys: Sequence[str], value: str, edge: int = TILE, extra: Sequence[str] = ()) -> DataFrame:
+    """Dense tiles of ``edge`` cells per axis, with the voxels on their upper border: (keys, tx, ty, tz, voxels).
 
     A cell needs its eight corners, so a tile also holds the next voxel along each axis. Only voxels on a border are sent to more
-    than one tile (at most eight): with 16 cells per axis a field travels 1.2 times. ``at`` is a voxel's place in its tile.
+    than one tile (at most eight): with 16 cells per axis a field travels 1.2 times. ``voxels`` lists place in the tile, value and ``extra``.
     """
     corner = lambda i: F.when((F.col(i) % edge == 0) & (F.col(i) > 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    s = source.select(*keys, *VOXEL, F.col(value).cast("double").alias("v"))
+    s = source.select(*keys, *VOXEL, F.col(value).cast("double").alias("v"), *extra)
     for i, t in zip(VOXEL, PLACE):
         s = s.withColumn(f"_{t}", F.explode(corner(i)))  # 1: seen from the tile before
     s = s.withColumns({t: (F.floor(F.col(i) / edge) - F.col(f"_{t}")).cast("int") for i, t in zip(VOXEL, PLACE)})
     x, y, z = (F.col(i) - F.col(t) * edge for i, t in zip(VOXEL, PLACE))
     at = ((x * (edge + 1) + y) * (edge + 1) + z).cast("int")
-    return s.groupBy(*keys, *PLACE).agg(F.collect_list(F.struct(at.alias("at"), "v")).alias("voxels"))
+    return s.groupBy(*keys, *PLACE).agg(F.collect_list(F.struct(at.alias("at"), "v", *extra)).alias("voxels"))
+
+
+def _at_tiles(queries: DataFrame, tiles: DataFrame, keys: Sequence[str], columns: Sequence[str], edge: int) -> tuple[DataFrame, list[str]]:
+    """Packs of located queries, each with its tile; the list columns are ``columns``, then cells (within the tile) and offsets."""
+    on = [*keys, *PLACE]
+    q = queries.withColumns({t: F.floor(F.col(f"c{a}") / edge).cast("int") for a, t in zip("xyz", PLACE)})
+    q = q.withColumns({f"c{a}": (F.col(f"c{a}") - F.col(t) * edge).cast("int") for a, t in zip("xyz", PLACE)})
+    carry = [*columns, *[f"{p}{a}" for p in "cw" for a in "xyz"]]
+    return packed(q.select(*on, *carry), on, ["cx", "cy", "cz"], carry, PACK).join(tiles, on, "left"), carry
+
+
+def _trilinear(dense: np.ndarray, side: int, cells: Sequence[np.ndarray], offsets: Sequence[np.ndarray]) -> np.ndarray:
+    """Weighted corner sums of a tile (a row per voxel, in x, y, z order), per query and column; outside 0..1 the offsets extrapolate."""
+    (cx, cy, cz), (wx, wy, wz) = cells, offsets
+    first = (cx.astype(np.int64) * side + cy) * side + cz
+    out = np.zeros((len(first), dense.shape[1]))
+    for a, e, o in CORNERS:
+        w = (wx if a else 1 - wx) * (wy if e else 1 - wy) * (wz if o else 1 - wz)
+        out += dense[first + (a * side + e) * side + o] * w[:, None]
+    return out
 
 
 def sampled(queries: DataFrame, tiles: DataFrame, keys: Sequence[str], extra: Sequence[str], columns: Sequence[str], edge: int = TILE) -> DataFrame:
@@ -80,31 +102,49 @@ def sampled(queries: DataFrame, tiles: DataFrame, keys: Sequence[str], extra: Se
     Queries travel in packs, a pack meets its tile once, and a sample is a look-up in the tile's array.
     """
     keys, extra, columns = list(keys), list(extra), list(columns)
-    on = [*keys, *PLACE]
-    q = queries.withColumns({t: F.floor(F.col(f"c{a}") / edge).cast("int") for a, t in zip("xyz", PLACE)})
-    q = q.withColumns({f"c{a}": (F.col(f"c{a}") - F.col(t) * edge).cast("int") for a, t in zip("xyz", PLACE)})
-    carry = [*columns, *[f"{p}{a}" for p in "cw" for a in "xyz"]]
-    packs = packed(q.select(*on, *carry), on, ["cx", "cy", "cz"], carry, PACK)
-    j = packs.join(tiles, on, "left").select(*keys, *extra, "voxels", *carry)
+    j, carry = _at_tiles(queries, tiles, keys, columns, edge)
     nk, n, side = len(keys) + len(extra), len(columns), edge + 1
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 voxels, *cols = b.columns[nk:]
-                cx, cy, cz, wx, wy, wz = (entry(c, r) for c in cols[n:])
-                value = np.full(len(cx), np.nan)
+                place = [entry(c, r) for c in cols[n:]]
+                value = np.full((len(place[0]), 1), np.nan)
                 if voxels[r].is_valid:
                     at, v = (f.to_numpy(zero_copy_only=False) for f in voxels[r].values.flatten())
-                    dense = np.full(side**3, np.nan)
-                    np.fmax.at(dense, at, v.astype(float))
-                    value = np.zeros(len(cx))
-                    first = (cx.astype(np.int64) * side + cy) * side + cz
-                    for a, e, o in CORNERS:
-                        value += dense[first + (a * side + e) * side + o] * (wx if a else 1 - wx) * (wy if e else 1 - wy) * (wz if o else 1 - wz)
-                yield pa.RecordBatch.from_arrays([*[repeated(c, r, len(cx)) for c in b.columns[:nk]], *[c[r].values for c in cols[:n]], pa.array(value, mask=np.isnan(value))], [*keys, *extra, *columns, "value"])
+                    dense = np.full((side**3, 1), np.nan)
+                    np.fmax.at(dense[:, 0], at, v.astype(float))
+                    value = _trilinear(dense, side, place[:3], place[3:])
+                yield pa.RecordBatch.from_arrays([*[repeated(c, r, len(value)) for c in b.columns[:nk]], *[c[r].values for c in cols[:n]], pa.array(value[:, 0], mask=np.isnan(value[:, 0]))], [*keys, *extra, *columns, "value"])
+
+    shape = [types_of(j, [*keys, *extra]), *([types_of(queries, columns)] if columns else []), "value double"]
+    return j.select(*keys, *extra, "voxels", *carry).mapInArrow(look_up, ", ".join(shape))
+
+
+def sampled_series(queries: DataFrame, tiles: DataFrame, keys: Sequence[str], columns: Sequence[str], edge: int = TILE) -> DataFrame:
+    """As :func:`sampled`, for tiles that hold all instants: (keys, columns, vs), a value for each of 0 .. ``n`` - 1.
+
+    ``tiles`` have ``k`` among their voxels' extra columns and the number of instants ``n`` as a column. Queries without a tile have no row.
+    """
+    keys, columns = list(keys), list(columns)
+    j, carry = _at_tiles(queries, tiles, keys, columns, edge)
+    nk, nc, side = len(keys), len(columns), edge + 1
 
-    return j.mapInArrow(look_up, ", ".join([types_of(j, [*keys, *extra]), *([types_of(q, columns)] if columns else []), "value double"]))
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                count, voxels, *cols = b.columns[nk:]
+                place, n = [entry(c, r) for c in cols[nc:]], count[r].as_py()
+                at, v, k = (f.to_numpy(zero_copy_only=False) for f in voxels[r].values.flatten())
+                dense = np.full((side**3, n), np.nan)
+                np.fmax.at(dense, (at, k), v.astype(float))
+                flat = _trilinear(dense, side, place[:3], place[3:]).ravel()
+                vs = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n), pa.int32()), pa.array(flat, mask=np.isnan(flat)))
+                yield pa.RecordBatch.from_arrays([*[repeated(c, r, len(vs)) for c in b.columns[:nk]], *[c[r].values for c in cols[:nc]], vs], [*keys, *columns, "vs"])
+
+    shape = [types_of(j, keys), *([types_of(queries, columns)] if columns else []), "vs array<double>"]
+    return j.where(F.col("voxels").isNotNull()).select(*keys, "n", "voxels", *carry).mapInArrow(look_up, ", ".join(shape))
 
 
 def cell_of(u: Column, n: Column) -> Column:
@@ -166,6 +206,33 @@ def resample(field: DataFrame, keys: Sequence[str], n: tuple[int, int, int] = (G
     return out.select(*keys, *VOXEL, "x", "y", "z", "t_idx", "t_min", F.col("value").alias("t_c"))
 
 
+def resampled_series(field: DataFrame, keys: Sequence[str], n: tuple[int, int, int] = (GRID_N,) * 3, margin: float = 0.05, horizon: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """C6 and W15 in one: the gridded field as a series per voxel (keys, voxel, x, y, z, ts, vs), and per key its instants ``ts`` and its box.
+
+    The field is shuffled once, into tiles that hold all instants. Instants with fewer than four values, or without a value on the grid, do not
+    count; nor do those after the ``horizon``, unless nothing lies before it. Equal times count once.
+    """
+    from .field import bounding_box
+    keys = list(keys)
+    good = field.where(F.col("t_c").isNotNull())
+    shape, box = cut(grid_shape(good, keys)), cut(bounding_box(good, keys, margin))
+    enough = good.groupBy(*keys, "t_idx").agg(F.max("t_min").alias("t_min"), F.count(F.lit(1)).alias("_n")).where("_n >= 4")
+    inst = cut(enough.withColumns({"k": F.row_number().over(Window.partitionBy(*keys).orderBy("t_min", "t_idx")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int")}).drop("_n"))
+    near = broadcast_if_small(inst, INSTANT_ROWS)
+    source = indexed(good.drop("t_min"), broadcast_if_small(shape, INSTANT_ROWS), keys).join(near, [*keys, "t_idx"])
+    tiles = halo_tiles(source, [*keys, "n"], "t_c", extra=["k"])
+    series = cut(sampled_series(located(linspace_grid(box, n), shape, keys), tiles, keys, [*VOXEL, "x", "y", "z"]))
+    seen = series.select(*keys, F.posexplode("vs").alias("k", "v")).where("v IS NOT NULL").select(*keys, "k").distinct()
+    times = inst.join(seen, [*keys, "k"])
+    if horizon:
+        kept = F.col("t_min") <= horizon + 1e-9
+        times = times.withColumn("_early", F.max(kept).over(Window.partitionBy(*keys))).where(kept | ~F.col("_early")).drop("_early")
+    times = times.groupBy(*keys, "t_min").agg(F.min("k").alias("k")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t_min", "k"))).alias("_t"))
+    times = cut(times.select(*keys, F.col("_t.t_min").alias("ts"), F.col("_t.k").alias("ks")))
+    out = series.join(broadcast_if_small(times, INSTANT_ROWS), keys).withColumn("vs", F.transform("ks", lambda k: F.get("vs", k))).drop("ks")
+    return out, times.drop("ks"), box
+
+
 def resample_scattered(cloud: DataFrame, keys: Sequence[str], pid: str, n: tuple[int, int, int] = (GRID_N,) * 3, margin: float = 0.05,
                        k: int = 8, power: float = 2.0, box: DataFrame | None = None) -> DataFrame:
     """C6 for clouds whose points differ from instant to instant: inverse-distance mean of the ``k`` nearest values of the instant.
@@ -379,13 +446,29 @@ def pca_trend(field: DataFrame, keys: Sequence[str], horizon: Column | float) ->
 def extrapolations(field: DataFrame, keys: Sequence[str], horizon: Column | float) -> DataFrame:
     """A14-A16 together: rows (keys, voxel, t_min, method, t_c, sigma). The field is shuffled once, into series that all methods read."""
     keys = list(keys)
-    s = cut(centred(voxel_series(field, keys)))
-    j = with_trends(_with_rate(s, keys)).withColumn("t_min", F.explode(future_minutes(F.col("t_end"), horizon)))
-    dt = F.col("t_min") - F.col("t_end")
+    j = with_trends(_with_rate(cut(centred(voxel_series(field, keys))), keys)).withColumn("t_min", F.explode(future_minutes(F.col("t_end"), horizon)))
+    return j.select(*keys, *VOXEL, "t_min", F.inline(_ways(F.col("t_min"))))
+
+
+def _ways(t: Column) -> Column:
+    """(method, t_c, sigma) of the three methods at a future time."""
+    dt = t - F.col("t_end")
     (line, s_line), (bend, s_bend) = _line(dt), _quadratic(dt)
-    ways = [("gradiente_local", line, s_line), ("lowess_cuadratico", bend, s_bend), ("pca_temporal", F.col("a") + dt * F.col("rate"), (s_line + s_bend) / 2)]
-    rows = F.array(*[F.struct(F.lit(n).alias("method"), v.alias("t_c"), e.alias("sigma")) for n, v, e in ways])
-    return j.select(*keys, *VOXEL, "t_min", F.inline(rows))
+    ways = [("gradiente_local", line, s_line), ("lowess_cuadratico", bend, s_bend), (DEFAULT_METHOD, F.col("a") + dt * F.col("rate"), (s_line + s_bend) / 2)]
+    return F.array(*[F.struct(F.lit(n).alias("method"), v.alias("t_c"), e.alias("sigma")) for n, v, e in ways])
+
+
+def extended(series: DataFrame, keys: Sequence[str], horizon: float | None, source: str) -> DataFrame:
+    """Series as rows (keys, voxel, x, y, z, t_base, method, t_min, t_c, sigma): their own instants as method ``source``, then the
+    whole minutes up to the horizon by all three methods. Series are not shuffled; only products of time by time are summed."""
+    keys = list(keys)
+    j = with_trends(_with_rate(cut(centred(series)), keys)) if horizon else series
+    own = F.transform(F.arrays_zip("ts", "vs"), lambda p: F.struct(p["ts"].alias("t_min"), F.lit(source).alias("method"), p["vs"].alias("t_c"), F.lit(None).cast("double").alias("sigma")))
+    rows = own
+    if horizon:
+        ahead = F.transform(future_minutes(F.col("t_end"), horizon), lambda t: F.transform(_ways(t), lambda w: F.struct(t.alias("t_min"), w["method"].alias("method"), w["t_c"].alias("t_c"), w["sigma"].alias("sigma"))))
+        rows = F.concat(own, F.coalesce(F.flatten(ahead), F.slice(own, 1, 0)))
+    return j.select(*keys, *VOXEL, "x", "y", "z", F.get("vs", F.lit(0)).alias("t_base"), F.inline(rows))
 
 
 # Names under which the three methods are asked for.
