@@ -392,12 +392,12 @@ def cleaning_targets(spark, d):
 
 
 @query("S15_correction_revisions", """WITH p AS (SELECT p_partkey AS seq, p_brand AS path, p_name, p_size FROM part), m AS (SELECT path, p_name AS n, p_size AS z FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq) AS rn FROM p WHERE path < 'Brand#20') t WHERE rn = 1),
- s AS (SELECT p.seq, p.path, CASE WHEN m.path IS NULL THEN 'principal' WHEN p.p_name = m.n THEN 'equivalentes' ELSE 'conflictos' END AS category FROM p LEFT JOIN m USING (path) WHERE p.p_size % 2 = 0)
+ s AS (SELECT p.seq, p.path, CASE WHEN m.path IS NULL THEN 'principal' WHEN p.p_name = m.n THEN 'equivalentes' ELSE 'conflictos' END AS category FROM p LEFT JOIN m USING (path))
 SELECT seq, path, category, CASE category WHEN 'principal' THEN 1 ELSE 1 + row_number() OVER (PARTITION BY path, category ORDER BY seq) END AS revision FROM s""")
 def correction_revisions(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("path"), "p_name", "p_size")
     stored = K.first_per_key(p.where("path < 'Brand#20'"), ["path"]).select("path", "p_name", F.lit("principal").alias("category"), F.lit(1).cast("long").alias("revision"))
-    return W.classify_corrections(p.where("p_size % 2 = 0").select("seq", "path", "p_name"), stored, ["p_name"]).select("seq", "path", "category", "revision")
+    return W.classify_corrections(p.select("seq", "path", "p_name"), stored, ["p_name"]).select("seq", "path", "category", "revision")
 
 
 @query("S16_audit_report", f"""SELECT fuente AS archivo, count(*) FILTER (seq % 6 <> 0) AS filas, count(DISTINCT modelo) FILTER (seq % 6 <> 0) AS modelos, count(*) FILTER (seq % 6 = 0) AS errores, {R('max(bytes) / 1024.0E0 / 1024 / 1024', 9)} AS gib FROM ({CAT}) c GROUP BY 1""")

@@ -198,9 +198,10 @@ def time_plan(spark, d):
     return FL.time_plan(i, ["sid"]).select("sid", "t_idx", "pos", "t_max_decision")
 
 
-@query("F15_horizon_filter", f"""SELECT sid, point_id, t_idx FROM (SELECT *, bool_or(t_c IS NOT NULL AND t_min <= h + 1e-9) OVER (PARTITION BY sid) AS hit, h FROM (SELECT *, 3 AS h FROM ({FIELD}) f0 WHERE sid % 4 > 0 OR t_idx > 3) f) t WHERE NOT hit OR t_min <= h + 1e-9""")
+@query("F15_horizon_filter", f"""SELECT sid, point_id, t_idx FROM (SELECT *, bool_or(t_c IS NOT NULL AND t_min <= h + 1e-9) OVER (PARTITION BY sid) AS hit, h FROM (SELECT * EXCLUDE (t_min), 3 AS h, t_min + CASE WHEN sid % 4 = 0 THEN 3.5 ELSE 0 END AS t_min FROM ({FIELD}) f0) f) t WHERE NOT hit OR t_min <= h + 1e-9""")
 def horizon_filter(spark, d):
-    return FL.within_horizon(view(spark, d, S.FIELD).where("sid % 4 > 0 OR t_idx > 3"), 3.0, ["sid"]).select("sid", "point_id", "t_idx")
+    late = view(spark, d, S.FIELD).withColumn("t_min", F.col("t_min") + F.when(F.col("sid") % 4 == 0, 3.5).otherwise(0.0))  # these begin after the horizon
+    return FL.within_horizon(late, 3.0, ["sid"]).select("sid", "point_id", "t_idx")
 
 
 @query("O3_even_sample", f"""WITH r AS (SELECT sid, t_idx, point_id, row_number() OVER (PARTITION BY sid, t_idx ORDER BY point_id) AS rn, count(*) OVER (PARTITION BY sid, t_idx) AS n FROM ({FIELD}) f), k AS (SELECT DISTINCT sid, t_idx, floor(1 + (n - 1) * k / 29.0 + 0.5) AS rn FROM r, range(30) q(k) WHERE n > 30)
@@ -260,9 +261,9 @@ def rebuilt_snapshots(spark, d):
     return stats.withColumns({"t_min_c": rnd("t_min_c"), "t_max_c": rnd("t_max_c")})
 
 
-@query("C2_corrected_probes", f"SELECT modelo, dataset, corr_id, 'S' || CAST(point_id AS VARCHAR) AS probe, t_idx, t_c AS t_c_original, {R('t_corr')} AS t_c FROM {corrected_sql()} q WHERE point_id % 18 < 4")
+@query("C2_corrected_probes", f"SELECT modelo, dataset, corr_id, 'S' || CAST(point_id AS VARCHAR) AS probe, t_idx, t_c AS t_c_original, {R('t_corr')} AS t_c FROM {corrected_sql()} q")
 def corrected_probes(spark, d):
-    p = view(spark, d, S.FIELD).where("point_id % 18 < 4").withColumn("probe", F.concat(F.lit("S"), F.col("point_id").cast("string"))).drop("point_id")
+    p = view(spark, d, S.FIELD).withColumn("probe", F.concat(F.lit("S"), F.col("point_id").cast("string"))).drop("point_id")
     out = CO.correct_probes(p, view(spark, d, S.PAIRS), view(spark, d, S.ZONES), view(spark, d, S.KNOTS))
     return out.select(*DS, "corr_id", "probe", "t_idx", "t_c_original", rnd("t_c").alias("t_c"))
 
@@ -288,7 +289,26 @@ def mass_correction(spark, d):
     return out.groupBy(*DS, "corr_id").agg(F.count("t_corr").alias("n"), rnd(F.max("t_corr")).alias("t_max_c"), rnd(F.min("t_corr")).alias("t_min_c"))
 
 
-@query("C14_thermal_cloud_status", f"""WITH i AS (SELECT sid, t_idx, t_min, max(t_c) AS t_max_c, count(*) FILTER (t_c BETWEEN 110 AND 132) AS n_points FROM ({FIELD}) f GROUP BY 1, 2, 3), s AS (SELECT *, min(CASE WHEN coalesce(t_max_c > 132, false) THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY t_min ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ok FROM i)
-SELECT sid, t_idx, n_points, CASE WHEN ok = 1 THEN 'corte' WHEN n_points < 4 THEN 'sin_puntos' ELSE 'exportar' END AS status FROM s""")
+# Clouds of every instant, their regions by passing the smallest point on to all 26 neighbours until nothing changes.
+_CLOUDS = f"""WITH RECURSIVE kept AS (SELECT sid, t_idx, CAST(floor(point_id / 18) AS INT) AS ix, CAST(floor(point_id % 18 / 9) AS INT) AS iy, CAST(point_id % 9 AS INT) AS iz FROM (SELECT *, count(*) OVER (PARTITION BY sid, t_idx) AS nn FROM ({FIELD}) f0 WHERE t_c BETWEEN 90 AND 135) f WHERE nn >= 4),
+ m AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY sid, t_idx, ix, iy, iz) AS p FROM kept),
+ e AS MATERIALIZED (SELECT a.p AS a, b.p AS b FROM m a JOIN m b ON a.sid = b.sid AND a.t_idx = b.t_idx AND a.p <> b.p AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1),
+ lab(p, l) USING KEY (p) AS (SELECT p, p FROM m UNION SELECT e.a, min(lab.l) FROM lab JOIN e ON e.b = lab.p JOIN recurring.lab r ON r.p = e.a GROUP BY e.a, r.l HAVING min(lab.l) < r.l),
+ reg AS (SELECT sid, t_idx, count(DISTINCT l) AS n_regions FROM m JOIN lab USING (p) GROUP BY 1, 2),
+ i AS (SELECT sid, t_idx, t_min, max(t_c) AS t_max_c, count(*) FILTER (t_c BETWEEN 90 AND 135) AS n_points FROM ({FIELD}) f GROUP BY 1, 2, 3),
+ s AS (SELECT *, min(CASE WHEN coalesce(t_max_c > 135, false) THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY t_min ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ok FROM i),
+ st AS (SELECT sid, t_idx, n_points, n_regions, CASE WHEN ok = 1 THEN 'corte' WHEN n_points < 4 THEN 'sin_puntos' WHEN coalesce(n_regions <> 1, false) THEN 'varias_regiones' ELSE 'exportar' END AS status FROM s LEFT JOIN reg USING (sid, t_idx))"""
+
+
+def clouds(spark, d):
+    return FL.cloud_status(view(spark, d, S.FIELD), F.lit(90.0), F.lit(135.0), ["sid"], spacing=(10.0, 20.0, 5.0))
+
+
+@query("C14_thermal_cloud_status", f"{_CLOUDS} SELECT * FROM st")
 def cloud_status(spark, d):
-    return FL.cloud_status(view(spark, d, S.FIELD), F.lit(110.0), F.lit(132.0), ["sid"]).select("sid", "t_idx", "n_points", "status")
+    return clouds(spark, d).select("sid", "t_idx", "n_points", "n_regions", "status")
+
+
+@query("C14_cloud_outcomes", f"{_CLOUDS} SELECT sid, {', '.join(f'count(*) FILTER (status = {s!r}) AS {s}' for s in ('corte', 'sin_puntos', 'varias_regiones', 'exportar'))} FROM st GROUP BY 1")
+def cloud_outcomes(spark, d):
+    return FL.cloud_outcomes(clouds(spark, d), ["sid"])

@@ -255,7 +255,7 @@ def boundary_surface(spark, d):
 
 
 # Complete 10 x 11 x 9 grid per supplier.
-OCC = "SELECT DISTINCT l_suppkey AS dist_id, CAST(floor((l_quantity - 1) / 5) AS INT) AS ix, CAST(floor(l_discount * 100 + 0.5) AS INT) AS iy, CAST(floor(l_tax * 100 + 0.5) AS INT) AS iz FROM {lineitem} WHERE l_extendedprice > 60000"
+OCC = "SELECT l_suppkey AS dist_id, CAST(floor((l_quantity - 1) / 5) AS INT) AS ix, CAST(floor(l_discount * 100 + 0.5) AS INT) AS iy, CAST(floor(l_tax * 100 + 0.5) AS INT) AS iz, max(l_extendedprice) > 60000 AS occ FROM {lineitem} GROUP BY 1, 2, 3, 4"
 _G = f"SELECT s_suppkey AS dist_id, CAST(i AS INT) AS ix, CAST(j AS INT) AS iy, CAST(k AS INT) AS iz FROM supplier, range(10) a(i), range(11) b(j), range(9) c(k)"
 
 
@@ -263,11 +263,11 @@ def voxel_grid(spark, d):
     g = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dist_id"))
     for c, n in (("ix", 9), ("iy", 10), ("iz", 8)):
         g = g.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n))))
-    occ = view(spark, d, OCC).withColumn("occ", F.lit(True))
+    occ = view(spark, d, OCC)
     return g.join(occ, ["dist_id", "ix", "iy", "iz"], "left").withColumn("occ", F.coalesce("occ", F.lit(False)))
 
 
-_SDF = f"""WITH g AS MATERIALIZED (SELECT g0.*, o.ix IS NOT NULL AS occ FROM ({_G}) g0 LEFT JOIN ({sub(OCC)}) o ON o.dist_id = g0.dist_id AND o.ix = g0.ix AND o.iy = g0.iy AND o.iz = g0.iz), {_edt('fo', 'b.occ')}, {_edt('fe', 'NOT b.occ')}"""
+_SDF = f"""WITH g AS MATERIALIZED (SELECT g0.*, coalesce(o.occ, false) AS occ FROM ({_G}) g0 LEFT JOIN ({sub(OCC)}) o ON o.dist_id = g0.dist_id AND o.ix = g0.ix AND o.iy = g0.iy AND o.iz = g0.iz), {_edt('fo', 'b.occ')}, {_edt('fe', 'NOT b.occ')}"""
 
 
 @query("C21_signed_distance", f"{_SDF} SELECT fo.dist_id, fo.ix, fo.iy, fo.iz, {R('(sqrt(fo.f) - sqrt(fe.f)) * 0.5')} AS sdf FROM fo JOIN fe USING (dist_id, ix, iy, iz)")

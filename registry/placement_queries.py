@@ -12,9 +12,11 @@ from . import standins as S
 from .core import R, query, rnd, sub, table, view
 from .mesh_queries import _ANG, _rot
 
-# Target = occupied cells of a nation's suppliers on a 25 x 11 x 9 grid; distribution = coarse mask of a supplier.
-TARGET = "SELECT DISTINCT CAST(s_nationkey AS INT) AS target_id, CAST(floor((l_quantity - 1) / 2) AS INT) AS gx, CAST(floor(l_discount * 100 + 0.5) AS INT) AS gy, CAST(floor(l_tax * 100 + 0.5) AS INT) AS gz FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey WHERE l_quantity BETWEEN 11 AND 40 AND l_extendedprice > 60000"
-DIST = "SELECT DISTINCT l_suppkey AS dist_id, CAST(floor((l_quantity - 1) / 10) AS INT) AS ix, CAST(floor(floor(l_discount * 100 + 0.5) / 3) AS INT) AS iy, CAST(floor(floor(l_tax * 100 + 0.5) / 2) AS INT) AS iz FROM {lineitem} WHERE l_extendedprice > 40000"
+# Target = cells of a nation's suppliers on a 25 x 11 x 9 grid; distribution = coarse mask of a supplier. A cell is occupied if its hottest line is.
+CELLS = "SELECT CAST(s_nationkey AS INT) AS target_id, CAST(floor((l_quantity - 1) / 2) AS INT) AS gx, CAST(floor(l_discount * 100 + 0.5) AS INT) AS gy, CAST(floor(l_tax * 100 + 0.5) AS INT) AS gz, max(l_extendedprice) > 60000 AS occ FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey GROUP BY 1, 2, 3, 4"
+TARGET = f"SELECT target_id, gx, gy, gz FROM ({CELLS}) c WHERE occ"
+VOXELS = "SELECT l_suppkey AS dist_id, CAST(floor((l_quantity - 1) / 10) AS INT) AS ix, CAST(floor(floor(l_discount * 100 + 0.5) / 3) AS INT) AS iy, CAST(floor(floor(l_tax * 100 + 0.5) / 2) AS INT) AS iz, max(l_extendedprice) > 40000 AS occ FROM {lineitem} GROUP BY 1, 2, 3, 4"
+DIST = f"SELECT dist_id, ix, iy, iz FROM ({VOXELS}) v WHERE occ"
 SHAPE = "SELECT s_suppkey AS dist_id, -2.0E0 AS x0, 1.0E0 AS dx, 5 AS nx, -1.5E0 AS y0, 1.0E0 AS dy, 4 AS ny, -2.0E0 AS z0, 1.0E0 AS dz, 5 AS nz FROM {supplier}"
 FRAME = "SELECT CAST(n_nationkey AS INT) AS target_id, 0.0E0 AS gx0, 0.0E0 AS gy0, 0.0E0 AS gz0, 1.0E0 AS gstep, 25 AS gxn, 11 AS gyn, 9 AS gzn FROM {nation}"
 POSES = """SELECT o_orderkey AS pose_id, s_suppkey AS dist_id, CAST(o_orderkey % 25 AS INT) AS target_id, o_totalprice / 20000 - 0.0137E0 AS px, o_custkey % 11 + 0.0219E0 AS py, o_orderkey % 9 + 0.0371E0 AS pz,

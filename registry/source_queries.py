@@ -97,13 +97,14 @@ def read_probe_logs(spark, d):
     return RD.parse_probe_logs(t.select("ruta", text.alias("texto"))).withColumn("t_min", rnd("t_min"))
 
 
-@query("S8_wide_probe_table", f"""SELECT modelo, dataset, printf('%.4f', t_min) AS "Tiempo(min)", {', '.join(f'''coalesce(printf('%.4f', max(t_c) FILTER (point_id = {p}) + 0.0000013), 'NaN') AS "S{p}(C)"''' for p in (0, 1, 20))} FROM ({FIELD}) f WHERE point_id IN (0, 1, 20) GROUP BY modelo, dataset, t_min""")
+@query("S8_wide_probe_table", f"""SELECT modelo, dataset, printf('%.4f', t_min) AS "Tiempo(min)", {', '.join(f'''coalesce(printf('%.4f', max(t_c) FILTER (point_id = {p}) + 0.0000013), 'NaN') AS "S{p}(C)"''' for p in range(90))} FROM ({FIELD}) f GROUP BY modelo, dataset, t_min""")
 def wide_probe_table(spark, d):
-    p = view(spark, d, S.FIELD).where(F.col("point_id").isin(0, 1, 20)).select(*DS, F.concat(F.lit("S"), F.col("point_id").cast("string")).alias("probe"), "t_min", (F.col("t_c") + 0.0000013).alias("t_c"))
+    p = view(spark, d, S.FIELD).select(*DS, F.concat(F.lit("S"), F.col("point_id").cast("string")).alias("probe"), "t_min", (F.col("t_c") + 0.0000013).alias("t_c"))
     root = scratch_path(spark, "s8")
-    WR.write_probe_tables(p, ["S0", "S1", "S20"], root)
-    out = spark.read.option("sep", "\t").option("header", True).schema("`Tiempo(min)` string, `S0(C)` string, `S1(C)` string, `S20(C)` string, modelo string, dataset string").csv(root)
-    return out.select(*DS, "`Tiempo(min)`", "`S0(C)`", "`S1(C)`", "`S20(C)`")
+    probes = [f"S{k}" for k in range(90)]
+    WR.write_probe_tables(p, probes, root)
+    out = spark.read.option("sep", "\t").option("header", True).schema(", ".join(["`Tiempo(min)` string", *[f"`{p}(C)` string" for p in probes], "modelo string, dataset string"])).csv(root)
+    return out.select(*DS, "`Tiempo(min)`", *[f"`{p}(C)`" for p in probes])
 
 
 @query("S9_read_binary_meshes", f"""SELECT CAST(mesh_id AS VARCHAR) AS mesh_id, facet_id, {R('CAST(CAST(x2 AS FLOAT) AS DOUBLE)', 5)} AS x2, {R('CAST(CAST(y3 AS FLOAT) AS DOUBLE)', 5)} AS y3, {R('CAST(CAST(z3 AS FLOAT) AS DOUBLE)', 5)} AS z3 FROM ({FLAT}) f""")

@@ -121,9 +121,8 @@ SOLUTION = """
 SELECT modelo, idx_caso, p_ant, CAST(p_ant * 2 AS DOUBLE) AS p_tot,
        CASE st WHEN 'F' THEN 'OK' WHEN 'O' THEN CASE WHEN ok % 3 = 0 THEN 'CARBON_SOSTENIDA_MIN1' ELSE 'FALLO' END ELSE 'EN_CURSO' END AS estado, ok AS seq
 FROM (SELECT concat('m', CAST(CAST(floor(o_custkey / 10) AS BIGINT) AS STRING)) AS modelo, CAST(o_orderkey % 9 AS INT) AS idx_caso,
-             CAST(CAST(substring(o_orderpriority, 1, 1) AS INT) * 10 AS INT) AS p_ant, o_orderstatus AS st, o_orderkey AS ok,
-             row_number() OVER (PARTITION BY CAST(floor(o_custkey / 10) AS BIGINT), o_orderkey % 9, substring(o_orderpriority, 1, 1) ORDER BY o_orderkey) AS rn
-      FROM {orders}) s WHERE rn = 1
+             CAST(CAST(substring(o_orderpriority, 1, 1) AS INT) * 10 AS INT) AS p_ant, max(o_orderstatus) AS st, max(o_orderkey) AS ok
+      FROM {orders} GROUP BY 1, 2, 3) s
 """
 
 # Occupied voxels of a supplier's mask.

@@ -13,11 +13,11 @@ from .metadata_queries import CAT
 FIELD = sub(S.FIELD)
 CONFIG = {"n_grid": 60, "t_abl": 55.0, "t_carbon": 300.0, "enabled": True, "z_min_mm": 0.0, "z_max_mm": 45.0, "radius_mm": 50.0}
 
-# Dataset metadata by supplier, and probe rows from the field's lowest points.
+# Dataset metadata by supplier; every point of the field is a probe, and those of every tenth dataset are filed under the next one.
 META = """SELECT s_suppkey AS sid, CAST(7 - s_suppkey % 3 % 2 AS BIGINT) AS n_t, CAST(7 - s_suppkey % 3 % 2 - CASE WHEN s_suppkey % 13 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_snap,
  CAST(7 - s_suppkey % 3 % 2 - CASE WHEN s_suppkey % 17 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_fin, s_suppkey % 5 > 0 AS full_field_available, CAST(60 - s_suppkey % 7 % 2 * 5 AS INT) AS n_grid,
  55.0E0 + s_suppkey % 9 % 2 AS t_abl, 300.0E0 AS t_carbon, true AS dom_enabled, 0.0E0 AS dom_z0, 45.0E0 AS dom_z1, CASE WHEN s_suppkey % 4 = 3 THEN 40.0E0 ELSE 50.0E0 END AS dom_r FROM {supplier}"""
-PROBE = f"""SELECT sid, concat('S', CAST(point_id AS STRING)) AS probe, t_idx, t_min, t_c FROM ({S.FIELD}) f WHERE point_id % 18 < 3 AND sid % 10 > 0"""
+PROBE = f"""SELECT CASE WHEN sid % 10 = 0 THEN sid + 1 ELSE sid END AS sid, concat('S', CAST(point_id AS STRING)) AS probe, t_idx, t_min, t_c FROM ({S.FIELD}) f"""
 
 _FS = f"""(SELECT sid, count(*) AS ff_instants, min(n) AS ff_min, max(n) AS ff_max, CAST(sum(v) AS BIGINT) AS ff_values FROM (SELECT sid, t_idx, count(*) AS n, count(t_c) AS v FROM ({FIELD}) f GROUP BY 1, 2) p GROUP BY 1)"""
 _FR = """CASE WHEN ff_instants IS NULL OR ff_max = 0 THEN 'full_field vacio' WHEN ff_min <> ff_max OR ff_instants <> n_t THEN 'full_field no coincide con puntos/tiempos' WHEN ff_values = 0 THEN 'full_field sin temperaturas finitas' END"""

@@ -378,12 +378,34 @@ def top_nearest(df: DataFrame, keys: Sequence[str], distance: Column, k: int = 2
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
-def cloud_status(field: DataFrame, low: Column, high: Column, keys: Sequence[str] = DATASET, regions: DataFrame | None = None) -> DataFrame:
+# Outcomes of an instant.
+CUT, NO_POINTS, REGIONS, EXPORT = CLOUD_STATES = ("corte", "sin_puntos", "varias_regiones", "exportar")
+# Voxel numbers count from here, so that places below zero have one too.
+VOXEL_ORIGIN = 1 << 20
+
+
+def cloud_regions(field: DataFrame, low: Column, high: Column, spacing: Sequence[float], keys: Sequence[str] = DATASET) -> DataFrame:
+    """C15 for the clouds of all instants at once: (keys, t_idx, n_regions, single).
+
+    The cloud is what the temperature window keeps (instants with fewer than four points have none), in voxels of ``spacing`` per axis;
+    regions touch by a face, an edge or a corner. Clouds are labelled block by block and joined in one contraction for all of them.
+    """
+    from .voxel import VOXEL, region_counts
+    cloud = [*keys, "t_idx"]
+    kept = temperature_window(field, low, high, cloud)
+    at = [(F.floor(F.col(a) / step) + VOXEL_ORIGIN).cast("int").alias(i) for a, i, step in zip("xyz", VOXEL, spacing)]
+    return region_counts(kept.select(*cloud, *at).distinct(), cloud)
+
+
+def cloud_status(field: DataFrame, low: Column, high: Column, keys: Sequence[str] = DATASET, regions: DataFrame | None = None,
+                 spacing: Sequence[float] | None = None) -> DataFrame:
     """C14: one row per instant with its outcome: ``corte``, ``sin_puntos``, ``varias_regiones`` or ``exportar``.
 
-    Instants at or after the sustained cutoff are cut. ``regions`` (keys, t_idx, n_regions) is
-    the result of the region check when it was run.
+    Instants at or after the sustained cutoff are cut. With ``spacing`` the clouds' regions are counted (:func:`cloud_regions`);
+    ``regions`` (keys, t_idx, n_regions) is the result of a check run before.
     """
+    if regions is None and spacing is not None:
+        regions = cloud_regions(field, low, high, spacing, keys).drop("single")
     t = F.col("t_c")
     inst = field.groupBy(*keys, "t_idx", "t_min").agg(
         F.max(t).alias("t_max_c"), F.count_if(t.between(low, high)).alias("n_points"), F.max(high).alias("_high"))
@@ -393,11 +415,15 @@ def cloud_status(field: DataFrame, low: Column, high: Column, keys: Sequence[str
     if regions is not None:
         j = j.join(regions, [*keys, "t_idx"], "left")
         many = F.coalesce(F.col("n_regions") != 1, F.lit(False))
-    status = F.when(F.col("t_min") >= F.col("cutoff"), "corte").when(F.col("n_points") < 4, "sin_puntos").when(
-        many, "varias_regiones").otherwise("exportar")
+    status = F.when(F.col("t_min") >= F.col("cutoff"), CUT).when(F.col("n_points") < 4, NO_POINTS).when(many, REGIONS).otherwise(EXPORT)
     return j.withColumn("status", status).drop("_high")
 
 
+def cloud_outcomes(status: DataFrame, keys: Sequence[str] = DATASET) -> DataFrame:
+    """C14: number of instants of each outcome per dataset, one column an outcome."""
+    return status.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(s) for s in CLOUD_STATES])
+
+
 def rebuilt_snapshots(corrected: DataFrame, threshold: Column | float = T_ABL_VOLUME, keys: Sequence[str] = (*DATASET, "corr_id", "t_idx"),
                       value: str = "t_corr") -> tuple[DataFrame, DataFrame]:
     """Filtered clouds and per-instant statistics of a corrected field."""
