@@ -80,14 +80,25 @@ def correction_compatibility(spark, d):
     return m.groupBy("corr_id").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"), F.min("ruta").alias("primera"))
 
 
+def upserted(spark, d):
+    """Rows already in the index, new rows, and the files that exist."""
+    c = view(spark, d, S.CATALOG).withColumn("partition_key", F.when(F.col("seq") % 6 == 0, F.upper("partition_key")).otherwise(F.col("partition_key")))
+    return c.where("seq % 2 = 0"), c.where("seq % 2 = 1"), c.where("seq % 17 <> 0").select("ruta")
+
+
 @query("J12_index_upsert", f"""WITH c AS (SELECT *, seq % 2 AS side, CASE WHEN seq % 6 = 0 THEN upper(partition_key) ELSE partition_key END AS pk FROM ({CAT}) q WHERE ruta IN (SELECT ruta FROM ({CAT}) q2 WHERE seq % 17 <> 0)),
  r AS (SELECT *, regexp_replace(regexp_extract(replace(ruta, chr(92), '/'), '[^/]*$', 0), '\\.[^.]*$', '') AS base FROM c),
- w AS (SELECT *, row_number() OVER (PARTITION BY lower(pk) ORDER BY (lower(base) = regexp_replace(lower(pk), '_+', '_', 'g')) DESC, side DESC, seq DESC) AS rn FROM r),
- a AS (SELECT lower(pk) AS k, fuente, min(side * 1000000000 + seq) AS o FROM c GROUP BY 1, 2), l AS (SELECT k, string_agg(fuente, '|' ORDER BY o) AS fuentes FROM a GROUP BY 1)
-SELECT seq, ruta, fuente, lower(pk) AS clave, fuentes AS fuentes_equivalentes FROM w JOIN l ON l.k = lower(pk) WHERE rn = 1""")
+ w AS (SELECT *, row_number() OVER (PARTITION BY lower(pk) ORDER BY (lower(base) = regexp_replace(lower(pk), '_+', '_', 'g')) DESC, side DESC, seq DESC) AS rn FROM r)
+SELECT seq, ruta, fuente, lower(pk) AS clave FROM w WHERE rn = 1""")
 def index_upsert(spark, d):
-    c = view(spark, d, S.CATALOG).withColumn("partition_key", F.when(F.col("seq") % 6 == 0, F.upper("partition_key")).otherwise(F.col("partition_key")))
-    return K.upsert_index(c.where("seq % 2 = 0"), c.where("seq % 2 = 1"), c.where("seq % 17 <> 0").select("ruta")).select("seq", "ruta", "fuente", F.lower("partition_key").alias("clave"), "fuentes_equivalentes")
+    return K.upsert_index(*upserted(spark, d)).select("seq", "ruta", "fuente", F.lower("partition_key").alias("clave"))
+
+
+@query("J12_alias_chunks", f"""WITH c AS (SELECT *, seq % 2 AS side, CASE WHEN seq % 6 = 0 THEN upper(partition_key) ELSE partition_key END AS pk FROM ({CAT}) q WHERE ruta IN (SELECT ruta FROM ({CAT}) q2 WHERE seq % 17 <> 0)),
+ a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o) AS rn FROM (SELECT lower(pk) AS k, fuente, min(side * 1000000000 + seq) AS o FROM c GROUP BY 1, 2) b)
+SELECT k AS clave, CAST(floor((rn - 1) / 4) AS BIGINT) AS chunk, count(*) AS n, string_agg(fuente, '|' ORDER BY rn) AS fuentes_equivalentes FROM a GROUP BY 1, 2""")
+def index_aliases(spark, d):
+    return K.alias_chunks(K.upsert_aliases(*upserted(spark, d)), 4).withColumnRenamed("partition_key", "clave")
 
 
 @query("J13_first_wins_merge", f"""WITH c AS ({CAT}), a AS (SELECT modelo, dataset, min(seq) AS seq FROM c WHERE seq % 3 = 0 GROUP BY 1, 2), b AS (SELECT modelo, dataset, min(seq) AS seq FROM c WHERE seq % 3 <> 0 GROUP BY 1, 2)

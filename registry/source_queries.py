@@ -132,13 +132,14 @@ def partitioned_writer(spark, d):
     return back.groupBy("tipo", "antena", "caso", "potencia_w").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
-@query("S12_index_writer", f"SELECT seq, ruta, fuente, fuentes AS fuentes_equivalentes FROM (SELECT k, string_agg(fuente, '|' ORDER BY o) AS fuentes FROM (SELECT lower(partition_key) AS k, fuente, min(seq) AS o FROM ({CAT}) c GROUP BY 1, 2) a GROUP BY 1) l JOIN (SELECT *, row_number() OVER (PARTITION BY lower(partition_key) ORDER BY (lower(regexp_replace(regexp_extract(replace(ruta, chr(92), '/'), '[^/]*$', 0), '\\.[^.]*$', '')) = regexp_replace(lower(partition_key), '_+', '_', 'g')) DESC, seq DESC) AS rn FROM ({CAT}) c) t ON k = lower(partition_key) WHERE rn = 1")
+@query("S12_index_writer", f"SELECT t.seq, t.ruta, t.fuente, chunk, n, fuentes AS fuentes_equivalentes FROM (SELECT k, CAST(floor((rn - 1) / 3) AS BIGINT) AS chunk, count(*) AS n, string_agg(fuente, '|' ORDER BY rn) AS fuentes FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o) AS rn FROM (SELECT lower(partition_key) AS k, fuente, min(seq) AS o FROM ({CAT}) c GROUP BY 1, 2) a) b GROUP BY 1, 2) l JOIN (SELECT *, row_number() OVER (PARTITION BY lower(partition_key) ORDER BY (lower(regexp_replace(regexp_extract(replace(ruta, chr(92), '/'), '[^/]*$', 0), '\\.[^.]*$', '')) = regexp_replace(lower(partition_key), '_+', '_', 'g')) DESC, seq DESC) AS rn FROM ({CAT}) c) t ON k = lower(partition_key) WHERE rn = 1")
 def index_writer(spark, d):
     c = view(spark, d, S.CATALOG)
     root = scratch_path(spark, "s12")
-    WR.write_index(K.upsert_index(c.limit(0), c), root)
-    csv = spark.read.option("header", True).csv(f"{root}/csv").select(F.col("seq").cast("long").alias("seq"), "ruta", "fuente", "fuentes_equivalentes")
-    return csv.join(spark.read.parquet(f"{root}/parquet").select("seq"), "seq", "left_semi")
+    WR.write_index(K.upsert_index(c.limit(0), c), K.alias_chunks(K.upsert_aliases(c.limit(0), c), 3), root)
+    csv = spark.read.option("header", True).csv(f"{root}/csv").select(F.col("seq").cast("long").alias("seq"), "ruta", "fuente", F.lower("partition_key").alias("k"))
+    aliases = spark.read.option("header", True).csv(f"{root}/aliases_csv").select(F.col("partition_key").alias("k"), F.col("chunk").cast("long").alias("chunk"), F.col("n").cast("long").alias("n"), "fuentes_equivalentes")
+    return csv.join(spark.read.parquet(f"{root}/parquet").select("seq"), "seq", "left_semi").join(aliases, "k").drop("k")
 
 
 @query("S13_corrected_writer", f"SELECT modelo, dataset, fecha, count(*) AS n, {R('max(CAST(CAST(t_corr AS FLOAT) AS DOUBLE))', 3)} AS t_max FROM (SELECT *, CASE WHEN sid % 2 = 0 THEN 'junio_1' ELSE 'mayo_2' END AS fecha FROM {corrected_sql()} q) t GROUP BY 1, 2, 3")
@@ -172,5 +173,5 @@ def incremental_ingest(spark, d):
     for part in (0, 1, None):
         if part is not None:
             c.where(F.col("seq") % 2 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
-        IN.ingest(spark, f"{root}/in", f"{root}/index", f"{root}/checkpoint").awaitTermination()
-    return IN.versions(spark, f"{root}/index", 2**62).select("seq", "ruta", "fuente")
+        IN.ingest(spark, f"{root}/in", f"{root}/index", f"{root}/checkpoint", buckets=16).awaitTermination()
+    return IN.current(spark, f"{root}/index").select("seq", "ruta", "fuente")

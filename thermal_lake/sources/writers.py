@@ -43,10 +43,11 @@ def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str] = PART
         "partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
-def write_index(catalog: DataFrame, path: str) -> None:
-    """The index as a table and as quoted CSV with a header."""
-    catalog.write.mode("overwrite").parquet(f"{path}/parquet")
-    catalog.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(f"{path}/csv")
+def write_index(catalog: DataFrame, aliases: DataFrame, path: str) -> None:
+    """The index, and the alias lists of its keys in chunks, as tables and as quoted CSV with a header."""
+    for name, df in (("", catalog), ("aliases_", aliases)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}parquet")
+        df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(f"{path}/{name}csv")
 
 
 def write_volume(grid: DataFrame, curve: DataFrame, path: str) -> None:
