@@ -74,7 +74,7 @@ def test_bpe_rows(spark):
 
 def test_bounded_memory_changes_nothing():
     own = bpe.Encoder(BYTE)
-    own.words, own.tails = bpe.Memo(own._word, 50), bpe.Memo(lambda p: own._piece(" " + p), 50)
+    own.words, own.tails.most, own.fits.most = bpe.Memo(own.word, 50), 50, 50
     for text in noise(300, seed=9):
         assert own.encode(text) == bpe.encoder(BYTE).encode(text)
 

@@ -30,10 +30,11 @@ from .common import MEMORIES, slices
 #: White space and the word pattern of the byte-level pre-tokenizer.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-PLAIN = re.compile(" ?[A-Za-z]+")
 #: White space in which cutting before every space would change the words.
 UNCUT = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
-CACHE = 100_000
+#: Words and pairs of tokens remembered in a worker process, twice as many at most: some 50 MB each.
+CACHE, PAIRS = 200_000, 300_000
+MARKS = frozenset(".,;:!?")
 
 
 def byte_letters() -> list[str]:
@@ -44,7 +45,7 @@ def byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """A bounded memory of a function of one text. When it is full, what is used again is kept and the rest forgotten."""
+    """A bounded memory of a function of one key. When it is full, what is used again is kept and the rest forgotten."""
 
     def __init__(self, make, most: int = CACHE):
         super().__init__()
@@ -61,6 +62,24 @@ class Memo(dict):
         return value
 
 
+class Tails(Memo):
+    """Ids of what follows a space. A word with a mark behind it, and what spans lines, is put together from words and not remembered."""
+
+    def __init__(self, own: Encoder):
+        super().__init__(lambda piece: own.word(" " + piece) if piece.isalpha() else own.piece(" " + piece))
+        self.own = own
+
+    def __missing__(self, key):
+        if key[-1:] in MARKS and key[:-1].isalpha():
+            return f"{self[key[:-1]]},{self.own.words[key[-1]]}"
+        if "\n" in key:
+            first, _, rest = key.partition("\n")
+            if first and rest and not rest[0].isspace() and not first[-1].isspace():  # a single line break is a word of its own
+                return f"{self[first]},{self.own.words[chr(10)]},{self.own.lines(rest)}"
+            return self.own.piece(" " + key)
+        return super().__missing__(key)
+
+
 class Encoder:
     """Encodes and decodes texts with the vocabulary of one tokenizers file."""
 
@@ -73,7 +92,9 @@ class Encoder:
         self.cutter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         letters = byte_letters()
         self.letters = {b: c for b, c in enumerate(letters)}
+        self.blank = letters[32]
         byte = {c: b for b, c in enumerate(letters)}
+        self.names = {i: str(i) for i in vocab.values()}
         self.bytes = {str(i): bytes(byte[c] for c in t) for t, i in vocab.items()} | {str(i): t.encode() for t, i in self.special.items()}
         self.pairs: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
@@ -83,7 +104,7 @@ class Encoder:
             self.parts.setdefault(vocab[a + b], (vocab[a], vocab[b], rank))
         self.right: dict[int, list] = {}
         self.left: dict[int, list] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits = Memo(lambda pair: self._apart(pair >> 32, pair & 0xFFFFFFFF, len(self.pairs)), PAIRS)
         self.automaton = ahocorasick.Automaton()
         whole = {i: i not in self.parts for i in vocab.values()}
         for token, (a, b, rank) in sorted(self.parts.items(), key=lambda x: x[1][2]):
@@ -92,8 +113,7 @@ class Encoder:
             if whole[i]:
                 self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
-        self.words = Memo(self._word)
-        self.tails = Memo(lambda piece: self._piece(" " + piece))
+        self.words, self.tails = Memo(self.word), Tails(self)
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens on one edge of the merge tree from the byte up, each with the rank at which it is merged into the next."""
@@ -127,41 +147,50 @@ class Encoder:
                 j += 1
 
     def compatible(self, a: int, b: int) -> bool:
-        key = (a, b)
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 200_000:
-                self.fits.clear()
-            known = self.fits[key] = self._apart(a, b, len(self.pairs))
-        return known
-
-    def _word(self, word: str) -> str:
+        return self.fits[a << 32 | b]
+
+    def word(self, word: str) -> str:
         """Ids of one word of the pre-tokenizer, as decimal numbers joined by commas."""
-        text = "".join(map(self.letters.__getitem__, word.encode()))
-        last: list = [None] * (len(text) + 1)
+        if word.isascii() and word.isprintable():
+            text = word.replace(" ", self.blank)
+        else:
+            text = "".join(map(self.letters.__getitem__, word.encode()))
+        last, back, fits = [-1] * (len(text) + 1), [0] * (len(text) + 1), self.fits
         for end, (token, size) in self.automaton.iter(text):
-            if last[end + 1] is None:
-                start = end + 1 - size
-                if not start or last[start] is not None and self.compatible(last[start][0], token):
-                    last[end + 1] = (token, start)
-        at, out = len(text), []
+            end += 1
+            if last[end] < 0:
+                start = end - size
+                if start:
+                    before = last[start]
+                    if before < 0 or not fits[before << 32 | token]:
+                        continue
+                last[end], back[end] = token, start
+        at, names = len(text), self.names
+        if not at:
+            return ""
+        out, at = names[last[at]], back[at]
         while at:
-            token, at = last[at]
-            out.append(str(token))
-        return ",".join(reversed(out))
-
-    def _piece(self, piece: str) -> str:
-        if PLAIN.fullmatch(piece):
-            return self.words[piece]
+            out, at = f"{names[last[at]]},{out}", back[at]
+        return out
+
+    def lines(self, rest: str) -> str:
+        """What stands at the beginning of a line."""
+        if rest.isalpha():
+            return self.words[rest]
+        if rest[-1:] in MARKS and rest[:-1].isalpha():
+            return f"{self.words[rest[:-1]]},{self.words[rest[-1]]}"
+        return self.piece(rest)
+
+    def piece(self, piece: str) -> str:
         return ",".join(map(self.words.__getitem__, WORD.findall(piece)))
 
     def _plain(self, text: str) -> str:
         """A text without special tokens; cut before spaces, where that leaves the words as they are."""
         if UNCUT.search(text):
-            return self._piece(text)
+            return self.piece(text)
         head, *tails = text.split(" ")
         out = ",".join(map(self.tails.__getitem__, tails))
-        return f"{self._piece(head)},{out}" if head and out else out or self._piece(head)
+        return f"{self.piece(head)},{out}" if head and out else out or self.piece(head)
 
     def encode(self, text: str | None) -> str:
         """All ids as decimal numbers joined by commas."""
@@ -200,7 +229,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 if ids:
                     cols.append(pa.array([[int(i) for i in x.split(",")] if x else [] for x in coded], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-        own.words.old, own.tails.old = {}, {}  # the process lives on for other tasks
+        own.words.old, own.tails.old, own.fits.old = {}, {}, {}  # the process lives on for other tasks
 
     names = ["k", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
     shape = f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
