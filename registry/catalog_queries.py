@@ -333,12 +333,26 @@ DOCS = """SELECT doc_id AS seq, CAST(doc_id AS STRING) AS ruta, concat(lower(sou
  CAST(doc_id % 3 * 10 AS DOUBLE) - length(source) / 1000.0E0 AS puntaje, CAST(n_chars AS DOUBLE) AS mtime, text FROM {documents}"""
 
 
-@query("C12_duplicate_organisation", f"""WITH e AS ({sub(DOCS)}), c AS (SELECT *, first_value(ruta) OVER w AS canonica, first_value(text) OVER w AS t FROM e WINDOW w AS (PARTITION BY clave_semantica ORDER BY puntaje DESC, mtime DESC, seq))
-SELECT ruta, clave_semantica, canonica, CASE WHEN ruta = canonica THEN 'canonico' WHEN text = t THEN 'equivalente' ELSE 'conflicto' END AS category, CASE WHEN ruta = canonica THEN 'mejor puntaje' WHEN text = t THEN 'contenido igual' ELSE 'contenido distinto' END AS reason FROM c""")
+# Every 23rd document cannot be read.
+UNREAD = "CAST(ruta AS BIGINT) % 23 = 5"
+_REASON = "'misma metadata con contenido diferente o no verificable'"
+
+
+@query("C12_duplicate_organisation", f"""WITH e AS (SELECT *, {UNREAD} AS bad, 'bloque ' || ruta AS error FROM ({sub(DOCS)}) q), c AS (SELECT *, first_value(ruta) OVER w AS canonica, first_value(text) OVER w AS t, first_value(bad) OVER w AS bad_best, first_value(error) OVER w AS error_best
+ FROM e WINDOW w AS (PARTITION BY clave_semantica ORDER BY puntaje DESC, mtime DESC, seq)), k AS (SELECT *, CASE WHEN ruta = canonica THEN 'canonico' WHEN text = t AND NOT bad AND NOT bad_best THEN 'equivalente' ELSE 'conflicto' END AS category FROM c)
+SELECT ruta, clave_semantica, canonica, category, CASE category WHEN 'canonico' THEN 'mejor puntaje' WHEN 'equivalente' THEN 'contenido termico identico' ELSE {_REASON} || CASE WHEN bad_best THEN ' (canonico ilegible: ' || error_best || ')' WHEN bad THEN ' (comparacion fallida: ' || error || ')' ELSE '' END END AS reason FROM k""")
 def duplicate_organisation(spark, d):
-    e = view(spark, d, DOCS)
-    digest = O.content_digest(e.select("ruta", "text"), "ruta")
-    return O.organise(e.drop("text").join(digest, "ruta"), e.select("ruta", "text"), ["text"]).select("ruta", "clave_semantica", "canonica", "category", "reason")
+    e = view(spark, d, DOCS).withColumn("bad", F.expr(UNREAD))
+    digest = O.content_digest(e.where("NOT bad").select("ruta", "text"), "ruta")
+    entries = e.drop("text").join(digest, "ruta", "left").withColumn("error", F.when(F.col("bad"), F.concat(F.lit("bloque "), "ruta")))
+    return O.organise(entries, e.where("NOT bad").select("ruta", "text"), ["text"]).select("ruta", "clave_semantica", "canonica", "category", "reason")
+
+
+@query("C12_without_comparison", f"""SELECT ruta, canonica, CASE WHEN ruta = canonica THEN 'canonico' ELSE 'conflicto' END AS category, CASE WHEN ruta = canonica THEN 'mejor puntaje' ELSE {_REASON} || ' (comparacion deshabilitada)' END AS reason
+FROM (SELECT ruta, first_value(ruta) OVER (PARTITION BY clave_semantica ORDER BY puntaje DESC, mtime DESC, seq) AS canonica FROM ({sub(DOCS)}) e) c""")
+def organisation_without_comparison(spark, d):
+    e = view(spark, d, DOCS).drop("text").withColumn("digest", F.lit(None).cast("string"))
+    return O.organise(e, compare=False).select("ruta", "canonica", "category", "reason")
 
 
 @query("C12_exact_content_check", f"""WITH e AS ({sub(DOCS)}), c AS (SELECT *, first_value(ruta) OVER (PARTITION BY clave_semantica ORDER BY seq) AS canonica, first_value(text) OVER (PARTITION BY clave_semantica ORDER BY seq) AS t FROM e)

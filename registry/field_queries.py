@@ -290,18 +290,18 @@ def mass_correction(spark, d):
 
 
 # Clouds of every instant, their regions by passing the smallest point on to all 26 neighbours until nothing changes.
-_CLOUDS = f"""WITH RECURSIVE kept AS (SELECT sid, t_idx, CAST(floor(point_id / 18) AS INT) AS ix, CAST(floor(point_id % 18 / 9) AS INT) AS iy, CAST(point_id % 9 AS INT) AS iz FROM (SELECT *, count(*) OVER (PARTITION BY sid, t_idx) AS nn FROM ({FIELD}) f0 WHERE t_c BETWEEN 90 AND 135) f WHERE nn >= 4),
+_CLOUDS = f"""WITH RECURSIVE kept AS (SELECT sid, t_idx, CAST(floor(point_id / 18) AS INT) AS ix, CAST(floor(point_id % 18 / 9) AS INT) AS iy, CAST(point_id % 9 AS INT) AS iz FROM (SELECT *, count(*) OVER (PARTITION BY sid, t_idx) AS nn FROM ({FIELD}) f0 WHERE t_c BETWEEN 90 AND 141) f WHERE nn >= 4),
  m AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY sid, t_idx, ix, iy, iz) AS p FROM kept),
  e AS MATERIALIZED (SELECT a.p AS a, b.p AS b FROM m a JOIN m b ON a.sid = b.sid AND a.t_idx = b.t_idx AND a.p <> b.p AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1),
  lab(p, l) USING KEY (p) AS (SELECT p, p FROM m UNION SELECT e.a, min(lab.l) FROM lab JOIN e ON e.b = lab.p JOIN recurring.lab r ON r.p = e.a GROUP BY e.a, r.l HAVING min(lab.l) < r.l),
  reg AS (SELECT sid, t_idx, count(DISTINCT l) AS n_regions FROM m JOIN lab USING (p) GROUP BY 1, 2),
- i AS (SELECT sid, t_idx, t_min, max(t_c) AS t_max_c, count(*) FILTER (t_c BETWEEN 90 AND 135) AS n_points FROM ({FIELD}) f GROUP BY 1, 2, 3),
- s AS (SELECT *, min(CASE WHEN coalesce(t_max_c > 135, false) THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY t_min ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ok FROM i),
+ i AS (SELECT sid, t_idx, t_min, max(t_c) AS t_max_c, count(*) FILTER (t_c BETWEEN 90 AND 141) AS n_points FROM ({FIELD}) f GROUP BY 1, 2, 3),
+ s AS (SELECT *, min(CASE WHEN coalesce(t_max_c > 141, false) THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY t_min ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ok FROM i),
  st AS (SELECT sid, t_idx, n_points, n_regions, CASE WHEN ok = 1 THEN 'corte' WHEN n_points < 4 THEN 'sin_puntos' WHEN coalesce(n_regions <> 1, false) THEN 'varias_regiones' ELSE 'exportar' END AS status FROM s LEFT JOIN reg USING (sid, t_idx))"""
 
 
 def clouds(spark, d):
-    return FL.cloud_status(view(spark, d, S.FIELD), F.lit(90.0), F.lit(135.0), ["sid"], spacing=(10.0, 20.0, 5.0))
+    return FL.cloud_status(view(spark, d, S.FIELD), F.lit(90.0), F.lit(141.0), ["sid"], spacing=(10.0, 20.0, 5.0))
 
 
 @query("C14_thermal_cloud_status", f"{_CLOUDS} SELECT * FROM st")

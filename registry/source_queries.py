@@ -89,6 +89,16 @@ def read_experiments(spark, d):
     return RD.parse_experiments(t.select("ruta", text.alias("texto"))).withColumn("t_min", rnd("t_min"))
 
 
+@query("S6_experiments_by_line", f"""WITH e AS ({sub(TEXTS)}), k AS (SELECT ruta, count(*) AS n FROM e GROUP BY 1), r AS (SELECT e.*, k.n, row_number() OVER (PARTITION BY e.ruta ORDER BY event_id) - 1 AS pos FROM e JOIN k USING (ruta))
+SELECT ruta AS exp_id, CAST(p AS INT) AS probe_idx, 'P' || CAST(p AS VARCHAR) AS label, {R('CASE WHEN n >= 2 THEN rel / 60.0E0 ELSE pos / 60.0E0 END')} AS t_min, CASE WHEN n >= 2 THEN CASE p WHEN 1 THEN value ELSE CASE WHEN event_id % 4 = 0 THEN NULL ELSE value + 1 END END ELSE CASE p WHEN 1 THEN CAST(rel AS DOUBLE) WHEN 2 THEN value ELSE CASE WHEN event_id % 4 = 0 THEN NULL ELSE value + 1 END END END AS t_c
+FROM r, (VALUES (1), (2), (3)) v(p) WHERE p <= CASE WHEN n >= 2 THEN 2 ELSE 3 END""")
+def read_experiments_by_line(spark, d):
+    line = F.concat_ws(";", F.col("rel").cast("string"), F.col("value").cast("string"), F.when(F.col("event_id") % 4 == 0, "NaN").otherwise((F.col("value") + 1).cast("string")))
+    t = view(spark, d, TEXTS).groupBy("ruta").agg(F.sort_array(F.collect_list(F.struct("event_id", line.alias("l")))).alias("ls"))
+    text = F.concat(F.lit("tiempo;a;b\n"), F.array_join(F.transform("ls", lambda v: v["l"]), "\n"), F.lit("\n;;\n"))
+    return RD.experiments_from_lines(RD.lines_of(t.select("ruta", text.alias("texto")))).withColumn("t_min", rnd("t_min"))
+
+
 @query("S7_read_probe_logs", f"""SELECT ruta, CAST(p AS INT) AS probe_idx, CASE p WHEN 1 THEN 'S_1_a' ELSE 'Sonda_2' END AS label, {R('CAST(rel AS DOUBLE)')} AS t_min, CASE p WHEN 1 THEN value ELSE CASE WHEN event_id % 4 = 0 THEN NULL ELSE value + 1 END END AS t_c FROM ({sub(TEXTS)}) e, (VALUES (1), (2)) v(p)""")
 def read_probe_logs(spark, d):
     line = F.concat_ws("\t", F.format_string("%.4f", F.col("rel").cast("double")), F.col("value").cast("string"), F.when(F.col("event_id") % 4 == 0, "NaN").otherwise((F.col("value") + 1).cast("string")))
@@ -97,6 +107,14 @@ def read_probe_logs(spark, d):
     return RD.parse_probe_logs(t.select("ruta", text.alias("texto"))).withColumn("t_min", rnd("t_min"))
 
 
+@query("S7_probe_logs_by_line", f"""SELECT ruta, CAST(p AS INT) AS probe_idx, CASE p WHEN 1 THEN 'S_1_a' ELSE 'Sonda_2' END AS label, {R('CAST(rel AS DOUBLE)')} AS t_min, CASE p WHEN 1 THEN value ELSE CASE WHEN event_id % 4 = 0 THEN NULL ELSE value + 1 END END AS t_c FROM ({sub(TEXTS)}) e, (VALUES (1), (2)) v(p)""")
+def read_probe_logs_by_line(spark, d):
+    line = F.concat_ws("\t", F.format_string("%.4f", F.col("rel").cast("double")), F.col("value").cast("string"), F.when(F.col("event_id") % 4 == 0, "NaN").otherwise((F.col("value") + 1).cast("string")))
+    t = view(spark, d, TEXTS).groupBy("ruta").agg(F.sort_array(F.collect_list(F.struct("event_id", line.alias("l")))).alias("ls"))
+    text = F.concat(F.lit("====\n 12 34 56\nModelo\nTiempo(min)\tS.1-a(C)\t(C)\n---------\n"), F.array_join(F.transform("ls", lambda v: v["l"]), "\n"), F.lit("\nfin\n"))
+    return RD.probe_logs_from_lines(RD.lines_of(t.select("ruta", text.alias("texto")))).withColumn("t_min", rnd("t_min"))
+
+
 @query("S8_wide_probe_table", f"""SELECT modelo, dataset, printf('%.4f', t_min) AS "Tiempo(min)", {', '.join(f'''coalesce(printf('%.4f', max(t_c) FILTER (point_id = {p}) + 0.0000013), 'NaN') AS "S{p}(C)"''' for p in range(90))} FROM ({FIELD}) f GROUP BY modelo, dataset, t_min""")
 def wide_probe_table(spark, d):
     p = view(spark, d, S.FIELD).select(*DS, F.concat(F.lit("S"), F.col("point_id").cast("string")).alias("probe"), "t_min", (F.col("t_c") + 0.0000013).alias("t_c"))

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..session import cut
+from . import octree
 from .field import bounding_box
 from .grid import VOXEL, step_grid
 from .octree import nearest
+from .packs import repeated
 from .skew import ranked
 
 MESH = "mesh_id"
+# Vertices of a patch and steps done inside patches before coordinates travel again.
+PATCH, RINGS = 4096, 4
 
 
 def corner_rows(facets: DataFrame) -> DataFrame:
@@ -163,21 +169,61 @@ def adjacency(indexed: DataFrame) -> DataFrame:
     return indexed.select(MESH, F.explode(F.array(*both)).alias("e")).select(MESH, "e.*").where("vid != nb").distinct()
 
 
-def smoothed(indexed: DataFrame, vertices: DataFrame, steps: Sequence[float], cut_every: int = 6) -> DataFrame:
+def patches(adj: DataFrame, vertices: DataFrame, rings: int, size: int = PATCH) -> DataFrame:
+    """One row per patch of neighbouring vertices: (mesh, _patch, own, edges) with everything ``rings`` steps of smoothing need.
+
+    Patches are the tiles of an octree over the vertices (``size`` of them at most). ``edges`` lists (vid, nb) of the patch's vertices and of those
+    fewer than ``rings`` edges away; ``own`` lists the patch's vertices. The rings are found once, by as many joins.
+    """
+    placed = octree.placed(vertices)
+    cells = octree.tiled(octree.coded(placed.join(octree.extents(placed, [MESH], size), MESH)), [MESH], pid="vid")
+    home = cells.select(MESH, "vid", F.concat_ws("_", F.col("_tile").cast("string"), F.col("_part").cast("string")).alias("_patch"))
+    near = cut(vertices.select(MESH, "vid").join(home, [MESH, "vid"], "left").select(MESH, F.coalesce("_patch", F.lit("none")).alias("_patch"), "vid", F.lit(0).alias("_ring")))
+    own, reached = near, near
+    for ring in range(1, rings):
+        step = reached.join(adj, [MESH, "vid"]).select(MESH, "_patch", F.col("nb").alias("vid"), F.lit(ring).alias("_ring"))
+        seen = cut(near.unionByName(step).groupBy(MESH, "_patch", "vid").agg(F.min("_ring").alias("_ring")))
+        near, reached = seen, seen.where(F.col("_ring") == ring)
+    edges = near.join(adj, [MESH, "vid"]).groupBy(MESH, "_patch").agg(F.collect_list(F.struct("vid", "nb")).alias("edges"))
+    mine = own.groupBy(MESH, "_patch").agg(F.collect_list("vid").alias("own"))
+    return mine.join(edges, [MESH, "_patch"], "left")
+
+
+def smoothed(indexed: DataFrame, vertices: DataFrame, steps: Sequence[float], rings: int = RINGS, size: int = PATCH) -> DataFrame:
     """Each step moves every vertex by a factor of the way to its neighbours' mean.
 
-    Laplacian smoothing is ``[1.0] * n``; Taubin smoothing alternates its two factors. The
-    adjacency is written once and reused; lineage is cut every few steps.
+    Laplacian smoothing is ``[1.0] * n``; Taubin smoothing alternates its two factors. ``rings`` steps are done at a time, inside patches
+    that know the vertices up to ``rings`` edges away, so coordinates travel once for that many steps.
     """
     adj = cut(adjacency(indexed))
-    v = vertices.select(MESH, "vid", "x", "y", "z")
-    for i, k in enumerate(steps, start=1):
-        nb = v.select(MESH, F.col("vid").alias("nb"), *[F.col(a).alias(f"_{a}") for a in "xyz"])
-        mean = adj.join(nb, [MESH, "nb"]).groupBy(MESH, "vid").agg(*[F.avg(f"_{a}").alias(f"_{a}") for a in "xyz"])
-        v = v.join(mean, [MESH, "vid"], "left").select(
-            MESH, "vid", *[(F.col(a) + k * (F.coalesce(f"_{a}", a) - F.col(a))).alias(a) for a in "xyz"])
-        if i % cut_every == 0 and i < len(steps):
-            v = cut(v)
+    v = cut(vertices.select(MESH, "vid", "x", "y", "z"))
+    rings = max(1, min(rings, len(steps)))
+    known = cut(patches(adj, v, rings, size))
+    ends = F.explode(F.array_distinct(F.concat("own", F.coalesce(F.transform("edges", lambda e: e["nb"]), F.array().cast("array<long>")))))
+    members = cut(known.select(MESH, "_patch", ends.alias("vid")))
+    shape = f"{MESH} {vertices.schema[MESH].dataType.simpleString()}, vid long, x double, y double, z double"
+    for at in range(0, len(steps), rings):
+        part = list(steps[at : at + rings])
+
+        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in range(b.num_rows):
+                    mesh, own, edges, points = b.columns
+                    vid, *xyz = (f.to_numpy(zero_copy_only=False) for f in points[r].values.flatten())
+                    order = np.argsort(vid)
+                    vid, p = vid[order], np.stack(xyz, 1)[order].astype(float)
+                    if edges[r].is_valid:
+                        a, nb = (np.searchsorted(vid, f.to_numpy(zero_copy_only=False)) for f in edges[r].values.flatten())
+                        degree = np.bincount(a, minlength=len(vid))[:, None]
+                        for k in part:
+                            mean = np.stack([np.bincount(a, p[nb, i], len(vid)) for i in range(3)], 1) / np.maximum(degree, 1)
+                            p = np.where(degree > 0, p + k * (mean - p), p)
+                    ids = own[r].values
+                    q = p[np.searchsorted(vid, ids.to_numpy(zero_copy_only=False))]
+                    yield pa.RecordBatch.from_arrays([repeated(mesh, r, len(ids)), ids, *[pa.array(q[:, i]) for i in range(3)]], [MESH, "vid", "x", "y", "z"])
+
+        points = members.join(v, [MESH, "vid"]).groupBy(MESH, "_patch").agg(F.collect_list(F.struct("vid", "x", "y", "z")).alias("points"))
+        v = cut(known.join(points, [MESH, "_patch"]).select(MESH, "own", "edges", "points").mapInArrow(move, shape))
     return v
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..session import cut
@@ -42,6 +43,65 @@ def rotated_box(box: Sequence[tuple[Column, Column]], m: list[list[Column]], shi
     return out
 
 
+def _boxes(poses: DataFrame, shapes: DataFrame, frames: DataFrame) -> DataFrame:
+    """Poses with their rotation ``_m``, and the first (``_a``), last (``_b``) and number (``_c``) of target-grid positions of their box per axis."""
+    p = poses.join(shapes, "dist_id").join(frames, "target_id")
+    angles = G.axis_angles(F.col("a1"), F.col("a2"), F.col("axis1"), F.col("axis2"))
+    p = p.withColumns({f"_t{i}": a for i, a in enumerate(angles)})
+    p = p.withColumns({f"_{n}{i}": f(F.col(f"_t{i}")) for i in range(3) for n, f in (("cos", F.cos), ("sin", F.sin))})
+    m = G.rotation_of([F.col(f"_cos{i}") for i in range(3)], [F.col(f"_sin{i}") for i in range(3)])
+    p = p.withColumns({f"_m{i}{j}": m[i][j] for i in range(3) for j in range(3)})
+    box = [(F.col(f"{a}0"), F.col(f"{a}0") + F.col(f"d{a}") * (F.col(f"n{a}") - 1)) for a in "xyz"]
+    ends = {}
+    for a, (lo, hi) in zip("xyz", rotated_box(box, _matrix(), _shift())):
+        ends[f"_a{a}"] = F.greatest(F.lit(0), F.ceil((lo - F.col(f"g{a}0")) / F.col("gstep") - 1e-9)).cast("int")
+        ends[f"_b{a}"] = F.least(F.col(f"g{a}n") - 1, F.floor((hi - F.col(f"g{a}0")) / F.col("gstep") + 1e-9)).cast("int")
+    p = p.withColumns(ends).withColumns({f"_c{a}": F.greatest(F.lit(0), F.col(f"_b{a}") - F.col(f"_a{a}") + 1) for a in "xyz"})
+    # Written once: otherwise the optimiser copies these terms into every filter on them, and the code outgrows a compiled method.
+    return cut(spread(p, "pose_id"))
+
+
+def _matrix() -> list[list[Column]]:
+    return [[F.col(f"_m{i}{j}") for j in range(3)] for i in range(3)]
+
+
+def _shift() -> G.Vec:
+    return F.col("px"), F.col("py"), F.col("pz")
+
+
+def summed_volume(targets: DataFrame, frames: DataFrame) -> DataFrame:
+    """(target_id, gx, gy, gz, below): occupied target voxels at or before every grid position, along all axes."""
+    g = frames.select("target_id", "gxn", "gyn", "gzn")
+    for a in "xyz":
+        g = g.withColumn(f"g{a}", F.explode(F.sequence(F.lit(0), F.col(f"g{a}n") - 1)))
+        g = spread(g, "target_id", "gx") if a == "x" else g
+    g = g.drop("gxn", "gyn", "gzn").join(targets.select("target_id", "gx", "gy", "gz", F.lit(1).alias("_t")).distinct(), ["target_id", "gx", "gy", "gz"], "left")
+    total = F.coalesce("_t", F.lit(0))
+    for a, rest in (("gx", ("gy", "gz")), ("gy", ("gx", "gz")), ("gz", ("gx", "gy"))):
+        g = g.withColumn("below", F.sum(total).over(Window.partitionBy("target_id", *rest).orderBy(a).rowsBetween(Window.unboundedPreceding, 0)))
+        total = F.col("below")
+    return g.select("target_id", "gx", "gy", "gz", "below")
+
+
+def pose_bounds(poses: DataFrame, shapes: DataFrame, sums: DataFrame, frames: DataFrame, summary: DataFrame, resolution: float) -> DataFrame:
+    """What no pose can beat, without expanding it: ``n_most`` target voxels in its box, ``n_points`` of the box, ``fitness_least``.
+
+    A pose covers at most the target voxels of its upright box, which is eight look-ups in the summed volumes; its distance
+    and depth terms are exact, and no leak is assumed. So a pose whose ``fitness_least`` is above a known fitness cannot win.
+    """
+    p = _boxes(poses, shapes, frames)
+    corner = F.explode(F.array(*[F.struct(F.lit((-1) ** (i + j + k)).alias("sign"), *[(F.col(f"_a{a}") - 1 if low else F.col(f"_b{a}")).alias(f"g{a}") for a, low in zip("xyz", (i, j, k))])
+                                 for i in (0, 1) for j in (0, 1) for k in (0, 1)]))
+    full = (F.col("_cx") > 0) & (F.col("_cy") > 0) & (F.col("_cz") > 0)
+    at = p.where(full).select("pose_id", "target_id", corner.alias("c")).select("pose_id", "target_id", "c.*").where("gx >= 0 AND gy >= 0 AND gz >= 0")
+    most = at.join(broadcast_if_small(cut(sums), MASK_BROADCAST_ROWS), ["target_id", "gx", "gy", "gz"]).groupBy("pose_id").agg(F.sum(F.col("sign") * F.col("below")).alias("n_most"))
+    points = F.when(full, F.col("_cx").cast("long") * F.col("_cy") * F.col("_cz")).otherwise(F.lit(0))
+    j = p.select(*poses.columns, points.alias("n_points")).join(most, "pose_id", "left").fillna(0, ["n_most"]).join(summary, "target_id")
+    v, n = resolution**3, F.least("n_most", "n_target")
+    least = fitness_columns(n * v, F.greatest(n, F.lit(1)) * v, F.col("n_target") * v, _shift(), (F.col("cx"), F.col("cy"), F.col("cz")), F.col("extent"), F.col("z_access"))["fitness"]
+    return j.select(*poses.columns, "n_points", "n_most", (least - 1e-9).alias("fitness_least"))
+
+
 def pose_counts(poses: DataFrame, distributions: DataFrame, shapes: DataFrame, targets: DataFrame, frames: DataFrame) -> DataFrame:
     """C22, counting part: per pose the target-grid points inside the distribution, and of those in the target.
 
@@ -54,20 +114,7 @@ def pose_counts(poses: DataFrame, distributions: DataFrame, shapes: DataFrame, t
     must be evaluated. The two occupancy look-ups are equi-joins, broadcast while a mask table is
     counted to be small, so a sweep over few masks counts its poses without moving a grid point.
     """
-    p = spread(poses.join(shapes, "dist_id").join(frames, "target_id"), "pose_id")
-    angles = G.axis_angles(F.col("a1"), F.col("a2"), F.col("axis1"), F.col("axis2"))
-    p = p.withColumns({f"_t{i}": a for i, a in enumerate(angles)})
-    p = p.withColumns({f"_{n}{i}": f(F.col(f"_t{i}")) for i in range(3) for n, f in (("cos", F.cos), ("sin", F.sin))})
-    m = G.rotation_of([F.col(f"_cos{i}") for i in range(3)], [F.col(f"_sin{i}") for i in range(3)])
-    shift = (F.col("px"), F.col("py"), F.col("pz"))
-    p = p.withColumns({f"_m{i}{j}": m[i][j] for i in range(3) for j in range(3)})
-    m = [[F.col(f"_m{i}{j}") for j in range(3)] for i in range(3)]
-    box = [(F.col(f"{a}0"), F.col(f"{a}0") + F.col(f"d{a}") * (F.col(f"n{a}") - 1)) for a in "xyz"]
-    ends = {}
-    for a, (lo, hi) in zip("xyz", rotated_box(box, m, shift)):
-        ends[f"_a{a}"] = F.greatest(F.lit(0), F.ceil((lo - F.col(f"g{a}0")) / F.col("gstep") - 1e-9)).cast("int")
-        ends[f"_b{a}"] = F.least(F.col(f"g{a}n") - 1, F.floor((hi - F.col(f"g{a}0")) / F.col("gstep") + 1e-9)).cast("int")
-    p = p.withColumns(ends).withColumns({f"_c{a}": F.greatest(F.lit(0), F.col(f"_b{a}") - F.col(f"_a{a}") + 1) for a in "xyz"})
+    p, m, shift = _boxes(poses, shapes, frames), _matrix(), _shift()
     # Only what a grid point needs rides through the expansion: first the lines of the box, then the points of each line.
     p = p.where("_cx > 0 AND _cy > 0 AND _cz > 0").select(
         "pose_id", "dist_id", "target_id", "px", "py", "pz", *[f"_m{i}{j}" for i in range(3) for j in range(3)], "gstep",
@@ -121,7 +168,7 @@ def scored(counts: DataFrame, targets: DataFrame, resolution: float) -> DataFram
 def insertion_depth(poses: DataFrame, layout: DataFrame, z_access: Column) -> DataFrame:
     """Base depth plus the depth of antenna 1 below the access height."""
     first = layout.where("antenna = 1").select("antena", F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("z").alias("lz"))
-    j = poses.join(F.broadcast(first), "antena")
+    j = poses.join(broadcast_if_small(first, MASK_BROADCAST_ROWS), "antena")
     m = G.rotation(G.axis_angles(F.col("a1"), F.col("a2"), F.col("axis1"), F.col("axis2")))
     at = G.to_world((F.col("lx"), F.col("ly"), F.col("lz")), m, (F.col("px"), F.col("py"), F.col("pz")))
     inner = F.coalesce(F.greatest(F.lit(0.0), z_access - at[2]), F.lit(0.0))

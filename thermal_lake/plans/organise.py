@@ -39,23 +39,32 @@ def equal_rows(rows: DataFrame, pairs: DataFrame, key: str, columns: Sequence[st
     return per.groupBy("copy").agg((F.max(F.abs("_w")) == 0).alias("equal"))
 
 
-def organise(entries: DataFrame, content: DataFrame | None = None, columns: Sequence[str] = ()) -> DataFrame:
+# Reasons, and the details of a conflict that could not be decided by content.
+BEST, EQUAL, CONFLICT = "mejor puntaje", "contenido termico identico", "misma metadata con contenido diferente o no verificable"
+NOT_COMPARED, UNREADABLE_BEST, UNREADABLE_COPY = "comparacion deshabilitada", "canonico ilegible: ", "comparacion fallida: "
+
+
+def organise(entries: DataFrame, content: DataFrame | None = None, columns: Sequence[str] = (), compare: bool = True) -> DataFrame:
     """Category of every copy: ``canonico``, ``equivalente`` or ``conflicto``, with the reason.
 
-    ``entries`` holds ruta, clave_semantica, puntaje, mtime, seq and digest. The canonical copy is
-    one aggregate row per key, so a key shared by very many copies is split by the join, not
-    gathered. With ``content`` (ruta and ``columns``), copies whose digests agree are compared exactly as well.
-    Nothing is deleted.
+    ``entries`` holds ruta, clave_semantica, puntaje, mtime, seq and digest; a file that could not be read has a NULL digest and, if the column
+    exists, the cause in ``error``. The canonical copy is one aggregate row per key, so a key shared by very many copies is split
+    by the join, not gathered. With ``content`` (ruta and ``columns``), copies whose digests agree are compared exactly as well. An unreadable
+    file equals nothing: its conflict says which side could not be read. ``compare=False`` compares no content at all. Nothing is deleted.
     """
-    best = K.canonical_rows(entries.select("clave_semantica", "ruta", "puntaje", "mtime", "seq", "digest"), "clave_semantica", "puntaje", "mtime", "seq") \
-        .select("clave_semantica", F.col("ruta").alias("canonica"), F.col("digest").alias("_d"))
-    j = entries.join(best, "clave_semantica").withColumn("_same", F.col("digest").eqNullSafe(F.col("_d")))
+    e = entries if "error" in entries.columns else entries.withColumn("error", F.lit(None).cast("string"))
+    best = K.canonical_rows(e.select("clave_semantica", "ruta", "puntaje", "mtime", "seq", "digest", "error"), "clave_semantica", "puntaje", "mtime", "seq") \
+        .select("clave_semantica", F.col("ruta").alias("canonica"), F.col("digest").alias("_d"), F.col("error").alias("_e"))
+    j = e.join(best, "clave_semantica").withColumn("_same", F.lit(compare) & F.coalesce(F.col("digest") == F.col("_d"), F.lit(False)))
     if content is not None:
         pairs = j.where("_same AND ruta != canonica").select(F.col("ruta").alias("copy"), F.col("canonica").alias("canonical"))
         j = j.join(equal_rows(content, pairs, "ruta", columns), F.col("ruta") == F.col("copy"), "left").withColumn("_same", F.col("_same") & F.coalesce("equal", F.lit(False))).drop("copy", "equal")
     category = F.when(F.col("ruta") == F.col("canonica"), "canonico").when(F.col("_same"), "equivalente").otherwise("conflicto")
-    reason = F.when(F.col("category") == "canonico", "mejor puntaje").when(F.col("category") == "equivalente", "contenido igual").otherwise("contenido distinto")
-    return j.withColumn("category", category).withColumn("reason", reason).drop("_d", "_same")
+    cause = lambda head, error: F.concat(F.lit(head), F.coalesce(error, F.lit("sin detalle")))
+    detail = F.lit(NOT_COMPARED) if not compare else F.when(F.col("_d").isNull(), cause(UNREADABLE_BEST, F.col("_e"))).when(F.col("digest").isNull(), cause(UNREADABLE_COPY, F.col("error")))
+    conflict = F.concat(F.lit(CONFLICT), F.coalesce(F.concat(F.lit(" ("), detail, F.lit(")")), F.lit("")))
+    reason = F.when(F.col("category") == "canonico", BEST).when(F.col("category") == "equivalente", EQUAL).otherwise(conflict)
+    return j.withColumn("category", category).withColumn("reason", reason).select(*entries.columns, "canonica", "category", "reason")
 
 
 def split_archive(inventory: DataFrame, index: DataFrame, done: DataFrame, level: str = "full", keep_incomplete: bool = False) -> dict[str, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,6 +64,20 @@ def second_candidates(best: DataFrame, limits: DataFrame, seed: int = 2, n: int
     return b.select("target_id", "dist_id", "axis1", "axis2", *[c.alias(k) for k, c in cols.items()], F.xxhash64(F.lit(seed), "pose_id", "i").alias("pose_id"))
 
 
+def promising(poses: DataFrame, shapes: DataFrame, sums: DataFrame, level: tuple[DataFrame, DataFrame, DataFrame, float],
+              score: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The scored pose with the best bound of each search, and the unscored poses that might still beat it."""
+    _, frames, summary, resolution = level
+    group = ["target_id", "dist_id"]
+    poses = cut(poses)
+    bounds = cut(P.pose_bounds(poses, shapes, sums, frames, summary, resolution))
+    lead = bounds.groupBy(*group).agg(F.min_by("pose_id", F.struct("fitness_least", "pose_id")).alias("pose_id"))
+    first = cut(score(bounds.join(lead, [*group, "pose_id"], "left_semi").select(*poses.columns)))
+    known = first.select(*group, F.col("fitness").alias("_best"), F.col("pose_id").alias("_lead"))
+    rest = bounds.join(known, group).where((F.col("fitness_least") <= F.col("_best")) & (F.col("pose_id") != F.col("_lead")))
+    return first, cut(rest.select(*poses.columns))
+
+
 def search(searches: DataFrame, access: DataFrame, limits: DataFrame, distributions: DataFrame, shapes: DataFrame,
            coarse: tuple[DataFrame, DataFrame, DataFrame, float], fine: tuple[DataFrame, DataFrame, DataFrame, float],
            candidates: tuple[int, int] = (SEEDS_1, SEEDS_2), rounds: tuple[int, int] = (1, 1)) -> DataFrame:
@@ -72,7 +87,8 @@ def search(searches: DataFrame, access: DataFrame, limits: DataFrame, distributi
     first phase anew over all accessible points, the second around the best pose so far, which always stays in.
 
     ``coarse`` and ``fine`` are (target voxels, frames, target summary, resolution). Each phase
-    scores one candidate table as one job; only winners (one row per search) go on.
+    scores one candidate table; only winners (one row per search) go on. Of a search's candidates the one with the best bound
+    is scored first; those whose bound is above its fitness cannot win and are never expanded.
     """
     group = ["target_id", "dist_id"]
 
@@ -85,10 +101,16 @@ def search(searches: DataFrame, access: DataFrame, limits: DataFrame, distributi
         return df.groupBy(*group).agg(F.min_by(F.struct(*rest), F.struct("fitness", "pose_id")).alias("_r")).select(*group, "_r.*")
 
     pose = ["target_id", "dist_id", "axis1", "axis2", "px", "py", "pz", "a1", "a2", "pose_id"]
+    sums = {id(level): cut(P.summed_volume(level[0], level[1])) for level in (coarse, fine)}
+
+    def best_of(poses: DataFrame, level) -> DataFrame:
+        first, rest = promising(poses, shapes, sums[id(level)], level, lambda p: score(p, level))
+        return winner(first.unionByName(score(rest, level)))
+
     drawn = [first_candidates(searches, access, 2 * r + 1, candidates[0]) for r in range(rounds[0])]
-    best = cut(winner(score(reduce(DataFrame.unionByName, drawn), coarse)).select(*pose))
+    best = cut(best_of(reduce(DataFrame.unionByName, drawn), coarse).select(*pose))
     for r in range(rounds[1]):
-        found = winner(score(cut(second_candidates(best, limits, 2 * r + 2, candidates[1])), fine))
+        found = best_of(second_candidates(best, limits, 2 * r + 2, candidates[1]), fine)
         if r < rounds[1] - 1:
             best = cut(found.select(*pose))
     return found

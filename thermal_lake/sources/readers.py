@@ -8,11 +8,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schemas
 from ..functions import metadata as M
 from ..functions.nulls import enforce, extract, finite, text
 from ..operators.catalog import first_per_key, portable_path
+from ..operators.skew import ROWS_PER_RANGE, broadcast_if_small, ranked
+from ..session import cut
+
+# Rows of byte ranges or files that may be broadcast, some 100 bytes each.
+RANGE_ROWS = 200_000
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -141,25 +147,92 @@ def parse_probe_logs(texts: DataFrame) -> DataFrame:
     t = texts.withColumn("lines", F.split("texto", r"\r?\n"))
     is_head = F.transform("lines", lambda v: v.contains(LOG_HEADER))
     t = t.withColumn("head", F.array_position(is_head, True).cast("int")).where("head > 0")
-    tokens = F.split(F.trim(F.element_at("lines", F.col("head"))), r"\s+")
-    clean = lambda v: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"\(.*?\)", ""), "[^a-zA-Z0-9_]", "_"), "_+", "_"), "^_|_$", "")
-    labels = F.transform(F.slice(tokens, 2, F.greatest(F.lit(0), F.size(tokens) - 1)), lambda v, i: F.coalesce(
-        text(clean(v)), F.concat(F.lit(LOG_PROBE), (i + 1).cast("string"))))
-    t = t.withColumn("labels", labels)
+    t = t.withColumn("labels", _log_labels(F.element_at("lines", F.col("head"))))
     rest = F.slice("lines", F.col("head") + 1, F.size("lines"))
+    return _log_rows(t.select("ruta", "labels", F.posexplode(F.filter(F.transform(rest, _leading), lambda r: F.size(r) >= 2)).alias("pos", "r")))
+
+
+def _log_labels(head: Column) -> Column:
+    """Probe names in a header line."""
+    tokens = F.split(F.trim(head), r"\s+")
+    clean = lambda v: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"\(.*?\)", ""), "[^a-zA-Z0-9_]", "_"), "_+", "_"), "^_|_$", "")
+    return F.transform(F.slice(tokens, 2, F.greatest(F.lit(0), F.size(tokens) - 1)), lambda v, i: F.coalesce(text(clean(v)), F.concat(F.lit(LOG_PROBE), (i + 1).cast("string"))))
 
-    def leading(line: Column) -> Column:
-        raw = F.transform(F.split(F.trim(line), r"\s+"), lambda v: v.try_cast("double"))
-        bad = F.array_position(F.transform(raw, lambda v: v.isNull()), True).cast("int")
-        return F.when(bad > 0, F.slice(raw, 1, bad - 1)).otherwise(raw)
 
-    t = t.select("ruta", "labels", F.posexplode(F.filter(F.transform(rest, leading), lambda r: F.size(r) >= 2)).alias("pos", "r"))
+def _leading(line: Column) -> Column:
+    """The numbers with which a line begins."""
+    raw = F.transform(F.split(F.trim(line), r"\s+"), lambda v: v.try_cast("double"))
+    bad = F.array_position(F.transform(raw, lambda v: v.isNull()), True).cast("int")
+    return F.when(bad > 0, F.slice(raw, 1, bad - 1)).otherwise(raw)
+
+
+def _log_rows(t: DataFrame) -> DataFrame:
+    """Long rows of number lists ``r`` (time first) with the ``labels`` of their file."""
     own = F.size("labels") == F.size("r") - 1
     t = t.select("ruta", finite(F.col("r")[0]).alias("t_min"), "labels", own.alias("own"), F.posexplode(F.slice("r", 2, F.size("r") - 1)).alias("k", "v"))
     return t.select("ruta", (F.col("k") + 1).alias("probe_idx"), F.when(F.col("own"), F.try_element_at("labels", F.col("k") + 1)).otherwise(
         F.concat(F.lit(LOG_PROBE), (F.col("k") + 1).cast("string"))).alias("label"), "t_min", finite("v").alias("t_c"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ruta, line_no from 0, value) of text files that are read in byte ranges, so that one large file fills many tasks.
+
+    Spark hands out the lines of a range in order; what a line's number needs besides is the number of lines in the ranges before, one
+    small row a range. Nothing is sorted, no text is gathered.
+    """
+    own = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("ruta"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), "value")
+    ranges = cut(own.groupBy("ruta", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("ruta").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = broadcast_if_small(ranges.withColumn("_before", before).drop("_n"), RANGE_ROWS)
+    return own.join(at, ["ruta", "_start"]).select("ruta", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
+
+
+def lines_of(texts: DataFrame) -> DataFrame:
+    """(ruta, line_no, value) of whole texts (ruta, texto)."""
+    return texts.select("ruta", F.posexplode(F.split("texto", r"\r?\n")).alias("line_no", "value")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def experiments_from_lines(lines: DataFrame, seconds: bool = True, separator: str = r"[,;\t]", rows: int = ROWS_PER_RANGE) -> DataFrame:
+    """S6 for files of any length, as :func:`parse_experiments`: rows are ranked and their order is tested range by range."""
+    t = lines.withColumn("r", _numbers(F.col("value"), separator)).where(F.exists("r", lambda v: v.isNotNull())).select("ruta", "line_no", "r")
+    t = ranked(t, ["ruta"], "line_no", name="pos", rows=rows).withColumn("pos", F.col("pos") - 1)
+    t = t.withColumn("head", F.col("r")[0])
+    # a file's order is tested in ranges of lines: inside each by its neighbours, across them by their ends
+    span = t.where(F.col("head").isNotNull()).withColumn("_range", F.floor(F.col("line_no") / rows))
+    w = Window.partitionBy("ruta", "_range").orderBy("line_no")
+    parts = span.withColumn("_down", F.col("head") < F.lag("head").over(w)).groupBy("ruta", "_range").agg(
+        F.count(F.lit(1)).alias("_n"), F.coalesce(F.bool_or("_down"), F.lit(False)).alias("_down"), F.min_by("head", "line_no").alias("_a"), F.max_by("head", "line_no").alias("_b"))
+    parts = parts.withColumn("_down", F.col("_down") | F.coalesce(F.col("_a") < F.lag("_b").over(Window.partitionBy("ruta").orderBy("_range")), F.lit(False)))
+    heads = parts.groupBy("ruta").agg(F.sum("_n").alias("_n"), F.bool_or("_down").alias("_down"))
+    kinds = t.groupBy("ruta").agg(F.max(F.size("r")).alias("_width")).join(heads, "ruta").select("ruta", ((F.col("_n") >= 2) & (F.col("_width") >= 2) & ~F.col("_down")).alias("timed"))
+    t = t.join(broadcast_if_small(cut(kinds), RANGE_ROWS), "ruta")
+    timed = F.col("timed")
+    t = t.select("ruta", F.when(timed, F.col("head")).otherwise(F.col("pos").cast("double")).alias("t"), F.when(timed, F.slice("r", 2, F.greatest(F.lit(0), F.size("r") - 1))).otherwise(F.col("r")).alias("v"))
+    t = t.where(F.col("t").isNotNull() & F.exists("v", lambda x: x.isNotNull()))
+    return t.select("ruta", (F.col("t") / (60.0 if seconds else 1.0)).alias("t_min"), F.posexplode("v").alias("k", "t_c")).select(
+        F.col("ruta").alias("exp_id"), (F.col("k") + 1).alias("probe_idx"), F.concat(F.lit("P"), (F.col("k") + 1).cast("string")).alias("label"), "t_min", "t_c")
+
+
+def probe_logs_from_lines(lines: DataFrame) -> DataFrame:
+    """S7 for files of any length, as :func:`parse_probe_logs`: only header lines are gathered, one row a file."""
+    is_head = F.col("value").contains(LOG_HEADER)
+    heads = lines.where(is_head).groupBy("ruta").agg(F.min("line_no").alias("_from"), F.min_by("value", "line_no").alias("_head"))
+    heads = broadcast_if_small(cut(heads.select("ruta", "_from", _log_labels(F.col("_head")).alias("labels"))), RANGE_ROWS)
+    t = lines.join(heads, "ruta").where(F.col("line_no") > F.col("_from")).select("ruta", "labels", _leading(F.col("value")).alias("r")).where(F.size("r") >= 2)
+    return _log_rows(t)
+
+
+def read_experiments(spark: SparkSession, path: str, seconds: bool = True, separator: str = r"[,;\t]") -> DataFrame:
+    """S6 over a folder, files of any length."""
+    return experiments_from_lines(numbered_lines(spark, path), seconds, separator)
+
+
+def read_probe_logs(spark: SparkSession, path: str) -> DataFrame:
+    """S7 over a folder, files of any length."""
+    return probe_logs_from_lines(numbered_lines(spark, path))
+
+
 def decode_meshes(files: DataFrame, id_from: Column | None = None) -> DataFrame:
     """Facets of binary STL files (path, content): an 84-byte head, then 50 bytes per facet."""
     record = np.dtype([("n", "<f4", 3), ("v", "<f4", (3, 3)), ("a", "<u2")])
