@@ -1,4 +1,10 @@
-"""The corpus pipeline: filters and encodes the table ``documents``, stage by stage."""
+"""The corpus pipeline: filters and encodes the table ``documents``, stage by stage.
+
+Cases, for every stage: an empty table gives an empty one. Null or empty texts have no words, so the first stage removes them; given to a later
+stage, they are in no group, hold no item and no secret, and have no ids. Rows without doc_id are judged by their own text and never grouped. Repeated
+rows, and rows that share a doc_id, count as copies in the second stage, which keeps one of them (the smallest row); the other
+stages treat each row by itself. Columns beyond those of ``documents`` are left out by the first stage. Texts of any length are taken whole.
+"""
 
 from __future__ import annotations
 
