@@ -19,3 +19,28 @@ def test_regions_of_each_instant(spark):
     counts = {r.k: r.asDict() for r in FL.cloud_outcomes(status, ["k"]).collect()}
     assert counts["a"] == {"k": "a", "corte": 0, "sin_puntos": 1, "varias_regiones": 1, "exportar": 2}
     assert FL.cloud_regions(df.limit(0), F.lit(0.0), F.lit(1.0), (1.0, 1.0, 1.0), ["k"]).count() == 0
+
+
+def test_block_components_equal_search():
+    import numpy as np
+
+    from thermal_lake.functions import numerics
+    from thermal_lake.operators.voxel import neighbour_offsets
+
+    rng = np.random.default_rng(0)
+    for connectivity, share in ((26, 0.08), (6, 0.25), (8, 0.3), (26, 0.6)):
+        offsets = neighbour_offsets(connectivity)
+        cells = sorted((b, *map(int, c)) for b in (0, 1, 4) for c in np.argwhere(rng.random((6, 6, 6)) < share))
+        at = {c: i for i, c in enumerate(cells)}
+        root = numerics.block_components(np.array([c[0] for c in cells]), [np.array([c[k] for c in cells]) for k in (1, 2, 3)], 6, offsets)
+        for start in cells:  # the first cell that can be reached
+            seen, todo = {start}, [start]
+            while todo:
+                b, x, y, z = todo.pop()
+                for dx, dy, dz in offsets:
+                    n = (b, x + dx, y + dy, z + dz)
+                    if n in at and n not in seen:
+                        seen.add(n)
+                        todo.append(n)
+            assert root[at[start]] == min(at[c] for c in seen)
+    assert len(numerics.block_components(np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 3, 6, neighbour_offsets(26))) == 0

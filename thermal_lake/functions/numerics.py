@@ -143,24 +143,33 @@ def parabola_pass(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_components(ix: np.ndarray, iy: np.ndarray, iz: np.ndarray, offsets: list[tuple[int, int, int]]) -> np.ndarray:
-    """Component number of each occupied cell of one bounded block (minimum position per component)."""
-    lo = np.array([ix.min(), iy.min(), iz.min()])
-    shape = np.array([ix.max(), iy.max(), iz.max()]) - lo + 3
-    none = len(ix)
-    at = (ix - lo[0] + 1, iy - lo[1] + 1, iz - lo[2] + 1)
-    where = np.full(shape, none)
-    where[at] = np.arange(none)
-    links = [where[at[0] + dx, at[1] + dy, at[2] + dz] for dx, dy, dz in offsets]
-    root = np.arange(none + 1)
-    while True:
-        best = root[:none].copy()
-        for nb in links:
-            np.minimum(best, root[nb], out=best)
-        new = root.copy()
-        np.minimum.at(new, root[:none], best)
-        new[:none] = np.minimum(new[:none], best)
-        new = new[new]
-        if (new == root).all():
-            return root[:none]
-        root = new
+def block_components(block: np.ndarray, place: list[np.ndarray], side: int, offsets: list[tuple[int, int, int]]) -> np.ndarray:
+    """Component of each occupied cell of many blocks at once: the position, in (block, x, y, z) order, of its first cell.
+
+    ``place`` holds x, y, z of the cells within their blocks, 0 .. ``side`` - 1; cells must be given in that order. Neighbours are
+    found by binary search, and components are joined at their smallest members until nothing changes.
+    """
+    pad = side + 2  # an empty rim, so that steps out of a block meet nothing
+    code = ((block * pad + place[0] + 1) * pad + place[1] + 1) * pad + place[2] + 1
+    a, b = [], []
+    for dx, dy, dz in offsets:
+        if (dx, dy, dz) > (0, 0, 0):
+            want = code + (dx * pad + dy) * pad + dz
+            at = np.minimum(np.searchsorted(code, want), max(0, len(code) - 1))
+            hit = np.flatnonzero(code[at] == want) if len(code) else at
+            a.append(hit)
+            b.append(at[hit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    root = np.arange(len(code))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        a, b = a[apart], b[apart]  # a pair under one root stays there
+        np.minimum.at(root, high[apart], low[apart])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return root
+

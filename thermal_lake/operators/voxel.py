@@ -60,8 +60,8 @@ def neighbour_offsets(connectivity: int) -> list[tuple[int, int, int]]:
 def components(occupied: DataFrame, keys: Sequence[str], connectivity: int = 26, block: int = 32) -> DataFrame:
     """Connected components of occupied voxels: adds ``root`` (smallest packed id of the component).
 
-    Blocks of ``block`` cells per axis are labelled on their own (a group is at most one block),
-    then only the labels that touch across block faces form a graph, which is contracted by
+    Blocks of ``block`` cells per axis are labelled on their own, as many at once as Spark hands to a task together, so hundreds of
+    small clouds cost little more than one; then only the labels that touch across block faces form a graph, which is contracted by
     repeated hooking to the smallest neighbour. The graph is orders of magnitude smaller than the
     voxel table, and the number of rounds grows with its logarithm, not with its diameter.
     """
@@ -72,18 +72,22 @@ def components(occupied: DataFrame, keys: Sequence[str], connectivity: int = 26,
     flat = connectivity == 8
     edge = block if not flat else block * block // 4
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        xyz = [pdf[c].to_numpy(np.int64) for c in VOXEL]
-        ids = (xyz[0] << 2 * SIDE) | (xyz[1] << SIDE) | xyz[2]
-        comp = numerics.block_components(*xyz, offsets)
-        low = pd.Series(ids).groupby(comp).transform("min")
-        out = pdf[cols].copy()
-        out["id"], out["local"] = ids, low.to_numpy()
-        return out
+    nk = len(keys)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = b.columns[nk]
+            xyz = [f.to_numpy(zero_copy_only=False).astype(np.int64) for f in cells.flatten().flatten()]
+            row = np.repeat(np.arange(b.num_rows), np.diff(cells.offsets.to_numpy()))
+            order = np.lexsort((xyz[2], xyz[1], xyz[0], row))
+            row, xyz = row[order], [v[order] for v in xyz]
+            ids = (xyz[0] << 2 * SIDE) | (xyz[1] << SIDE) | xyz[2]
+            root = numerics.block_components(row, [v % edge for v in xyz], edge, offsets)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row)) for c in b.columns[:nk]], *[pa.array(v.astype(np.int32)) for v in xyz], pa.array(ids), pa.array(ids[root])], [*cols, "id", "local"])
 
     bins = [F.floor(F.col(c) / edge).alias(f"_b{c}") for c in VOXEL]
-    local = cut(occupied.select(*cols).groupBy(*keys, *bins).applyInPandas(
-        label, f"{key_types}, ix int, iy int, iz int, id long, local long"))
+    blocks = occupied.select(*cols).groupBy(*keys, *bins).agg(F.collect_set(F.struct(*[F.col(c).cast("int").alias(c) for c in VOXEL])).alias("cells"))
+    local = cut(blocks.select(*keys, "cells").mapInArrow(label, f"{key_types}, ix int, iy int, iz int, id long, local long"))
     on_face = F.lit(False)
     for c in VOXEL[: 2 if flat else 3]:
         on_face = on_face | F.pmod(F.col(c), F.lit(edge)).isin(0, edge - 1)
