@@ -238,10 +238,10 @@ def single_region(spark, d):
 
 
 def _corners() -> str:
-    """Corners of both facets of a face: 0, p, r of the face's four, counted from a corner of the voxel."""
+    """Corners of both facets of a face: 0, p, r of the face's four, counted from a corner of the voxel; those of an axis in one number."""
     text = ["000", "001", "011", "010"], ["100", "110", "111", "101"], ["000", "100", "101", "001"], ["010", "011", "111", "110"], ["000", "010", "110", "100"], ["001", "101", "111", "011"]
     at = lambda k, a: f"CAST(m.i{'xyz'[a]} + CAST(substring(CASE q.face {' '.join(f'WHEN {i} THEN ' + repr(' '.join(c)) for i, c in enumerate(text))} END, 4 * ({k}) + {a + 1}, 1) AS INT) AS DOUBLE)"
-    return ", ".join(f"{at(k, a)} AS {'xyz'[a]}{n}" for n, k in ((1, "0"), (2, "t.p"), (3, "t.r")) for a in range(3))
+    return ", ".join(f"{at('0', a)} + 100 * {at('t.p', a)} + 10000 * {at('t.r', a)} AS {'xyz'[a]}s" for a in range(3))
 
 
 _DIRS = "(VALUES (0, -1, 0, 0), (1, 1, 0, 0), (2, 0, -1, 0), (3, 0, 1, 0), (4, 0, 0, -1), (5, 0, 0, 1)) q(face, a, b, c)"
@@ -251,7 +251,7 @@ _DIRS = "(VALUES (0, -1, 0, 0), (1, 1, 0, 0), (2, 0, -1, 0), (3, 0, 1, 0), (4, 0
  WHERE NOT EXISTS (SELECT 1 FROM m n WHERE n.dist_id = m.dist_id AND n.ix = m.ix + a AND n.iy = m.iy + b AND n.iz = m.iz + c)""")
 def boundary_surface(spark, d):
     s = ME.voxel_surface(view(spark, d, S.MASK), ["dist_id"])
-    return s.select("dist_id", "ix", "iy", "iz", "face", "half", *[F.col(f"v{k}.{a}").alias(f"{a}{k}") for k in (1, 2, 3) for a in "xyz"])
+    return s.select("dist_id", "ix", "iy", "iz", "face", "half", *[(F.col(f"v1.{a}") + 100 * F.col(f"v2.{a}") + 10000 * F.col(f"v3.{a}")).alias(f"{a}s") for a in "xyz"])
 
 
 # Complete 10 x 11 x 9 grid per supplier.
