@@ -380,8 +380,8 @@ def top_nearest(df: DataFrame, keys: Sequence[str], distance: Column, k: int = 2
 
 # Outcomes of an instant.
 CUT, NO_POINTS, REGIONS, EXPORT = CLOUD_STATES = ("corte", "sin_puntos", "varias_regiones", "exportar")
-# Voxel numbers count from here, so that places below zero have one too.
-VOXEL_ORIGIN = 1 << 20
+# Voxel numbers count from here, so that places below zero have one too; the middle of a block of 32, so that a small cloud around zero lies in one.
+VOXEL_ORIGIN = (1 << 20) + 16
 
 
 def cloud_regions(field: DataFrame, low: Column, high: Column, spacing: Sequence[float], keys: Sequence[str] = DATASET) -> DataFrame:
