@@ -22,6 +22,9 @@ FRAME = "SELECT CAST(n_nationkey AS INT) AS target_id, 0.0E0 AS gx0, 0.0E0 AS gy
 POSES = """SELECT o_orderkey AS pose_id, s_suppkey AS dist_id, CAST(o_orderkey % 25 AS INT) AS target_id, o_totalprice / 20000 - 0.0137E0 AS px, o_custkey % 11 + 0.0219E0 AS py, o_orderkey % 9 + 0.0371E0 AS pz,
  (o_orderkey % 31 - 15) / 57.3E0 AS a1, (o_custkey % 12) / 3.83E0 + 0.01E0 AS a2, CAST(o_orderkey % 3 + 1 AS INT) AS axis1, CAST((o_orderkey + 1) % 3 + 1 AS INT) AS axis2
  FROM {orders} JOIN (SELECT s_suppkey, count(*) OVER () AS ns FROM {supplier}) s ON s_suppkey = o_custkey % ns"""
+# The same rows for Spark: the number of suppliers is one row, so that suppliers are found by key; a window over all of them and a condition on its count pair every order with every supplier.
+POSES_SPARK = POSES.replace("{orders} JOIN (SELECT s_suppkey, count(*) OVER () AS ns FROM {supplier}) s ON s_suppkey = o_custkey % ns",
+                            "(SELECT o.*, o_custkey % nullif(ns, 0) AS nth FROM {orders} o CROSS JOIN (SELECT count(*) AS ns FROM {supplier}) n) p JOIN {supplier} s ON s_suppkey = nth")
 SUMMARY = f"SELECT target_id, count(*) AS n_target, avg(gx) AS cx, avg(gy) AS cy, avg(gz) AS cz, 25.0E0 AS extent, 9.0E0 AS z_access FROM ({TARGET}) t GROUP BY target_id"
 
 
@@ -37,7 +40,7 @@ _CR = _rot(["vx", "vy", "vz"])
 @query("F18_rotated_box", f"""WITH c AS (SELECT pose_id, px, py, pz, rx, ry, rz, vx, vy, vz FROM (SELECT *, {_ANG} FROM ({sub(POSES)}) p) p, (VALUES (-2.0, -1.5, -2.0), (-2.0, -1.5, 2.0), (-2.0, 1.5, -2.0), (-2.0, 1.5, 2.0), (2.0, -1.5, -2.0), (2.0, -1.5, 2.0), (2.0, 1.5, -2.0), (2.0, 1.5, 2.0)) v(vx, vy, vz))
 SELECT pose_id, {', '.join(f"{R(f'min(p{a} + {e})')} AS lo_{a}, {R(f'max(p{a} + {e})')} AS hi_{a}" for a, e in zip('xyz', _CR))} FROM c GROUP BY 1""")
 def rotated_box(spark, d):
-    p = view(spark, d, POSES)
+    p = view(spark, d, POSES_SPARK)
     m = G.rotation(G.axis_angles(F.col("a1"), F.col("a2"), F.col("axis1"), F.col("axis2")))
     half = [(F.lit(-v), F.lit(v)) for v in (2.0, 1.5, 2.0)]
     box = P.rotated_box(half, m, (F.col("px"), F.col("py"), F.col("pz")))
@@ -52,7 +55,7 @@ _CNT = f"""SELECT p.pose_id, p.target_id, p.px, p.py, p.pz, coalesce(n_dist, 0)
 
 
 def counts(spark, d):
-    return P.pose_counts(view(spark, d, POSES), view(spark, d, DIST), view(spark, d, SHAPE), view(spark, d, TARGET), view(spark, d, FRAME))
+    return P.pose_counts(view(spark, d, POSES_SPARK), view(spark, d, DIST), view(spark, d, SHAPE), view(spark, d, TARGET), view(spark, d, FRAME))
 
 
 @query("C22_pose_sweep_scoring", f"SELECT pose_id, n_dist, n_in FROM ({_CNT}) c")
@@ -87,5 +90,5 @@ _A1 = _rot(["lx", "ly", "lz"])
 
 @query("C24_insertion_depth", f"""SELECT pose_id, {R(f'greatest(0, 9 - (pz + {_A1[2]}))')} AS depth_mesh_mm, {R(f'26.4 + greatest(0, 9 - (pz + {_A1[2]}))')} AS depth_total_mm FROM (SELECT *, {_ANG}, CASE pose_id % 4 WHEN 1 THEN -10.0 WHEN 3 THEN -10.0 ELSE 0 END AS lx, CASE pose_id % 4 WHEN 2 THEN 11.55 WHEN 3 THEN -10.0 ELSE 0 END AS ly, 0 AS lz FROM ({sub(POSES)}) p) t""")
 def insertion_depth(spark, d):
-    p = view(spark, d, POSES).withColumn("antena", F.concat((F.col("pose_id") % 4 + 1).cast("string"), F.lit("ant")))
+    p = view(spark, d, POSES_SPARK).withColumn("antena", F.concat((F.col("pose_id") % 4 + 1).cast("string"), F.lit("ant")))
     return P.insertion_depth(p, G.placement_layout(spark), F.lit(9.0)).select("pose_id", rnd("depth_mesh_mm").alias("depth_mesh_mm"), rnd("depth_total_mm").alias("depth_total_mm"))
