@@ -102,6 +102,25 @@ def pose_bounds(poses: DataFrame, shapes: DataFrame, sums: DataFrame, frames: Da
     return j.select(*poses.columns, "n_points", "n_most", (least - 1e-9).alias("fitness_least"))
 
 
+def mask_words(distributions: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(dist_id, _layer, _sx, _sy, _words): a distribution's occupied voxels as bits, 64 to a number, in the order of x, y, z within its box.
+
+    A pose's box holds its whole distribution, so a mask is at most a 64th of the points the pose must look at. Voxels
+    outside the grid are met by no point. A voxel that comes n times has a bit in n layers.
+    """
+    box = shapes.groupBy("dist_id").agg(*[F.max(F.ceil(f"n{a}")).cast("long").alias(f"_s{a}") for a in "xyz"])
+    d = distributions.select("dist_id", *VOXEL).withColumn("_layer", F.row_number().over(Window.partitionBy("dist_id", *VOXEL).orderBy(F.lit(1))))
+    d = d.join(box, "dist_id").where(" AND ".join(f"i{a} BETWEEN 0 AND _s{a} - 1" for a in "xyz"))
+    d = d.withColumn("_at", (F.col("iz") * F.col("_sy") + F.col("iy")) * F.col("_sx") + F.col("ix"))
+    keys = ["dist_id", "_layer", "_sx", "_sy", "_sz"]
+    words = d.groupBy(*keys, F.expr("_at div 64").alias("_i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at % 64 AS int))")).alias("_bits"))
+    every = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_bits"))).alias("_held"))
+    # Words without a voxel are zero, so that a word is found by its number.
+    gaps = F.expr("""flatten(transform(_held, (w, k) -> concat(
+        array_repeat(0L, cast(w._i - if(k = 0, -1L, _held[k - 1]._i) - 1 AS int)), array(w._bits))))""")
+    return every.select("dist_id", "_layer", "_sx", "_sy", gaps.alias("_words"))
+
+
 def pose_counts(poses: DataFrame, distributions: DataFrame, shapes: DataFrame, targets: DataFrame, frames: DataFrame) -> DataFrame:
     """C22, counting part: per pose the target-grid points inside the distribution, and of those in the target.
 
@@ -111,13 +130,14 @@ def pose_counts(poses: DataFrame, distributions: DataFrame, shapes: DataFrame, t
     * ``frames``: target_id, g{x,y,z}0 origin, gstep, g{x,y,z}n length of the target grid
 
     Each pose expands only into the grid points of its own rotated box, which are the points that
-    must be evaluated. The two occupancy look-ups are equi-joins, broadcast while a mask table is
-    counted to be small, so a sweep over few masks counts its poses without moving a grid point.
+    must be evaluated. The distribution's voxels come along with the pose as bits, so no grid point outside it is joined or
+    moved; those inside meet the target's voxels by an equi-join, broadcast while that table is counted to be small.
     """
     p, m, shift = _boxes(poses, shapes, frames), _matrix(), _shift()
+    p = p.join(broadcast_if_small(cut(mask_words(distributions, shapes)), MASK_BROADCAST_ROWS), "dist_id")
     # Only what a grid point needs rides through the expansion: first the lines of the box, then the points of each line.
     p = p.where("_cx > 0 AND _cy > 0 AND _cz > 0").select(
-        "pose_id", "dist_id", "target_id", "px", "py", "pz", *[f"_m{i}{j}" for i in range(3) for j in range(3)], "gstep",
+        "pose_id", "target_id", "px", "py", "pz", *[f"_m{i}{j}" for i in range(3) for j in range(3)], "gstep", "_sx", "_sy", "_words",
         *[f"{n}{a}" for a in "xyz" for n in ("d", "n", "_a", "_b")], *[f"{a}0" for a in "xyz"], *[f"g{a}0" for a in "xyz"], "_cy",
         F.explode(F.expr("sequence(0L, cast(_cy AS bigint) * _cz - 1)")).alias("_line"))
     p = p.withColumns({"gy": (F.col("_ay") + F.col("_line") % F.col("_cy")).cast("int"), "gz": (F.col("_az") + F.expr("_line div _cy")).cast("int")}).drop("_line", "_cy")
@@ -129,9 +149,9 @@ def pose_counts(poses: DataFrame, distributions: DataFrame, shapes: DataFrame, t
         u = (v - F.col(f"{a}0")) / F.col(f"d{a}")
         out = out | (u < 0) | (u > F.col(f"n{a}") - 1)
         p = p.withColumn(f"i{a}", F.floor(u + 0.5).cast("int"))
-    own = broadcast_if_small(cut(distributions.select("dist_id", *VOXEL)), MASK_BROADCAST_ROWS)
     goal = broadcast_if_small(cut(targets.select("target_id", "gx", "gy", "gz", F.lit(1).alias("_t"))), MASK_BROADCAST_ROWS)
-    inside = p.where(~out).select("pose_id", "dist_id", "target_id", "gx", "gy", "gz", *VOXEL).join(own, ["dist_id", *VOXEL])
+    at = p.where(~out).withColumn("_at", (F.col("iz") * F.col("_sy") + F.col("iy")) * F.col("_sx") + F.col("ix"))
+    inside = at.where("shiftrightunsigned(get(_words, cast(_at div 64 AS int)), cast(_at % 64 AS int)) & 1L = 1L").select("pose_id", "target_id", "gx", "gy", "gz")
     marked = inside.join(goal, ["target_id", "gx", "gy", "gz"], "left")
     counts = marked.groupBy("pose_id").agg(F.count(F.lit(1)).alias("n_dist"), F.count("_t").alias("n_in"))
     return poses.join(counts, "pose_id", "left").fillna(0, ["n_dist", "n_in"])
