@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,53 +14,138 @@ from pyspark.sql.window import Window
 from ..functions.colour import FEATURES
 from ..session import cut
 from .field import stride_sample
+from .packs import entry, packed, repeated, types_of
 from .skew import drop_halo, halo_window, running_sum, with_halo
 
 IMAGE = "image_id"
-TOGETHER = 3  # rounds of k-means between two looks at whether the centres still move
+BLOCK = 16_384  # pixels of an image that are clustered in one piece: some 2 MB
 
 
-def clusters(px: DataFrame, k: int, restarts: int = 5, rounds: int = 400, seed: int = 1, tol: float = 1e-6) -> DataFrame:
+def clusters(px: DataFrame, k: int, restarts: int = 5, rounds: int = 400, seed: int = 1, tol: float = 1e-6, block: int = BLOCK) -> DataFrame:
     """K-means of the z-scored features of every image, the cheapest of ``restarts`` starts.
 
-    Every start runs until no centre moves by more than ``tol``; ``rounds`` only bounds a run that never settles.
-
-    All images and starts advance together. One round sends only the k x 7 sums per (image,
-    start) of each task through the shuffle; pixels meet the small centre table by image. Start
+    Every start runs until no centre moves by more than ``tol``; ``rounds`` only bounds a run that never settles. Start
     centres are the k pixels with the smallest seeded hash, so a run can be repeated.
+
+    Pixels are packed once, in blocks of at most ``block`` of one image. An image of one block is clustered where it lies, in
+    one pass. Larger ones advance together: a round sends only the k x 7 sums per (block, start) through the shuffle, and
+    only for starts that still move.
     """
-    starts = F.explode(F.array(*[F.lit(s) for s in range(restarts)]))
-    base = px.select(IMAGE, "row", "col", F.array(*FEATURES).alias("f"))
-    tagged = base.withColumn("start", starts)
-    w = Window.partitionBy(IMAGE, "start").orderBy(F.xxhash64(F.lit(seed), "start", "row", "col"), "row", "col")
-    first = tagged.withColumn("c", F.row_number().over(w)).where(F.col("c") <= k)
-    pack = lambda df: df.groupBy(IMAGE, "start").agg(F.sort_array(F.collect_list(F.struct("c", "f"))).alias("centres"))
-    centres = cut(pack(first.select(IMAGE, "start", "c", "f")))
-    dist = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-
-    def assigned(cs: DataFrame) -> DataFrame:
-        best = F.array_min(F.transform("centres", lambda m: F.struct(dist(m["f"], F.col("f")).alias("d"), m["c"].alias("c"))))
-        return base.join(cs, IMAGE).select(IMAGE, "start", "row", "col", "f", best.alias("b"))
-
-    mean = F.array(*[F.avg(F.col("f")[i]) for i in range(len(FEATURES))])
-    done = 0
-    while done < rounds:
-        for _ in range(min(TOGETHER, rounds - done)):
-            moved = assigned(centres).groupBy(IMAGE, "start", F.col("b.c").alias("c")).agg(mean.alias("f"))
-            # A centre that lost all its pixels stays where it was.
-            kept = centres.select(IMAGE, "start", F.explode("centres").alias("m")).select(IMAGE, "start", "m.c", F.col("m.f").alias("_o"))
-            new = kept.join(moved, [IMAGE, "start", "c"], "left").withColumn("shift", F.coalesce(dist(F.col("f"), F.col("_o")), F.lit(0.0)))
-            new = new.select(IMAGE, "start", "c", F.coalesce("f", "_o").alias("f"), "shift")
-            centres = pack(new)
-            done += 1
-        new = cut(new)
-        centres = pack(new)
-        if new.where(F.col("shift") > tol).isEmpty():
+    hashes = {f"_h{s}": F.xxhash64(F.lit(seed), F.lit(s), "row", "col") for s in range(restarts)}
+    columns = ["row", "col", *FEATURES, *hashes]
+    packs = cut(packed(px.select(IMAGE, "row", "col", *FEATURES).withColumns(hashes), [IMAGE], ["row", "col"], columns, block))
+    large = packs.groupBy(IMAGE).count().where("count > 1").select(IMAGE)
+    pixel = types_of(px, [IMAGE, "row", "col"])
+    small = packs.join(large, IMAGE, "left_anti").select(IMAGE, *columns).mapInArrow(_whole_images(k, restarts, rounds), f"{pixel}, cluster int")
+    if large.isEmpty():
+        return small
+    return small.unionByName(_in_rounds(cut(packs.join(large, IMAGE, "left_semi")), pixel, k, restarts, rounds, tol))
+
+
+def _features(b: pa.RecordBatch, r: int) -> np.ndarray:
+    """Features x pixels of a pack."""
+    return np.stack([entry(b.column(c), r) for c in FEATURES])
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances (starts, centres, pixels) of features x pixels to (starts, centres, features)."""
+    d = np.zeros((*centres.shape[:2], x.shape[1]))
+    for i, v in enumerate(x):
+        d += (v - centres[:, :, i, None]) ** 2
+    return d
+
+
+def _first_pixels(b: pa.RecordBatch, r: int, start: int, k: int) -> np.ndarray:
+    """Positions of the k pixels of a pack with the smallest hash."""
+    return np.lexsort([entry(b.column(c), r) for c in ("col", "row", f"_h{start}")])[:k]
+
+
+def _pixels_of(b: pa.RecordBatch, clusters: Sequence[np.ndarray]) -> pa.RecordBatch:
+    """The pixels of all packs of a batch, a row each."""
+    image = b.column(IMAGE).take(pa.array(np.repeat(np.arange(b.num_rows), [len(c) for c in clusters])))
+    cluster = np.concatenate(clusters) + 1 if clusters else np.zeros(0)
+    return pa.RecordBatch.from_arrays([image, b.column("row").flatten(), b.column("col").flatten(), pa.array(cluster, pa.int32())], [IMAGE, "row", "col", "cluster"])
+
+
+def _whole_images(k: int, restarts: int, rounds: int):
+    """Pixels with their cluster, from packs that hold whole images."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for r in range(b.num_rows):
+                x = _features(b, r)
+                centres = np.stack([x.T[_first_pixels(b, r, s, k)] for s in range(restarts)])
+                last = None
+                for _ in range(rounds):
+                    at = _distances(x, centres).argmin(1)
+                    if last is not None and (at == last).all():
+                        break  # the same pixels: no centre moves any more
+                    last = at
+                    mine = at[:, None, :] == np.arange(centres.shape[1])[:, None]
+                    n = mine.sum(2)
+                    sums = np.stack([(mine * v).sum(2) for v in x], 2)
+                    # A centre that lost all its pixels stays where it was.
+                    centres = np.where(n[..., None] > 0, sums / np.maximum(n, 1)[..., None], centres)
+                d = _distances(x, centres)
+                cost = np.round(d.min(1).sum(1), 9)
+                found.append(d.argmin(1)[cost.argmin()])
+            yield _pixels_of(b, found)
+
+    return run
+
+
+def _in_rounds(packs: DataFrame, pixel: str, k: int, restarts: int, rounds: int, tol: float) -> DataFrame:
+    """The same for images of several packs, all of them together."""
+    image, width = pixel.split(", ")[0], len(FEATURES)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                x = _features(b, r)
+                for s in range(restarts):
+                    at = _first_pixels(b, r, s, k)
+                    key = [pa.array(entry(b.column(c), r)[at]) for c in (f"_h{s}", "row", "col")]
+                    yield pa.RecordBatch.from_arrays([repeated(b.column(IMAGE), r, len(at)), pa.array(np.full(len(at), s), pa.int32()), *[c.cast(pa.int64()) for c in key], pa.array(x.T[at].tolist(), pa.list_(pa.float64()))],
+                                                     [IMAGE, "start", "h", "row", "col", "f"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                x, runs = _features(b, r), b.column("runs")[r].as_py()
+                centres = np.array([c["centres"] for c in runs])
+                d = _distances(x, centres)
+                at = d.argmin(1)
+                for i, c in enumerate(runs):
+                    mine = at[i] == np.arange(centres.shape[1])[:, None]
+                    yield pa.RecordBatch.from_arrays([repeated(b.column(IMAGE), r, len(mine)), pa.array(np.full(len(mine), c["start"]), pa.int32()), pa.array(np.arange(len(mine)), pa.int32()), pa.array(mine.sum(1)),
+                                                      pa.array((mine @ x.T).tolist(), pa.list_(pa.float64())), pa.array((mine * d[i].min(0)).sum(1))], [IMAGE, "start", "c", "n", "f", "cost"])
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _pixels_of(b, [_distances(_features(b, r), np.array([b.column("centres")[r].as_py()])).argmin(1)[0] for r in range(b.num_rows)])
+
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("c", "f"))), lambda c: c["f"])
+    summed = lambda cs: packs.join(cs.groupBy(IMAGE).agg(F.collect_list(F.struct("start", "centres")).alias("runs")), IMAGE).select(IMAGE, *FEATURES, "runs").mapInArrow(
+        sums, f"{image}, start int, c int, n long, f array<double>, cost double").groupBy(IMAGE, "start", "c").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("f")[i]) for i in range(width)]).alias("f"), F.sum("cost").alias("cost"))
+    w = Window.partitionBy(IMAGE, "start").orderBy("h", "row", "col")
+    seeds = packs.mapInArrow(first, f"{image}, start int, h long, row long, col long, f array<double>")
+    moving = cut(seeds.withColumn("c", F.row_number().over(w) - 1).where(F.col("c") < k).groupBy(IMAGE, "start").agg(listed.alias("centres")))
+    done = []
+    for _ in range(rounds):
+        # A centre that lost all its pixels stays where it was.
+        old = moving.select(IMAGE, "start", F.posexplode("centres").alias("c", "_o"))
+        new = summed(moving).join(old, [IMAGE, "start", "c"]).withColumn("f", F.when(F.col("n") > 0, F.transform("f", lambda v: v / F.col("n"))).otherwise(F.col("_o")))
+        shift = F.aggregate(F.zip_with("f", "_o", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+        step = cut(new.groupBy(IMAGE, "start").agg(listed.alias("centres"), F.max(shift).alias("shift")))
+        done.append(step.where(F.col("shift") <= tol).select(IMAGE, "start", "centres"))
+        moving = step.where(F.col("shift") > tol).select(IMAGE, "start", "centres")
+        if moving.isEmpty():
             break
-    final = assigned(centres)
-    cost = final.groupBy(IMAGE, "start").agg(F.sum("b.d").alias("cost"))
-    best = cost.groupBy(IMAGE).agg(F.min_by("start", F.struct(F.round("cost", 9), F.col("start"))).alias("start"))
-    return final.join(best, [IMAGE, "start"]).select(IMAGE, "row", "col", F.col("b.c").alias("cluster"))
+    centres = cut(reduce(DataFrame.unionByName, [*done, moving]))
+    cost = summed(centres).groupBy(IMAGE, "start").agg(F.sum("cost").alias("cost"))
+    best = cost.join(centres, [IMAGE, "start"]).groupBy(IMAGE).agg(F.min_by("centres", F.struct(F.round("cost", 9), F.col("start"))).alias("centres"))
+    return packs.join(best, IMAGE).select(IMAGE, "row", "col", *FEATURES, "centres").mapInArrow(assigned, f"{pixel}, cluster int")
 
 
 def on_border(row: Column, col: Column, height: Column, width: Column) -> Column:
