@@ -39,3 +39,28 @@ def test_regions_of_many_clouds(spark):
     cells, df = cloud_rows(spark, 60)
     got = {r.d: r.n_regions for r in VX.region_counts(df, ["d"]).collect()}
     assert got == {d: plain_regions([c[1:] for c in cells if c[0] == d]) for d in range(60)}
+
+
+def test_distances_of_many_grids_of_many_sizes(spark):
+    from thermal_lake.functions import numerics
+
+    rng = np.random.default_rng(5)
+    flat = rng.integers(0, 30, 200).astype(float)
+    start, step, length = np.array([0, 40, 41, 90]), np.array([1, 2, 2, 1]), np.array([17, 20, 20, 110])
+    got, want = numerics.line_pass(flat, start, step, length, 1e12), flat.copy()
+    for s, t, n in zip(start, step, length):
+        line = flat[s : s + n * t : t][:n]
+        want[s + np.arange(n) * t] = [min((i - j) ** 2 + v for j, v in enumerate(line)) for i in range(n)]
+    assert np.array_equal(got, want)
+    grids = {d: rng.random((2 + d % 19, 1 + d % 5, 1 + 7 * d % 21)) < 0.15 * (d % 4) for d in range(24)}
+    rows = [(None if d == 23 else d, *map(int, at), bool(v)) for d, g in grids.items() for at, v in np.ndenumerate(g)]
+    df = spark.createDataFrame(rows, "d long, ix int, iy int, iz int, occ boolean").coalesce(1)
+    out = VX.signed_distance(df, ["d"], 0.5)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()  # no call of Python per slab
+    found = {(23 if r.d is None else r.d, r.ix, r.iy, r.iz): r.sdf for r in out.collect()}
+    assert len(found) == len(rows)
+    for d, g in grids.items():
+        for at, inside in np.ndenumerate(g):
+            other = np.argwhere(g != inside)
+            want = None if not len(other) else (-0.5 if inside else 0.5) * np.sqrt(((other - at) ** 2).sum(1).min())
+            assert found[d, *at] == want
