@@ -64,3 +64,22 @@ def test_distances_of_many_grids_of_many_sizes(spark):
             other = np.argwhere(g != inside)
             want = None if not len(other) else (-0.5 if inside else 0.5) * np.sqrt(((other - at) ** 2).sum(1).min())
             assert found[d, *at] == want
+
+
+def test_surface_across_tiles_and_without_keys(spark):
+    from thermal_lake.operators import mesh as ME
+
+    rng = np.random.default_rng(7)
+    rows = [(d, *map(int, at)) for d in (1, None) for at in rng.integers(-19, 20, (1500, 3))]
+    rows += [(1, None, 2, 3), (1, 0, 0, 0), (1, 0, 0, 0)]
+    out = ME.voxel_surface(spark.createDataFrame(rows, "d int, ix int, iy int, iz int"), ["d"], 0.5)
+    assert "LeftAnti" not in out._jdf.queryExecution().toString()  # voxels travel, not their six faces
+    have, want = set(rows), []
+    for r in rows:
+        for face, (step, corners) in enumerate(ME.CUBE_FACES):
+            if None in r or (r[0], *(a + b for a, b in zip(r[1:], step))) not in have:
+                at = [tuple(None if a is None else (a + b) * 0.5 for a, b in zip(r[1:], c)) for c in corners]
+                want += [(*r, face, half, *(at[i] for i in pick)) for half, pick in enumerate(((0, 1, 2), (0, 2, 3)))]
+    got = [(r.d, r.ix, r.iy, r.iz, r.face, r.half, *map(tuple, (r.v1, r.v2, r.v3))) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert out.schema["ix"].dataType.simpleString() == out.schema["d"].dataType.simpleString() == "int"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,9 @@ from ..functions import geometry as G
 from ..session import cut
 from . import octree
 from .field import bounding_box
-from .grid import VOXEL, step_grid
+from .grid import TILE, VOXEL, step_grid
 from .octree import nearest
-from .packs import repeated
+from .packs import repeated, slices, types_of
 from .skew import ranked
 
 MESH = "mesh_id"
@@ -276,26 +277,53 @@ CUBE_FACES = (
 def voxel_surface(occupied: DataFrame, keys: Sequence[str], size: float = 1.0) -> DataFrame:
     """Closed surface of occupied voxels: faces without a neighbour, two facets each.
 
-    The neighbour test is an anti-join on the voxel position; facet numbers follow from the voxel
-    and the face, so no global counter is needed.
+    A tile of voxels learns of the voxels across its faces, so a voxel travels little more than once; its bare faces come back as
+    bits and become facets by a fixed table. A voxel with a NULL key or coordinate has no neighbours. Facet numbers follow from
+    the voxel and the face, so no global counter is needed.
     """
-    keys = list(keys)
-    face = F.explode(F.array(*[F.struct(F.lit(i).alias("face"), *[F.lit(d[a]).alias(n) for a, n in enumerate("abc")]) for i, (d, _) in enumerate(CUBE_FACES)]))
-    want = occupied.select(*keys, *VOXEL, face.alias("f")).select(
-        *keys, *VOXEL, "f.face", (F.col("ix") + F.col("f.a")).alias("nx"), (F.col("iy") + F.col("f.b")).alias("ny"), (F.col("iz") + F.col("f.c")).alias("nz"))
-    have = occupied.select(*keys, F.col("ix").alias("nx"), F.col("iy").alias("ny"), F.col("iz").alias("nz"))
-    bare = want.join(have, [*keys, "nx", "ny", "nz"], "left_anti")
-
-    def vertex(face_no: int, corner: int) -> Column:
-        offs = CUBE_FACES[face_no][1][corner]
-        return F.struct(*[((F.col(i) + o) * size).cast("double").alias(a) for a, i, o in zip("xyz", VOXEL, offs)])
-
-    def triangle(face_no: int, half: int) -> Column:
-        picks = (0, 1, 2) if half == 0 else (0, 2, 3)
-        return F.struct(F.lit(half).alias("half"), *[vertex(face_no, c).alias(f"v{n}") for n, c in enumerate(picks, start=1)])
-
-    pair = None
-    for i in range(6):
-        both = F.array(triangle(i, 0), triangle(i, 1))
-        pair = F.when(F.col("face") == i, both) if pair is None else pair.when(F.col("face") == i, both)
-    return bare.withColumn("t", F.explode(pair)).select(*keys, *VOXEL, "face", "t.half", "t.v1", "t.v2", "t.v3")
+    keys, place, side = list(keys), ("_tx", "_ty", "_tz"), TILE + 2
+    nk = len(keys)
+    lost = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (*keys, *VOXEL)])
+    own = occupied.select(*keys, *VOXEL, lost.alias("_lost")).withColumns({
+        t: F.when(F.col("_lost"), F.col(c).cast("long")).otherwise(F.floor(F.col(c) / TILE)) for c, t in zip(VOXEL, place)})
+    at = {c: F.pmod(F.col(c), F.lit(TILE)) for c in VOXEL}
+    across = lambda c, o: [(o if c == v else 0) for v in VOXEL]
+    moves = [F.when((at[c] == (0 if o < 0 else TILE - 1)) & ~F.col("_lost"), F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", across(c, o))])) for c in VOXEL for o in (-1, 1)]
+    stay = F.struct(*[F.lit(0).alias(n) for n in "abc"])
+    sent = own.withColumn("_o", F.explode(F.array_compact(F.array(stay, *moves)))).select(
+        *keys, "_lost", *[(F.col(t) + F.col(f"_o.{n}")).alias(t) for t, n in zip(place, "abc")],
+        *[(at[c] - F.col(f"_o.{n}") * TILE + 1).cast("long").alias(c) for c, n in zip(VOXEL, "abc")])
+    spot = F.when(F.col("_lost"), F.lit(-1)).otherwise((F.col("ix") * side + F.col("iy")) * side + F.col("iz")).cast("int")
+    tiles = sent.groupBy(*keys, "_lost", *place).agg(F.collect_list(spot).alias("at"))
+    steps = [(d[0] * side + d[1]) * side + d[2] for d, _ in CUBE_FACES]
+
+    def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b, row, (spot,) in slices(whole, nk + 4):
+                size = side**3
+                code = row * size + spot
+                have = np.unique(code[spot >= 0])
+                x, y, z = spot // (side * side), spot // side % side, spot % side
+                mine = (spot < 0) | (np.minimum(np.minimum(x, y), z) > 0) & (np.maximum(np.maximum(x, y), z) <= TILE)
+                row, code, lost = row[mine], code[mine], spot[mine] < 0
+                faces = np.where(lost, 63, 0)
+                for i, step in enumerate(steps):
+                    to = np.searchsorted(have, code + step)
+                    faces |= (np.append(have, -1)[to] != code + step).astype(np.int64) << i
+                some = faces > 0
+                row, lost = row[some], lost[some]
+                cells = []
+                for tile, v in zip(b.columns[nk + 1 : nk + 4], (x, y, z)):
+                    t = tile.take(pa.array(row))
+                    cell = t.fill_null(0).to_numpy(zero_copy_only=False)
+                    cell = np.where(lost, cell, cell * TILE + v[mine][some] - 1)
+                    cells.append(pa.array(cell, mask=t.is_null().to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row)) for c in b.columns[:nk]], *cells, pa.array(faces[some].astype(np.int32))], [*keys, *VOXEL, "faces"])
+
+    found = tiles.mapInArrow(bare, f"{types_of(tiles, keys)}, ix long, iy long, iz long, faces int")
+    corner = lambda c: F.struct(*[F.lit(v).alias(a) for a, v in zip("xyz", c)])
+    table = [F.struct(F.lit(i).alias("face"), F.lit(half).alias("half"), *[corner(offs[c]).alias(f"v{n}") for n, c in enumerate(picks, start=1)])
+             for i, (_, offs) in enumerate(CUBE_FACES) for half, picks in enumerate(((0, 1, 2), (0, 2, 3)))]
+    vertex = lambda v: F.struct(*[((F.col(i) + F.col(f"t.{v}.{a}")) * size).cast("double").alias(a) for a, i in zip("xyz", VOXEL)]).alias(v)
+    facets = found.withColumn("t", F.explode(F.array(*table))).where(F.expr("getbit(faces, t.face) = 1"))
+    return facets.select(*keys, *[F.col(c).cast(occupied.schema[c].dataType).alias(c) for c in VOXEL], "t.face", "t.half", *map(vertex, ("v1", "v2", "v3")))
