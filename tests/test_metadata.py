@@ -58,3 +58,19 @@ def test_revisions(spark):
     inc = spark.createDataFrame([(1, "p", 1.0), (2, "p", 2.0), (3, "p", 3.0), (4, "q", None)], "seq int, path string, v double")
     got = {r.seq: (r.category, r.revision) for r in W.classify_corrections(inc, stored, ["v"]).collect()}
     assert got == {1: ("equivalentes", 2), 2: ("conflictos", 2), 3: ("conflictos", 3), 4: ("principal", 1)}
+
+
+def test_catalogues_deal_out_paths_and_parse_them_once(spark):
+    from thermal_lake.operators import catalog as K
+
+    path = "datos/Monopolo/2ant/Caso_3/Potencia_12p5W/correccion_junio_4_5min_prueba_2_zonas_4/archivo_{}.mat"
+    rows = [(k, path.format(k)) for k in range(50)] + [(60, "otros/sin_identidad.txt"), (61, None), (62, path.format(1))]
+    files = spark.createDataFrame(rows, "seq long, ruta string").coalesce(1)
+    found = K.correction_catalog(files)
+    assert found.rdd.getNumPartitions() > 1  # one file split is dealt out to all tasks
+    assert sorted(r.seq for r in found.collect()) == [*range(50), 62]
+    for made in (found, K.distribution_catalog(files)):
+        before, dealt = made._jdf.queryExecution().optimizedPlan().toString().split("Repartition", 1)
+        assert dealt.count("split(") < 5  # no parsing before the paths are dealt out
+        assert before.count("split(") < 150  # 208 and 304 where a filter repeats the identity
+    assert {(r.tipo, r.caso, r.potencia, r.fecha, r.zonas, r.origen) for r in K.distribution_catalog(files).collect()} == {("Monopolo", "3", "Potencia_12p5W", "junio_4", "4", "corregido")}
