@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from thermal_lake.operators import grid as GR
+from thermal_lake.operators import octree as O
 from thermal_lake.operators import skew
 from thermal_lake.sources import readers as RD
 from thermal_lake.sources import writers as WR
@@ -40,3 +41,34 @@ def test_small_packs_are_looked_up_together():
     far = pa.array([[{"at": side**3 - 1, "v": 1.0}]] * packs, voxels.type)
     runs = list(GR._looked_up(batch.set_column(0, "v", far), 0, side))
     assert len(runs) > 1 and sum(len(r) for _, r, _ in runs) == n.sum()  # full tiles: a bounded number at once
+
+
+def test_keys_of_one_tile_are_searched_at_once(spark):
+    rng = np.random.default_rng(5)
+    sizes = {"one": 40, "few": 3, "same": 30, "big": 1500}
+    points = {k: np.zeros((n, 3)) if k == "same" else rng.integers(0, 9, (n, 3)).astype(float) for k, n in sizes.items()}
+    queries = {k: rng.uniform(-1, 10, (25, 3)) for k in [*sizes, "none"]}
+    rows = lambda d: [(k, i, *map(float, p)) for k, ps in d.items() for i, p in enumerate(ps)]
+    q = spark.createDataFrame(rows(queries) + [("one", 3, 1.0, 1.0, 1.0)], "k string, qid long, x double, y double, z double")
+    p = spark.createDataFrame([(*r, r[1] / 2) for r in rows(points)], "k string, pid long, x double, y double, z double, v double")
+    small = O.nearest(q, p.where("k != 'big'"), ["k"], "qid", "pid", 4, "v")
+    assert "FlatMapGroupsInArrow" not in plan(small)
+    found = {}
+    for r in O.nearest(q, p, ["k"], "qid", "pid", 4, "v").collect():
+        assert r.v == r.pid / 2
+        found.setdefault((r.k, r.qid), []).append((r.rn, r.pid, r.distance))
+    assert len(found) == 4 * 25 and sorted(r[0] for r in found["one", 3]) == [1, 1, 2, 2, 3, 3, 4, 4]
+    assert {(k, i): sorted(v) for (k, i), v in found.items() if k != "big"} == {
+        (k, i): sorted(v) for (k, i), v in _grouped(small.collect()).items()}
+    for (k, i), got in found.items():
+        if (k, i) != ("one", 3):
+            d = np.sqrt(((points[k] - queries[k][i]) ** 2).sum(1))
+            want = np.lexsort((np.arange(len(d)), d))[:4]
+            assert [g[1] for g in sorted(got)] == want.tolist() and np.allclose([g[2] for g in sorted(got)], d[want])
+
+
+def _grouped(rows):
+    out = {}
+    for r in rows:
+        out.setdefault((r.k, r.qid), []).append((r.rn, r.pid, r.distance))
+    return out

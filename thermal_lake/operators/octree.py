@@ -7,7 +7,7 @@ full are counted again. What is left after the last level (points nearly or exac
 
 A search packs neighbouring queries into blocks. A block meets its key's directory - one row with box and number of points of every
 tile - and finds for each query a distance within which k points must lie, hence the tiles that may hold an answer; then the tiles
-themselves, for the distances. No row per pair of query and point exists; every packed row has a bounded size:
+themselves, for the distances. Blocks of a key with a single tile meet that tile at once. No row per pair of query and point exists; every packed row has a bounded size:
 
 * a tile holds about ``TILE`` points (or 2k, if that is more; in keys of over ``TILE * TILES`` points, their n / ``TILES``), so
 * a directory has about ``TILES`` entries at most, whatever the number of points.
@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from ..functions.nulls import finite
 from ..session import cut
-from .packs import entry, lists, packed, repeated, types_of
+from .packs import SLICE, entry, lists, packed, repeated, types_of
 from .skew import broadcast_if_small
 
 LEVELS, STEP = 20, 5
@@ -77,15 +77,15 @@ def _splits(keys: list[str], level: int) -> Callable[[pd.DataFrame], pd.DataFram
     return split
 
 
-def tiled(points: DataFrame, keys: Sequence[str], copies: int | None = None, pid: str = "pid") -> DataFrame:
+def tiled(points: DataFrame, keys: Sequence[str], copies: int | None = None, pid: str = "pid", full: bool | None = None) -> DataFrame:
     """Points (with ``_code`` and ``_most``) with their tile ``_tile`` (code of its first place) and ``_part``.
 
     ``copies`` keeps that many points, those with the smallest ``pid``, of points at one place in cells that the last level cannot
-    split; for k nearest neighbours with ties to the smaller id, more are of no use.
+    split; for k nearest neighbours with ties to the smaller id, more are of no use. ``full`` says, where it is known, whether any key needs a split.
     """
     keys = list(keys)
     whole = lambda df: df.withColumns({"_tile": F.lit(0).cast("long"), "_part": F.lit(0)})
-    if points.where("_n > _most").isEmpty():
+    if not (not points.where("_n > _most").isEmpty() if full is None else full):
         return whole(points)
     done, rest = [whole(points.where("_n <= _most"))], cut(points.where("_n > _most"))
     types = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
@@ -157,15 +157,47 @@ def nearest(queries: DataFrame, points: DataFrame, keys: Sequence[str], qid: str
     own = placed(own)
     size = cut(extents(own, keys, tile))
     frames = broadcast_if_small(size, BROADCAST_ROWS)
-    cells = tiled(coded(own.join(frames, keys)), keys, k, "_pid")
+    cells = tiled(coded(own.join(frames, keys)), keys, k, "_pid", not size.where("_n > _most").isEmpty())
     content = F.collect_list(F.struct("_pid", "x", "y", "z", *(["_value"] if value else []))).alias("points")
     tiles = cut(cells.groupBy(*keys, "_tile", "_part").agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{a}{e}") for a in "xyz" for e, f in (("_lo", F.min), ("_hi", F.max))], content))
     box = F.struct("_tile", "_part", "n", *[f"{a}_{e}" for e in ("lo", "hi") for a in "xyz"])
-    directory = tiles.groupBy(*keys).agg(F.collect_list(box).alias("dir"))
+    held = tiles.groupBy(*keys).agg(F.count(F.lit(1)).alias("_held"))
+    alone, several = (not held.where(c).isEmpty() for c in ("_held = 1", "_held > 1"))
+    directory = tiles.groupBy(*keys).agg(F.collect_list(box).alias("dir")).where(F.size("dir") > 1)
 
     asked = coded(placed(queries.select(*keys, F.col(qid).cast("long").alias("_qid"), "x", "y", "z")).join(frames, keys))
     key_types, nk = types_of(asked, keys), len(keys)
     blocks = packed(asked, keys, ["_code", "_qid"], ["_qid", "x", "y", "z"], block_rows)
+    blocks = cut(blocks) if alone and several else blocks
+    one_types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64()]
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks whose key is one tile: what is nearest there is the answer."""
+        def rows_of(b: pa.RecordBatch, found: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
+            at = pa.array(np.repeat([r for r, _ in found], [len(f[0]) for _, f in found]))
+            flat = [pa.array(np.concatenate([f[i] for _, f in found]), t) for i, t in enumerate(one_types[: 5 if value else 4])]
+            return pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns[:nk]], *flat], [*keys, "_qid", "_pid", "distance", "rn", *(["_value"] if value else [])])
+
+        for b in batches:
+            found: list[tuple[int, list[np.ndarray]]] = []
+            entries = 0
+            for r in range(b.num_rows):
+                qids, xs, ys, zs, points_ = b.columns[nk:]
+                fields = [f.to_numpy(zero_copy_only=False) for f in points_[r].values.flatten()]
+                d = np.sqrt(sum((entry(c, r)[:, None] - p[None]) ** 2 for c, p in zip((xs, ys, zs), fields[1:4], strict=True)))
+                limit = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+                i, j = np.nonzero(d <= limit[:, None])
+                take, rank = _smallest(i, d[i, j], fields[0][j], k)
+                i, j = i[take], j[take]
+                found.append((r, [entry(qids, r)[i], fields[0][j], d[i, j], rank, *([fields[4][j]] if value else [])]))
+                entries += len(i)
+                if entries >= SLICE or r == b.num_rows - 1:
+                    yield rows_of(b, found)
+                    found, entries = [], 0
+
+    found_schema = f"{key_types}, _qid long, _pid long, distance double, rn int" + (", _value double" if value else "")
+    only = tiles.join(held.where("_held = 1"), keys, "left_semi").select(*keys, "points")
+    answers = [blocks.join(only, keys).select(*keys, "_qid", "x", "y", "z", "points").mapInArrow(searched, found_schema)] if alone or not several else []
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,7 +214,7 @@ def nearest(queries: DataFrame, points: DataFrame, keys: Sequence[str], qid: str
     wanted = blocks.join(directory, keys).select(*keys, "_block", "_qid", "x", "y", "z", "dir").mapInArrow(
         asks, f"{key_types}, _block long, _tile long, _part int, at array<int>, qids array<long>, xs array<double>, ys array<double>, zs array<double>, bound array<double>")
     found_types = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    found_schema = f"{key_types}, _block long, at array<int>, qids array<long>, pids array<long>, dists array<double>, vals array<double>"
+    hit_schema = f"{key_types}, _block long, at array<int>, qids array<long>, pids array<long>, dists array<double>, vals array<double>"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,7 +233,7 @@ def nearest(queries: DataFrame, points: DataFrame, keys: Sequence[str], qid: str
             yield pa.RecordBatch.from_arrays([*b.columns[: nk + 1], *lists(rows, found_types)], [*keys, "_block", "at", "qids", "pids", "dists", "vals"])
 
     hits = wanted.join(tiles.select(*keys, "_tile", "_part", "points"), [*keys, "_tile", "_part"]).select(
-        *keys, "_block", "at", "qids", "xs", "ys", "zs", "bound", "points").mapInArrow(scored, found_schema)
+        *keys, "_block", "at", "qids", "xs", "ys", "zs", "bound", "points").mapInArrow(scored, hit_schema)
 
     def merged(t: pa.Table) -> pa.Table:
         at, qids, pids, dists, vals = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t[n].chunks]) for n in ("at", "qids", "pids", "dists", "vals"))
@@ -210,6 +242,8 @@ def nearest(queries: DataFrame, points: DataFrame, keys: Sequence[str], qid: str
         columns = {c: t[c].combine_chunks().take(first) for c in keys} | {"_qid": qids[take], "_pid": pids[take], "distance": dists[take], "rn": rank.astype(np.int32)}
         return pa.table(columns | ({"_value": vals[take]} if value else {}))
 
-    out = hits.groupBy("_block").applyInArrow(merged, f"{key_types}, _qid long, _pid long, distance double, rn int" + (", _value double" if value else ""))
+    if several:
+        answers.append(hits.groupBy("_block").applyInArrow(merged, found_schema))
+    out = reduce(DataFrame.unionByName, answers)
     names = {"_qid": (qid, queries.schema[qid].dataType), "_pid": (pid, points.schema[pid].dataType), "_value": (value, None)}
     return out.select(*[(F.col(c).cast(t) if t is not None else F.col(c)).alias(n) for c in out.columns for n, t in [names.get(c, (c, None))]])
