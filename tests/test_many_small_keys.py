@@ -72,3 +72,23 @@ def _grouped(rows):
     for r in rows:
         out.setdefault((r.k, r.qid), []).append((r.rn, r.pid, r.distance))
     return out
+
+
+def test_products_and_modes_of_many_datasets(spark):
+    rng = np.random.default_rng(8)
+    series = {(f"d{i}", i % 3): rng.normal(size=(4, 2 + i % 4)) for i in range(30)}
+    rows = [(a, b, [float(x) for x in s]) for (a, b), m in series.items() for s in m]
+    df = spark.createDataFrame(rows + [(None, 1, [1.0, 2.0])], "a string, b int, cs array<double>")
+    gram = GR.time_gram(df, ["a", "b"])
+    assert "MapInPandas" not in plan(gram)
+    got = {(r.a, r.b, r.i, r.j): r.g for r in gram.collect()}
+    assert len(got) == sum(m.shape[1] ** 2 for m in series.values())
+    assert all(np.isclose(got[*k, i, j], (m.T @ m)[i, j]) for k, m in series.items() for i in range(m.shape[1]) for j in range(m.shape[1]))
+    times = spark.createDataFrame([(*k, None if k[0] == "d4" else 0.5) for k in series], "a string, b int, step double")
+    modes = GR.pca_direction(gram, times, ["a", "b"])
+    assert "FlatMapGroups" not in plan(modes)
+    for r in modes.collect():
+        _, s, v = np.linalg.svd(series[r.a, r.b], full_matrices=False)
+        assert 1 <= r["rank"] <= len(s) and np.isclose(r.energy, (s[: r["rank"]] ** 2).sum() / (s**2).sum())
+        v = v[: r["rank"]]
+        assert np.allclose(r.direction, np.zeros(v.shape[1]) if r.a == "d4" else v.T @ ((v[:, -1] - v[:, -2]) / 0.5))
