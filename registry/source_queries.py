@@ -121,8 +121,7 @@ def wide_probe_table(spark, d):
     root = scratch_path(spark, "s8")
     probes = [f"S{k}" for k in range(90)]
     WR.write_probe_tables(p, probes, root)
-    out = spark.read.option("sep", "\t").option("header", True).schema(", ".join(["`Tiempo(min)` string", *[f"`{p}(C)` string" for p in probes], "modelo string, dataset string"])).csv(root)
-    return out.select(*DS, "`Tiempo(min)`", *[f"`{p}(C)`" for p in probes])
+    return RD.read_probe_tables(spark, root, probes).select(*DS, "`Tiempo(min)`", *[f"`{p}(C)`" for p in probes])
 
 
 @query("S9_read_binary_meshes", f"""SELECT CAST(mesh_id AS VARCHAR) AS mesh_id, facet_id, {R('CAST(CAST(x2 AS FLOAT) AS DOUBLE)', 5)} AS x2, {R('CAST(CAST(y3 AS FLOAT) AS DOUBLE)', 5)} AS y3, {R('CAST(CAST(z3 AS FLOAT) AS DOUBLE)', 5)} AS z3 FROM ({FLAT}) f""")

@@ -1,7 +1,11 @@
 """Many keys with few rows each: no call of Python, no pass over a key's rows and no task per key more than the work needs."""
 
+import re
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from thermal_lake.operators import grid as GR
 from thermal_lake.operators import octree as O
@@ -92,3 +96,18 @@ def test_products_and_modes_of_many_datasets(spark):
         assert 1 <= r["rank"] <= len(s) and np.isclose(r.energy, (s[: r["rank"]] ** 2).sum() / (s**2).sum())
         v = v[: r["rank"]]
         assert np.allclose(r.direction, np.zeros(v.shape[1]) if r.a == "d4" else v.T @ ((v[:, -1] - v[:, -2]) / 0.5))
+
+
+def test_probe_folders_are_dealt_out(spark, tmp_path):
+    rows = [(f"m{i % 2}", f"d{i}", p, float(t), i + t / 8) for i in range(40) for p in ("S0", "S1") for t in (10, 2) if (i, p, t) != (3, "S1", 2)]
+    df = spark.createDataFrame(rows, "modelo string, dataset string, probe string, t_min double, t_c double")
+    WR.write_probe_tables(df, ["S0", "S1"], str(tmp_path / "t"))
+    files = list(Path(tmp_path / "t").glob("modelo=*/dataset=*/*.csv"))
+    assert len(files) == 40 and len({re.match(r"part-(\d+)", f.name)[1] for f in files}) > 4
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    back = RD.read_probe_tables(spark, str(tmp_path / "t"), ["S0", "S1"])
+    assert spark.conf.get(setting) == before
+    got = {(r.modelo, r.dataset, r["Tiempo(min)"]): (r["S0(C)"], r["S1(C)"]) for r in back.collect()}
+    assert len(got) == 80 and got["m1", "d3", "2.0000"] == ("3.2500", "NaN") and got["m0", "d38", "10.0000"] == ("39.2500", "39.2500")
+    assert back.where(F.col("dataset") == "d3").count() == 2

@@ -52,6 +52,21 @@ def read_datasets(spark: SparkSession, roots: Sequence[str], schema: str = schem
     return enforce(rows.drop("_root"))
 
 
+def read_probe_tables(spark: SparkSession, path: str, probes: Sequence[str], keys: Sequence[str] = ("modelo", "dataset")) -> DataFrame:
+    """The tables of ``write_probe_tables``, as text.
+
+    Folders are listed in as many tasks as the session has use for, instead of one task a folder.
+    """
+    columns = [*[f"`{c}` string" for c in ("Tiempo(min)", *[f"{p}(C)" for p in probes])], *[f"`{k}` string" for k in keys]]
+    setting, tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(tasks, int(before))))
+    try:
+        return spark.read.option("sep", "\t").option("header", True).schema(", ".join(columns)).csv(path)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def listing(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """Path, size and time of every file below ``root``; contents are not read."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import same
 from ..operators.catalog import append_filled, number_revisions
+from ..operators.skew import spread
 from ..schemas import PARTITIONS
 
 
@@ -22,7 +23,8 @@ def wide_probe_table(series: DataFrame, probes: Sequence[str], keys: Sequence[st
 def write_probe_tables(series: DataFrame, probes: Sequence[str], path: str, keys: Sequence[str] = ("modelo", "dataset")) -> None:
     """One folder per dataset, tab separated, rows in time order inside each file."""
     table = wide_probe_table(series, probes, keys)
-    table.repartition(*keys).sortWithinPartitions(*keys, F.col("`Tiempo(min)`").cast("double")).write.mode("overwrite").partitionBy(*keys).option(
+    # What a task costs here is its files, not its bytes: the datasets are dealt out to a fixed number of tasks.
+    spread(table, *keys).sortWithinPartitions(*keys, F.col("`Tiempo(min)`").cast("double")).write.mode("overwrite").partitionBy(*keys).option(
         "sep", "\t").option("header", True).csv(path)
 
 
